@@ -1,10 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, mixing, resharding, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_resharding": resharding.op5_resharding,
+    "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
