@@ -125,7 +125,8 @@ def mix(measured: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, sh
     at = rows.join(starts, ["_s", "_range"]).select("_rid", "_s", "_size", (F.col("_from") + within).alias("_at"))
     parts = at.select("*", F.explode(F.sequence(F.floor(F.col("_at") / block_words), F.floor((F.col("_at") + F.col("_size") - 1) / block_words))).alias("_block"))
     parts = parts.select("_rid", "_s", "_block", F.greatest(F.lit(0).cast("long"), F.col("_block") * block_words - F.col("_at")).alias("lo"), F.least(F.col("_size"), (F.col("_block") + 1) * block_words - F.col("_at")).alias("hi"))
-    return slots.join(parts, ["_s", "_block"]).select("out_shard", "slot", "epoch", "_rid", "lo", "hi"), sources
+    # By merging: the planner knows nothing of what _slots() returns and would broadcast it, though it grows with the words.
+    return slots.join(parts.hint("merge"), ["_s", "_block"]).select("out_shard", "slot", "epoch", "_rid", "lo", "hi"), sources
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
