@@ -1,13 +1,18 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, line_dedup, mixing, resharding, simhash
+from . import exact_dedup, language, line_dedup, mixing, neighbours, pieces, quality, resharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_resharding": resharding.op5_resharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
+    "op10_language": language.op10_language,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
