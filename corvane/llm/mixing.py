@@ -84,11 +84,11 @@ def _slots(seed: int):
     return run
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """A table of _rid (a number for each row), _id, _source, _size in words, _h, and the text if asked for."""
+def measure(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A table of _rid (a number for each row), _id, _source, _size in words, _h, and the columns named in keep."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text.alias("_text"))
-    rows = rows.select("_id", "_source", F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"), F.xxhash64("_text").alias("_h"), *(["_text"] if keep_text else []), F.monotonically_increasing_id().alias("_rid"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text.alias("_text"), *(keep or []))
+    rows = rows.select("_id", "_source", F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"), F.xxhash64("_text").alias("_h"), *(keep or []), F.monotonically_increasing_id().alias("_rid"))
     return materialise(rows, "mix-rows")
 
 
