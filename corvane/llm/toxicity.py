@@ -32,7 +32,7 @@ IDENTITY_TERMS = [
     ["femmes", "hommes"],
     ["mujeres", "hombres"],
 ]
-#: Labelled rows that are learned from, for each of the two labels.
+#: Labelled rows that are learned from, about so many of each of the two labels.
 PER_CLASS = 4000
 HASH_BITS, PREFIXES = 20, (4, 5, 6)
 #: A feature is kept if its chi-squared against the label reaches MIN_CHI2; the MAX_FEATURES highest are.
