@@ -140,12 +140,16 @@ class Router:
         return self.assigner(x).argmax(1) if self.assigner else np.zeros(len(x), np.int64)
 
     def route(self, x: np.ndarray) -> list[list[int]]:
+        """Parts by falling probability until their share is held; the part that x itself falls into comes first, as
+        that is where its copies are, which the sample holds once."""
         if not self.router:
             return [[0]] * len(x)
         p = self.router(x)
+        p[np.arange(len(x)), self.assign(x)] += 1
+        p /= 2
         order = np.argsort(-p, axis=1, kind="stable")
         before = np.take_along_axis(p, order, 1).cumsum(1) - np.take_along_axis(p, order, 1)
-        return [o[b < self.mass].tolist() for o, b in zip(order, before)]
+        return [o[(b < (1 + self.mass) / 2)].tolist() for o, b in zip(order, before)]
 
 
 def _shares(graph: np.ndarray, label: np.ndarray, parts: int, own: np.ndarray | None = None) -> np.ndarray:

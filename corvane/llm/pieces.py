@@ -3,7 +3,8 @@
 Equal-length words advance together, one end position at a time. At each end the substrings of every length are probed
 by hash in the sorted keys of the pieces, each candidate gets a value, and the maximum's length is the backpointer.
 
-- Unigram models: the value is the best score up to the candidate's start plus the piece's score, as usual.
+- Unigram models: the value is the best score up to the candidate's start plus the piece's score, as usual. Words are
+  scored one by one, so where two ways to split a word tie exactly, the library may choose the other one.
 - BPE models don't maximise a sum of scores, so that sum gives other pieces than the library does. But each prefix's
   merges end in one definite last piece: the one that is compatible with the last piece before it, which means that
   merging the two pieces' text gives the two pieces again. The value is then the length of a compatible candidate,
@@ -58,8 +59,8 @@ class PieceModel:
         if not byte_fallback:
             self.byte_id[:] = -1
         ids = {pieces[i]: i for i in normal}
-        self.score = np.array(scores, float)
-        self.low = min((scores[i] for i in normal), default=0.0) - 10.0
+        self.score = np.array(scores, np.float32)
+        self.low = np.float32(min((scores[i] for i in normal), default=0.0) - 10.0)
         self.max_len = max((len(p) for p in ids), default=1)
         self._runs = {p: i for p, i in ids.items() if set(p) == {SPACE}}
         if bpe:
@@ -190,10 +191,10 @@ class PieceModel:
         for j in range(length):
             h[j + 1] = h[j] * _BASE + (chars[:, j].astype(np.uint64) + np.uint64(1))
         back, piece = np.ones((length + 1, n), np.int64), np.full((length + 1, n), -1, np.int64)
-        best = np.full((length + 1, n), -np.inf)
+        best = np.full((length + 1, n), -np.inf, np.float32)  # the library adds up in single precision
         best[0] = 0.0
         for j in range(1, length + 1):
-            value = np.full(n, -np.inf)
+            value = np.full(n, -np.inf, np.float32)
             for size in range(1, min(j, self.max_len) + 1):
                 if size not in self.bounds and size > 1:
                     continue
@@ -207,14 +208,14 @@ class PieceModel:
                     continue
                 ids = self.ids[at]
                 if self.bpe:
-                    got = np.full(len(hit), float(size))
+                    got = np.full(len(hit), size, np.float32)
                     before = piece[j - size][hit]
                     seam = np.flatnonzero(before >= 0) if size < j else np.zeros(0, np.int64)
                     got[seam[~self.compatible(before[seam], ids[seam])]] = -np.inf
                     got[best[j - size][hit] == -np.inf] = -np.inf
                 else:
                     got = best[j - size][hit] + self.score[ids]
-                more = got > value[hit]
+                more = (got >= value[hit]) & (got > -np.inf)  # of equal ones the longest piece, as in the library
                 hit, ids, got = hit[more], ids[more], got[more]
                 value[hit], back[j][hit], piece[j][hit] = got, size, ids
             if self.bpe:  # a character that is no piece merges with nothing: it is a seam by itself, with piece -1
