@@ -108,8 +108,10 @@ def relevant_chunks(gold: DataFrame, prepared: DataFrame) -> DataFrame:
     cols = ["question_id", "chunk_id", "an", "ann", "norm_text", "text_numbers"]
     held = near.select(cols).unionByName(free.select(cols)).select("question_id", "chunk_id", appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers")).alias("matched"))
     ids = held.groupBy("question_id", "chunk_id").agg(F.max("matched").alias("matched"))
-    some = F.max("matched").over(Window.partitionBy("question_id"))
-    return ids.withColumn("_some", some).filter(F.col("matched") | ~F.col("_some")).drop("_some")
+    # One row for each question says whether anything matched: a question's candidates, which may be all chunks, never
+    # come together in one task. Both uses of ids read the same shuffle.
+    some = ids.groupBy("question_id").agg(F.max("matched").alias("_some"))
+    return ids.join(some, "question_id").filter(F.col("matched") | ~F.col("_some")).drop("_some")
 
 
 def retrieval_scores(retrieved: DataFrame, chunks: DataFrame, relevant: DataFrame, gold: DataFrame) -> DataFrame:

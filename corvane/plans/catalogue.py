@@ -539,3 +539,60 @@ def extractive_answer(spark, sf):
 def citation_guard(spark, sf):
     said = F.when(F.col("turn") % 3 == 0, F.lit(" not_found: nothing")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" [S1]"))).otherwise(F.col("text"))
     return t(spark, sf, "conversations").select("conv_id", "turn", F.md5(answering.guard(said, F.lit("see source [S2]"))).alias("digest"))
+
+
+# ---------------------------------------------------------------- more of the runs
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN props WHEN 'view' THEN event_type ELSE '' END AS said FROM events")
+def prediction_coalesce(spark, sf):
+    first = F.when(F.col("event_type") == "click", F.col("props"))
+    p = t(spark, sf, "events").select("event_id", first.alias("predicted_answer"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).alias("prediction"))
+    return p.select("event_id", evaluation.prediction_text(p).alias("said"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 2030 ELSE year(o_orderdate) END::INT AS year,
+  CASE WHEN o_orderstatus = 'P' THEN 1 ELSE month(o_orderdate) END::INT AS month, o_orderstatus = 'P' AS own FROM orders""")
+def relevant_pairs(spark, sf):
+    """The key's source columns name the dates; where they don't, the prediction's own date stands in."""
+    source = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("b_"), F.date_format("o_orderdate", "yyyy_MM"), F.lit(".txt")))
+    p = t(spark, sf, "orders").select("o_orderkey", source.alias("key_source_files"), F.lit("2030").alias("detected_year"), F.lit("1.0").alias("detected_month"), (F.col("o_orderstatus") == "P").alias("own"))
+    pairs = p.select("o_orderkey", evaluation.relevant_pairs(p).alias("p"), "own")
+    return pairs.select("o_orderkey", F.col("p")[0]["year"].alias("year"), F.col("p")[0]["month"].alias("month"), "own")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS n FROM orders")
+def source_pairs(spark, sf):
+    year, month = F.year("o_orderdate"), F.month("o_orderdate")
+    pair = lambda y, m: F.struct(y.cast("int").alias("year"), m.cast("int").alias("month"))
+    named = F.when(F.col("o_orderstatus") == "F", F.array(pair(year, month), pair(year + 1, month), pair(year, month))).otherwise(F.array().cast(dates.PAIRS))
+    own = F.when(F.col("o_orderstatus") == "O", month)
+    return t(spark, sf, "orders").select("o_orderkey", F.size(dates.source_date_pairs(named, year, own)).alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, length('[Source 1] ' || substr({_collapse('text')}, 1, 4000)) + length('[Source 2] again') + 2 AS n FROM conversations""")
+def judge_prompts(spark, sf):
+    contexts = F.array(F.col("text"), F.lit("again"))
+    prompt = evaluation.judge_prompt(F.lit("q"), F.lit("a"), contexts, F.lit("g"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", (F.length(F.substring_index(prompt, "Sources:\n", -1)) - 1).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, len({_tokens('text')})::INT AS n_tokens, len(list_distinct({_terms('text', 2)}))::INT AS n_terms FROM documents")
+def token_and_term_counts(spark, sf):
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(text.terms(F.col("text"), 2)).alias("n_terms"))
+
+
+@query("SELECT DISTINCT item_id FROM benchmark")
+def extractive_qa(spark, sf):
+    """The whole way offline: documents chunked, hashed to vectors, retrieved for every benchmark text, answered."""
+    docs = t(spark, sf, "documents").select((F.col("doc_id") * 1).alias("doc_pos"), F.concat(F.lit("d/"), F.col("doc_id")).alias("source_path"), F.lit(2024).alias("year"), F.lit(1).alias("month"), "text")
+    chunks = chunking.chunk_documents(docs, SIZE, OVERLAP).select("text", (F.col("doc_pos") * 10_000_000 + F.col("chunk_no")).alias("pos"))
+    provider = providers.HashEmbedder(64)
+    index = providers.embed(chunks, provider)
+    asked = providers.embed(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), provider, "question")
+    hits = vectors.top_k(asked, index, K).join(chunks, "pos")
+    held = answering.collect_hits(hits, ["text"], "query_id")
+    rows = asked.select("query_id", "question").join(held, "query_id", "left")
+    answered = rows.select(F.col("query_id").alias("item_id"), answering.extractive(F.col("hits"), F.col("question")).alias("answer"))
+    return answered.filter(text.has_citation(F.col("answer"))).select("item_id")
