@@ -239,8 +239,14 @@ def _search(k: int):
 
 
 def learn(rows: DataFrame, n_rows: int, sample: int = SAMPLE, recall: float = TARGET_RECALL, k: int = K) -> Router:
-    """A Router from the `sample` rows (vec_id, v) whose hashes of vec_id are smallest."""
-    got = rows.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    """A Router from the `sample` rows (vec_id, v) whose hashes of vec_id are smallest.
+
+    Rows whose hashes are too large to be among them are left out before anything is shuffled: the bound lets through
+    twice the sample on average, and all of a small table.
+    """
+    slots = 1 << 31
+    few = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(slots)) < min(slots, slots * (2 * sample + 1000) // max(1, n_rows)))
+    got = few.dropDuplicates(["vec_id"]).orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(slots)), "vec_id").limit(sample).toArrow()
     ids = got.column("vec_id").to_numpy()
     parts = LEAST_PARTS
     while parts * PART_ROWS < n_rows and parts < MOST_PARTS:

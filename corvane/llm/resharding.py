@@ -25,8 +25,20 @@ def min_cost_flow(supply: np.ndarray, capacity: np.ndarray, cost: np.ndarray) ->
     """Flows (old x new) that ship all supply within capacity at least cost: successive shortest paths.
 
     supply and capacity are integers, sum(capacity) >= sum(supply). Each path is found by Bellman-Ford over the
-    residual graph, relaxed for all nodes at once.
+    residual graph, relaxed for all nodes at once. Old shards whose costs are alike are one node, so the work doesn't
+    grow with shards that have no place among the new ones; what the node ships is dealt out to them in order.
     """
+    kinds, kind = np.unique(cost, axis=0, return_inverse=True)
+    if len(kinds) < len(cost):
+        kind = kind.ravel()
+        together = min_cost_flow(np.bincount(kind, weights=supply, minlength=len(kinds)).astype(np.int64), capacity, kinds)
+        flow = np.zeros(cost.shape, np.int64)
+        for k in range(len(kinds)):
+            own, ends = np.flatnonzero(kind == k), together[k].cumsum()
+            upto = supply[own].astype(np.int64).cumsum()
+            for lo, hi, i in zip(upto - supply[own], upto, own):  # where (lo, hi) of the node's bytes meets each arc's
+                flow[i] = np.maximum(0, np.minimum(hi, ends) - np.maximum(lo, ends - together[k]))
+        return flow
     left, room = supply.astype(np.int64).copy(), capacity.astype(np.int64).copy()
     if room.sum() < left.sum():
         raise ValueError("the new shards hold fewer bytes than there are")
