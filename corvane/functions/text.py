@@ -15,6 +15,15 @@ NUMBER = r"(?U)[-+]?\$?\d[\d,]*(?:\.\d+)?%?"
 NUMERIC_TOKEN = r"(?U)[$-]?\d[\d,]*(?:\.\d+)?%?"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it: bound as a lambda's variable.
+
+    The optimizer merges projections and copies an expression into a lambda that uses it, where it would be evaluated
+    for each element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 

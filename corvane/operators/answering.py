@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citation, collapse, has_citation, overlap, sentences, terms, tokens
+from ..functions.text import citation, collapse, has_citation, let, overlap, sentences, terms, tokens
 
 NOT_FOUND = "NOT_FOUND"
 BASE_FIELDS = ["source_path", "year_month", "chunk_id"]
@@ -57,19 +57,19 @@ def extractive(hits: Column, question: Column, most: int = MAX_SENTENCES) -> Col
     hits: array of struct(rank, text) in order of rank. Sentences sort by shared words, then source, then length,
     then place.
     """
-    wanted = terms(question, TERM_CHARS)
 
-    def of(hit: Column) -> Column:
-        return F.transform(
-            sentences(F.coalesce(hit["text"], F.lit(""))),
-            lambda s, i: F.struct((-overlap(wanted, terms(s))).alias("o"), hit["rank"].alias("r"), F.length(s).alias("l"), i.alias("i"), s.alias("s")),
-        )
+    def ranked(wanted: Column) -> Column:
+        def of(hit: Column) -> Column:
+            place = lambda s, i: F.struct((-overlap(wanted, terms(s))).alias("o"), hit["rank"].alias("r"), F.length(s).alias("l"), i.alias("i"), s.alias("s"))
+            return F.transform(sentences(F.coalesce(hit["text"], F.lit(""))), place)
 
-    best = F.slice(F.array_sort(F.flatten(F.transform(hits, of))), 1, most)
-    cited = F.array_join(F.transform(best, lambda x: F.concat(x["s"], F.lit(" [S"), x["r"].cast("string"), F.lit("]"))), " ")
+        return F.slice(F.array_sort(F.flatten(F.transform(hits, of))), 1, most)
+
+    cite = lambda best: F.when(F.size(best) > 0, F.array_join(F.transform(best, lambda x: F.concat(x["s"], F.lit(" [S"), x["r"].cast("string"), F.lit("]"))), " "))
+    cited = let(let(terms(question, TERM_CHARS), ranked), cite)
     first = F.array_join(F.slice(tokens(F.coalesce(F.get(hits, F.lit(0))["text"], F.lit(""))), 1, SNIPPET_WORDS), " ")
     fallback = F.when(first != "", F.concat(first, F.lit(" [S1]"))).otherwise(NOT_FOUND)
-    return F.when(F.coalesce(F.size(hits), F.lit(0)) < 1, NOT_FOUND).when(F.size(best) > 0, cited).otherwise(fallback)
+    return F.when(F.coalesce(F.size(hits), F.lit(0)) < 1, NOT_FOUND).otherwise(F.coalesce(cited, fallback))
 
 
 def guard(answer: Column, fallback: Column, require_citations: bool = True, use_fallback: bool = True) -> Column:

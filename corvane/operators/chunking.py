@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_ENDS, WS, collapse, newlines, numeric_token_count, strip, tokens
+from ..functions.text import LINE_ENDS, WS, collapse, let, newlines, numeric_token_count, strip, tokens
 
 FIRST_HEADING = "Document"
 MAX_HEADING, MAX_TITLE_WORDS, TITLE_SHARE, TABLE_LINES, TABLE_NUMBERS = 180, 14, 0.75, 2, 3
 #: Noncharacters that mark headings and blank lines while a text is taken apart; they are no part of any text.
+#: The white space of WS and the mark that headings lose: a line is no shorter without them than its heading.
+_BLANKS = "#" + "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _HEAD, _BLANK = "￿", "￾"
 
 
@@ -35,8 +37,8 @@ def windows(n: Column, size: int, overlap: int) -> Column:
 
 def token_windows(text: Column, size: int, overlap: int) -> Column:
     """array of texts: sliding windows over white-space tokens."""
-    words = tokens(text)
-    return F.transform(windows(F.size(words), size, overlap), lambda w: F.array_join(F.slice(words, w["s"] + 1, w["e"] - w["s"]), " "))
+    cut = lambda words: F.transform(windows(F.size(words), size, overlap), lambda w: F.array_join(F.slice(words, w["s"] + 1, w["e"] - w["s"]), " "))
+    return let(tokens(text), cut)
 
 
 def is_title(line: Column) -> Column:
@@ -47,12 +49,18 @@ def is_title(line: Column) -> Column:
 
 
 def heading(line: Column) -> Column:
-    """A stripped line's heading, or null: a markdown heading, a table, chart or schedule caption, or a title."""
+    """A stripped line's heading, or null: a markdown heading, a table, chart or schedule caption, or a title.
+
+    Cheap tests come first: most lines are too long to be headings and never meet a pattern.
+    """
     marked = r"(?d)^#{1,6}" + WS + r"+(.+?)" + WS + r"*\z"
-    compact = collapse(F.ltrim(line, F.lit("#")))
-    caption = compact.rlike(r"(?iU)^(?:table|chart|schedule)" + WS + r"+[A-Z0-9IVXLC\-.]+\b")
-    plain = F.when((compact != "") & (F.length(compact) <= MAX_HEADING) & (caption | is_title(compact)), compact)
-    return F.when(line.rlike(marked), collapse(F.regexp_extract(line, marked, 1))).otherwise(plain)
+
+    def plain(compact: Column) -> Column:
+        caption = compact.rlike(r"(?iU)^(?:table|chart|schedule)" + WS + r"+[A-Z0-9IVXLC\-.]+\b")
+        return F.when((F.length(compact) <= MAX_HEADING) & (compact != "") & (is_title(compact) | caption), compact)
+
+    bare = F.when(F.length(F.translate(line, _BLANKS, "")) <= MAX_HEADING, let(collapse(F.ltrim(line, F.lit("#"))), plain))
+    return F.when(line.startswith("#") & line.rlike(marked), collapse(F.regexp_extract(line, marked, 1))).otherwise(bare)
 
 
 def is_table_line(line: Column) -> Column:
@@ -61,8 +69,9 @@ def is_table_line(line: Column) -> Column:
 
 
 def content_type(block: Column) -> Column:
-    lines = F.filter(F.split(block, LINE_ENDS), lambda x: strip(x) != "")
-    return F.when((F.size(lines) >= 2) & (F.size(F.filter(lines, is_table_line)) >= TABLE_LINES), "table").otherwise("text")
+    table = lambda lines: (F.size(lines) >= 2) & (F.size(F.filter(lines, is_table_line)) >= TABLE_LINES)
+    several = block.rlike(LINE_ENDS) & block.rlike(WS + "{2}")  # without either there is no table
+    return F.when(several & let(F.filter(F.split(block, LINE_ENDS), lambda x: strip(x) != ""), table), "table").otherwise("text")
 
 
 def blocks(text: Column) -> Column:
@@ -73,9 +82,8 @@ def blocks(text: Column) -> Column:
     """
 
     def mark(line: Column) -> Column:
-        bare = strip(line)
-        head = heading(bare)
-        return F.when(bare == "", F.lit(_BLANK)).when(head.isNotNull(), F.concat(F.lit(_HEAD), head)).otherwise(bare)
+        marks = lambda bare: F.when(bare == "", F.lit(_BLANK)).otherwise(F.coalesce(F.concat(F.lit(_HEAD), heading(bare)), bare))
+        return let(strip(line), marks)
 
     clean = F.translate(newlines(text), _HEAD + _BLANK, "")
     sections = F.split(F.array_join(F.transform(F.split(clean, "\n"), mark), "\n"), _HEAD)
@@ -135,9 +143,11 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, text_col: str = "t
     with_blocks = docs.withColumn("_blocks", F.filter(F.transform(blocks(F.col(text_col)), lambda b: F.struct(b["heading"].alias("heading"), (b["content_type"] == "table").alias("table"), tokens(b["text"]).alias("tokens"))), lambda b: F.size(b["tokens"]) > 0))
     sizes = F.transform("_blocks", lambda b: F.size(b["tokens"]))
     packed = with_blocks.withColumn("_chunks", pack(sizes, F.transform("_blocks", lambda b: b["table"]), size, overlap))
-    packed = packed.withColumn("_tokens", F.flatten(F.transform("_blocks", lambda b: b["tokens"])))
     # Both arrays are needed to cut the texts out before chunks become rows: else each row would carry them.
-    cut = F.transform("_chunks", lambda c: F.struct(F.get(F.col("_blocks"), c["b"])["heading"].alias("heading"), F.when(c["t"], "table").otherwise("text").alias("content_type"), F.array_join(F.slice("_tokens", c["s"] + 1, c["e"] - c["s"]), " ").alias("text")))
+    def cut_out(words: Column) -> Column:
+        return F.transform("_chunks", lambda c: F.struct(F.get(F.col("_blocks"), c["b"])["heading"].alias("heading"), F.when(c["t"], "table").otherwise("text").alias("content_type"), F.array_join(F.slice(words, c["s"] + 1, c["e"] - c["s"]), " ").alias("text")))
+
+    cut = let(F.flatten(F.transform("_blocks", lambda b: b["tokens"])), cut_out)
     keep = [c for c in docs.columns if c != text_col]
     return packed.select(*keep, F.posexplode(cut).alias("chunk_no", "_c")).select(*keep, "chunk_no", "_c.heading", "_c.content_type", "_c.text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import question_filters
-from .vectors import dot, rank_hits, top_k
+from .vectors import best_within, rank_hits, top_k
 
 MODES = ("baseline", "source_filter", "question_filter")
 
@@ -45,25 +45,20 @@ def matches(pairs: Column, year: Column, month: Column, chunk_year: Column, chun
 def retrieve(plans: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, rank, pos, score of each plan's k best chunks; plans without a matching chunk have no rows.
 
-    plans: query_id, vector, year, month, date_pairs. chunks: pos, vector, year, month. Three disjoint arms, so that
-    filtered questions are joined by hash on what they filter by: pairs, year and month, year alone or month alone;
-    only unfiltered ones meet all chunks, by matrix products.
+    plans: query_id, vector, year, month, date_pairs. chunks: pos, vector, year, month. Disjoint arms: filtered
+    questions meet only the chunks that agree with them on what they filter by (pairs or year and month, year alone,
+    month alone), unfiltered ones all chunks. Each arm is matrix products over blocks.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    p = plans.select("query_id", F.col("vector").alias("query_vector"), F.col("year").alias("qy"), F.col("month").alias("qm"), F.coalesce("date_pairs", F.array().cast("array<struct<year:int,month:int>>")).alias("pairs"))
-    c = chunks.select("pos", "vector", F.col("year").alias("cy"), F.col("month").alias("cm"))
+    p = plans.select("query_id", "vector", F.col("year"), F.col("month"), F.coalesce("date_pairs", F.array().cast("array<struct<year:int,month:int>>")).alias("pairs"))
+    c = chunks.select("pos", "vector", "year", "month")
     paired = F.size("pairs") > 0
-    by_pair = p.filter(paired).select("query_id", "query_vector", F.explode(F.array_distinct("pairs")).alias("d")).select("query_id", "query_vector", F.col("d.year").alias("cy"), F.col("d.month").alias("cm")).join(c, ["cy", "cm"])
+    each = p.filter(paired).select("query_id", "vector", F.explode(F.array_distinct("pairs")).alias("d")).select("query_id", "vector", "d.year", "d.month")
     rest = p.filter(~paired)
-    both = rest.filter("qy IS NOT NULL AND qm IS NOT NULL").join(c, (F.col("qy") == F.col("cy")) & (F.col("qm") == F.col("cm")))
-    year = rest.filter("qy IS NOT NULL AND qm IS NULL").join(c, F.col("qy") == F.col("cy"))
-    month = rest.filter("qy IS NULL AND qm IS NOT NULL").join(c, F.col("qm") == F.col("cm"))
-    cols = ["query_id", "pos", "query_vector", "vector"]
-    joined = by_pair.select(cols)
-    for arm in (both, year, month):
-        joined = joined.unionByName(arm.select(cols))
-    scored = joined.select("query_id", "pos", F.round(dot(F.col("query_vector"), F.col("vector")), 6).alias("score"))
-    free = rest.filter("qy IS NULL AND qm IS NULL").select("query_id", F.col("query_vector").alias("vector"))
-    every = top_k(free, c.select("pos", "vector"), k).select("query_id", "pos", "score")
-    return rank_hits(scored.unionByName(every), k)
+    dated = rest.filter("year IS NOT NULL AND month IS NOT NULL").select("query_id", "vector", "year", "month")
+    found = best_within(each.unionByName(dated), c, ["year", "month"], k)
+    found = found.unionByName(best_within(rest.filter("year IS NOT NULL AND month IS NULL"), c, ["year"], k))
+    found = found.unionByName(best_within(rest.filter("year IS NULL AND month IS NOT NULL"), c, ["month"], k))
+    every = top_k(rest.filter("year IS NULL AND month IS NULL"), c, k).select("query_id", "pos", "score")
+    return rank_hits(found.unionByName(every), k)

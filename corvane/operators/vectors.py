@@ -100,6 +100,30 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = DIGITS, b
     return rank_hits(hits.withColumn("score", F.round("score", digits)), k)
 
 
+def best_within(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int, digits: int = DIGITS) -> DataFrame:
+    """query_id, pos, score: candidates for each query's k best among the chunks that agree with it on the keys.
+
+    Keys are cut into blocks by how many queries and chunks they have, so a key that most of them share is many tasks;
+    each task is one matrix product. Null keys agree with nothing.
+    """
+    q = queries.select("query_id", doubles(F.col("vector")).alias("vector"), *keys).dropna(subset=keys)
+    c = chunks.select("pos", doubles(F.col("vector")).alias("vector"), *keys).dropna(subset=keys)
+    blocks = q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("qn")).join(c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK_BLOCK).alias("cn")), keys)
+    put = lambda col, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    left = q.join(blocks, keys).select("query_id", "vector", *keys, put("query_id", F.col("qn"), 1).alias("a"), each(F.col("cn")).alias("b"))
+    right = c.join(blocks, keys).select("pos", "vector", *keys, put("pos", F.col("cn"), 2).alias("b"), each(F.col("qn")).alias("a"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": [], "pos": [], "score": []})
+        return _best(x["query_id"].to_numpy(), _stack(x["vector"]), y["pos"].to_numpy(), _stack(y["vector"]), k)
+
+    both = [*keys, "a", "b"]
+    found = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInPandas(meet, "query_id long, pos long, score double")
+    return found.withColumn("score", F.round("score", digits))
+
+
 def top_k_joined(pairs: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     """The same for (query_id, pos, query_vector, vector) pairs that a join on metadata has brought together."""
     scored = pairs.select("query_id", "pos", F.round(dot(F.col("query_vector"), F.col("vector")), digits).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions import dates, matching, text
 from ..operators import answering, chunking, evaluation, retrieval, vectors
+from ..sources.readers import spread
 
 SIZE, OVERLAP, K, BUDGET = 512, 50, 5, 1000
 YEARS = [2000, 2001]
@@ -32,6 +33,10 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(t(spark, sf, name))
+
+
 # ---------------------------------------------------------------- SQL fragments
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -160,7 +165,7 @@ def extract_year_month_numeric(spark, sf):
 @query("SELECT o_orderkey, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, 1 AS n FROM orders")
 def extract_year_month_names(spark, sf):
     pairs = dates.all_year_months(F.date_format("o_orderdate", "MMMM yyyy"))
-    rows = t(spark, sf, "orders").select("o_orderkey", pairs.alias("p"))
+    rows = wide(spark, sf, "orders").select("o_orderkey", pairs.alias("p"))
     return rows.select("o_orderkey", F.col("p")[0]["year"].alias("year"), F.col("p")[0]["month"].alias("month"), F.size("p").alias("n"))
 
 
@@ -216,17 +221,17 @@ def chunk_id_format(spark, sf):
 
 @query(f"SELECT doc_id, md5({_collapse('text')}) AS digest FROM documents")
 def collapse_whitespace(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.md5(text.collapse(F.col("text"))).alias("digest"))
+    return wide(spark, sf, "documents").select("doc_id", F.md5(text.collapse(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents")
 def normalize_answer(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.md5(text.normalize_answer(F.col("text"))).alias("digest"))
+    return wide(spark, sf, "documents").select("doc_id", F.md5(text.normalize_answer(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT doc_id, len({_numbers('text')})::INT AS n, list_max({_numbers('text')}) AS largest FROM documents")
 def number_extract(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", text.numbers(F.col("text")).alias("x"))
+    d = wide(spark, sf, "documents").select("doc_id", text.numbers(F.col("text")).alias("x"))
     return d.select("doc_id", F.size("x").alias("n"), F.array_max("x").alias("largest"))
 
 
@@ -238,7 +243,7 @@ def _sentences(c: str) -> str:
 
 @query(f"WITH s AS (SELECT doc_id, {_sentences('text')} AS s FROM documents) SELECT doc_id, len(s)::INT AS n, md5(array_to_string(s, '|')) AS digest FROM s")
 def sentence_split(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    d = wide(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
@@ -280,13 +285,13 @@ k AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= {SIZE} THEN 1 ELSE ce
 u AS (SELECT doc_id, w, unnest(range(k))::INT AS window_no FROM k)
 SELECT doc_id, window_no, md5(array_to_string(w[window_no * {_STEP} + 1 : window_no * {_STEP} + {SIZE}], ' ')) AS digest FROM u""")
 def token_windows(spark, sf):
-    return _rows(t(spark, sf, "documents"), chunking.token_windows(F.col("text"), SIZE, OVERLAP), "window_no").select("doc_id", "window_no", F.md5("x").alias("digest"))
+    return _rows(wide(spark, sf, "documents"), chunking.token_windows(F.col("text"), SIZE, OVERLAP), "window_no").select("doc_id", "window_no", F.md5("x").alias("digest"))
 
 
 @query(f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, heading FROM lh")
 def heading_flags(spark, sf):
     lines = F.transform(F.split(text.newlines(F.col("text")), "\n"), text.strip)
-    return _rows(t(spark, sf, "documents"), lines, "line_no").select("doc_id", "line_no", chunking.heading(F.col("x")).alias("heading"))
+    return _rows(wide(spark, sf, "documents"), lines, "line_no").select("doc_id", "line_no", chunking.heading(F.col("x")).alias("heading"))
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER ({_TABLE_LINE.replace('x,', 'line,').replace("(x", "(line")})::INT AS n_table, sum({_numeric('line')})::BIGINT AS n_numbers
@@ -294,18 +299,18 @@ FROM lh GROUP BY doc_id""")
 def table_line_flags(spark, sf):
     lines = F.transform(F.split(text.newlines(F.col("text")), "\n"), text.strip)
     n = F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + text.numeric_token_count(x))
-    return t(spark, sf, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, chunking.is_table_line)).alias("n_table"), n.alias("n_numbers"))
+    return wide(spark, sf, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, chunking.is_table_line)).alias("n_table"), n.alias("n_numbers"))
 
 
 @query(f"WITH {_BLOCKS} SELECT doc_id, i AS block_no, heading, content_type, md5(block) AS digest FROM blocks")
 def line_blocks(spark, sf):
-    b = _rows(t(spark, sf, "documents"), chunking.blocks(F.col("text")), "block_no")
+    b = _rows(wide(spark, sf, "documents"), chunking.blocks(F.col("text")), "block_no")
     return b.select("doc_id", "block_no", "x.heading", "x.content_type", F.md5("x.text").alias("digest"))
 
 
 @query(f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_no, c.s AS s, c.e AS e, c.b AS b, c.t AS is_table FROM ch")
 def greedy_pack_intervals(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.transform(chunking.blocks(F.col("text")), lambda b: F.struct(F.size(text.tokens(b["text"])).alias("n"), (b["content_type"] == "table").alias("t"))).alias("b"))
+    d = wide(spark, sf, "documents").select("doc_id", F.transform(chunking.blocks(F.col("text")), lambda b: F.struct(F.size(text.tokens(b["text"])).alias("n"), (b["content_type"] == "table").alias("t"))).alias("b"))
     packed = chunking.pack(F.transform("b", lambda b: b["n"]), F.transform("b", lambda b: b["t"]), SIZE, OVERLAP)
     return _rows(d, packed, "chunk_no").select("doc_id", "chunk_no", "x.s", "x.e", "x.b", F.col("x.t").alias("is_table"))
 
@@ -313,7 +318,7 @@ def greedy_pack_intervals(spark, sf):
 @query(f"""WITH RECURSIVE {_PACK}, allw AS (SELECT doc_id, flatten(list(words ORDER BY i)) AS w, list(heading ORDER BY i) AS hs FROM blocks GROUP BY doc_id)
 SELECT doc_id, chunk_no, hs[c.b + 1] AS heading, CASE WHEN c.t THEN 'table' ELSE 'text' END AS content_type, md5(array_to_string(w[c.s + 1 : c.e], ' ')) AS digest FROM ch JOIN allw USING (doc_id)""")
 def chunk_rows(spark, sf):
-    docs = t(spark, sf, "documents").select("doc_id", "text")
+    docs = wide(spark, sf, "documents").select("doc_id", "text")
     return chunking.chunk_documents(docs, SIZE, OVERLAP).select("doc_id", "chunk_no", "heading", "content_type", F.md5("text").alias("digest"))
 
 
@@ -403,7 +408,7 @@ def answer_contains_join(spark, sf):
 
 
 def _doc_chunks(spark, sf):
-    d = t(spark, sf, "documents")
+    d = wide(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("chunk_id"), "text", (F.lit(2000) + F.col("doc_id") % 5).cast("int").alias("year"), (F.col("doc_id") % 12 + 1).cast("int").alias("month"), F.col("doc_id").alias("pos"))
 
 
@@ -579,14 +584,14 @@ def judge_prompts(spark, sf):
 
 @query(f"SELECT doc_id, len({_tokens('text')})::INT AS n_tokens, len(list_distinct({_terms('text', 2)}))::INT AS n_terms FROM documents")
 def token_and_term_counts(spark, sf):
-    d = t(spark, sf, "documents")
+    d = wide(spark, sf, "documents")
     return d.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(text.terms(F.col("text"), 2)).alias("n_terms"))
 
 
 @query("SELECT DISTINCT item_id FROM benchmark")
 def extractive_qa(spark, sf):
     """The whole way offline: documents chunked, hashed to vectors, retrieved for every benchmark text, answered."""
-    docs = t(spark, sf, "documents").select((F.col("doc_id") * 1).alias("doc_pos"), F.concat(F.lit("d/"), F.col("doc_id")).alias("source_path"), F.lit(2024).alias("year"), F.lit(1).alias("month"), "text")
+    docs = wide(spark, sf, "documents").select((F.col("doc_id") * 1).alias("doc_pos"), F.concat(F.lit("d/"), F.col("doc_id")).alias("source_path"), F.lit(2024).alias("year"), F.lit(1).alias("month"), "text")
     chunks = chunking.chunk_documents(docs, SIZE, OVERLAP).select("text", (F.col("doc_pos") * 10_000_000 + F.col("chunk_no")).alias("pos"))
     provider = providers.HashEmbedder(64)
     index = providers.embed(chunks, provider)

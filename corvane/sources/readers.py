@@ -34,6 +34,13 @@ class DataError(ValueError):
     """Input that can't be used; the message says which."""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it lies in fewer files than there are cores: a file's row group is read by one task, and
+    work on its rows would stay there. Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise DataError(f"{what} has no rows")
