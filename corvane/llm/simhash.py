@@ -171,12 +171,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(rows.mapInArrow(_fingerprints, f"_id {kind}, fp long"), "simhash-prints")
+    found = component_ids(prints)
+    return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def component_ids(prints: DataFrame) -> DataFrame:
+    """_id, fp, component_id for rows of _id and fp (a table): fingerprints are grouped, linked, and joined back."""
     reps = materialise(prints.groupBy("fp").agg(F.min("_id").alias("_least")), "simhash-reps")
     roots = components(find_links(reps.select("fp")))
     linked = reps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
     by_print = materialise(linked.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(by_print.hint("shuffle_hash"), "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.select("_id", "fp").join(by_print.hint("shuffle_hash"), "fp").select("_id", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
