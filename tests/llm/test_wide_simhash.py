@@ -153,6 +153,28 @@ def test_recall_is_the_same_at_every_size():
         assert len(set(at)) == len(at) and 0.95 <= W.recall(len(at), len(at[0])) < 0.955
 
 
+def test_links_of_members_other_than_the_least(make):
+    """A and B link by their 64-bit fingerprints; C is near B, not near A."""
+    r, found = random.Random(6), 0
+    rows, want = [], {}
+    while found < 20:
+        b = text(r, 400)
+        a = edited(r, b, 7)
+        if (simhash.fingerprint(" ".join(a).encode()) ^ simhash.fingerprint(" ".join(b).encode())).bit_count() > 2:
+            continue
+        c = list(b)
+        for i in r.sample(range(400), 6):
+            c[i] = r.choice(VOCAB)
+        if jaccard(b, c) < 0.84 or jaccard(a, c) >= 0.78:
+            continue
+        rows += [(10 * found + k, " ".join(x)) for k, x in enumerate((a, b, c))]
+        found += 1
+    want = components_brute(rows)
+    got = {x.doc_id: x.keep_id for x in W.near_duplicate_ids(make(rows)).collect()}
+    assert sum(want[10 * g + 2] == 10 * g for g in range(20)) == 20
+    assert sum(got[i] == want[i] for i in want) >= 59
+
+
 def test_what_a_tree_leaves_out(make, monkeypatch):
     """Lists of many members whose tree fails at 0.8: every pair is tried, against brute force."""
     r, rows = random.Random(7), []
