@@ -118,3 +118,17 @@ def test_run(spark):
     got = P.run(spark, SF)
     assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
     assert simhash.SHINGLE == 3
+
+
+def test_near_dup_keeps_rows_not_ids(spark):
+    """Null ids and ids that repeat with unlike texts: each text stays once."""
+    r = random.Random(8)
+    texts = [" ".join(r.choices([f"v{i}" for i in range(900)], k=60)) for _ in range(40)]
+    ids = [None] * 20 + [7] * 10 + list(range(100, 110))
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)]
+    rows += [(None, texts[0], "en", "s", 1), (7, texts[25], "en", "s", 1), (500, texts[3], "en", "s", 1), (101, texts[31], "en", "t", 1)]
+    docs = spark.createDataFrame(rows, table(spark, SF, "documents").schema).repartition(3)
+    got = P.near_dup_stage(spark, docs, SF).collect()
+    assert Counter(x["text"] for x in got) == Counter(texts)
+    own = {x["text"]: x["doc_id"] for x in got}
+    assert own[texts[3]] == 500 and [own[t] for t in texts[:3]] == [None] * 3 and own[texts[25]] == 7
