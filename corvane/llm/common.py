@@ -38,16 +38,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     it earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_drop_all)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, whose content is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_all)
+    _written.append((spark, path))
+    return path
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete what materialise() wrote, once no frame reads it any more."""
     path = getattr(table, "_corvane_path", None)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import _delete, materialise, new_path, table
 
 N_SHARDS = 24
 #: Blocks that all old shards are cut into together (at least one each): what the driver plans with. The finer the
@@ -122,14 +122,28 @@ def reshard(docs: DataFrame, old_col: str = "_old", id_col: str = "doc_id", text
 
     No window holds a shard: shards are cut into about sqrt(rows) ranges, whose counts are summed first.
     """
-    spark = docs.sparkSession
+    rows, place = placing(docs, old_col, id_col, text_col, n_shards, capacity, blocks)
+    return place(rows).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_k").alias("old_shard"), F.col("_block").alias("block"), "shard", "slot")
+
+
+def _measured(docs: DataFrame, old_col: str, id_col: str, text_col: str, *more) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = materialise(docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text).alias("_crc"), F.col(old_col).cast("string").alias("_old")), "reshard-rows")
+    return docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text).alias("_crc"), F.col(old_col).cast("string").alias("_old"), *more)
+
+
+def placing(docs: DataFrame, old_col: str, id_col: str, text_col: str, n_shards: int = N_SHARDS, capacity: list[float] | None = None, blocks: int = BLOCKS):
+    """The measured rows of docs (a table), and a function that gives measured rows old shard, block, shard and slot.
+
+    The function may be given the rows with further columns; it shuffles them once, by ranges of (shard, sub-range).
+    """
+    spark = docs.sparkSession
+    rows = materialise(_measured(docs, old_col, id_col, text_col), "reshard-rows")
     shards = sorted(rows.groupBy("_old").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["_old"] is None, r["_old"] or ""))
     total, n_rows = sum(r["s"] for r in shards), sum(r["n"] for r in shards)
     cuts = [max(1, min(r["n"] * 4, round(blocks * r["s"] / total))) for r in shards]
     names = spark.createDataFrame([(r["_old"], k, cuts[k]) for k, r in enumerate(shards)], "_name string, _k int, _cuts int")
-    placed = rows.join(F.broadcast(names), F.col("_old").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod(F.xxhash64("_id", "_crc", "_size"), F.col("_cuts").cast("long")).cast("int")).drop("_name", "_cuts")
+    in_block = lambda rows: rows.join(F.broadcast(names), F.col("_old").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod(F.xxhash64("_id", "_crc", "_size"), F.col("_cuts").cast("long")).cast("int")).drop("_name", "_cuts")
+    placed = in_block(rows)
     sizes = placed.groupBy("_k", "_block").agg(F.sum("_size").alias("s")).orderBy("_k", "_block").collect()
     old, size = np.array([r["_k"] for r in sizes], np.int64), np.array([r["s"] for r in sizes], np.int64)
     share = np.asarray(capacity if capacity is not None else [1.0] * n_shards)
@@ -140,33 +154,79 @@ def reshard(docs: DataFrame, old_col: str = "_old", id_col: str = "doc_id", text
     new = place_blocks(old, size, min_cost_flow(supply, caps, cost), caps) if len(old) else old
     where = spark.createDataFrame([(int(k), int(r["_block"]), int(j)) for k, r, j in zip(old, sizes, new)], "_k int, _block int, shard int")
     ranges = max(1, math.isqrt(n_rows // len(share)) // 4)
-    moved = placed.join(F.broadcast(where), ["_k", "_block"]).withColumn("_sub", F.pmod(F.xxhash64("_size", "_id", "_crc"), F.lit(ranges)).cast("int"))
-    # Counts of (shard, sub-range) are some 100 * sqrt(rows) rows.
-    counts = moved.groupBy("shard", "_sub").count()
+    in_shard = lambda placed: placed.join(F.broadcast(where), ["_k", "_block"]).withColumn("_sub", F.pmod(F.xxhash64("_size", "_id", "_crc"), F.lit(ranges)).cast("int"))
+    # Counts of (shard, sub-range) are some sqrt(rows) rows.
+    counts = in_shard(placed).groupBy("shard", "_sub").count()
     before = materialise(counts.select("shard", "_sub", (F.sum("count").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("count")).alias("_before")), "reshard-slots")
     within = F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("_id", "_crc", "_size", "_k", "_block")) - 1
-    return moved.join(before, ["shard", "_sub"]).select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_k").alias("old_shard"), F.col("_block").alias("block"), "shard", (F.col("_before") + within).cast("long").alias("slot")
-    )
+
+    def place(rows: DataFrame) -> DataFrame:
+        dealt = in_shard(in_block(rows)).repartitionByRange("shard", "_sub").withColumn("_within", within)
+        return dealt.join(F.broadcast(before), ["shard", "_sub"]).withColumn("slot", (F.col("_before") + F.col("_within")).cast("long"))
+
+    return rows, place
+
+
+def touched_shards(plan: DataFrame) -> tuple[list[int], list[int]]:
+    """The shards that gain or lose rows, and those of them that have none left. The number of shards bounds both."""
+    moved = plan.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
+    touched = sorted(r["s"] for r in moved.collect())
+    full = {r["shard"] for r in plan.select("shard").distinct().collect()}
+    return touched, [s for s in touched if s not in full]
+
+
+def write_shards(rows: DataFrame, path: str, drained: list[int]) -> None:
+    """Write rows with a column shard as path/shard=N and delete the folders of drained shards.
+
+    Writing is by dynamic partition overwrite: a shard's folder is replaced as a whole when the job commits, so a lost
+    executor or a second run leaves no half-written shard. Drained shards go after that: until then their rows exist
+    twice, and a second run deletes them.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for s in drained:
+        _delete(rows.sparkSession, f"{path}/shard={s}")
 
 
 def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
     """Write the shards under path/shard=N that gain or lose rows against the old layout, leave all others alone.
 
-    docs holds the rows with their ids (unique); plan is reshard()'s result. Returns the shards written. Writing is
-    by dynamic partition overwrite: a shard's folder is replaced as a whole when the job commits, so a lost executor
-    or a second run leaves no half-written shard. The number of shards bounds what is collected.
+    docs holds the rows, plan is reshard()'s result; they are joined by id_col, which has to be different for each
+    row: null or repeated keys are refused (op5_resharding places whole rows instead and joins nothing). Returns the
+    shards written or drained.
     """
-    moved = plan.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    touched = sorted(r["s"] for r in moved.collect())
+    n = plan.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d")).first()
+    if n["n"] != n["d"]:
+        raise ValueError(f"{id_col} is null or repeated in some rows: give each row a key of its own")
+    touched, drained = touched_shards(plan)
     todo = plan.filter(F.col("shard").isin(touched)).select(F.col(id_col), "shard", "slot")
     out = docs.join(todo, id_col).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").drop("slot")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    write_shards(out, path, drained)
     return touched
 
 
+def reshard_and_write(docs: DataFrame, path: str, old_col: str = "_old", id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Plan, write the affected shards whole under path, and return id, size, text_crc32, shard, slot of all rows.
+
+    Size, checksum and slot of a shard that was written come from the files written (which hold slot beside the
+    columns of docs); a shard that keeps all its rows stays where it is and is described from the plan.
+    """
+    rows, place = placing(docs, old_col, id_col, text_col, **kw)
+    own = [c for c in docs.columns if c != old_col]
+    plan = materialise(place(rows).select("_id", "_size", "_crc", F.col("_k").alias("old_shard"), "shard", "slot"), "reshard-plan")
+    touched, drained = touched_shards(plan)
+    whole = place(_measured(docs, old_col, id_col, text_col, F.struct(*own).alias("_row"))).filter(F.col("shard").isin(touched))
+    stays = plan.filter(~F.col("shard").isin(touched)).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")
+    if not touched:
+        return stays
+    write_shards(whole.select("_row.*", "shard", "slot").sortWithinPartitions("shard", "slot"), path, drained)
+    schema = whole.select("_row.*", "slot", "shard").schema
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    written = docs.sparkSession.read.schema(schema).parquet(path).select(id_col, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot")
+    return written.unionByName(stays)
+
+
 def op5_resharding(spark, sf_dir: str) -> DataFrame:
-    """Old shards: the files that the table lies in, in the order of their names."""
+    """Old shards: the files that the table lies in, in the order of their names; affected shards are written anew."""
     docs = table(spark, sf_dir, "documents").withColumn("_old", F.col("_metadata.file_path"))
-    plan = reshard(docs)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    done = reshard_and_write(docs, new_path(spark, "reshard-shards"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

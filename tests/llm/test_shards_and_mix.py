@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import mixing, resharding
 
@@ -67,6 +68,32 @@ def test_rewrite_affected(make, spark, tmp_path):
     assert touched and {x["shard"]: x["count"] for x in back} == {0: 40, 1: 40, 2: 40}
 
 
+def test_op5_writes_what_it_plans(make, spark, tmp_path):
+    """More old shards than new ones, null and repeated ids: the folders hold each row once, drained ones are gone."""
+    rows = [(i % 50, f"t{i} " * (i % 9), f"f{i % 7}") for i in range(300)] + [(None, f"n{i}", f"f{i % 7}") for i in range(40)] + [(3, None, "f5")] * 2
+    docs = make(rows).drop("_key", "which")
+    path = str(tmp_path / "out")
+    docs.withColumn("shard", F.substring("source", 2, 1).cast("int")).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    got = resharding.reshard_and_write(docs, path, old_col="source", n_shards=4).collect()
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert Counter((x.doc_id, x.size, x.text_crc32) for x in got) == want
+    back = spark.read.parquet(path).collect()
+    assert {x.shard for x in back} == {0, 1, 2, 3} and Counter((x.doc_id, x.text) for x in back) == Counter((i, t) for i, t, _ in rows)
+    slots = defaultdict(list)
+    for x in back:
+        slots[x.shard].append(x.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    plan = {(x.doc_id, x.text_crc32, x.shard, x.slot) for x in resharding.reshard(docs, old_col="source", n_shards=4).collect()}
+    assert {(x.doc_id, x.text_crc32, x.shard, x.slot) for x in got} == plan
+
+
+def test_rewrite_refuses_keys_that_are_not_unique(make, tmp_path):
+    for rows in ([(1, "a"), (1, "b")], [(None, "a"), (2, "b")]):
+        docs = make(rows)
+        with pytest.raises(ValueError):
+            resharding.rewrite_affected(docs, resharding.reshard(docs, old_col="source", n_shards=2), str(tmp_path / "x"))
+
+
 def test_targets():
     assert mixing.fill_targets([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.fill_targets([0, 10], [5, 2]) == [0, 15.0]
