@@ -7,12 +7,16 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in one Arrow batch: with texts of 100 kB each a batch still takes no more than some 50 MB.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that goes to Python; a batch ends at the first row that reaches either.
+BATCH_ROWS, BATCH_BYTES = 512, 4_000_000
+#: Bytes of text that a worker has in hand as Python objects at a time (one text at least).
+SLICE_BYTES = 1_000_000
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -80,10 +84,16 @@ def _drop_all() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows in an Arrow batch, so that a batch of very long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of the session's Arrow batches, so that one of very long texts fits a Python worker.
+
+    Spark reads these settings when it plans, which is after an operator has returned, so they stay set; smaller
+    values that the session has are kept.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -100,13 +110,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches_of_text(batches, limit: int = 8_000_000):
-    """Join Arrow batches until their texts (column `text`) hold about limit bytes; yields lists of batches."""
+def text_slices(batches, limit: int = SLICE_BYTES, column: str = "text"):
+    """The batches cut so that each holds about limit bytes of text and one row at least; empty ones are left out."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def joined(batches, limit: int, column: str = "text"):
+    """Lists of batches whose texts hold about limit bytes together."""
     held, size = [], 0
     for b in batches:
         if b.num_rows:
             held.append(b)
-            size += b.column("text").nbytes
+            size += b.column(column).nbytes
             if size >= limit:
                 yield held
                 held, size = [], 0

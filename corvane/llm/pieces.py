@@ -14,20 +14,29 @@ by hash in the sorted keys of the pieces, each candidate gets a value, and the m
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, small_batches, table
+from .common import joined, small_batches, table, text_slices
 
 #: Default for the parameter model_file of encode(); read on the driver only, executors get its tables.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Words kept with their ids in each Python worker; beyond that the store starts anew.
-CACHE_WORDS = 200_000
+#: Words kept with their ids in each Python worker: two generations of so many, none longer than KEPT_CHARS.
+CACHE_WORDS, KEPT_CHARS = 40_000, 64
+#: Bytes of text whose words are looked up together; the words are held as numbers, each distinct one once as text.
+TOGETHER = 4_000_000
+#: Rows of ids that are decoded together.
+DECODE_ROWS = 64
+#: Cells (words times places) of the lattice that advance together.
+CELLS = 200_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 #: Text comes in words: spaces but the last of a run, a space with what follows it, a line feed.
 _WORDS = re.compile(r" ?[^ \n]+|\n| +(?= [^ \n])| +")
@@ -73,7 +82,7 @@ class PieceModel:
         self.probable = np.zeros(1 << 20, bool)  # the keys' first 20 bits: most substrings end here
         self.probable[self.keys >> np.uint64(44)] = True
         self.splitter = _WORDS if any(re.search(r"\w[.,]", p) for p in ids) else _FINER_WORDS
-        self._seams = None
+        self._seams = self._joined = None
 
     def _merges(self, ids: dict[str, int], scores: list[float]) -> None:
         """Of each piece the two it was merged from, and which two pieces give which: by merging each piece's text.
@@ -129,7 +138,7 @@ class PieceModel:
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"_seams": None}
+        return self.__dict__ | {"_seams": None, "_joined": None}
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of a and b gives a and b: undo the later of the two last merges at the seam, again
@@ -176,7 +185,7 @@ class PieceModel:
             by.setdefault(len(w), []).append(i)
         for length, at in by.items():
             if length:
-                step = max(1, 2_000_000 // length)
+                step = max(1, CELLS // length)
                 for lo in range(0, len(at), step):
                     some = at[lo : lo + step]
                     for i, ids in zip(some, self._equal_length([words[i] for i in some], length)):
@@ -190,7 +199,7 @@ class PieceModel:
         h, power = np.zeros((length + 1, n), np.uint64), _BASE ** np.arange(length + 1, dtype=np.uint64)
         for j in range(length):
             h[j + 1] = h[j] * _BASE + (chars[:, j].astype(np.uint64) + np.uint64(1))
-        back, piece = np.ones((length + 1, n), np.int64), np.full((length + 1, n), -1, np.int64)
+        back, piece = np.ones((length + 1, n), np.int16), np.full((length + 1, n), -1, np.int32)
         best = np.full((length + 1, n), -np.inf, np.float32)  # the library adds up in single precision
         best[0] = 0.0
         for j in range(1, length + 1):
@@ -209,7 +218,7 @@ class PieceModel:
                 ids = self.ids[at]
                 if self.bpe:
                     got = np.full(len(hit), size, np.float32)
-                    before = piece[j - size][hit]
+                    before = piece[j - size][hit].astype(np.int64)
                     seam = np.flatnonzero(before >= 0) if size < j else np.zeros(0, np.int64)
                     got[seam[~self.compatible(before[seam], ids[seam])]] = -np.inf
                     got[best[j - size][hit] == -np.inf] = -np.inf
@@ -256,8 +265,25 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        out = b"".join([self.surface[i] for i in ids])
-        return (out[1:] if self.dummy_prefix and out[:1] == b" " else out).decode("utf-8", "replace")
+        return self.decode_bytes(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
+
+    def decode_bytes(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes of each row of ids, rows cut at offsets: all surfaces are gathered at once."""
+        if self._joined is None:
+            size = np.array([len(x) for x in self.surface], np.int64)
+            self._joined = np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(size) - size, size
+        every, start, size = self._joined
+        flat = _gather(every, start, size, ids).tobytes()
+        cuts = np.r_[0, np.cumsum(size[ids])][offsets].tolist()
+        space = self.dummy_prefix
+        return [flat[a + 1 : b] if space and flat[a : a + 1] == b" " and a < b else flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of flat with those numbers, one after another."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _hash(piece: str) -> int:
@@ -296,10 +322,14 @@ def load_model(model_file: str = MODEL_FILE) -> PieceModel:
 
 
 class Encoder:
-    """Encodes texts by words, each distinct word once."""
+    """Encodes texts by words, each distinct word of a call once.
+
+    Words of earlier calls are kept in two generations: a full young one becomes the old one, whose words come back
+    when they are met again. So frequent words stay, and the store has a bound.
+    """
 
     def __init__(self, model: PieceModel):
-        self.model, self.cache = model, {}
+        self.model, self.young, self.old = model, {}, {}
         self.lone_space = model._runs.get(SPACE, -1)
 
     def words(self, text: str) -> list[str]:
@@ -308,33 +338,46 @@ class Encoder:
         text = text.replace(SPACE, " ")
         return self.model.splitter.findall((" " if self.model.dummy_prefix else "") + text)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.words(t or "") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        cache = self.cache
-        new = list(set().union(*split) - cache.keys()) if split else []
-        plain = [w for w in new if w[-1] != " "]  # only runs of spaces end in one
-        cache.update(zip(plain, self.model._words([w.replace(" ", SPACE) for w in plain])))
-        for w in new:
-            if w[-1] == " ":
-                cache[w] = np.array(self.model.runs(len(w)), "<i4").tobytes()
-        out = []
-        for text, words in zip(texts, split):
-            # Only a run of spaces can end the text in one or stand before another.
-            spaced = words and (words[-1][-1] == " " or "  " in text or SPACE in text or text[0] == " " or " \n" in text)
-            out.append(self._runs_before_words(words) if spaced else np.frombuffer(b"".join([cache[w] for w in words]), "<i4"))
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words, which are all different."""
+        young, old = self.young, self.old
+        out = [young.get(w) or old.get(w) for w in words]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        plain = [i for i in new if words[i][-1] != " "]  # only runs of spaces end in one
+        for i, ids in zip(plain, self.model._words([words[i].replace(" ", SPACE) for i in plain])):
+            out[i] = ids
+        for i in new:
+            if words[i][-1] == " ":
+                out[i] = np.array(self.model.runs(len(words[i])), "<i4").tobytes()
+        for w, ids in zip(words, out):
+            if len(w) <= KEPT_CHARS and w not in young:
+                if len(young) >= CACHE_WORDS:
+                    self.young, self.old = young, old = {}, young
+                young[w] = ids
         return out
 
-    def _runs_before_words(self, words: list[str]) -> np.ndarray:
+    def encode(self, texts) -> list[np.ndarray]:
+        """Ids of each text. Texts are read one by one; of their words only numbers are kept."""
+        number, coded = defaultdict(count().__next__), []
+        for t in texts:
+            words = self.words(t or "")
+            # Only a run of spaces can end the text in one or stand before another.
+            spaced = bool(words) and (words[-1][-1] == " " or "  " in t or SPACE in t or t[0] == " " or " \n" in t)
+            coded.append((np.fromiter(map(number.__getitem__, words), np.int32, len(words)), spaced))
+        names = list(number)
+        ids = self._look_up(names)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(size) - size
+        return [self._runs_before_words([(names[k], ids[k]) for k in c.tolist()]) if spaced else _gather(flat, start, size, c) for c, spaced in coded]
+
+    def _runs_before_words(self, words: list[tuple[str, bytes]]) -> np.ndarray:
         """A space that its word didn't take up merges with the spaces before it."""
         out, wait = [], 0
         lone = np.array([self.lone_space], "<i4").tobytes()
-        for w in words:
+        for w, ids in words:
             if w[-1] == " ":
                 wait += len(w)
                 continue
-            ids = self.cache[w]
             if wait and w[0] == " " and ids[:4] == lone:
                 out += [np.array(self.model.runs(wait + 1), "<i4").tobytes(), ids[4:]]
             else:
@@ -353,20 +396,18 @@ def _encode(shared, with_decoded: bool):
             _workers.clear()
             _workers[id(shared)] = Encoder(shared.value)
         enc = _workers[id(shared)]
-        for held in batches_of_text(batches):
-            texts = [t for b in held for t in b.column("text").to_pylist()]
-            got = enc.encode(texts)
-            done = 0
-            for b in held:
-                part = got[done : done + b.num_rows]
-                own = texts[done : done + b.num_rows]
-                done += b.num_rows
+        for held in joined(batches, TOGETHER):
+            got = iter(enc.encode(x.as_py() for b in held for x in b.column("text")))
+            for b in text_slices(held):
+                part = list(islice(got, b.num_rows))
                 offsets = np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32)
                 flat = np.concatenate([*part, np.zeros(0, "<i4")]).astype(np.int32)
-                cols = [b.column(c) for c in b.schema.names if c != "text"] + [pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                names = [c for c in b.schema.names if c != "text"] + ["n_tokens", "ids"]
+                others = [c for c in b.schema.names if c != "text"]
+                cols = [b.column(c) for c in others] + [pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                names = others + ["n_tokens", "ids"]
                 if with_decoded:
-                    cols.append(pa.array([enc.model.decode(x.tolist()) == (t or "").replace(SPACE, " ") for x, t in zip(part, own)]))
+                    again = enc.model.decode_bytes(flat, offsets)
+                    cols.append(pa.array([x == (t or "").replace(SPACE, " ").encode() for x, t in zip(again, b.column("text").to_pylist())]))
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -376,7 +417,7 @@ def _encode(shared, with_decoded: bool):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE, check: bool = False) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids (array of int), with check also round_trip.
 
-    The ids are those of the SentencePiece library. Null and empty texts have no ids. U+2581 is the model's space,
+    The ids are those of the SentencePiece library. Null and empty texts have no ids; very long texts are taken whole. U+2581 is the model's space,
     so it decodes to a space. Repeated rows and null ids are rows like any other; other columns are ignored. No
     shuffle; the model's tables (a few MB, fixed by its file) are broadcast.
     """
@@ -393,8 +434,14 @@ def _decode(shared):
     def run(batches):
         model = shared.value
         for b in batches:
-            texts = [model.decode(x or ()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(texts, pa.string())], ["_id", "text"])
+            ids = b.column("ids")
+            n = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
+            offsets = np.r_[0, np.cumsum(n)]
+            for lo in range(0, b.num_rows, DECODE_ROWS):
+                hi = min(lo + DECODE_ROWS, b.num_rows)
+                flat = np.asarray(ids.slice(lo, hi - lo).flatten(), np.int64)
+                texts = [x.decode("utf-8", "replace") for x in model.decode_bytes(flat, offsets[lo : hi + 1] - offsets[lo])]
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo), pa.array(texts, pa.string())], ["_id", "text"])
 
     return run
 
