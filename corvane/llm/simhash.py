@@ -1,9 +1,14 @@
 """SimHash near-dedup over an inverted index of byte positions with count filtering (operator 9).
 
-Fingerprints that differ in two bits at most differ in two of their eight bytes at most, so they share six positional
-bytes at least: the guaranteed minimum. The index has one posting list for each way to hold six positions, so a pair's
-tally of shared positional bytes reaches six exactly if it meets in a list. A list holds fingerprints that differ in
-two bytes only, 65,536 at most, however many documents there are.
+A fingerprint is eight positional bytes. Fingerprints that differ in MAX_DIFF = 2 bits at most differ in two bytes at
+most, so they share MIN_MATCHES = 6 positional bytes at least: the guaranteed minimum. Of any six positions they then
+share four at least, so the index has one posting list for each choice of four of the first six positions and their
+bytes: 15 postings a fingerprint, and each close pair meets in a list. Within a list the positional bytes that a pair
+shares are tallied, pairs below the minimum are dropped, the others are verified bit by bit.
+
+A list longer than LIST_ROWS isn't tallied pair by pair but dealt out again by two more positions: close pairs share
+two of the other four. Those lists hold fingerprints that differ in two bytes only, 65,536 at most by construction; in
+long ones each member looks up the 136 fingerprints within two bits of it. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -19,9 +24,20 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialise, small_batches, table
 
 SHINGLE, SEED, BITS, MAX_DIFF = 3, 42, 64, 2
-#: The two byte positions that a posting list leaves open, for each of the C(8, 6) = 28 lists of a fingerprint.
-OPEN = list(combinations(range(8), MAX_DIFF))
-MASKS = [(0xFF << 8 * a) | (0xFF << 8 * b) for a, b in OPEN]
+POSITIONS = BITS // 8
+MIN_MATCHES = POSITIONS - MAX_DIFF
+#: Rows of a posting list that are tallied pair by pair; rows that a worker takes at a time.
+LIST_ROWS, CHUNK_ROWS = 256, 32_768
+
+
+def _mask(positions) -> int:
+    return sum(0xFF << 8 * p for p in positions)
+
+
+#: The positions of each kind of list, and, for lists that are too long, the kinds of the lists they are dealt out to.
+LISTS = list(combinations(range(MIN_MATCHES), MIN_MATCHES - MAX_DIFF))
+LONG_LISTS = list(combinations(range(POSITIONS), MIN_MATCHES))
+DEALT = [[c for c, at in enumerate(LONG_LISTS) if set(kept) <= set(at)] for kept in LISTS]
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -64,64 +80,132 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_postings(which: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within posting lists, given (list number, fingerprint) rows sorted by list and shared bytes.
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally: in how many positions each a and b have the same byte."""
+    return ((a ^ b).view(np.uint8).reshape(-1, POSITIONS) == 0).sum(1)
 
-    Instead of all pairs, each member looks up the 136 fingerprints that differ from it in one or two of the open
-    bits. Links come as stars: a component's first fingerprint with each other one.
+
+def tally(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of the same group (a list's number, in order) that share MIN_MATCHES bytes and are verified.
+
+    All lists advance together: each row with the next one of its list, then with the one after that, and so on.
     """
-    out_a, out_b = [], []
-    for c in np.unique(which):
-        f = fps[which == c]
-        key = f & ~np.uint64(MASKS[c])
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        f = np.sort(f[count[inverse] > 1])
-        if not len(f):
-            continue
-        bits = [np.uint64(1 << (8 * p + i)) for p in OPEN[c] for i in range(8)]
-        ea, eb = [], []
-        for flip in [*bits, *(x | y for x, y in combinations(bits, 2))]:
-            want = f ^ flip
-            at = np.minimum(np.searchsorted(f, want), len(f) - 1)
-            hit = np.flatnonzero((f[at] == want) & (f < want))
-            ea.append(hit)
-            eb.append(at[hit])
-        a, b = np.concatenate(ea), np.concatenate(eb)
-        label = _labels(len(f), a, b)
-        other = np.flatnonzero(label != np.arange(len(f)))
-        out_a.append(f[label[other]])
-        out_b.append(f[other])
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
-
-
-def _links(batches):
-    """Rows sorted by list and shared bytes; the last list of a batch waits for the next batch."""
-    held_w, held_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
-    masks = np.array(MASKS, np.uint64)
+    out_i, out_j, at, step = [], [], np.arange(len(fps)), 1
+    while len(at := at[: np.searchsorted(at, len(fps) - step)]):
+        at = at[group[at] == group[at + step]]
+        i = at[shared_bytes(fps[at], fps[at + step]) >= MIN_MATCHES]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= MAX_DIFF]
+        out_i.append(i)
+        out_j.append(i + step)
+        step += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+def probe(fps: np.ndarray, at: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one list of fingerprints, sorted, that agree in the positions `at`: each looks up its neighbours."""
+    bits = [np.uint64(1 << (8 * p + i)) for p in range(POSITIONS) if p not in at for i in range(8)]
+    out_i, out_j = [], []
+    for flip in [*bits, *(x | y for x, y in combinations(bits, MAX_DIFF))]:
+        want = fps ^ flip
+        place = np.minimum(np.searchsorted(fps, want), len(fps) - 1)
+        hit = np.flatnonzero((fps[place] == want) & (fps < want))
+        out_i.append(hit)
+        out_j.append(place[hit])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _stars(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows as stars: a component's first row with each other one."""
+    label = _labels(len(fps), i, j)
+    other = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[label[other]], fps[other]
+
+
+def _chunks(batches):
+    held, n = [], 0
     for b in batches:
-        if not b.num_rows:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK_ROWS:
+            yield held
+            held, n = [], 0
+    yield held
+
+
+def _in_lists(batches, masks: np.ndarray, most: int | None):
+    """(list kind, fingerprint, group number, long) of rows sorted by list. Lists come whole, but those of more than
+    `most` rows, which come in parts, marked long: nothing holds more of a list than a chunk and most rows."""
+    w, f, passing = np.zeros(0, np.int32), np.zeros(0, np.uint64), None
+    for held in _chunks(batches):
+        w = np.concatenate([w, *(b.column("which").to_numpy() for b in held)])
+        f = np.concatenate([f, *(b.column("fp").to_numpy().view(np.uint64) for b in held)])
+        if not len(f):
             continue
-        w = np.r_[held_w, b.column("which").to_numpy()]
-        f = np.r_[held_f, b.column("fp").to_numpy().view(np.uint64)]
-        key = f & ~masks[w]
-        last = (w == w[-1]) & (key == key[-1])
-        held_w, held_f, w, f = w[last], f[last], w[~last], f[~last]
-        yield _link_batch(w, f)
-    yield _link_batch(held_w, held_f)
-
-
-def _link_batch(w, f):
-    a, b = link_postings(w, f)
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-
-def find_links(fingerprints: DataFrame) -> DataFrame:
-    """A table of links a, b between different fingerprints; their components are those of all links."""
-    lists = F.array(*[F.struct(F.lit(c).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(~m))).alias("key")) for c, m in enumerate(MASKS)])
-    index = fingerprints.select("fp", F.explode(lists).alias("p")).select("p.which", "p.key", "fp")
-    dealt = index.repartition("which", "key").sortWithinPartitions("which", "key").select("which", "fp")
-    return materialise(dealt.mapInArrow(_links, "a long, b long").distinct(), "simhash-links")
+        key = f & masks[w]
+        start = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (key[1:] != key[:-1])])
+        size = np.diff(np.r_[start, len(f)])
+        long = size > most if most else np.zeros(len(size), bool)
+        long[0] |= passing == (w[0], key[0])
+        # The last list waits for the next rows, if it isn't passed on already.
+        cut = len(f) if long[-1] else start[-1]
+        passing = (w[-1], key[-1]) if long[-1] else None
+        yield w[:cut], f[:cut], np.repeat(np.arange(len(size)), size)[:cut], np.repeat(long, size)[:cut]
+        w, f = w[cut:], f[cut:]
+    yield w, f, np.zeros(len(f), np.int64), np.zeros(len(f), bool)
+
+
+def _out(which: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["which", "a", "b"])
+
+
+def _tallied(most: int):
+    """Links (which -1), and the rows of lists that are too long (which: the list's kind, a: the fingerprint)."""
+
+    def run(batches):
+        masks = np.array([_mask(at) for at in LISTS], np.uint64)
+        for w, f, group, long in _in_lists(batches, masks, most):
+            short = f[~long]
+            a, b = _stars(short, *tally(group[~long], short))
+            yield _out(np.full(len(a), -1), a, b)
+            yield _out(w[long], f[long], f[long])
+
+    return run
+
+
+def _probed(most: int):
+    def run(batches):
+        masks = np.array([_mask(at) for at in LONG_LISTS], np.uint64)
+        for w, f, group, _ in _in_lists(batches, masks, None):
+            few = np.bincount(group)[group] <= most if len(f) else np.zeros(0, bool)
+            a, b = _stars(f[few], *tally(group[few], f[few]))
+            yield _out(np.full(len(a), -1), a, b)
+            for g in np.unique(group[~few]):
+                own = group == g
+                members = np.sort(f[own])
+                a, b = _stars(members, *probe(members, LONG_LISTS[int(w[own][0])]))
+                yield _out(np.full(len(a), -1), a, b)
+
+    return run
+
+
+def _dealt(rows: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
+    """Rows of which and fp, each list together and in order. The key isn't a column: kind and fingerprint tell it."""
+    key = F.element_at(F.array(*[F.lit(_signed(_mask(at))) for at in lists]), F.col("which") + 1).bitwiseAND(F.col("fp"))
+    return rows.repartition("which", key).sortWithinPartitions("which", key)
+
+
+def find_links(fingerprints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """A table of links a, b between different fingerprints (column fp); their components are those of all links."""
+    kinds = F.array(*[F.lit(c) for c in range(len(LISTS))])
+    index = fingerprints.select(F.explode(kinds).alias("which"), "fp")
+    met = materialise(_dealt(index, LISTS).mapInArrow(_tallied(list_rows), "which int, a long, b long"), "simhash-met")
+    again = F.element_at(F.array(*[F.array(*[F.lit(c) for c in to]) for to in DEALT]), F.col("which") + 1)
+    long = met.filter("which >= 0").select(F.explode(again).alias("which"), F.col("a").alias("fp")).distinct()
+    rest = _dealt(long, LONG_LISTS).mapInArrow(_probed(list_rows), "which int, a long, b long")
+    links = materialise(met.filter("which < 0").select("a", "b").unionByName(rest.select("a", "b")).distinct(), "simhash-links")
+    drop_table(met)
+    return links
 
 
 def _signed(x: int) -> int:
@@ -186,4 +270,5 @@ def component_ids(prints: DataFrame) -> DataFrame:
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of all documents; null and empty texts have fingerprint zero."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.llm import exact_dedup, line_dedup, simhash
+from corvane.llm.common import table
 
 LONG = "this line is a passage of well over forty characters"
 EDGE = [(1, None), (2, ""), (3, "  "), (4, "Aé É a"), (5, "aé É A"), (5, "aé É A"), (None, "aé É A"), (None, None), (8, "x" * 3000), (9, "X" * 3000), (10, "x" * 3001), (11, "x" * 64), (12, "x" * 65)]
@@ -149,3 +150,45 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {x.node: x.root for x in simhash.components(links).collect()}
     assert len(got) == 203 and len({got[i] for i in range(201)}) == 1 and got[1000] == got[1001] != got[0]
+
+
+@pytest.mark.parametrize("most", [1, 4, 256])
+def test_tally_equals_all_pairs(spark, most):
+    """Lists of every length: whatever share of them is dealt out again, the components are those of all pairs."""
+    r = np.random.default_rng(most)
+    fps = {int(x) for x in r.integers(0, 2**63, 40)}
+    centre = int(r.integers(0, 2**63))
+    fps |= {centre ^ sum(1 << int(x) for x in r.choice(24, int(r.integers(0, 5)), False)) for _ in range(300)}  # one dense group
+    fps = sorted(fps)
+    pairs = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 2]
+    want = reach(fps, pairs)
+    links = simhash.find_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), most)
+    found = [(x.a % 2**64, x.b % 2**64) for x in links.collect()]
+    assert len(found) <= len(simhash.LISTS + simhash.LONG_LISTS) * len(fps)
+    got = reach(fps, found)
+    assert len({(got[f], want[f]) for f in fps}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_tally_counts_positions():
+    a = np.array([0, 0, 0, 0x0102030405060708], np.uint64)
+    b = np.array([0, 1, 0x0101, 0xFF02030405060708], np.uint64)
+    assert simhash.shared_bytes(a, b).tolist() == [8, 7, 6, 7]
+    f = np.array([0, 0x0101, 0x010101, 3, 7], np.uint64)
+    i, j = simhash.tally(np.array([0, 0, 0, 0, 1]), f)
+    want = {(x, y) for x in range(4) for y in range(x + 1, 4) if bin(int(f[x] ^ f[y])).count("1") <= 2}
+    assert {(int(x), int(y)) for x, y in zip(i, j)} == want
+
+
+def test_query_equals_brute_force(spark):
+    """op9 over a whole table: fingerprints and components against all pairs of fingerprints."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    prints = {d.doc_id: print_brute(d.text or "") for d in docs}
+    fps = np.array(sorted(set(prints.values())), np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
+    root = reach(fps.tolist(), [(int(fps[a]), int(fps[b])) for a, b in zip(i, j)])
+    least = {}
+    for d, p in prints.items():
+        least[root[p]] = min(least.get(root[p], d), d)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.op9_simhash(spark, sf).collect()}
+    assert got == {(d, f"{p:016x}", least[root[p]]) for d, p in prints.items()}
