@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, small_batches, table
+from .common import drop_table, materialise, small_batches, table, text_slices
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -31,11 +31,12 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
 
 def _hash_lines(min_chars: int):
     def run(batches):
-        for b in batches:
-            hi, lo, ids, rows, pos = [], [], [], [], []
+        for b in text_slices(batches):
+            hi, lo, rows, pos, n_lines = [], [], [], [], []
             for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 seen: dict[bytes, list[int]] = {}
-                for p, line in enumerate((text or b"").split(b"\n")):
+                lines = (text or b"").split(b"\n")
+                for p, line in enumerate(lines):
                     if len(line) >= min_chars and _long_enough(k := line_key(line), min_chars):
                         seen.setdefault(xxhash.xxh3_128_digest(k), []).append(p)
                 for h, at in seen.items():
@@ -43,8 +44,9 @@ def _hash_lines(min_chars: int):
                     lo.append(int.from_bytes(h[8:], "big", signed=True))
                     rows.append(i)
                     pos.append(np.asarray(at, "<i4").tobytes())
+                    n_lines.append(len(lines))
             take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), b.column("_id").take(take), b.column("_row").take(take), pa.array(pos, pa.binary())], ["hi", "lo", "_id", "_row", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), b.column("_id").take(take), b.column("_row").take(take), pa.array(pos, pa.binary()), pa.array(n_lines, pa.int64())], ["hi", "lo", "_id", "_row", "pos", "n_lines"])
 
     return run
 
@@ -77,14 +79,26 @@ def _run_batch(runs, kind):
     return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(l, pa.int64()), pa.array(i, kind), pa.array(n, pa.int64())], ["hi", "lo", "_first", "_docs"])
 
 
+def _packed(keep: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(keep).tobytes(), 1)
+
+
+def _filled(batches):
+    """Rows without a bitmap keep all their lines."""
+    for b in batches:
+        maps = [m or _packed(np.ones(n, bool)) for n, m in zip(b.column("n_lines").to_pylist(), b.column("keep_bitmap").to_pylist())]
+        dropped = [x or 0 for x in b.column("n_dropped").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), b.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(maps, pa.binary())], ["_id", "_row", "n_lines", "n_dropped", "keep_bitmap"])
+
+
 def _bitmaps(batches):
     for b in batches:
         maps, dropped = [], []
         for n, drop in zip(b.column("n_lines").to_pylist(), b.column("drop").to_pylist()):
             keep = np.ones(n, bool)
-            for at in drop or ():
+            for at in drop:
                 keep[np.frombuffer(at, "<i4")] = False
-            maps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
+            maps.append(_packed(keep))
             dropped.append(int(n - keep.sum()))
         yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), b.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(maps, pa.binary())], ["_id", "_row", "n_lines", "n_dropped", "keep_bitmap"])
 
@@ -95,22 +109,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("_row", F.xxhash64("_id", "text"))
 
 
-def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per row of docs: _id, _row, n_lines, n_dropped, keep_bitmap (zlib of one bit per line, first line first).
-
-    A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of min_chars code points and more
-    in min_docs rows and more lose all their lines, except in the document with the largest id that holds them. Null
-    and empty texts are one empty line. Rows that share id and text are one document given several times: each
-    counts towards min_docs and gets the same bitmap. Null ids rank last. Other columns are ignored.
+def changed_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """_id, _row, n_lines, n_dropped, keep_bitmap of the rows that lose a line, once for rows alike in id and text.
 
-    Only hashes (128 bits) and positions are shuffled. Ranges are over hash and document, so a hash that a third of
-    all documents hold is split over partitions; each stream gives one row per hash, which are then added up.
+    See line_keep_bitmaps(), which has a row for every row of docs. Only hashes (128 bits) and positions are shuffled.
+    Ranges are over hash and document, so a hash that a third of all documents hold is split over partitions; each
+    stream gives one row per hash, which are then added up.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = _rows(docs, id_col, text_col)
     kind = dict(rows.dtypes)["_id"]
-    lines = materialise(rows.mapInArrow(_hash_lines(min_chars), f"hi long, lo long, _id {kind}, _row long, pos binary"), "line-hashes")
+    lines = materialise(rows.mapInArrow(_hash_lines(min_chars), f"hi long, lo long, _id {kind}, _row long, pos binary, n_lines long"), "line-hashes")
     runs = (
         lines.select("hi", "lo", "_id", "_row")
         .repartitionByRange("hi", "lo", F.desc("_id"), "_row")
@@ -120,12 +130,27 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     frequent = materialise(runs.groupBy("hi", "lo").agg(F.max("_first").alias("_first"), F.sum("_docs").alias("_docs")).filter(F.col("_docs") >= min_docs).select("hi", "lo", "_first"), "line-frequent")
     marked = lines.join(frequent.hint("shuffle_hash"), ["hi", "lo"]).filter(~F.col("_id").eqNullSafe(F.col("_first")))
     # Lines of a repeated row come several times; the set holds them once.
-    drops = materialise(marked.groupBy("_id", "_row").agg(F.collect_set("pos").alias("drop")), "line-drops")
+    drops = marked.groupBy("_id", "_row").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("drop"))
+    out = materialise(drops.mapInArrow(_bitmaps, f"_id {kind}, _row long, n_lines long, n_dropped long, keep_bitmap binary"), "line-bitmaps")
     drop_table(lines)
     drop_table(frequent)
+    return out
+
+
+def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """One row per row of docs: _id, _row, n_lines, n_dropped, keep_bitmap (zlib of one bit per line, first line first).
+
+    A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of min_chars code points and more
+    in min_docs rows and more lose all their lines, except in the document with the largest id that holds them. Null
+    and empty texts are one empty line. Rows that share id and text are one document given several times: each
+    counts towards min_docs and gets the same bitmap. Null ids rank last. Other columns are ignored; very long texts
+    are taken whole.
+    """
+    changed = changed_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     n_lines = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    counted = rows.select("_id", "_row", n_lines.alias("n_lines"))
-    return _join(counted, drops).mapInArrow(_bitmaps, f"_id {kind}, _row long, n_lines long, n_dropped long, keep_bitmap binary")
+    counted = _rows(docs, id_col, text_col).select("_id", "_row", n_lines.alias("n_lines"))
+    both = _join(counted, changed.drop("n_lines"))
+    return both.mapInArrow(_filled, f"_id {dict(counted.dtypes)['_id']}, _row long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def _join(rows: DataFrame, more: DataFrame) -> DataFrame:
@@ -134,29 +159,34 @@ def _join(rows: DataFrame, more: DataFrame) -> DataFrame:
     return rows.join(m, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left").drop("_id2", "_row2")
 
 
-def kept_text(text: bytes, bitmap: bytes) -> bytes:
-    """The lines that the bitmap keeps, joined by a line feed."""
+def kept_text(text: bytes, bitmap: bytes | None) -> bytes:
+    """The lines that the bitmap keeps, joined by a line feed; the text itself without a bitmap."""
+    if bitmap is None:
+        return text
     lines = text.split(b"\n")
     keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=len(lines))
     return text if keep.all() else b"\n".join([x for x, k in zip(lines, keep.tolist()) if k])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids and texts beside their bitmaps (the rows of line_keep_bitmaps): the one shuffle of texts."""
-    once = bitmaps.dropDuplicates(["_id", "_row"])
-    return _join(_rows(docs, id_col, text_col), once)
+    """docs' ids and texts beside their bitmaps (the rows of line_keep_bitmaps or changed_bitmaps): the one shuffle of texts."""
+    return _join(_rows(docs, id_col, text_col), bitmaps.dropDuplicates(["_id", "_row"]))
 
 
 def _digest(batches):
-    for b in batches:
-        shas = [hashlib.sha256(kept_text(t, m) if n else t).hexdigest() for t, m, n in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("keep_bitmap").to_pylist(), b.column("n_dropped").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("n_lines"), b.column("n_dropped"), pa.array(shas, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+    for b in text_slices(batches):
+        n_lines, n_dropped, shas = [], [], []
+        for t, n, m in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("n_dropped").to_pylist(), b.column("keep_bitmap").to_pylist()):
+            n_lines.append(t.count(b"\n") + 1)
+            n_dropped.append(n or 0)
+            shas.append(hashlib.sha256(kept_text(t, m)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    both = apply_bitmaps(docs, line_keep_bitmaps(docs))
-    return both.select("_id", "text", "n_lines", "n_dropped", "keep_bitmap").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    both = _join(_rows(docs, "doc_id", "text"), changed_bitmaps(docs))
+    return both.select("_id", "text", "n_dropped", "keep_bitmap").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE = r"""
