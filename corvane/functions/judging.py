@@ -1,140 +1,116 @@
-"""What a judge's reply says. Replies are few (one for each question) and of any shape, so this is plain Python."""
+"""What a judge's reply says: VARIANT expressions over small tables of rules, so reading replies stays in the JVM.
+
+A value is first bared, layer by layer, of the objects and one-element lists that it may be wrapped in; what is left is
+read by its type. A value that can't be read gives null.
+"""
 
 from __future__ import annotations
 
-import json
-import re
-from typing import Any
-
-_TRUE, _FALSE = {"true", "yes", "y", "correct", "1"}, {"false", "no", "n", "incorrect", "0", ""}
-_TEXT_FIELDS = ("content", "reasoning_content", "reasoning", "text")
-
-
-def _number(text: str, name: str) -> float:
-    try:
-        x = float(text)
-        if x in (float("inf"), float("-inf")) or x != x:
-            raise ValueError
-        return x
-    except ValueError:
-        raise ValueError(f"the judge's {name} is no number: {text!r}") from None
-
-
-def count(value: Any, name: str = "count") -> int:
-    """A count from null, booleans, numbers, numeric strings, lists (their length; a single number itself), objects
-    with count, value or total, or with claims or items."""
-    match value:
-        case None:
-            return 0
-        case bool():
-            return int(value)
-        case int() | float():
-            return max(0, int(_number(str(value), name)))
-        case str():
-            return max(0, int(_number(value, name))) if value.strip() else 0
-        case [one] if isinstance(one, (bool, int, float)) or isinstance(one, str) and _is_number(one):
-            return count(one, name)
-        case list():
-            return len(value)
-        case dict():
-            for key in ("count", "value", "total"):
-                if key in value:
-                    return count(value[key], name)
-            for key in ("claims", "items"):
-                if isinstance(value.get(key), list):
-                    return len(value[key])
-    raise ValueError(f"the judge's {name} is no number: {type(value).__name__}")
-
-
-def _is_number(text: str) -> bool:
-    try:
-        float(text)
-    except ValueError:
-        return False
-    return True
-
-
-def flag(value: Any, name: str = "flag") -> int:
-    """0 or 1 from null, booleans, numbers (0.5 and more), words, single-element lists, objects that hold one."""
-    match value:
-        case None:
-            return 0
-        case bool():
-            return int(value)
-        case int() | float():
-            return int(value >= 0.5)
-        case str():
-            word = value.strip().lower()
-            return 1 if word in _TRUE else 0 if word in _FALSE else int(_number(word, name) >= 0.5)
-        case [one]:
-            return flag(one, name)
-        case dict():
-            for key in ("correct_answer", "is_correct", "correct", "count", "value", "total"):
-                if key in value:
-                    return flag(value[key], name)
-    raise ValueError(f"the judge's {name} is no truth value: {type(value).__name__}")
-
-
-def parse_object(text: str) -> dict:
-    """The JSON object that a reply is or holds."""
-    for candidate in (text, *re.findall(r"\{.*\}", text, flags=re.DOTALL)):
-        try:
-            found = json.loads(candidate)
-        except json.JSONDecodeError:
-            continue
-        if isinstance(found, dict):
-            return found
-    raise ValueError(f"the judge gave no JSON object: {text[:300]}")
-
-
-def verdict(text: str) -> dict:
-    """supported_claims, total_claims, fabricated_claims, correct_answer of a reply."""
-    said = parse_object(text)
-    out = {k: count(said.get(k, 0), k) for k in ("supported_claims", "total_claims", "fabricated_claims")}
-    return out | {"correct_answer": flag(said.get("correct_answer", False), "correct_answer")}
-
-
-def _text(value: Any) -> str:
-    match value:
-        case None:
-            return ""
-        case str():
-            return value.strip()
-        case list():
-            return "".join(str(x.get("text") or x.get("content") or "") if isinstance(x, dict) else _text(x) for x in value).strip()
-        case dict():
-            return next((_text(value[k]) for k in ("text", "content", "output_text", "reasoning_content", "reasoning") if k in value), "")
-    return str(value).strip()
-
-
-def reply_text(reply: Any) -> str:
-    """The text of a chat reply (nested dicts and lists) that holds an object, else its first text.
-
-    Looked through in this order: the choices' messages and deltas, the reply's own text fields, then all the rest.
-    """
-    found: list[str] = []
-
-    def add(value: Any) -> None:
-        if (t := _text(value)) and t not in found:
-            found.append(t)
-
-    def walk(value: Any) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                add(v) if k in (*_TEXT_FIELDS, "output_text") else walk(v)
-        elif isinstance(value, list):
-            for v in value:
-                walk(v)
-
-    top = reply if isinstance(reply, dict) else {}
-    choices = top.get("choices") or []
-    for choice in choices if isinstance(choices, list) else [choices]:
-        for box in ("message", "delta"):
-            inner = choice.get(box) if isinstance(choice, dict) else None
-            for field in _TEXT_FIELDS if isinstance(inner, dict) else ():
-                add(inner.get(field))
-        add(choice.get("text") if isinstance(choice, dict) else None)
-    for field in ("output_text", "content", "text", "reasoning_content", "reasoning"):
-        add(top.get(field))
-    walk(reply)
-    return next((t for t in found if re.search(r"\{.*\}", t, flags=re.DOTALL)), found[0] if found else "")
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import json_object, let
+
+# Words that stand for true and false, and keys under which replies keep things, in order of priority.
+TRUE_WORDS = ["true", "yes", "y", "correct", "1"]
+FALSE_WORDS = ["false", "no", "n", "incorrect", "0", ""]
+COUNT_KEYS = ["count", "value", "total"]
+LIST_KEYS = ["claims", "items"]
+FLAG_KEYS = ["correct_answer", "is_correct", "correct", "count", "value", "total"]
+MESSAGE_KEYS = ["message", "delta"]
+TEXT_KEYS = ["content", "reasoning_content", "reasoning", "text"]
+REPLY_KEYS = ["output_text", "content", "text", "reasoning_content", "reasoning"]
+COUNTS = ["supported_claims", "total_claims", "fabricated_claims"]
+
+#: Layers of wrapping that are taken off a value.
+LAYERS = 8
+VERDICT = "struct<" + ",".join(f"{c}:int" for c in [*COUNTS, "correct_answer"]) + ">"
+
+
+def _at(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant")
+
+
+def _items(v: Column) -> Column:
+    """A list's values; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _number(v: Column) -> Column:
+    """Finite number of a number, truth value or numeric text; null for the rest."""
+    x = F.try_variant_get(v, "$", "double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.schema_of_variant(v).startswith(kind)
+
+
+def _bare(v: Column, keys: list[str], only_numbers: bool) -> Column:
+    def layer(x: Column) -> Column:
+        alone = F.when(F.size(_items(x)) == 1, _items(x)[0])
+        if only_numbers:
+            alone = F.when(_number(alone).isNotNull(), alone)
+        return F.coalesce(*[_at(x, k) for k in keys], alone, x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LAYERS)), v, lambda x, _: layer(x))
+
+
+def count(v: Column) -> Column:
+    """A VARIANT as a count, 0 at least: numbers, truth values, numeric texts; lists by their length, but a list of one
+    number is that number; objects by what they hold under COUNT_KEYS, or the length of their LIST_KEYS. Nothing is 0."""
+
+    def read(x: Column) -> Column:
+        blank = _is(x, "VOID") | (_is(x, "STRING") & (F.btrim(F.try_variant_get(x, "$", "string")) == ""))
+        listed = F.coalesce(_items(x), *[_items(_at(x, k)) for k in LIST_KEYS])
+        return F.when(x.isNull() | blank, 0).otherwise(F.coalesce(F.when(_number(x) < 0, 0).otherwise(_number(x).cast("long")), F.size(listed))).cast("int")
+
+    return let(_bare(v, COUNT_KEYS, only_numbers=True), read)
+
+
+def flag(v: Column) -> Column:
+    """A VARIANT as 0 or 1: truth values, numbers from 0.5 on, words of either kind, alone or wrapped. Nothing is 0."""
+
+    def read(x: Column) -> Column:
+        word = F.when(_is(x, "STRING"), F.lower(F.btrim(F.try_variant_get(x, "$", "string"))))
+        known = F.when(word.isin(TRUE_WORDS), 1).when(word.isin(FALSE_WORDS), 0)
+        return F.when(x.isNull() | _is(x, "VOID"), 0).otherwise(F.coalesce(known, (_number(x) >= 0.5).cast("int")))
+
+    return let(_bare(v, FLAG_KEYS, only_numbers=False), read)
+
+
+def verdict(text: Column) -> Column:
+    """struct(supported_claims, total_claims, fabricated_claims, correct_answer) of the JSON object that a text is or
+    holds; null if there is none or one of the four can't be read. What an object doesn't mention is 0."""
+
+    def read(said: Column) -> Column:
+        found = [*[count(_at(said, k)).alias(k) for k in COUNTS], flag(_at(said, "correct_answer")).alias("correct_answer")]
+        whole = said.isNotNull()
+        for f in found:
+            whole &= f.isNotNull()
+        return F.when(whole, F.struct(*found)).cast(VERDICT)
+
+    return let(F.try_parse_json(json_object(text)), read)
+
+
+def _text(v: Column) -> Column:
+    """A text, or the texts of a list's parts one after another."""
+    own = lambda x: F.when(_is(x, "STRING"), F.try_variant_get(x, "$", "string"))
+    part = lambda x: F.coalesce(own(x), own(_at(x, "text")), own(_at(x, "content")), F.lit(""))
+    return F.btrim(F.coalesce(own(v), F.array_join(F.transform(_items(v), part), "")))
+
+
+def reply_text(reply: Column) -> Column:
+    """The text of a chat reply given as JSON: of the choices' messages, the reply's own fields and then of all texts in
+    it, the first that holds an object; else the first of the named ones that isn't blank; else the empty text."""
+
+    def read(v: Column) -> Column:
+        choices = F.coalesce(_items(_at(v, "choices")), F.array(_at(v, "choices")))
+        of_choice = lambda c: F.array(*[_text(_at(_at(c, box), k)) for box in MESSAGE_KEYS for k in TEXT_KEYS], _text(_at(c, "text")))
+        named = F.concat(F.flatten(F.transform(choices, of_choice)), F.array(*[_text(_at(v, k)) for k in REPLY_KEYS]))
+        literals = F.regexp_extract_all(reply, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))
+        every = F.transform(literals, lambda s: F.get_json_object(F.concat(F.lit('{"s":'), s, F.lit("}")), "$.s"))
+        holds = F.filter(F.concat(named, every), lambda s: s.rlike(r"(?s)\{.*\}"))
+        return F.coalesce(F.get(holds, F.lit(0)), F.get(F.filter(named, lambda s: s != ""), F.lit(0)), F.lit(""))
+
+    return let(F.try_parse_json(reply), read)

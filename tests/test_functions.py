@@ -1,5 +1,7 @@
 """Scalar expressions against literal values."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,29 +104,43 @@ def test_json_object(spark):
     assert get('{"a": 1}') == "1" and get('so: {"a": {"b": 2}} ok') == '{"b":2}' and get("[1]") is None and get("no") is None
 
 
-@pytest.mark.parametrize(("v", "n"), [(None, 0), (True, 1), (2.7, 2), (-1, 0), ("3", 3), ("", 0), (["2"], 2), (["a", "b"], 2), ([], 0), ({"value": 4}, 4), ({"claims": [1, 2]}, 2)])
-def test_judge_count(v, n):
-    assert judging.count(v) == n
+def judged(spark, value, read):
+    return one(spark, json.dumps(value), lambda c: read(F.try_parse_json(c)))
+
+
+@pytest.mark.parametrize(
+    ("v", "n"),
+    [(None, 0), (True, 1), (2.7, 2), (-1, 0), ("3", 3), ("", 0), (["2"], 2), (["a", "b"], 2), (["a"], 1), ([], 0), ([{"x": 1}], 1), ({"value": 4}, 4), ({"claims": [1, 2]}, 2), ({"count": None}, 0), ({"total": {"count": [" 5 "]}}, 5), (1e3, 1000)],
+)
+def test_judge_count(spark, v, n):
+    assert judged(spark, v, judging.count) == n
+
+
+@pytest.mark.parametrize(("v", "n"), [(None, 0), (True, 1), (0.5, 1), (0.4, 0), ("Yes", 1), ("incorrect", 0), ("0.7", 1), (["true"], 1), ({"value": 0}, 0), ({"is_correct": "y"}, 1), ({"correct": [{"value": " No "}]}, 0), ("", 0)])
+def test_judge_flag(spark, v, n):
+    assert judged(spark, v, judging.flag) == n
 
 
-@pytest.mark.parametrize(("v", "n"), [(None, 0), (0.5, 1), (0.4, 0), ("Yes", 1), ("incorrect", 0), ("0.7", 1), (["true"], 1), ({"value": 0}, 0), ({"is_correct": "y"}, 1)])
-def test_judge_flag(v, n):
-    assert judging.flag(v) == n
+@pytest.mark.parametrize("v", ["many", {"x": 1}, "inf", "NaN"])
+def test_judge_refuses(spark, v):
+    assert judged(spark, v, judging.count) is None
+    assert judged(spark, ["a", "b"], judging.flag) is None and judged(spark, "maybe", judging.flag) is None
 
 
-@pytest.mark.parametrize("v", ["many", {"x": 1}, float("inf")])
-def test_judge_refuses(v):
-    with pytest.raises(ValueError):
-        judging.count(v)
-    with pytest.raises(ValueError):
-        judging.flag(["a", "b"])
+def test_reply_text(spark):
+    text_of = lambda v: one(spark, json.dumps(v, ensure_ascii=False), judging.reply_text)
+    assert text_of({"choices": [{"message": {"content": "", "reasoning_content": 'x {"a": 1}'}}]}) == 'x {"a": 1}'
+    assert text_of({"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}}]}) == "ab"
+    assert text_of({"choices": [{"message": {"content": "plain"}}, {"delta": {"content": "{}"}}]}) == "{}"
+    assert text_of({"choices": {"text": " é\n{}"}}) == "é\n{}"
+    assert text_of({"data": {"output_text": "{}"}}) == "{}"
+    assert text_of({"output_text": "none"}) == "none" and text_of([]) == "" and text_of({"x": 1}) == ""
 
 
-def test_reply_text():
-    assert judging.reply_text({"choices": [{"message": {"content": "", "reasoning_content": 'x {"a": 1}'}}]}) == 'x {"a": 1}'
-    assert judging.reply_text({"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}}]}) == "ab"
-    assert judging.reply_text({"data": {"output_text": "{}"}}) == "{}"
-    assert judging.verdict('Here: {"supported_claims": [1, 2], "total_claims": "3", "correct_answer": "yes"}') == {"supported_claims": 2, "total_claims": 3, "fabricated_claims": 0, "correct_answer": 1}
+def test_verdict(spark):
+    read = lambda v: one(spark, v, judging.verdict)
+    assert tuple(read('Here: {"supported_claims": [1, 2], "total_claims": "3", "correct_answer": "yes"}')) == (2, 3, 0, 1)
+    assert read("none") is None and read('{"total_claims": "lots"}') is None and read(None) is None and read('["a"]') is None
 
 
 def test_citation(spark):
