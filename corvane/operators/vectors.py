@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that may be broadcast; more queries are searched in blocks that are shuffled.
 BROADCAST_BYTES = 64_000_000
-QUERY_BLOCK, CHUNK_BLOCK = 4096, 16_384
+#: Bytes of vectors in a block of queries or chunks, and inner products that a worker holds at a time.
+BLOCK_BYTES, CELLS = 32_000_000, 2_000_000
 DIGITS = 6
+HITS = "query_id long, pos long, score double"
 
 
 def doubles(v: Column) -> Column:
@@ -41,87 +43,115 @@ def rank_hits(hits: DataFrame, k: int, query_col: str = "query_id", pos_col: str
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    s = q @ v.T
-    if s.shape[1] > k:  # all that tie with the k-th stay, so that ties are settled by position
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        rows, cols = np.nonzero(s >= least[:, None] - 1e-9)
-    else:
-        rows, cols = np.nonzero(np.isfinite(s))
-    return pd.DataFrame({"query_id": q_ids[rows], "pos": pos[cols], "score": s[rows, cols]})
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves go away from zero; no zero is negative."""
+    return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits + 0.0
+
+
+def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DIGITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, candidate's row, score) of each query's k best candidates by rounded score, ties to the smaller pos.
+
+    Never more than k for a query, however many tie. Scores that aren't finite are left out.
+    """
+    rows, cols, scores = [], [], []
+    strip = max(1, CELLS // max(1, len(v)))
+    for lo in range(0, len(q) if k and len(v) else 0, strip):
+        s = q[lo : lo + strip] @ v.T
+        s = np.where(np.isfinite(s), rounded(s, digits), -np.inf)
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        order = np.lexsort((pos[c], -s[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[place < k], c[place < k]
+        rows.append(r + lo)
+        cols.append(c)
+        scores.append(s[r, c])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *cols]), np.concatenate([np.zeros(0), *scores])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _hits(q_ids: np.ndarray, q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int) -> list[pa.Array]:
+    r, c, s = best(q, pos, v, k, digits)
+    return [pa.array(q_ids[r], pa.int64()), pa.array(pos[c], pa.int64()), pa.array(s, pa.float64())]
+
 
+def _meet(k: int, digits: int):
+    """The hits of a block of queries in a block of chunks."""
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        none = not x.num_rows or not y.num_rows
+        ids = lambda t, c: t.column(c).to_numpy().astype(np.int64) if not none else np.zeros(0, np.int64)
+        of = lambda t: _matrix(t.column("vector")) if not none else np.zeros((0, 1))
+        return pa.table(_hits(ids(x, "query_id"), of(x), ids(y, "pos"), of(y), k, digits), ["query_id", "pos", "score"])
+
+    return run
+
+
+def _blocked(q: DataFrame, c: DataFrame, keys: list[str], k: int, digits: int) -> DataFrame:
+    """Hits of each query among the chunks that agree with it on the keys: blocks of queries meet blocks of chunks.
+
+    A key is cut into blocks by the bytes of its queries and chunks, so a key that most of them share is many tasks.
+    A block is sent once for each block that it meets; the larger blocks are, the less is sent.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.sum(F.size("vector") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias(name))
+    blocks = count(q, "_qn").join(count(c, "_cn"), keys)
+    put = lambda col, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    left = q.join(blocks, keys).select("query_id", "vector", *keys, put("query_id", "_qn", 1).alias("_a"), each("_cn").alias("_b"))
+    right = c.join(blocks, keys).select("pos", "vector", *keys, put("pos", "_cn", 2).alias("_b"), each("_qn").alias("_a"))
+    both = [*keys, "_a", "_b"]
+    return left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(_meet(k, digits), HITS)
+
+
+def _columns(queries: DataFrame, chunks: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both sides with vectors of doubles; rows without a vector or a key take no part."""
+    q = queries.select(F.col("query_id").cast("long"), doubles(F.col("vector")).alias("vector"), *keys).dropna()
+    return q, chunks.select(F.col("pos").cast("long"), doubles(F.col("vector")).alias("vector"), *keys).dropna()
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = DIGITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank, pos, score for queries (query_id, vector) over chunks (pos, vector): exact inner products.
 
-    Scores are rounded to `digits` and ranked by score, then position. Queries go to the executors once and each batch
-    of chunks is one matrix product that returns its k best; beyond broadcast_bytes of queries, blocks of queries
-    meet blocks of chunks in shuffled tasks instead. Either way no task holds more than a block, and nothing but k
-    rows for each query and block is ranked.
+    Scores are rounded to `digits` and ranked by score, then position. Queries go to the executors once, if their
+    measured size allows it, and each batch of chunks is one matrix product that returns its k best; beyond that,
+    blocks of queries meet blocks of chunks in shuffled tasks. The rows are the same; nothing but k rows for each
+    query and block is ranked.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     spark = chunks.sparkSession
-    q = queries.select(F.col("query_id").cast("long"), doubles(F.col("vector")).alias("vector"))
-    c = chunks.select(F.col("pos").cast("long"), doubles(F.col("vector")).alias("vector"))
+    q, c = _columns(queries, chunks)
     size = q.agg(F.sum(F.size("vector") * 8 + 8)).first()[0] or 0
-    out = "query_id long, pos long, score double"
     if size <= broadcast_bytes:
-        got = q.toPandas()
-        ids = got["query_id"].to_numpy(np.int64)
-        m = _stack(got["vector"]) if len(got) else np.zeros((0, 1))
-        held = spark.sparkContext.broadcast((ids, m))
+        got = q.toArrow()
+        held = spark.sparkContext.broadcast((got.column("query_id").to_numpy().astype(np.int64), _matrix(got.column("vector"))))
 
         def scan(batches):
-            q_ids, mat = held.value
+            ids, m = held.value
             for b in batches:
-                if len(b) and len(q_ids):
-                    for lo in range(0, len(q_ids), QUERY_BLOCK):
-                        yield _best(q_ids[lo : lo + QUERY_BLOCK], mat[lo : lo + QUERY_BLOCK], b["pos"].to_numpy(), _stack(b["vector"]), k)
+                if b.num_rows and len(ids):
+                    yield pa.RecordBatch.from_arrays(_hits(ids, m, b.column("pos").to_numpy(), _matrix(b.column("vector")), k, digits), ["query_id", "pos", "score"])
 
-        hits = c.mapInPandas(scan, out) if k else spark.createDataFrame([], out)
+        hits = c.mapInArrow(scan, HITS)
     else:
-        qn, cn = -(-q.count() // QUERY_BLOCK), -(-c.count() // CHUNK_BLOCK)
-        put = lambda col, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.lit(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = q.withColumn("a", put("query_id", qn, 1)).withColumn("b", each(cn))
-        right = c.withColumn("b", put("pos", cn, 2)).withColumn("a", each(qn))
-
-        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return pd.DataFrame({"query_id": [], "pos": [], "score": []})
-            return _best(x["query_id"].to_numpy(), _stack(x["vector"]), y["pos"].to_numpy(), _stack(y["vector"]), k)
-
-        hits = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, out)
-    return rank_hits(hits.withColumn("score", F.round("score", digits)), k)
+        one = F.lit(0).alias("_all")
+        hits = _blocked(q.select("*", one), c.select("*", one), ["_all"], k, digits)
+    return rank_hits(hits, k)
 
 
 def best_within(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int, digits: int = DIGITS) -> DataFrame:
     """query_id, pos, score: candidates for each query's k best among the chunks that agree with it on the keys.
 
-    Keys are cut into blocks by how many queries and chunks they have, so a key that most of them share is many tasks;
-    each task is one matrix product. Null keys agree with nothing.
+    Null keys agree with nothing.
     """
-    q = queries.select("query_id", doubles(F.col("vector")).alias("vector"), *keys).dropna(subset=keys)
-    c = chunks.select("pos", doubles(F.col("vector")).alias("vector"), *keys).dropna(subset=keys)
-    blocks = q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("qn")).join(c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK_BLOCK).alias("cn")), keys)
-    put = lambda col, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    left = q.join(blocks, keys).select("query_id", "vector", *keys, put("query_id", F.col("qn"), 1).alias("a"), each(F.col("cn")).alias("b"))
-    right = c.join(blocks, keys).select("pos", "vector", *keys, put("pos", F.col("cn"), 2).alias("b"), each(F.col("qn")).alias("a"))
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_id": [], "pos": [], "score": []})
-        return _best(x["query_id"].to_numpy(), _stack(x["vector"]), y["pos"].to_numpy(), _stack(y["vector"]), k)
-
-    both = [*keys, "a", "b"]
-    found = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInPandas(meet, "query_id long, pos long, score double")
-    return found.withColumn("score", F.round("score", digits))
+    return _blocked(*_columns(queries, chunks, keys), keys, k, digits)
 
 
 def top_k_joined(pairs: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:

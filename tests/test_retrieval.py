@@ -38,7 +38,23 @@ def test_ties_go_to_the_smaller_position(spark):
     assert got(retrieval.retrieve(plans(spark, (None, None, []), (2000, None, [])), c, 3)) == {0: [1, 3, 5], 1: [1, 3, 5]}
 
 
-def test_blocks_equal_broadcast(spark):
+def test_near_ties_go_by_rounded_score(spark):
+    q = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")
+    c = spark.createDataFrame([(2, [0.5000002]), (1, [0.5000001]), (0, [0.1])], "pos long, vector array<double>")
+    for limit in (0, 1 << 30):
+        assert [(r.pos, r.score) for r in vectors.top_k(q, c, 1, broadcast_bytes=limit).collect()] == [(1, 0.5)]
+
+
+def test_ties_are_bounded(spark):
+    """However many chunks are alike, no more than k of a block are returned for a query."""
+    pos = np.arange(10_000)
+    r, c, s = vectors.best(np.ones((3, 2)), pos, np.ones((10_000, 2)), 5)
+    assert len(r) == 15 and sorted(pos[c].tolist()) == sorted([0, 1, 2, 3, 4] * 3) and (s == 2.0).all()
+    assert vectors.rounded(np.array([-1e-9, 0.0000005, -0.0000005]), 6).tolist() == [0.0, 1e-6, -1e-6]
+
+
+def test_blocks_equal_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 48 * 16)
     r = np.random.default_rng(0)
     q = spark.createDataFrame([(i, r.standard_normal(6).tolist()) for i in range(40)], "query_id long, vector array<double>")
     c = spark.createDataFrame([(i, r.standard_normal(6).tolist()) for i in range(300)], "pos long, vector array<double>")
