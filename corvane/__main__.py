@@ -2,6 +2,7 @@
 
 import argparse
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -9,28 +10,32 @@ from pyspark.sql import functions as F
 
 from .plans import config as settings
 from .plans import pipelines
+from .providers import RecordedJudge
 from .sources import readers
 
 
+def recorded(path: str) -> RecordedJudge:
+    with open(path, encoding="utf-8") as f:
+        return RecordedJudge({x["question"]: x for x in map(json.loads, f)})
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="corvane", description=__doc__)
     p.add_argument("run", choices=["index", "qa", "evaluate", "counts"])
     p.add_argument("--config", required=True)
     p.add_argument("--mode", choices=list(settings.RUN_MODES), default="engineered")
-    p.add_argument("--verdicts", help="recorded verdicts for evaluate: JSON lines with question and the judge's fields")
+    p.add_argument("--verdicts", help="recorded verdicts for evaluate, instead of a judge: JSON lines with question and the judge's fields")
+    p.add_argument("--resume", action="store_true", help="don't ask again what an earlier qa run with these settings has answered")
     a = p.parse_args(args)
     raw, base = settings.read(a.config), Path(a.config).resolve().parent.parent
+    os.environ.update(readers.env_file(str(base / ".env"), dict(os.environ)))
     spark = SparkSession.builder.getOrCreate()
     if a.run == "index":
         pipelines.build_index(spark, settings.shared(raw, base)).show(truncate=False)
     elif a.run == "qa":
-        pipelines.run_qa(spark, settings.run(raw, a.mode, base))
+        pipelines.run_qa(spark, settings.run(raw, a.mode, base), resume=a.resume)
     elif a.run == "evaluate":
-        from .providers import RecordedJudge
-
-        with open(a.verdicts, encoding="utf-8") as f:
-            said = {x["question"]: x for x in map(json.loads, f)}
-        print(json.dumps(pipelines.run_evaluation(spark, settings.evaluation(raw, a.mode, base), RecordedJudge(said)), indent=2))
+        print(json.dumps(pipelines.run_evaluation(spark, settings.evaluation(raw, a.mode, base), recorded(a.verdicts) if a.verdicts else None), indent=2))
     else:
         c = settings.shared(raw, base)
         readers.documents(spark, c["data_dir"], c["document_years"]).groupBy("year", "month").agg(F.count(F.lit(1)).alias("documents")).orderBy("year", "month").show(10_000)

@@ -12,11 +12,13 @@ BASE_FIELDS = ["source_path", "year_month", "chunk_id"]
 METADATA_FIELDS = ["source_path", "year_month", "heading", "chunk_id"]
 MAX_CONTEXT_CHARS = 10_000
 TERM_CHARS, MAX_SENTENCES, SNIPPET_WORDS = 2, 2, 80
-EMPTY_CONTEXT = "[No retrieved context]"
+EMPTY_CONTEXT = "(nothing was found)"
 SYSTEM_PROMPT = (
-    "Answer from the retrieved context alone, without outside knowledge or guesses. If the context doesn't hold enough "
-    "evidence, return exactly NOT_FOUND. Be brief. Quote numbers as the source has them; if you have to calculate, show "
-    "the formula. Cite a source such as [S1] in every factual sentence, and only sources that are given."
+    "You are given numbered excerpts, headed [S1], [S2] and so on, and a question.\n"
+    "1. Each statement of your reply ends with the label of the excerpt that it rests on, like [S2].\n"
+    "2. Figures are copied digit by digit. A figure that you work out comes with its arithmetic.\n"
+    "3. Two or three sentences are enough.\n"
+    "4. Where the excerpts don't settle the question, the whole reply is " + NOT_FOUND + "."
 )
 
 
@@ -46,7 +48,7 @@ def context_blocks(snips: DataFrame, question_col: str = "question_id") -> DataF
 
 def messages(question: Column, context: Column) -> Column:
     """array of struct(role, content): the system's and the user's message."""
-    user = F.concat(F.lit("Question:\n"), question, F.lit("\n\nRetrieved context:\n"), F.coalesce(context, F.lit(EMPTY_CONTEXT)), F.lit("\n\nReturn only the grounded answer with citations, or NOT_FOUND."))
+    user = F.concat(F.lit("# Excerpts\n\n"), F.coalesce(context, F.lit(EMPTY_CONTEXT)), F.lit("\n\n# Question\n\n"), question)
     make = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return F.array(make("system", F.lit(SYSTEM_PROMPT)), make("user", user))
 

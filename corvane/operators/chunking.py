@@ -135,10 +135,10 @@ def chunk_id(year: Column, month: Column, number: Column) -> Column:
     return F.format_string("%d_%02d_%05d", year, month, number)
 
 
-def chunk_documents(docs: DataFrame, size: int, overlap: int, text_col: str = "text") -> DataFrame:
+def chunk_documents(docs: DataFrame, size: int, overlap: int, text_col: str = "text", required: str | None = None) -> DataFrame:
     """docs' columns but the text, with chunk_no (from 0), heading, content_type, text: one row for each chunk.
 
-    Documents without tokens give no rows; no_chunks() finds them.
+    Documents without tokens give no rows; if required names a column, they are an error that shows its value.
     """
     with_blocks = docs.withColumn("_blocks", F.filter(F.transform(blocks(F.col(text_col)), lambda b: F.struct(b["heading"].alias("heading"), (b["content_type"] == "table").alias("table"), tokens(b["text"]).alias("tokens"))), lambda b: F.size(b["tokens"]) > 0))
     sizes = F.transform("_blocks", lambda b: F.size(b["tokens"]))
@@ -148,15 +148,13 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, text_col: str = "t
         return F.transform("_chunks", lambda c: F.struct(F.get(F.col("_blocks"), c["b"])["heading"].alias("heading"), F.when(c["t"], "table").otherwise("text").alias("content_type"), F.array_join(F.slice(words, c["s"] + 1, c["e"] - c["s"]), " ").alias("text")))
 
     cut = let(F.flatten(F.transform("_blocks", lambda b: b["tokens"])), cut_out)
+    if required:
+        none = F.raise_error(F.concat(F.lit("no chunks in document "), F.coalesce(F.col(required).cast("string"), F.lit("null"))))
+        cut = F.when(F.size("_chunks") > 0, cut).otherwise(none)
     keep = [c for c in docs.columns if c != text_col]
     return packed.select(*keep, F.posexplode(cut).alias("chunk_no", "_c")).select(*keep, "chunk_no", "_c.heading", "_c.content_type", "_c.text")
 
 
-def no_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that give no chunk: callers that want an error raise it on these."""
-    return docs.filter(strip(F.coalesce(text_col, F.lit(""))) == "")
-
-
 def index_rows(chunks: DataFrame) -> DataFrame:
     """text and metadata struct of chunks that have year, month and source_path."""
     return chunks.select("text", F.struct("year", "month", "source_path", chunk_id(F.col("year"), F.col("month"), F.col("chunk_no")).alias("chunk_id"), "heading", "content_type").alias("metadata"))

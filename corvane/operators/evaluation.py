@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.dates import all_year_months
 from ..functions.matching import answer_matches, appears
 from ..functions.text import collapse, is_missing, normalize_answer, numbers
+from .containment import holders
 
 TOP = 5
 CONTEXT_CHARS = 4000
+NO_PASSAGES = "(none)"
+JUDGE_TASK = (
+    "Someone answered a question with the passages below at hand. Take their answer apart into single statements and "
+    "reply with one JSON object:\n"
+    "- total_claims: how many statements there are;\n"
+    "- supported_claims: how many of them a passage states;\n"
+    "- fabricated_claims: how many no passage states, or one denies;\n"
+    "- correct_answer: 1 if the given answer and the expected one agree, else 0; numbers agree up to one percent, "
+    "however they are written;\n"
+    "- rationale: one sentence."
+)
 METRICS = ["hit_rate@5", "mrr", "recall", "groundedness", "factual_accuracy", "hallucination_rate"]
 RELEVANCE_COLUMNS = ["source_files", "source_docs", "source_file", "source_doc", "date", "period"]
 PAIRS = "array<struct<year:int,month:int>>"
@@ -95,43 +107,49 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def relevant_chunks(gold: DataFrame, prepared: DataFrame) -> DataFrame:
-    """question_id, chunk_id, matched: chunks that count as relevant.
+    """question_id, chunk_id: chunks that count as relevant. A row whose chunk_id is null stands for every chunk.
 
     gold: question_id, gold_answer, pairs. Candidates are the chunks of the pairs, all chunks without any; of those
     the ones that hold the answer, or all candidates if none does. Questions with pairs are joined by hash on year
-    and month.
+    and month; the answers of the others are looked for in one scan of the chunks, which returns what it finds only.
     """
     g = gold.select("question_id", "pairs", normalize_answer(F.col("gold_answer")).alias("an"), numbers(F.col("gold_answer")).alias("ann"))
     dated = g.filter(F.size("pairs") > 0).select("question_id", "an", "ann", F.explode(F.array_distinct("pairs")).alias("d")).select("question_id", "an", "ann", F.col("d.year").alias("year"), F.col("d.month").alias("month"))
     near = dated.join(prepared, ["year", "month"])
-    free = g.filter(F.size("pairs") == 0).select("question_id", "an", "ann").join(prepared, how="cross")
-    cols = ["question_id", "chunk_id", "an", "ann", "norm_text", "text_numbers"]
-    held = near.select(cols).unionByName(free.select(cols)).select("question_id", "chunk_id", appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers")).alias("matched"))
+    held = near.select("question_id", "chunk_id", appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers")).alias("matched"))
     ids = held.groupBy("question_id", "chunk_id").agg(F.max("matched").alias("matched"))
-    # One row for each question says whether anything matched: a question's candidates, which may be all chunks, never
-    # come together in one task. Both uses of ids read the same shuffle.
+    # One row for each question says whether anything matched: a question's candidates never come together in one task.
     some = ids.groupBy("question_id").agg(F.max("matched").alias("_some"))
-    return ids.join(some, "question_id").filter(F.col("matched") | ~F.col("_some")).drop("_some")
+    of_pairs = ids.join(some, "question_id").filter(F.col("matched") | ~F.col("_some")).select("question_id", "chunk_id")
+    free = g.filter(F.size("pairs") == 0).select("question_id", "an", "ann")
+    found = holders(free, prepared)
+    every = free.select("question_id").distinct().join(found, "question_id", "left_anti").select("question_id", F.lit(None).cast(dict(prepared.dtypes)["chunk_id"]).alias("chunk_id"))
+    return of_pairs.unionByName(found).unionByName(every)
 
 
 def retrieval_scores(retrieved: DataFrame, chunks: DataFrame, relevant: DataFrame, gold: DataFrame) -> DataFrame:
     """question_id, hit, correct_docs_found, reciprocal_rank, relevant_found, total_relevant of the top five.
 
-    retrieved: question_id, ids. Hits and ranks look at the first five ids that are chunks and at their documents'
+    retrieved: question_id, ids. relevant: as relevant_chunks() has it. Hits and ranks look at the first five ids that are chunks and at their documents'
     dates (their ids, for questions without pairs); recall at the first five ids as they are.
     """
     each = retrieved.select("question_id", F.posexplode("ids").alias("at", "chunk_id"))
     once = chunks.groupBy("chunk_id").agg(F.max_by(F.struct("year", "month"), "pos").alias("d"))
     known = each.join(once, "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("at"))).filter(F.col("rank") <= TOP)
-    judged = known.join(gold.select("question_id", "pairs"), "question_id").join(relevant.select("question_id", "chunk_id", F.lit(True).alias("rel")), ["question_id", "chunk_id"], "left")
+    named, every = relevant.filter("chunk_id IS NOT NULL"), relevant.filter("chunk_id IS NULL").select("question_id", F.lit(True).alias("every"))
+    asked = gold.select("question_id", "pairs").join(every, "question_id", "left")
+    judged = known.join(asked, "question_id").join(named.select("question_id", "chunk_id", F.lit(True).alias("rel")), ["question_id", "chunk_id"], "left")
     by_date = F.exists("pairs", lambda p: (p["year"] == F.col("d.year")) & (p["month"] == F.col("d.month")))
-    right = F.when(F.size("pairs") > 0, by_date).otherwise(F.coalesce("rel", F.lit(False)))
+    right = F.when(F.size("pairs") > 0, by_date).otherwise(F.coalesce("rel", "every", F.lit(False)))
     what = F.when(F.size("pairs") > 0, F.concat_ws("-", "d.year", "d.month")).otherwise(F.col("chunk_id").cast("string"))
     hits = judged.withColumn("_right", right).groupBy("question_id").agg(F.count_distinct(F.when(F.col("_right"), what)).alias("correct_docs_found"), F.coalesce(F.lit(1.0) / F.min(F.when(F.col("_right"), F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"))
     top = each.filter(F.col("at") < TOP).select("question_id", "chunk_id").distinct()
-    found = top.join(relevant, ["question_id", "chunk_id"], "left_semi").groupBy("question_id").agg(F.count(F.lit(1)).alias("relevant_found"))
-    total = relevant.groupBy("question_id").agg(F.count(F.lit(1)).alias("total_relevant"))
-    out = gold.select("question_id").join(hits, "question_id", "left").join(found, "question_id", "left").join(total, "question_id", "left")
+    in_every = top.join(every, "question_id", "left_semi").join(once, "chunk_id", "left_semi").select("question_id", "chunk_id")
+    found = top.join(named, ["question_id", "chunk_id"], "left_semi").unionByName(in_every).groupBy("question_id").agg(F.count(F.lit(1)).alias("relevant_found"))
+    total = named.groupBy("question_id").agg(F.count(F.lit(1)).alias("_named"))
+    all_chunks = chunks.select(F.count_distinct("chunk_id").alias("n")).scalar()
+    out = asked.select("question_id", "every").join(hits, "question_id", "left").join(found, "question_id", "left").join(total, "question_id", "left")
+    out = out.withColumn("total_relevant", F.when(F.col("every"), all_chunks).otherwise(F.col("_named"))).drop("every", "_named")
     out = out.fillna(0, ["correct_docs_found", "relevant_found", "total_relevant"]).fillna(0.0, ["reciprocal_rank"])
     return out.withColumn("hit", F.when(F.col("correct_docs_found") > 0, 1.0).otherwise(0.0))
 
@@ -155,15 +173,10 @@ def metrics(details: DataFrame) -> DataFrame:
 
 def judge_prompt(question: Column, answer: Column, contexts: Column, gold: Column) -> Column:
     """contexts: array of texts, each clipped."""
-    shown = F.transform(contexts, lambda c, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit("] "), F.substring(collapse(c), 1, CONTEXT_CHARS)))
-    block = F.when(F.size(contexts) > 0, F.array_join(shown, "\n\n")).otherwise(F.lit("[No retrieved source text]"))
-    task = (
-        "Judge an answer against the sources it was given. Split it into atomic factual claims: a claim is supported if the "
-        "sources directly support it, and fabricated if they don't or contradict it. Set correct_answer to 1 if the answer "
-        "comes to the same as the gold answer (numbers within 1 percent, any format), else to 0. Return only JSON with "
-        "supported_claims, total_claims, fabricated_claims, correct_answer, rationale.\n\nQuestion:\n"
-    )
-    return F.concat(F.lit(task), question, F.lit("\n\nGold answer:\n"), gold, F.lit("\n\nAnswer:\n"), answer, F.lit("\n\nSources:\n"), block, F.lit("\n"))
+    shown = F.transform(contexts, lambda c, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), F.substring(collapse(c), 1, CONTEXT_CHARS)))
+    block = F.when(F.size(contexts) > 0, F.array_join(shown, "\n\n")).otherwise(F.lit(NO_PASSAGES))
+    parts = [F.lit(JUDGE_TASK), F.lit("\n\n# Question\n\n"), question, F.lit("\n\n# Expected\n\n"), gold, F.lit("\n\n# Given\n\n"), answer, F.lit("\n\n# Passages\n\n"), block]
+    return F.concat(*parts)
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:

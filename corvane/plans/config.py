@@ -11,7 +11,7 @@ REQUIRED = ["data_dir", "csv_path", "selected_years", "vector_db_type", "chunk_s
 VECTOR_DB_TYPES = {"faiss", "parquet"}
 EMBEDDING_BACKENDS = {"deepinfra", "remote", "hash", "keyword"}
 GENERATION_BACKENDS = {"deepinfra", "openai", "remote", "extractive"}
-POSITIVE, NONNEGATIVE = ["batch_size", "timeout_seconds", "max_tokens", "max_context_chars"], ["request_sleep_seconds", "retry_sleep_seconds", "max_retries"]
+POSITIVE, NONNEGATIVE = ["batch_size", "timeout_seconds", "max_tokens", "max_context_chars", "num_ctx"], ["request_sleep_seconds", "retry_sleep_seconds", "max_retries"]
 GENERATION_DEFAULTS = {
     "backend": "extractive", "max_context_chars": 10_000, "max_tokens": 512, "temperature": 0.0, "timeout_seconds": 90,
     "allow_extractive_fallback": False, "require_citations": True, "fallback_on_ungrounded_answer": True,
@@ -51,10 +51,13 @@ def _section(raw, defaults: dict, backends: set[str], name: str) -> dict:
     if out["backend"] not in backends:
         raise ConfigError(f"{name}.backend must be one of {', '.join(sorted(backends))}")
     for key, least in [(k, 1) for k in POSITIVE] + [(k, 0) for k in NONNEGATIVE]:
-        if key in out:
+        if out.get(key) is not None:
             out[key] = float(out[key]) if key.endswith("sleep_seconds") else int(out[key])
             if out[key] < least:
                 raise ConfigError(f"{name}.{key} must be at least {least}")
+    if "temperature" in out:
+        out["temperature"] = float(out["temperature"])
+    out["model"] = out.get("model") or out.get("model_name")
     return out
 
 

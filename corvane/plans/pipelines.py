@@ -9,18 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import providers
+from ..functions.text import strip
 from ..operators import answering, chunking, evaluation, retrieval
 from ..sources import readers, sinks
+from ..sources.scratch import scratch
 from .config import RUN_MODES
 
 
+def _model(settings: dict) -> str:
+    if not settings.get("model"):
+        raise ValueError(f"backend {settings['backend']} needs a model")
+    return settings["model"]
+
+
+#: What the manifest calls an index that this module reads.
+INDEX_BACKEND = "parquet_flat_ip"
+
+
 def embedder(config: dict):
     e = config["embedding"]
     if e["backend"] == "hash":
         return providers.HashEmbedder(int(e.get("dim", 256)))
     if e["backend"] == "keyword":
         return providers.KeywordEmbedder(e["words"])
-    raise ValueError("pass a providers.RemoteEmbedder for a remote embedding backend")
+    post = providers.EmbeddingClient(providers.endpoint(e), _model(e))
+    return providers.RemoteEmbedder(post, name=e["model"], batch=e["batch_size"], retries=e["max_retries"], pause=e["retry_sleep_seconds"], before=e["request_sleep_seconds"])
+
+
+def generator(g: dict):
+    """What answers a prompt; None for the extractive backend, which asks no one."""
+    if g["backend"] == "extractive":
+        return None
+    return providers.ChatClient(providers.endpoint(g), _model(g), g["temperature"], g["max_tokens"], g.get("num_ctx"))
+
+
+def judge(g: dict):
+    """What judges an answer: the generator's service, at temperature zero, asked for JSON."""
+    if g["backend"] == "extractive":
+        raise ValueError("judging needs a generation backend, or recorded verdicts")
+    return providers.JudgeClient(providers.endpoint(g), _model(g), g["max_tokens"])
 
 
 def settings_hash(config: dict) -> str:
@@ -31,7 +58,7 @@ def settings_hash(config: dict) -> str:
 
 def chunk_table(docs: DataFrame, config: dict) -> DataFrame:
     """Chunks in corpus order: pos is made of the document's place and the chunk's."""
-    rows = chunking.chunk_documents(docs, config["chunk_size"], config["chunk_overlap"])
+    rows = chunking.chunk_documents(docs, config["chunk_size"], config["chunk_overlap"], required="source_path")
     meta = F.struct("year", "month", "source_path", chunking.chunk_id(F.col("year"), F.col("month"), F.col("chunk_no")).alias("chunk_id"), "heading", "content_type")
     return rows.select("text", meta.alias("metadata"), (F.col("doc_pos") * 10_000_000 + F.col("chunk_no")).alias("pos"))
 
@@ -39,7 +66,7 @@ def chunk_table(docs: DataFrame, config: dict) -> DataFrame:
 def manifest(index: DataFrame, config: dict, provider) -> DataFrame:
     """One row: counts and dimension from the index, settings from the configuration."""
     known = {
-        "vector_db_type": config["vector_db_type"], "index_backend": "parquet_flat_ip", "shared_index": True, "metadata_scope": "superset",
+        "vector_db_type": config["vector_db_type"], "index_backend": INDEX_BACKEND, "shared_index": True, "metadata_scope": "superset",
         "metadata_filtering": "retrieval_time_only", "embedding_backend": provider.backend, "embedding_model_name": provider.name,
         "normalize_embeddings": bool(config["embedding"]["normalize"]), "chunk_size": config["chunk_size"], "chunk_overlap": config["chunk_overlap"], "top_k": config["top_k"],
     }
@@ -66,15 +93,31 @@ def load_index(spark: SparkSession, index_dir: str) -> DataFrame:
     return spark.read.parquet(f"{index_dir}/index")
 
 
+def read_manifest(spark: SparkSession, index_dir: str) -> dict:
+    """The manifest beside an index; nothing without one."""
+    path = f"{index_dir}/manifest.json"
+    found = spark.read.option("multiLine", True).json(path).limit(1).collect() if sinks.exists(spark, path) else []
+    return found[0].asDict(recursive=True) if found else {}
+
+
 def index_matches(spark: SparkSession, config: dict) -> bool:
     """Whether there is an index that was built with these settings."""
-    try:
-        rows = spark.read.option("multiLine", True).json(f"{config['index_dir']}/manifest.json").select("settings_hash").collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNRESOLVED_COLUMN" not in str(e):
-            raise
-        return False
-    return bool(rows) and rows[0][0] == settings_hash(config)
+    return read_manifest(spark, config["index_dir"]).get("settings_hash") == settings_hash(config)
+
+
+def check_index(spark: SparkSession, index_dir: str) -> DataFrame:
+    """The index, which has to be of the known kind and to hold what its manifest and its chunk file say."""
+    said = read_manifest(spark, index_dir)
+    if said.get("index_backend") != INDEX_BACKEND:
+        raise readers.DataError(f"the index in {index_dir} is of the kind {said.get('index_backend')}, not {INDEX_BACKEND}")
+    index, size = load_index(spark, index_dir), F.size("vector")
+    n = index.agg(F.count(F.lit(1)).alias("chunk_count"), F.min(size).alias("least"), F.max(size).alias("most")).first()
+    texts = readers.chunks(spark, f"{index_dir}/chunks.jsonl").count()
+    if not n["chunk_count"] == texts == said["chunk_count"]:
+        raise readers.DataError(f"the index in {index_dir} holds {n['chunk_count']} vectors and {texts} chunks; its manifest says {said['chunk_count']}")
+    if {n["least"], n["most"]} != {said["embedding_dim"]}:
+        raise readers.DataError(f"vectors of {n['least']} to {n['most']} components; the manifest says {said['embedding_dim']}")
+    return index
 
 
 def model_config(config: dict, provider) -> str:
@@ -87,21 +130,33 @@ def model_config(config: dict, provider) -> str:
     return json.dumps(said, sort_keys=True)
 
 
+def search(planned: DataFrame, index: DataFrame, config: dict, provider, k: int | None = None) -> DataFrame:
+    """query_id, rank, pos, score of the k best chunks for each planned question; 0 and None mean the settings' top_k.
+
+    planned: query_id, question, year, month, date_pairs. A blank question is an error. A question that no chunk fits
+    isn't embedded and has no rows.
+    """
+    k = k or config["top_k"]
+    if k < 0:
+        raise ValueError("k must not be negative")
+    chunks = index.select("pos", "vector", F.col("metadata.year").alias("year"), F.col("metadata.month").alias("month"))
+    blank = F.coalesce(strip(F.col("question")), F.lit("")) == ""
+    told = planned.withColumn("question", F.when(~blank, F.col("question")).otherwise(F.raise_error(F.lit("a question must not be empty")).cast("string")))
+    dates = chunks.select("year", "month").distinct().select(F.col("year").alias("cy"), F.col("month").alias("cm"))
+    some = told.join(dates, retrieval.matches(F.col("date_pairs"), F.col("year"), F.col("month"), F.col("cy"), F.col("cm")), "left_semi")
+    asked = providers.embed(some.select("query_id", "question", "year", "month", "date_pairs"), provider, "question", "vector", config["embedding"]["normalize"])
+    return retrieval.retrieve(asked, chunks, k)
+
+
 def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=None) -> DataFrame:
     """Every question at once: plan, embed, retrieve, cite, answer. Questions without a chunk get NOT_FOUND.
 
-    The columns of predictions and, for the log, final_context_ids, final_sources, final_context.
+    The columns of predictions and, for the log, final_context_ids, final_sources, final_context; question_no tells rows
+    apart.
     """
-    g, k = config["generation"], config["top_k"]
+    g = config["generation"]
     planned = retrieval.plan(questions.withColumn("query_id", F.col("_row")), RUN_MODES[config["mode"]], config["selected_years"])
-    chunks = index.select("pos", "vector", F.col("metadata.year").alias("year"), F.col("metadata.month").alias("month"))
-    if RUN_MODES[config["mode"]] != "baseline":  # a question that no chunk fits isn't embedded
-        dates = chunks.select("year", "month").distinct().select(F.col("year").alias("cy"), F.col("month").alias("cm"))
-        some = planned.join(F.broadcast(dates), retrieval.matches(F.col("date_pairs"), F.col("year"), F.col("month"), F.col("cy"), F.col("cm")), "left_semi")
-    else:
-        some = planned
-    asked = providers.embed(some.select("query_id", "question", "year", "month", "date_pairs"), provider, "question", "vector", config["embedding"]["normalize"])
-    hits = retrieval.retrieve(asked, chunks, k).join(index.select("pos", "text", "metadata.*"), "pos")
+    hits = search(planned, index, config, provider).join(index.select("pos", "text", "metadata.*"), "pos")
     fields = answering.METADATA_FIELDS if config["metadata_enabled"] else answering.BASE_FIELDS
     hits = hits.withColumnRenamed("query_id", "question_no")
     context = answering.context_blocks(answering.snippets(hits, g["max_context_chars"], fields, "question_no"), "question_no")
@@ -112,7 +167,7 @@ def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=
         rows = rows.withColumn("predicted_answer", short)
     else:
         ready = rows.withColumn("messages", F.when(F.col("hits").isNotNull(), answering.messages(F.col("question"), F.col("context"))))
-        rows = providers.generate(ready, call, retries=g["max_retries"], pause=g["retry_sleep_seconds"])
+        rows = providers.generate(ready, call or generator(g), retries=g["max_retries"], pause=g["retry_sleep_seconds"], before=g["request_sleep_seconds"])
         failed = short if g["allow_extractive_fallback"] else F.raise_error(F.lit("the answer provider failed")).cast("string")
         guarded = answering.guard(F.col("raw_answer"), short, g["require_citations"], g["fallback_on_ungrounded_answer"])
         rows = rows.withColumn("predicted_answer", F.when(F.col("hits").isNull(), answering.NOT_FOUND).when(F.col("raw_answer").isNull(), failed).otherwise(guarded))
@@ -124,59 +179,87 @@ def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=
         F.transform(none, lambda h: h["chunk_id"]).alias("final_context_ids"),
         F.transform(none, lambda h: F.struct(*record(h), h["score"].alias("vector_score"))).alias("final_sources"),
         F.transform(none, lambda h: F.struct(*record(h), h["text"].alias("text"))).alias("final_context"),
+        F.col("query_id").alias("question_no"),
     )
 
 
 LOG_COLUMNS = ["question_id", "selected_years", "detected_year", "detected_month", "retrieval_method", "model_config", "final_context_ids", "final_sources", "final_context"]
 
 
-def run_qa(spark: SparkSession, config: dict, provider=None, call=None) -> DataFrame:
-    """Answers the selected years' questions into output_dir; builds the index first if there is none of these settings."""
+def run_qa(spark: SparkSession, config: dict, provider=None, call=None, resume: bool = False) -> DataFrame:
+    """Answers the selected years' questions into output_dir; builds the index first if there is none of these settings.
+
+    resume: questions that an earlier run with these settings has answered aren't asked again.
+    """
     provider = provider or embedder(config)
     if not index_matches(spark, config):
         build_index(spark, config, provider)
     questions = readers.questions_of_years(readers.answer_key(spark, config["csv_path"]), config["selected_years"])
-    out = answer(questions, load_index(spark, config["index_dir"]), config, provider, call)
     root = config["output_dir"]
-    # Answers are written once and both artifacts come from that table: providers are asked once.
-    out.write.mode("overwrite").parquet(f"{root}/answers")
-    stored = spark.read.parquet(f"{root}/answers")
+    # Answers are written once and both artifacts come from that table: providers are asked once. Its folder bears the
+    # settings' names, so that answers of other settings are never taken for done.
+    path = f"{root}/answers-{run_hash(config)}"
+    if resume and sinks.exists(spark, f"{path}/_SUCCESS"):
+        questions = sinks.without_done(questions, spark.read.parquet(path).select(F.col("question_no").alias("_row")), "_row")
+    else:
+        sinks.remove(spark, path)
+    out = answer(questions, check_index(spark, config["index_dir"]), config, provider, call)
+    out.write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
     sinks.write_predictions(stored, f"{root}/predictions.csv")
     sinks.write_json(stored.select(*LOG_COLUMNS), f"{root}/retrieval_logs.jsonl")
     return stored
 
 
-def evaluate(predictions: DataFrame, logs: DataFrame | None, chunks: DataFrame, key: DataFrame, judge_call) -> DataFrame:
-    """One row of details for each prediction. chunks: chunk_id, text, year, month, pos."""
+def run_hash(config: dict) -> str:
+    """Of all that an answer depends on."""
+    used = {k: v for k, v in config.items() if k not in ("output_dir", "index_dir")}
+    return hashlib.sha256(json.dumps(used, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def evaluate(predictions: DataFrame, logs: DataFrame | None, chunks: DataFrame, key: DataFrame, judge_call, retries: int = 3, pause: float = 5.0, before: float = 0.0) -> DataFrame:
+    """One row of details for each prediction, also where several share an id or have none.
+
+    predictions: as readers.predictions() has them; _row tells them apart. chunks: chunk_id, text, year, month, pos.
+    """
     p = evaluation.with_answers(evaluation.with_logs(predictions, logs), key)
     qid = evaluation.first_present(p, ["question_id", "row_id"], "")
     gold = F.coalesce(evaluation.first_present(p, ["gold_answer"]), evaluation.first_present(p, ["key_answer"], ""))
     asked = F.coalesce(evaluation.first_present(p, ["question"]), evaluation.first_present(p, ["key_question"], ""))
-    base = p.select(qid.alias("question_id"), asked.alias("question"), gold.alias("gold_answer"), evaluation.prediction_text(p).alias("prediction"), evaluation.retrieved_ids(p).alias("ids"), evaluation.relevant_pairs(p).alias("pairs"))
-    last = chunks.withColumn("_m", F.max("pos").over(_by("chunk_id"))).filter("pos = _m").drop("_m")
+    # Scores are by the prediction's row, which the scoring functions take for the question.
+    rows = p.select(F.col("_row").alias("question_id"), qid.alias("_said_id"), asked.alias("question"), gold.alias("gold_answer"), evaluation.prediction_text(p).alias("prediction"), evaluation.retrieved_ids(p).alias("ids"), evaluation.relevant_pairs(p).alias("pairs"))
+    # Written once: half a dozen joins below start from it.
+    path = scratch(chunks.sparkSession, "evaluate")
+    rows.write.parquet(path)
+    base = chunks.sparkSession.read.schema(rows.schema).parquet(path)
     relevant = evaluation.relevant_chunks(base, evaluation.prepare_chunks(chunks))
     scores = evaluation.retrieval_scores(base, chunks, relevant, base)
-    seen = base.select("question_id", F.posexplode("ids").alias("at", "chunk_id")).join(last.select("chunk_id", "text"), "chunk_id")
-    texts = seen.groupBy("question_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), 1, evaluation.TOP).alias("contexts"))
+    each = base.select("question_id", F.posexplode("ids").alias("at", "chunk_id"))
+    named = chunks.join(each.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max_by("text", "pos").alias("text"))
+    texts = each.join(named, "chunk_id").groupBy("question_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), 1, evaluation.TOP).alias("contexts"))
     ready = base.join(texts, "question_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
-    judged = providers.judge(ready.withColumn("prompt", evaluation.judge_prompt(F.col("question"), F.col("prediction"), F.col("contexts"), F.col("gold_answer"))), judge_call)
-    return judged.join(scores, "question_id").select("question_id", "hit", "correct_docs_found", "reciprocal_rank", "relevant_found", "total_relevant", evaluation.exact_match(F.col("prediction"), F.col("gold_answer")).alias("exact_answer_match"), "verdict.*")
-
-
-def _by(col: str):
-    from pyspark.sql import Window
+    prompt = evaluation.judge_prompt(F.col("question"), F.col("prediction"), F.col("contexts"), F.col("gold_answer"))
+    judged = providers.judge(ready.withColumn("prompt", prompt), judge_call, retries=retries, pause=pause, before=before)
+    exact = evaluation.exact_match(F.col("prediction"), F.col("gold_answer")).alias("exact_answer_match")
+    return judged.join(scores, "question_id").select(F.col("_said_id").alias("question_id"), "hit", "correct_docs_found", "reciprocal_rank", "relevant_found", "total_relevant", exact, "verdict.*")
 
-    return Window.partitionBy(col)
 
+def run_evaluation(spark: SparkSession, config: dict, judge_call=None, predictions_path: str | None = None) -> dict:
+    """Evaluates output_dir's predictions; writes metrics.json, evaluation_details.csv and judge_results.jsonl at the end.
 
-def run_evaluation(spark: SparkSession, config: dict, judge_call, predictions_path: str | None = None) -> dict:
-    """Evaluates output_dir's predictions; writes metrics.json, evaluation_details.csv and judge_results.jsonl at the end."""
-    root = config["output_dir"]
+    If the judge fails, judge_error.json says how and nothing else is written; a success removes it.
+    """
+    root, g = config["output_dir"], config["generation"]
+    judge_call = judge_call or judge(g)
     stored = readers.chunks(spark, f"{config['index_dir']}/chunks.jsonl")
     chunks = stored.select(F.col("metadata.chunk_id").alias("chunk_id"), "text", F.col("metadata.year").alias("year"), F.col("metadata.month").alias("month"), "pos")
     logs = readers.retrieval_logs(spark, f"{root}/retrieval_logs.jsonl")
-    details = evaluate(readers.predictions(spark, predictions_path or f"{root}/predictions.csv").drop("_row"), logs, chunks, readers.answer_key(spark, config["csv_path"]), judge_call)
-    details.write.mode("overwrite").parquet(f"{root}/details")  # the judge is asked once
+    details = evaluate(readers.predictions(spark, predictions_path or f"{root}/predictions.csv"), logs, chunks, readers.answer_key(spark, config["csv_path"]), judge_call, g["max_retries"], g["retry_sleep_seconds"], g["request_sleep_seconds"])
+    try:
+        details.write.mode("overwrite").parquet(f"{root}/details")  # the judge is asked once
+    except Exception as e:
+        sinks.write_one(spark, {"error": str(e)[:2000]}, f"{root}/judge_error.json")
+        raise
     details = spark.read.parquet(f"{root}/details")
     found = evaluation.metrics(details).first().asDict()
     named = {"hit": "hit_rate@5", "correct_docs_found": "correct_docs_found@5", "relevant_found": "relevant_snippets_found@5", "total_relevant": "total_relevant_snippets"}
@@ -184,4 +267,5 @@ def run_evaluation(spark: SparkSession, config: dict, judge_call, predictions_pa
     sinks.write_details(shown, f"{root}/evaluation_details.csv")
     sinks.write_json(shown.select("question_id", "supported_claims", "total_claims", "fabricated_claims", "judge_correct_answer", "raw_response"), f"{root}/judge_results.jsonl")
     sinks.write_one(spark, {k: found[k] for k in evaluation.METRICS}, f"{root}/metrics.json")
+    sinks.remove(spark, f"{root}/judge_error.json")
     return found

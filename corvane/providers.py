@@ -1,11 +1,14 @@
-"""What the network would do: embedding, generating, judging. Each provider is a picklable object with one method that
-works on a batch; offline ones are deterministic, remote ones are left to the caller to pass in."""
+"""What the network does: embedding, generating, judging. Each provider is a picklable object with one method; offline
+ones are deterministic, remote ones speak HTTP to services that understand the usual chat and embedding requests."""
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
+import urllib.error
+import urllib.request
 import zlib
 from collections.abc import Callable, Iterable
 from typing import Protocol
@@ -15,7 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.judging import reply_text, verdict
+from .functions.judging import VERDICT, reply_text, verdict
+
+
+# Where the services are that settings may name without an address, and where keys are looked for last.
+BASE_URLS = {"openai": "https://api.openai.com/v1", "deepinfra": "https://api.deepinfra.com/v1/openai"}
+LAST_KEY = "OPENAI_API_KEY"
+NO_ANSWER = "NOT_FOUND"
 
 
 class Embedder(Protocol):
@@ -69,10 +78,10 @@ def wait_seconds(retry_after: str | float | None, default: float) -> float:
 
 
 def with_retry(call: Callable, retries: int = 3, pause: float = 5.0, before: float = 0.0, sleep: Callable[[float], None] = time.sleep):
-    """call(), again after a pause when it is rate limited, `retries` times at most."""
-    if before > 0:
-        sleep(before)
+    """call(), again after a pause when it is rate limited, `retries` times at most; `before` seconds before each call."""
     for attempt in range(retries + 1):
+        if before > 0:
+            sleep(before)
         try:
             return call()
         except RateLimited as e:
@@ -82,19 +91,90 @@ def with_retry(call: Callable, retries: int = 3, pause: float = 5.0, before: flo
                 sleep(s)
 
 
+def api_key(name: str | None, env=None) -> str:
+    """The key of that name in the environment, else the usual one."""
+    env = os.environ if env is None else env
+    key = env.get(name or "") or env.get(LAST_KEY)
+    if not key:
+        raise ValueError(f"no API key: set {name or LAST_KEY}")
+    return key
+
+
+class Endpoint:
+    """POSTs JSON below an address and reads JSON; status 429 is RateLimited. Holds no connection, so it pickles."""
+
+    def __init__(self, base_url: str, key: str, timeout: float = 90.0):
+        self.base_url, self.key, self.timeout = base_url.rstrip("/"), key, timeout
+
+    def __call__(self, path: str, body: dict) -> dict:
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+        request = urllib.request.Request(f"{self.base_url}/{path}", json.dumps(body).encode(), head)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code == 429:
+                raise RateLimited(e.headers.get("Retry-After")) from None
+            raise
+
+
+def endpoint(settings: dict) -> Endpoint:
+    """From a section of the settings: backend or base_url, api_key_env, timeout_seconds. The key is read here, once."""
+    url = settings.get("base_url") or BASE_URLS.get(settings["backend"])
+    if not url:
+        raise ValueError(f"backend {settings['backend']} needs a base_url")
+    return Endpoint(url, api_key(settings.get("api_key_env")), settings["timeout_seconds"])
+
+
+class EmbeddingClient:
+    """texts -> [{"index", "embedding"}]."""
+
+    def __init__(self, post: Callable[[str, dict], dict], model: str):
+        self.post, self.model = post, model
+
+    def __call__(self, texts: list[str]) -> list[dict]:
+        return self.post("embeddings", {"model": self.model, "input": texts})["data"]
+
+
+class ChatClient:
+    """messages -> the first choice's text, NOT_FOUND if it is blank."""
+
+    def __init__(self, post: Callable[[str, dict], dict], model: str, temperature: float = 0.0, max_tokens: int = 512, num_ctx: int | None = None, **more):
+        self.post, self.body = post, {"model": model, "temperature": temperature, "max_tokens": max_tokens} | ({"num_ctx": num_ctx} if num_ctx else {}) | more
+
+    def reply(self, messages: list[dict]) -> dict:
+        return self.post("chat/completions", self.body | {"messages": messages})
+
+    def __call__(self, messages: list[dict]) -> str:
+        said = self.reply(messages)["choices"][0]["message"]["content"]
+        if isinstance(said, list):  # given in parts
+            said = "".join(p if isinstance(p, str) else p.get("text") or "" for p in said)
+        return (said or "").strip() or NO_ANSWER
+
+
+class JudgeClient(ChatClient):
+    """prompt -> the whole reply, whose text is looked for later; JSON is asked for, at temperature zero."""
+
+    def __init__(self, post, model: str, max_tokens: int = 512):
+        super().__init__(post, model, 0.0, max_tokens, response_format={"type": "json_object"})
+
+    def __call__(self, prompt: str) -> dict:
+        return self.reply([{"role": "user", "content": prompt}])
+
+
 class RemoteEmbedder:
     """Batches sent to post(texts) -> [{"index", "embedding"}], put in the order of their indexes."""
 
     backend = "remote"
 
-    def __init__(self, post: Callable[[list[str]], Iterable[dict]], dim: int, name: str = "remote", batch: int = 32, retries: int = 3, pause: float = 5.0):
-        self.post, self.dim, self.name, self.batch, self.retries, self.pause = post, dim, name, batch, retries, pause
+    def __init__(self, post: Callable[[list[str]], Iterable[dict]], dim: int = 0, name: str = "remote", batch: int = 32, retries: int = 3, pause: float = 5.0, before: float = 0.0):
+        self.post, self.dim, self.name, self.batch, self.retries, self.pause, self.before = post, dim, name, batch, retries, pause, before
 
     def encode(self, texts: list[str]) -> np.ndarray:
         rows: list[list[float]] = []
         for lo in range(0, len(texts), self.batch):
             part = texts[lo : lo + self.batch]
-            got = sorted(with_retry(lambda p=part: list(self.post(p)), self.retries, self.pause), key=lambda r: r["index"])
+            got = sorted(with_retry(lambda p=part: list(self.post(p)), self.retries, self.pause, self.before), key=lambda r: r["index"])
             if len(got) != len(part):
                 raise ValueError(f"{len(part)} texts were sent, {len(got)} embeddings came back")
             rows += [r["embedding"] for r in got]
@@ -124,8 +204,9 @@ def embed(df: DataFrame, provider: Embedder, text_col: str = "text", out_col: st
     return df.mapInPandas(run, schema)
 
 
-def generate(df: DataFrame, call: Callable[[list[dict]], str] | None, messages_col: str = "messages", out_col: str = "raw_answer", retries: int = 3, pause: float = 5.0) -> DataFrame:
-    """df with each prompt's answer, or null where the provider failed. Without a provider all answers are null.
+def generate(df: DataFrame, call: Callable[[list[dict]], str] | None, messages_col: str = "messages", out_col: str = "raw_answer", retries: int = 3, pause: float = 5.0, before: float = 0.0) -> DataFrame:
+    """df with each prompt's answer, or null where there is no prompt or the provider failed, in whatever way. Without a
+    provider all answers are null. `before` seconds pass before each call: the throttle of one Python worker.
 
     A retried task calls again; rows are keyed by question, so that does no harm but cost.
     """
@@ -133,39 +214,50 @@ def generate(df: DataFrame, call: Callable[[list[dict]], str] | None, messages_c
         return df.withColumn(out_col, F.lit(None).cast("string"))
 
     def one(m) -> str | None:
+        if m is None:
+            return None
         try:
-            return with_retry(lambda: call([{"role": x["role"], "content": x["content"]} for x in m]), retries, pause)
-        except (RateLimited, KeyError, IndexError, TypeError, ValueError):
+            return with_retry(lambda: call([{"role": x["role"], "content": x["content"]} for x in m]), retries, pause, before)
+        except Exception:  # noqa: BLE001  a client's own errors are of any kind; the caller decides what a failure means
             return None
 
     @F.pandas_udf("string")
     def ask(col: pd.Series) -> pd.Series:
         return col.map(one)
 
-    return df.withColumn(out_col, ask(F.col(messages_col)))
-
+    return df.withColumn(out_col, ask.asNondeterministic()(F.col(messages_col)))
 
-VERDICT = "struct<supported_claims:int,total_claims:int,fabricated_claims:int,correct_answer:int,raw_response:string>"
 
+def as_json(reply: object) -> str:
+    """A reply given as an object of any class, as JSON text."""
+    return json.dumps(reply, ensure_ascii=False, default=lambda o: o.model_dump() if hasattr(o, "model_dump") else vars(o) if hasattr(o, "__dict__") else str(o))
 
-def judge(df: DataFrame, call: Callable[[str], object], prompt_col: str = "prompt", out_col: str = "verdict", retries: int = 3) -> DataFrame:
-    """df with each prompt's verdict. A reply that can't be read is asked for again; in the end it is an error."""
 
-    def one(prompt: str) -> dict:
-        for attempt in range(retries + 1):
-            reply = call(prompt)
-            text = reply if isinstance(reply, str) else reply_text(reply)
-            try:
-                return verdict(text) | {"raw_response": text}
-            except ValueError:
-                if attempt == retries:
-                    raise
+def judge(df: DataFrame, call: Callable[[str], object], prompt_col: str = "prompt", out_col: str = "verdict", retries: int = 3, pause: float = 5.0, before: float = 0.0) -> DataFrame:
+    """df with each prompt's verdict and the text that it was read from.
 
-    @F.pandas_udf(VERDICT)
-    def ask(col: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(p) for p in col], columns=["supported_claims", "total_claims", "fabricated_claims", "correct_answer", "raw_response"])
+    A call returns a text, or a reply as an object whose text is looked for. Calling is all that Python does; replies are
+    read by expressions. Rows whose reply can't be read are asked again, up to `retries` times; in the end it is an error.
+    """
 
-    return df.withColumn(out_col, ask(F.col(prompt_col)))
+    @F.pandas_udf("struct<said:string,whole:boolean>")
+    def ask(prompts: pd.Series) -> pd.DataFrame:
+        replies = [None if pd.isna(p) else with_retry(lambda: call(p), retries, pause, before) for p in prompts]
+        return pd.DataFrame({"said": [r if r is None or isinstance(r, str) else as_json(r) for r in replies], "whole": [isinstance(r, str) for r in replies]})
+
+    rows, texts, found, todo = df, [], [], F.col(prompt_col)
+    for k in range(retries + 1):
+        reply = F.col(f"_reply{k}")
+        text = F.when(reply["whole"], reply["said"]).otherwise(reply_text(reply["said"]))
+        rows = rows.withColumn(f"_reply{k}", ask.asNondeterministic()(todo)).withColumn(f"_text{k}", text).withColumn(f"_found{k}", verdict(F.col(f"_text{k}")))
+        texts.append(F.col(f"_text{k}"))
+        found.append(F.col(f"_found{k}"))
+        todo = F.when(F.coalesce(*found).isNull(), F.col(prompt_col))
+    first = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("v"), t.alias("t"))) for v, t in zip(found, texts)])
+    unread = F.raise_error(F.concat(F.lit("the judge's reply can't be read: "), F.substring(F.coalesce(texts[-1], F.lit("null")), 1, 300)))
+    names = [x.split(":")[0] for x in VERDICT[len("struct<") : -1].split(",")]
+    out = F.when(first.isNotNull(), F.struct(*[first["v"][n].alias(n) for n in names], first["t"].alias("raw_response"))).otherwise(unread)
+    return rows.withColumn(out_col, out).drop(*[f"_{c}{k}" for c in ("reply", "text", "found") for k in range(retries + 1)])
 
 
 class RecordedJudge:

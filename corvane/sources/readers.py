@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,9 @@ SOURCE_COLUMNS = [
     "document", "document_id", "doc_id", "filename", "file", "path", "url", "date", "period", "answer_source",
 ]
 
+#: Rows of a sorted column that are looked at to cut it into ranges, and rows that a range has about.
+RANGE_SAMPLE, RANGE_ROWS = 4096, 100_000
+
 METADATA = "struct<year:int,month:int,source_path:string,chunk_id:string,heading:string,content_type:string>"
 CHUNK_SCHEMA = f"text string, metadata {METADATA}"
 LOG_SCHEMA = (
@@ -58,39 +62,59 @@ def decode_path(c: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
 
 
+def sorted_numbers(df: DataFrame, col: str, out: str) -> DataFrame:
+    """col's different values with their places in sorted order, from 0.
+
+    Ranges are cut at values of a bounded sample, so that each is numbered in a task of its own; a range's first number
+    is the count of all before it.
+    """
+    values = df.select(col).distinct()
+    n = values.count()
+    cuts = math.ceil(n / RANGE_ROWS) - 1
+    few = sorted(r[0] for r in values.orderBy(F.xxhash64(col)).limit(RANGE_SAMPLE).collect()) if cuts else []
+    at = F.array(*[F.lit(few[(i + 1) * len(few) // (cuts + 1)]) for i in range(cuts)]).cast("array<string>")
+    ranged = values.withColumn("_range", F.size(F.filter(at, lambda x: x <= F.col(col))))
+    before = ranged.groupBy("_range").count().select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(col)) - 1
+    return ranged.withColumn("_place", place).join(before, "_range").select(col, (F.col("_before") + F.col("_place")).cast("long").alias(out))
+
+
 def documents(spark: SparkSession, root: str, years: list[int]) -> DataFrame:
     """source_path, doc_pos, year, month, text of the *.txt files below root whose paths are dated in one of the years.
 
     Dates are read from the path below root, so a dated folder above it doesn't count. Files of other years aren't
-    read: the years are known from the listing, and only the chosen paths are opened. An undated path is an error
-    even if it wouldn't be chosen; so are a blank text and an empty choice.
+    read: the filter on the path column is applied to the listing of files. An undated path is an error even if it
+    wouldn't be chosen; so are a blank text and an empty choice. doc_pos: place among the chosen paths in order.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root).select("path")
     base = unquote(root.rstrip("/")).removeprefix("file://")
     under = lambda c: F.regexp_replace(decode_path(c), "^.*?" + "\\Q" + base + "\\E", "")
-    dated = listed.withColumn("ym", first_year_month(under(F.col("path"))))
-    rows = dated.select("path", "ym.year", "ym.month").collect()  # file names, as the scheduler lists them too
-    if not rows:
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    path = F.col("_metadata.file_path")
+    ym = first_year_month(under(path))
+    if files.limit(1).isEmpty():
         raise DataError(f"no *.txt files below {root}")
-    if undated := [r["path"] for r in rows if r["year"] is None]:
-        raise DataError(f"no year and month in path {undated[0]}")
-    chosen = sorted(r["path"] for r in rows if r["year"] in {int(y) for y in years})
-    if not chosen:
+    if undated := files.filter(ym["year"].isNull()).select(path.alias("p")).take(1):
+        raise DataError(f"no year and month in path {undated[0]['p']}")
+    chosen = files.filter(ym["year"].isin([int(y) for y in years]))
+    if chosen.limit(1).isEmpty():
         raise DataError(f"no files of the years {sorted(years)} below {root}")
-    text = spark.read.text([unquote(p) for p in chosen], wholetext=True).select(decode_path(F.col("_metadata.file_path")).alias("source_path"), F.col("value").alias("text"))
     blank = F.raise_error(F.concat(F.lit("blank text file: "), F.col("source_path"))).cast("string")
-    pos = spark.createDataFrame([(unquote(p), i) for i, p in enumerate(chosen)], "p string, doc_pos long").select(decode_path(F.col("p")).alias("source_path"), "doc_pos")
-    ym = first_year_month(under(F.col("source_path")))
-    return text.join(F.broadcast(pos), "source_path").withColumn("text", F.when(strip(F.col("text")) == "", blank).otherwise(F.col("text"))).select("source_path", "doc_pos", ym["year"].alias("year"), ym["month"].alias("month"), "text")
+    rows = chosen.select(decode_path(path).alias("source_path"), ym["year"].alias("year"), ym["month"].alias("month"), F.col("value").alias("text"))
+    numbered = rows.join(sorted_numbers(rows, "source_path", "doc_pos"), "source_path")
+    return numbered.select("source_path", "doc_pos", "year", "month", F.when(strip(F.col("text")) == "", blank).otherwise(F.col("text")).alias("text"))
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, all columns strings, quoted line feeds kept; empty fields are null. _row: from 0.
+    """CSV files with a header, all columns strings, quoted line feeds kept; empty fields are null. _row: from 0.
 
-    Rows of one file keep their order; the file is read by one task, as a quoted line feed may lie anywhere.
+    Rows keep their order within a file, which one task reads, as a quoted line feed may lie anywhere; files are numbered
+    one after another in the order of their names, each from the count of rows before it.
     """
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return df.select("*", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("long").alias("_row"))
+    read = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    files = read.groupBy("_file").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = files.select("_file", "_first", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return read.join(before, "_file").select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias("_row"))
 
 
 def answer_key(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.vectors import check_dimensions
+
 PREDICTION_COLUMNS = ["question_id", "question", "gold_answer", "predicted_answer", "detected_year", "detected_month", "retrieval_method"]
 DETAIL_COLUMNS = [
     "question_id", "hit_rate@5", "correct_docs_found@5", "reciprocal_rank", "relevant_snippets_found@5", "total_relevant_snippets",
@@ -25,18 +27,40 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Chunks with their vectors, by year and month: filters on either prune folders. mode append adds to them."""
+    """Chunks with their vectors, by year and month: filters on either prune folders.
+
+    Mode append adds to an index, whose vectors' length the new ones must have; a row that hasn't fails the write, which
+    then adds nothing.
+    """
     out = chunks.withColumns({"year": F.col("metadata.year"), "month": F.col("metadata.month")})
+    if mode == "append":
+        there = chunks.sparkSession.read.parquet(path).agg(F.max(F.size("vector")).alias("d")).first()["d"]
+        out = check_dimensions(out, "vector", there) if there else out
     out.write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
+def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """With a header; texts come back as they were, blanks at their ends, quotes and line feeds included."""
+    rows.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def write_predictions(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.select(*PREDICTION_COLUMNS).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    write_csv(rows.select(*PREDICTION_COLUMNS), path, mode)
 
 
-def without_done(questions: DataFrame, done: DataFrame) -> DataFrame:
+def without_done(questions: DataFrame, done: DataFrame, key: str = "question_id") -> DataFrame:
     """Questions that no earlier run has answered: how an interrupted run is taken up again."""
-    return questions.join(done.select("question_id"), "question_id", "left_anti")
+    return questions.join(done.select(key), key, "left_anti")
+
+
+def exists(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -44,7 +68,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_details(details: DataFrame, path: str) -> None:
-    details.select(*DETAIL_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(details.select(*DETAIL_COLUMNS), path)
 
 
 def write_one(spark, value: dict, path: str) -> None:

@@ -1,8 +1,13 @@
 """Relevance, scores, metrics, answer keys."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions.matching import appears
+from corvane.functions.text import normalize_answer, numbers
+from corvane.operators import containment
 from corvane.operators import evaluation as E
 
 PAIRS = "array<struct<year:int,month:int>>"
@@ -21,19 +26,41 @@ def test_relevance(spark):
     found = {}
     for r in E.relevant_chunks(g, E.prepare_chunks(chunks(spark))).collect():
         found.setdefault(r.question_id, set()).add(r.chunk_id)
-    assert found == {"q0": {"c1"}, "q1": {"c1", "c2"}, "q2": {"c1", "c3"}, "q3": {"c1", "c2", "c3"}}
+    # A null stands for every chunk.
+    assert found == {"q0": {"c1"}, "q1": {"c1", "c2"}, "q2": {"c1", "c3"}, "q3": {None}}
 
 
 def test_scores(spark):
-    g = gold(spark, ("100", [(2024, 3)]), ("100", []), ("7", [(2024, 3)]))
+    g = gold(spark, ("100", [(2024, 3)]), ("100", []), ("7", [(2024, 3)]), ("7", []))
     relevant = E.relevant_chunks(g, E.prepare_chunks(chunks(spark)))
-    got = spark.createDataFrame([("q0", ["zz", "c3", "c1", "c2"]), ("q1", ["c2", "c3", "c1"]), ("q2", [])], "question_id string, ids array<string>")
+    got = spark.createDataFrame([("q0", ["zz", "c3", "c1", "c2"]), ("q1", ["c2", "c3", "c1"]), ("q2", []), ("q3", ["zz", "c3", "c3", "c2"])], "question_id string, ids array<string>")
     rows = {r.question_id: r for r in E.retrieval_scores(got, chunks(spark), relevant, g).collect()}
     show = lambda r: (r.hit, r.correct_docs_found, r.reciprocal_rank, r.relevant_found, r.total_relevant)
     # c2 stands for the last chunk of that id, which is of another month.
     assert show(rows["q0"]) == (1.0, 1, 0.5, 1, 1)
     assert show(rows["q1"]) == (1.0, 2, 0.5, 2, 2)
     assert show(rows["q2"]) == (0.0, 0, 0.0, 0, 2)
+    assert show(rows["q3"]) == (1.0, 2, 1.0, 2, 3)
+
+
+@pytest.mark.parametrize("slab", [1, 1 << 30])
+def test_holders_equal_the_expression(spark, slab):
+    """One scan finds what the pairwise expression finds, whatever part of the answers is looked for at a time."""
+    r = random.Random(4)
+    words = ["a", "ab", "b c", "12", "-3", "0", "1,000", "1000.9", "0.0005", "50%", "x"]
+    answers = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 3)))) for i in range(60)], "question_id long, t string")
+    a = answers.select("question_id", normalize_answer(F.col("t")).alias("an"), numbers(F.col("t")).alias("ann"))
+    texts = spark.createDataFrame([(f"c{i}", " ".join(r.choices(words, k=r.randint(0, 8))), 1, 1) for i in range(50)], "chunk_id string, text string, year int, month int")
+    p = E.prepare_chunks(texts)
+    want = a.crossJoin(p).filter(appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers"))).select("question_id", "chunk_id")
+    got = containment.holders(a, p, slab)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+
+
+def test_no_pairs_of_questions_and_chunks(spark):
+    g = gold(spark, ("100", [(2024, 3)]), ("100", []))
+    plan = E.relevant_chunks(g, E.prepare_chunks(chunks(spark)))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize(
@@ -93,4 +120,4 @@ def test_published_metrics_follow_from_their_sums(spark, hits, ranks, found, cla
 
 def test_judge_prompt_clips(spark):
     p = spark.range(1).select(E.judge_prompt(F.lit("q"), F.lit("a"), F.array(F.lit("x " * 5000)), F.lit("g")).alias("p")).first()["p"]
-    assert "[Source 1] x x" in p and len(p) < 5000
+    assert "(1) x x" in p and len(p) < 5000

@@ -1,6 +1,8 @@
 """Reading, settings, and whole runs over a small folder of documents."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -25,6 +27,7 @@ def project(tmp_path):
     raw = {
         "data_dir": str(data), "csv_path": str(tmp_path / "key.csv"), "selected_years": [2012, 2022], "vector_db_type": "parquet", "chunk_size": 20, "chunk_overlap": 2, "top_k": 2,
         "index_dir": str(tmp_path / "index"), "embedding": {"backend": "keyword", "words": ["receipts", "debt", "outlays", "june"]},
+        "generation": {"backend": "extractive", "request_sleep_seconds": 0, "retry_sleep_seconds": 0},
         "runs": {m: {"output_dir": str(tmp_path / m), "metadata_enabled": m != "baseline"} for m in ("baseline", "engineered", "question_filter")},
     }
     return tmp_path, raw
@@ -123,17 +126,155 @@ def test_runs(spark, project, mode):
 
 def test_remote_backend(spark, project):
     _, raw = project
-    c = settings.run(raw | {"generation": {"backend": "remote", "allow_extractive_fallback": True, "max_retries": 0}}, "engineered")
+    c = settings.run(raw | {"generation": {"backend": "remote", "allow_extractive_fallback": True, "max_retries": 0, "request_sleep_seconds": 0}}, "engineered")
 
     def call(messages):
-        if "Debt" in messages[1]["content"].split("Retrieved")[0]:
-            raise ValueError("down")
+        if "Debt in" in messages[1]["content"].split("# Question")[1]:
+            raise ConnectionError("down")
         return "About 120 [S1]"
 
     got = {r.question_id: r.predicted_answer for r in pipelines.run_qa(spark, c, call=call).collect()}
     assert got["U1"] == "About 120 [S1]" and got["U2"].endswith("[S1]") and "500" in got["U2"]
 
 
+class Service(BaseHTTPRequestHandler):
+    """Embeds by length, answers with a citation, judges; refuses its first call."""
+
+    calls: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.calls.append((self.path, self.headers["Authorization"], body))
+        if len(self.calls) == 1:
+            self.send_response(429)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            return
+        if self.path == "/v1/embeddings":
+            out = {"data": [{"index": i, "embedding": [len(x), 1.0]} for i, x in enumerate(body["input"])][::-1]}
+        elif "response_format" in body:
+            out = {"choices": [{"message": {"content": None, "reasoning_content": '{"supported_claims": 1, "total_claims": 1, "correct_answer": true}'}}]}
+        else:
+            out = {"choices": [{"message": {"content": "Said [S1]"}}]}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(out).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_remote_service(spark, project, monkeypatch):
+    """Embedding, answering and judging over HTTP, with nothing but settings."""
+    tmp, raw = project
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    remote = {"backend": "remote", "base_url": f"http://127.0.0.1:{server.server_port}/v1", "api_key_env": "MY_KEY", "request_sleep_seconds": 0, "retry_sleep_seconds": 0}
+    c = settings.run(raw | {"embedding": remote | {"model_name": "e", "batch_size": 2}, "generation": remote | {"model": "g", "temperature": 0.5, "num_ctx": 99}}, "engineered")
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(ValueError, match="MY_KEY"):
+        pipelines.run_qa(spark, c)
+    monkeypatch.setenv("MY_KEY", "k")
+    got = pipelines.run_qa(spark, c).collect()
+    assert {r.predicted_answer for r in got} == {"Said [S1]"} and len(got) == 3
+    found = pipelines.run_evaluation(spark, c)
+    assert found["groundedness"] == 1.0 and found["factual_accuracy"] == 1.0
+    paths = {p for p, _, _ in Service.calls}
+    assert paths == {"/v1/embeddings", "/v1/chat/completions"} and {a for _, a, _ in Service.calls} == {"Bearer k"}
+    assert all(len(b["input"]) <= 2 and b["model"] == "e" for p, _, b in Service.calls if p == "/v1/embeddings")
+    asked = [b for p, _, b in Service.calls if p == "/v1/chat/completions" and "response_format" not in b]
+    assert all(b["model"] == "g" and b["temperature"] == 0.5 and b["num_ctx"] == 99 and b["max_tokens"] == 512 for b in asked)
+    server.shutdown()
+
+
+def test_resume_asks_only_what_is_left(spark, project):
+    tmp, raw = project
+    c = settings.run(raw | {"generation": {"backend": "remote", "request_sleep_seconds": 0}}, "engineered")
+    log = tmp / "asked"
+
+    def call(messages):
+        with open(log, "a") as f:
+            f.write("x")
+        return "Yes [S1]"
+
+    asked = lambda: len(log.read_text()) if log.exists() else 0
+    assert pipelines.run_qa(spark, c, call=call).count() == 3 and asked() == 3
+    assert pipelines.run_qa(spark, c, call=call, resume=True).count() == 3 and asked() == 3
+    path = f"{c['output_dir']}/answers-{pipelines.run_hash(c)}"
+    left = spark.read.parquet(path).filter("question_no <> 1").collect()  # as if one had been lost
+    spark.createDataFrame(left, spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+    again = pipelines.run_qa(spark, c, call=call, resume=True)
+    assert again.count() == 3 and asked() == 4 and {r.question_no for r in again.collect()} == {0, 1, 2}
+
+
+def test_index_that_does_not_agree(spark, project):
+    tmp, raw = project
+    c = settings.run(raw, "baseline")
+    pipelines.build_index(spark, c)
+    pipelines.check_index(spark, c["index_dir"])
+    path, said = tmp / "index" / "manifest.json", json.loads((tmp / "index" / "manifest.json").read_text())
+    for change, error in (({"index_backend": "x"}, "kind"), ({"chunk_count": 9}, "manifest says 9"), ({"embedding_dim": 5}, "manifest says 5")):
+        path.write_text(json.dumps(said | change))
+        (path.parent / ".manifest.json.crc").unlink(missing_ok=True)
+        with pytest.raises(readers.DataError, match=error):
+            pipelines.check_index(spark, c["index_dir"])
+
+
+def test_questions_that_cannot_be_searched(spark, project):
+    _, raw = project
+    c = settings.run(raw, "baseline")
+    pipelines.build_index(spark, c)
+    index, provider = pipelines.load_index(spark, c["index_dir"]), pipelines.embedder(c)
+    plans = lambda q: spark.createDataFrame([(0, q, None, None, [])], "query_id long, question string, year int, month int, date_pairs array<struct<year:int,month:int>>")
+    assert pipelines.search(plans("receipts"), index, c, provider, None).count() == 2 == pipelines.search(plans("receipts"), index, c, provider, 0).count()
+    assert pipelines.search(plans("receipts"), index, c, provider, 1).count() == 1
+    with pytest.raises(ValueError, match="negative"):
+        pipelines.search(plans("x"), index, c, provider, -1)
+    with pytest.raises(Exception, match="must not be empty"):
+        pipelines.search(plans(" \t"), index, c, provider).collect()
+
+
+def test_documents_without_chunks(spark, project):
+    docs = spark.createDataFrame([("p", 0, 2020, 1, "a b"), ("q", 1, 2020, 1, " \n ")], "source_path string, doc_pos long, year int, month int, text string")
+    with pytest.raises(Exception, match="no chunks in document q"):
+        pipelines.chunk_table(docs, {"chunk_size": 5, "chunk_overlap": 0}).collect()
+
+
+def test_a_judge_that_fails_is_told_of(spark, project):
+    tmp, raw = project
+    c = settings.run(raw | {"generation": {"backend": "extractive", "max_retries": 1, "retry_sleep_seconds": 0, "request_sleep_seconds": 0}}, "baseline")
+    pipelines.run_qa(spark, c)
+    error = tmp / "baseline" / "judge_error.json"
+    with pytest.raises(Exception, match="can't be read: nothing"):
+        pipelines.run_evaluation(spark, c, lambda prompt: "nothing")
+    assert "nothing" in json.loads(error.read_text())["error"] and not (tmp / "baseline" / "metrics.json").exists()
+    pipelines.run_evaluation(spark, c, lambda prompt: {"output_text": "{}"})
+    assert not error.exists() and (tmp / "baseline" / "metrics.json").exists()
+    with pytest.raises(ValueError, match="recorded verdicts"):
+        pipelines.run_evaluation(spark, c)
+
+
+def test_rows_are_numbered_in_order(spark, tmp_path, monkeypatch):
+    """Over ranges of a sorted column, and over the files of a table of rows."""
+    monkeypatch.setattr(readers, "RANGE_ROWS", 7)
+    values = [f"v{i * 7919 % 100:03d}" for i in range(100)] + ["v005"]
+    got = readers.sorted_numbers(spark.createDataFrame([(v,) for v in values], "v string"), "v", "n").collect()
+    assert {r.v: r.n for r in got} == {v: i for i, v in enumerate(sorted(set(values)))}
+    (tmp_path / "t").mkdir()
+    for k, rows in (("a", [0, 1, 2]), ("b", [3]), ("c", [4, 5])):
+        (tmp_path / "t" / f"{k}.csv").write_text("x\n" + "".join(f'"{i}\n"\n' for i in rows))
+    assert {r.x.strip(): r._row for r in readers.csv(spark, str(tmp_path / "t")).collect()} == {str(i): i for i in range(6)}
+
+
+def test_other_years_are_not_read(spark, project):
+    """The filter on paths reaches the listing: a blank file of another year isn't opened."""
+    _, raw = project
+    d = readers.documents(spark, raw["data_dir"], [2012])
+    assert "PartitionFilters" in (plan := d._jdf.queryExecution().executedPlan().toString()) or "DataFilters" in plan
+    read = spark.read.option("recursiveFileLookup", True).text(raw["data_dir"], wholetext=True).filter("_metadata.file_path LIKE '%2012_06%'")
+    assert read.count() == 1 and d.count() == 1
+
+
 def test_stream(spark, project):
     tmp, raw = project
     e = providers.KeywordEmbedder(["receipts"])
