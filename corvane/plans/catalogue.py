@@ -6,28 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import providers
-from ..functions import dates, matching, text
-from ..operators import answering, chunking, evaluation, retrieval, vectors
+from ..functions import dates, judging, matching, text
+from ..operators import answering, chunking, containment, evaluation, retrieval, vectors
 from ..sources.readers import spread
+from . import pipelines
+from .registry import ORACLES, QUERIES, query  # noqa: F401  this module fills them
 
 SIZE, OVERLAP, K, BUDGET = 512, 50, 5, 1000
-YEARS = [2000, 2001]
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
+YEARS = [2006, 2009]
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -170,13 +156,14 @@ def extract_year_month_names(spark, sf):
 
 
 def _asked():
-    return F.concat(F.lit("What did order "), F.col("o_orderkey").cast("string"), F.lit(" come to in "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit("?"))
+    """Ten years after the order, so that the year is of the century that questions are read for."""
+    return F.concat(F.lit("What did order "), F.col("o_orderkey").cast("string"), F.lit(" come to in "), F.date_format(F.add_months("o_orderdate", 120), "MMMM yyyy"), F.lit("?"))
 
 
 _ASKED_SQL = r"""
-q AS (SELECT *, 'What did order ' || o_orderkey || ' come to in ' || strftime(o_orderdate, '%B %Y') || '?' AS question FROM orders),
+q AS (SELECT *, 'What did order ' || o_orderkey || ' come to in ' || strftime(o_orderdate + INTERVAL 10 YEAR, '%B %Y') || '?' AS question FROM orders),
 y AS (SELECT *, list_transform(regexp_extract_all(question, '\b(20\d{2})\b', 1), lambda v: v::INT) AS ys FROM q),
-d AS (SELECT *, coalesce(list_filter(ys, lambda v: v IN (2000, 2001))[1], ys[1]) AS det FROM y)"""
+d AS (SELECT *, coalesce(list_filter(ys, lambda v: v IN (2006, 2009))[1], ys[1]) AS det FROM y)"""
 
 
 @query(f"WITH {_ASKED_SQL} SELECT o_orderkey, det AS year, CASE WHEN det IS NOT NULL THEN month(o_orderdate)::INT END AS month FROM d")
@@ -203,7 +190,7 @@ def plan_coalesce(spark, sf):
     return retrieval.plan(q, "source_filter", YEARS).select("o_orderkey", "detected_year", "detected_month", F.size("date_pairs").alias("n_pairs"))
 
 
-@query("""SELECT o_orderkey, greatest(year(o_orderdate), CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN o_orderkey ELSE 0 END)::INT AS row_year,
+@query("""SELECT o_orderkey, greatest(year(o_orderdate) + 10, CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN o_orderkey ELSE 0 END)::INT AS row_year,
   month(o_orderdate)::INT AS row_month FROM orders""")
 def row_dates(spark, sf):
     ym = dates.row_year_month(_asked(), F.array().cast(dates.PAIRS))
@@ -240,7 +227,6 @@ def _sentences(c: str) -> str:
     return f"list_filter(list_transform(string_split_regex({marked}, '[\\x01\\n]+'), lambda x: {_collapse('x')}), lambda x: x <> '')"
 
 
-
 @query(f"WITH s AS (SELECT doc_id, {_sentences('text')} AS s FROM documents) SELECT doc_id, len(s)::INT AS n, md5(array_to_string(s, '|')) AS digest FROM s")
 def sentence_split(spark, sf):
     d = wide(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
@@ -373,10 +359,13 @@ def topk_empty_filter(spark, sf):
     return plans.select("query_id").join(hits, "query_id", "left").fillna(0, ["n_hits"])
 
 
-@query("SELECT count(*) AS chunk_count, count(DISTINCT label) AS document_count, max(len(embedding))::INT AS embedding_dim, TRUE AS consistent FROM embeddings")
+@query("""SELECT count(*) AS chunk_count, count(DISTINCT label) AS document_count, max(len(embedding))::INT AS embedding_dim, 'parquet_flat_ip' AS index_backend,
+  'hash' AS embedding_backend, 7 AS top_k, TRUE AS normalize_embeddings FROM embeddings""")
 def index_manifest(spark, sf):
-    e = t(spark, sf, "embeddings")
-    return e.agg(F.count(F.lit(1)).alias("chunk_count"), F.count_distinct("label").alias("document_count"), F.max(F.size("embedding")).alias("embedding_dim"), (F.count("embedding") == F.count(F.lit(1))).alias("consistent"))
+    index = t(spark, sf, "embeddings").select(F.struct(F.col("label").cast("string").alias("source_path")).alias("metadata"), F.col("embedding").alias("vector"))
+    config = {"vector_db_type": "parquet", "chunk_size": SIZE, "chunk_overlap": OVERLAP, "top_k": 7, "selected_years": YEARS, "document_years": YEARS, "data_dir": "d", "embedding": {"normalize": True}}
+    row = pipelines.manifest(index, config, providers.HashEmbedder(64))
+    return row.select("chunk_count", "document_count", "embedding_dim", "index_backend", "embedding_backend", "top_k", "normalize_embeddings")
 
 
 # ---------------------------------------------------------------- answers against texts
@@ -402,9 +391,9 @@ def answer_match(spark, sf):
 @query(f"""WITH d AS (SELECT doc_id, {_norm('text')} AS n FROM documents), b AS (SELECT item_id, {_norm('text')} AS n FROM benchmark)
 SELECT item_id, doc_id FROM d JOIN b ON b.n <> '' AND contains(d.n, b.n)""")
 def answer_contains_join(spark, sf):
-    gold = t(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("gold_answer"), F.array().cast(dates.PAIRS).alias("pairs"))
-    held = evaluation.relevant_chunks(gold, evaluation.prepare_chunks(_doc_chunks(spark, sf)))
-    return held.filter("matched").select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
+    answers = t(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), text.normalize_answer(F.col("text")).alias("an"), text.numbers(F.col("text")).alias("ann"))
+    held = containment.holders(answers, evaluation.prepare_chunks(_doc_chunks(spark, sf)))
+    return held.select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
 
 
 def _doc_chunks(spark, sf):
@@ -463,39 +452,53 @@ def answer_key_fallback(spark, sf):
 @query(f"""WITH h AS ({_topk("TRUE")}), l AS (SELECT vec_id, label FROM embeddings), n AS (SELECT label, count(*) AS n FROM l GROUP BY label),
 j AS (SELECT h.query_id, h.rank, q.label = c.label AS good FROM h JOIN l q ON q.vec_id = h.query_id JOIN l c ON c.vec_id = h.pos),
 g AS (SELECT query_id, bool_or(good) AS hit, min(CASE WHEN good THEN rank END) AS first, count(*) FILTER (good) AS found FROM j GROUP BY query_id)
-SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, round(sum(found)::DOUBLE / sum(n), 6) AS recall
+SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, round(sum(found)::DOUBLE / sum(n), 6) AS recall,
+  count(*) FILTER (hit) AS docs_found
 FROM g JOIN l ON l.vec_id = g.query_id JOIN n ON n.label = l.label""")
 def hit_mrr_recall(spark, sf):
     e = t(spark, sf, "embeddings")
     hits = retrieval.retrieve(_plans(spark, sf), _chunks(spark, sf), K)
     got = answering.collect_hits(hits, ["pos"], "query_id").select(F.col("query_id").alias("question_id"), F.transform("hits", lambda h: h["pos"]).alias("ids"))
     one = F.array(F.struct(F.col("label").alias("year"), F.lit(1).alias("month")))
-    gold = e.select(F.col("vec_id").alias("question_id"), one.alias("pairs"), "label")
-    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("year"), F.lit(1).alias("month"), F.col("vec_id").alias("pos"))
-    relevant = gold.select("question_id", "label").join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("question_id", "chunk_id")
+    # Gold answers that no chunk holds: then all chunks of a question's dates are relevant.
+    gold = e.select(F.col("vec_id").alias("question_id"), one.alias("pairs"), F.lit("nowhere").alias("gold_answer"))
+    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("year"), F.lit(1).alias("month"), F.col("vec_id").alias("pos"), F.lit("x").alias("text"))
+    relevant = evaluation.relevant_chunks(gold, evaluation.prepare_chunks(chunks))
     s = evaluation.retrieval_scores(got, chunks, relevant, gold)
-    m = s.agg(F.avg("hit").alias("hit_rate"), F.avg("reciprocal_rank").alias("mrr"), evaluation.ratio(F.sum("relevant_found"), F.sum("total_relevant"), 0.0).alias("recall"))
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+    m = s.agg(F.avg("hit").alias("hit_rate"), F.avg("reciprocal_rank").alias("mrr"), evaluation.ratio(F.sum("relevant_found"), F.sum("total_relevant"), 0.0).alias("recall"), F.sum("correct_docs_found").alias("docs_found"))
+    return m.select(*[F.round(c, 6).alias(c) if c != "docs_found" else F.col(c) for c in m.columns])
 
 
 @query("""SELECT round(sum(quality)::DOUBLE / count(*), 9) AS groundedness, round(sum(quality)::DOUBLE / count(*), 9) AS factual_accuracy, round(sum(toxic)::DOUBLE / count(*), 9) AS hallucination_rate,
-  0.0::DOUBLE AS recall FROM labels""")
+  round(sum(toxic)::DOUBLE / sum(quality + 1), 9) AS recall FROM labels""")
 def claim_ratios(spark, sf):
-    zero, one = F.lit(0), F.lit(1)
-    d = t(spark, sf, "labels").select(F.lit(0.0).alias("hit"), F.lit(0.0).alias("reciprocal_rank"), zero.alias("relevant_found"), zero.alias("total_relevant"), F.col("quality").alias("supported_claims"), one.alias("total_claims"), F.col("toxic").alias("fabricated_claims"), F.col("quality").alias("correct_answer"))
+    one = F.lit(1)
+    d = t(spark, sf, "labels").select(F.lit(0.0).alias("hit"), F.lit(0.0).alias("reciprocal_rank"), F.col("toxic").alias("relevant_found"), (F.col("quality") + 1).alias("total_relevant"), F.col("quality").alias("supported_claims"), one.alias("total_claims"), F.col("toxic").alias("fabricated_claims"), F.col("quality").alias("correct_answer"))
     return evaluation.metrics(d).select(*[F.round(c, 9).alias(c) for c in ("groundedness", "factual_accuracy", "hallucination_rate", "recall")])
 
 
-@query("SELECT doc_id, quality::INT AS supported_claims, quality + toxic AS total_claims, toxic::INT AS fabricated_claims, quality::INT AS correct_answer FROM labels")
+@query("""SELECT doc_id, quality::INT AS supported_claims, (CASE doc_id % 6 WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE quality + toxic END)::INT AS total_claims,
+  (CASE doc_id % 6 WHEN 4 THEN 0 ELSE toxic END)::INT AS fabricated_claims, (CASE doc_id % 6 WHEN 3 THEN 0 ELSE quality END)::INT AS correct_answer FROM labels WHERE doc_id % 6 <> 5""")
 def judge_coercion(spark, sf):
-    yes, n = F.when(F.col("quality") == 1, "yes").otherwise("no"), F.col("quality") + F.col("toxic")
-    reply = F.concat(F.lit('Here it is: {"supported_claims": "'), F.col("quality"), F.lit('", "total_claims": {"count": ['), n, F.lit(']}, "fabricated_claims": '), F.col("toxic"), F.lit('.0, "correct_answer": ["'), yes, F.lit('"]}'))
-    said = providers.judge(t(spark, sf, "labels").withColumn("prompt", reply), _echo)
-    return said.select("doc_id", "verdict.supported_claims", "verdict.total_claims", "verdict.fabricated_claims", "verdict.correct_answer")
-
-
-def _echo(prompt: str) -> str:
-    return prompt
+    """Replies of many shapes, read by expressions alone; one in six can't be read and gives nothing."""
+    q, x, n = F.col("quality").cast("string"), F.col("toxic").cast("string"), (F.col("quality") + F.col("toxic")).cast("string")
+    yes = F.when(F.col("quality") == 1, "Yes").otherwise("incorrect")
+    shape = lambda s, t, f, c: F.concat(F.lit('{"supported_claims": '), *s, F.lit(', "total_claims": '), *t, F.lit(', "fabricated_claims": '), *f, F.lit(', "correct_answer": '), *c, F.lit("}"))
+    lit = F.lit
+    said = [
+        shape([lit('"'), q, lit('"')], [lit('{"count": ['), n, lit("]}")], [x, lit(".0")], [lit('["'), yes, lit('"]')]),
+        F.concat(lit("Here it is: "), shape([lit("["), q, lit("]")], [lit('{"total": {"value": "'), n, lit('"}}')], [lit('{"count": '), x, lit("}")], [lit('{"is_correct": '), q, lit("}")]), lit("\nDone.")),
+        shape([q], [lit('{"claims": ["a", "b", "c"]}')], [F.when(F.col("toxic") == 1, "true").otherwise("false")], [q, lit(".4")]),
+        shape([q, lit(".9")], [lit("null")], [lit('" '), x, lit('"')], [lit("null")]),
+        shape([lit("["), F.when(F.col("quality") == 1, '{"a": 1}').otherwise(""), lit("]")], [n], [lit("-3")], [lit('{"correct": {"value": '), q, lit("}}")]),
+        shape([lit('"several"')], [n], [x], [q]),
+    ]
+    reply = said[5]
+    for k in range(5):
+        reply = F.when(F.col("doc_id") % 6 == k, said[k]).otherwise(reply)
+    part = F.to_json(F.struct(F.array(F.struct(F.struct(reply.alias("content")).alias("message"))).alias("choices")))
+    told = t(spark, sf, "labels").select("doc_id", judging.verdict(judging.reply_text(part)).alias("v"))
+    return told.filter("v IS NOT NULL").select("doc_id", "v.*")
 
 
 # ---------------------------------------------------------------- answers
@@ -519,7 +522,7 @@ def context_budget(spark, sf):
 
 
 @query(f"""WITH {_TURNS}, b AS (SELECT conv_id, string_agg('[' || label || '] ' || citation || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM s GROUP BY conv_id)
-SELECT conv_id, 2 AS n_messages, md5('Question:' || chr(10) || 'Conversation ' || conv_id || '?' || chr(10) || chr(10) || 'Retrieved context:' || chr(10) || context || chr(10) || chr(10) || 'Return only the grounded answer with citations, or NOT_FOUND.') AS digest FROM b""")
+SELECT conv_id, 2 AS n_messages, md5('# Excerpts' || chr(10) || chr(10) || context || chr(10) || chr(10) || '# Question' || chr(10) || chr(10) || 'Conversation ' || conv_id || '?') AS digest FROM b""")
 def prompt_messages(spark, sf):
     b = answering.context_blocks(answering.snippets(_turns(spark, sf), BUDGET, answering.BASE_FIELDS, "conv_id"), "conv_id")
     m = b.select("conv_id", answering.messages(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"), F.lit("?")), F.col("context")).alias("m"))
@@ -575,29 +578,16 @@ def source_pairs(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.size(dates.source_date_pairs(named, year, own)).alias("n"))
 
 
-@query(f"""SELECT conv_id, turn, length('[Source 1] ' || substr({_collapse('text')}, 1, 4000)) + length('[Source 2] again') + 2 AS n FROM conversations""")
+_TASK = evaluation.JUDGE_TASK.replace("'", "''")
+
+
+@query(f"""SELECT conv_id, turn, md5(concat_ws(chr(10) || chr(10), '{_TASK}', '# Question', 'q' || turn, '# Expected', 'g', '# Given', role, '# Passages', '(1) ' || substr({_collapse('text')}, 1, 4000), '(2) again')) AS digest FROM conversations""")
 def judge_prompts(spark, sf):
-    contexts = F.array(F.col("text"), F.lit("again"))
-    prompt = evaluation.judge_prompt(F.lit("q"), F.lit("a"), contexts, F.lit("g"))
-    return t(spark, sf, "conversations").select("conv_id", "turn", (F.length(F.substring_index(prompt, "Sources:\n", -1)) - 1).cast("long").alias("n"))
+    prompt = evaluation.judge_prompt(F.concat(F.lit("q"), F.col("turn")), F.col("role"), F.array(F.col("text"), F.lit("again")), F.lit("g"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.md5(prompt).alias("digest"))
 
 
 @query(f"SELECT doc_id, len({_tokens('text')})::INT AS n_tokens, len(list_distinct({_terms('text', 2)}))::INT AS n_terms FROM documents")
 def token_and_term_counts(spark, sf):
     d = wide(spark, sf, "documents")
     return d.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(text.terms(F.col("text"), 2)).alias("n_terms"))
-
-
-@query("SELECT DISTINCT item_id FROM benchmark")
-def extractive_qa(spark, sf):
-    """The whole way offline: documents chunked, hashed to vectors, retrieved for every benchmark text, answered."""
-    docs = wide(spark, sf, "documents").select((F.col("doc_id") * 1).alias("doc_pos"), F.concat(F.lit("d/"), F.col("doc_id")).alias("source_path"), F.lit(2024).alias("year"), F.lit(1).alias("month"), "text")
-    chunks = chunking.chunk_documents(docs, SIZE, OVERLAP).select("text", (F.col("doc_pos") * 10_000_000 + F.col("chunk_no")).alias("pos"))
-    provider = providers.HashEmbedder(64)
-    index = providers.embed(chunks, provider)
-    asked = providers.embed(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), provider, "question")
-    hits = vectors.top_k(asked, index, K).join(chunks, "pos")
-    held = answering.collect_hits(hits, ["text"], "query_id")
-    rows = asked.select("query_id", "question").join(held, "query_id", "left")
-    answered = rows.select(F.col("query_id").alias("item_id"), answering.extractive(F.col("hits"), F.col("question")).alias("answer"))
-    return answered.filter(text.has_citation(F.col("answer"))).select("item_id")
