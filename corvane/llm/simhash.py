@@ -26,6 +26,8 @@ from .common import drop_table, materialise, small_batches, table
 SHINGLE, SEED, BITS, MAX_DIFF = 3, 42, 64, 2
 POSITIONS = BITS // 8
 MIN_MATCHES = POSITIONS - MAX_DIFF
+#: Links in a written part.
+PART_LINKS = 200_000
 #: Rows of a posting list that are tallied pair by pair; rows that a worker takes at a time.
 LIST_ROWS, CHUNK_ROWS = 256, 32_768
 
@@ -218,27 +220,32 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node to its least neighbour, follows that pointer once more, and contracts the links.
     The order of nodes is hashed anew each round, so chains contract by a constant factor. Each round is written to
-    the shared folder; nothing but the number of links left comes to the driver.
+    the shared folder, in as many parts as its measured number of links asks for; nothing but that number comes to the
+    driver.
     """
-    maps, edges, turn = [], links, 0
-    while not edges.isEmpty():
+    maps, edges, turn, written = [], links, 0, None
+    while n := edges.count():
+        put = lambda df, name, parts=-(-2 * n // PART_LINKS): materialise(df.coalesce(parts), name)
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("h"), c.alias("n"))
         to = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
-        to = materialise(to.select(F.col("a").alias("node"), F.least(F.col("m"), rank(F.col("a")))["n"].alias("to")), "simhash-point")
+        to = put(to.select(F.col("a").alias("node"), F.least(F.col("m"), rank(F.col("a")))["n"].alias("to")), "simhash-point")
         far = to.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        step = materialise(to.join(far, "to").select("node", F.col("far").alias("to")), "simhash-step")
+        step = put(to.join(far, "to").select("node", F.col("far").alias("to")), "simhash-step")
         drop_table(to)
         maps.append(step)
         ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = materialise(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-edges")
+        edges = put(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-edges")
+        if written is not None:
+            drop_table(written)
+        written = edges
         turn += 1
     if not maps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     root = maps[-1].withColumnRenamed("to", "root")
     for step in reversed(maps[:-1]):
         up = root.select(F.col("node").alias("to"), "root")
-        root = materialise(step.join(up, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "simhash-roots")
+        root = materialise(step.join(up, "to", "left").select("node", F.coalesce("root", "to").alias("root")).coalesce(-(-step.count() // PART_LINKS)), "simhash-roots")
     return root
 
 
