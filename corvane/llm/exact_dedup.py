@@ -30,14 +30,16 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split moves each text once; later ones move only texts that still share a group.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    alive = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    width, norm, done, before = first, lambda c: ascii_lower(c).cast("binary"), [], None
+    alive = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.lit(0).cast("long").alias("_group"))
+    seen, width, norm, done, by = 0, first, lambda c: ascii_lower(c).cast("binary"), [], ["_group", "_key", "_ended"]
     while True:
-        # The first bytes after lower-casing are those of the first characters: whole texts needn't be lowered for that.
-        head = norm(F.substring("_text", 1, width)) if before is None else F.col("_text")
-        keyed = alive.select("_id", "_text", F.substring(head, 1, width).alias("_key"), (F.octet_length("_text") <= width).alias("_ended"))
-        shared = materialise(keyed.groupBy("_key", "_ended").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).filter("_n > 1"), "radix-groups")
-        joined = keyed.join(shared.hint("shuffle_hash"), ["_key", "_ended"], "left")
+        # A split's key is the number of the group so far and the bytes that follow those it agrees in. The first bytes
+        # after lower-casing are those of the first characters: whole texts needn't be lowered for that.
+        head = norm(F.substring("_text", 1, width)) if not seen else F.col("_text")
+        keyed = alive.select("_id", "_text", "_group", F.substring(head, seen + 1, width - seen).alias("_key"), (F.octet_length("_text") <= width).alias("_ended"))
+        several = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).filter("_n > 1")
+        shared = materialise(several.withColumn("_next", F.monotonically_increasing_id()), "radix-groups")
+        joined = keyed.join(shared.hint("shuffle_hash"), by, "left")
         body, settled = norm(F.col("_text")), F.col("_n").isNull() | F.col("_ended")
         split = materialise(
             joined.select(
@@ -46,15 +48,16 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 F.coalesce("_n", F.lit(1)).cast("long").alias("_n"),
                 F.when(settled, F.sha2(body, 256)).alias("_sha"),
                 F.when(~settled, body).alias("_text"),
+                F.col("_next").alias("_group"),
             ),
             "radix-split",
         )
         drop_table(shared)
         done.append(split.filter("_sha IS NOT NULL"))
-        before, alive = split, split.filter("_sha IS NULL").select("_id", "_text")
+        alive = split.filter("_sha IS NULL").select("_id", "_text", "_group")
         if alive.isEmpty():
             break
-        width, norm = width * growth, lambda c: c
+        seen, width, norm = width, width * growth, lambda c: c
     rows = done[0]
     for x in done[1:]:
         rows = rows.unionByName(x)
@@ -68,6 +71,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents with their groups of equal texts; null counts as empty, other columns are ignored."""
     return radix_groups(table(spark, sf_dir, "documents"))
 
 
