@@ -20,6 +20,8 @@ BLOCK_WORDS = 128
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Slots that one output shard takes at most; there are OUT_SHARDS shards at least.
 SHARD_SLOTS, OUT_SHARDS, SEED = 250_000, 32, 20240
+#: Tasks that draw slots; each draws those of as many output shards as it takes.
+MOST_TASKS = 4096
 
 
 def fill_targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -38,17 +40,38 @@ def fill_targets(sizes: list[int], weights: list[float], share: float = SHARE, m
     return target
 
 
+def _draw(left: np.ndarray, need: int, rng) -> np.ndarray:
+    """Multinomial counts that sum to need, none above what is left of its source."""
+    got = np.zeros_like(left)
+    while need and (left > got).any():
+        rest = left - got
+        more = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
+        got += more
+        need -= int(more.sum())
+    return got
+
+
+def shard_slots_of(totals: np.ndarray, shards: int, seed: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """From and to which slot of each source one output shard takes.
+
+    All shards' slots are halved again and again; how many of each source fall into the left half is a multinomial draw
+    that depends on the seed and the half alone. So a task draws its own shard's counts, and all shards' together sum to
+    totals, with no list of all draws anywhere.
+    """
+    first, n, lo, left = 0, shards, np.zeros(len(totals), np.int64), totals.astype(np.int64)
+    while n > 1:
+        half = n // 2
+        got = _draw(left, int(left.sum()) * half // n, np.random.default_rng([seed, first, n]))
+        if shard < first + half:
+            n, left = half, got
+        else:
+            first, n, lo, left = first + half, n - half, lo + got, left - got
+    return lo, lo + left
+
+
 def draw_counts(totals: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Multinomial counts per output shard (shards x sources), whose sums over all shards are totals."""
-    rng, left, out = np.random.default_rng(seed), totals.astype(np.int64).copy(), np.zeros((shards, len(totals)), np.int64)
-    for o in range(shards):
-        need = int(left.sum() // (shards - o))
-        while need and left.any():
-            got = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            out[o] += got
-            left -= got
-            need -= int(got.sum())
-    return out
+    return np.stack([np.subtract(*shard_slots_of(totals, shards, seed, o)[::-1]) for o in range(shards)])
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -69,17 +92,20 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(seed: int):
+def _slots(totals: np.ndarray, blocks: np.ndarray, shards: int, seed: int):
     def run(batches):
         for b in batches:
-            for o, s, n, lo, hi in zip(*(b.column(c).to_pylist() for c in ("out_shard", "source", "blocks", "lo", "hi"))):
-                for at in range(lo, hi, 65_536):
-                    slot = np.arange(at, min(at + 65_536, hi), dtype=np.int64)
-                    epoch, block = slot // n, np.empty(len(slot), np.int64)
-                    for e in np.unique(epoch):
-                        one = epoch == e
-                        block[one] = permute(slot[one] - e * n, n, (seed * 1_000_003 + s) * 1_009 + int(e))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), o, np.int32)), pa.array(np.full(len(slot), s, np.int32)), pa.array(slot), pa.array(epoch.astype(np.int32)), pa.array(block)], ["out_shard", "_s", "slot", "epoch", "_block"])
+            for o in b.column("id").to_pylist():
+                los, his = shard_slots_of(totals, shards, seed, o)
+                for s in np.flatnonzero(his > los).tolist():
+                    n = int(blocks[s])
+                    for at in range(int(los[s]), int(his[s]), 65_536):
+                        slot = np.arange(at, min(at + 65_536, int(his[s])), dtype=np.int64)
+                        epoch, block = slot // n, np.empty(len(slot), np.int64)
+                        for e in np.unique(epoch):
+                            one = epoch == e
+                            block[one] = permute(slot[one] - e * n, n, (seed * 1_000_003 + s) * 1_009 + int(e))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), o, np.int32)), pa.array(np.full(len(slot), s, np.int32)), pa.array(slot), pa.array(epoch.astype(np.int32)), pa.array(block)], ["out_shard", "_s", "slot", "epoch", "_block"])
 
     return run
 
@@ -110,12 +136,8 @@ def mix(measured: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, sh
     blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
     totals = np.array([min(round(t * n / s), math.floor(most * n)) if s else 0 for t, n, s in zip(target, blocks.tolist(), sizes)], np.int64)
     shards = max(out_shards, -(-int(totals.sum()) // shard_slots))
-    counts = draw_counts(totals, shards, seed)
-    ends = counts.cumsum(0)
-    draws = [(o, s, int(blocks[s]), int(ends[o, s] - counts[o, s]), int(ends[o, s])) for o, s in zip(*np.nonzero(counts))]
     sources = spark.createDataFrame([(r["_source"], k, r["s"], float(target[k])) for k, r in enumerate(found)], "_source string, _s int, source_size long, target double")
-    draws = spark.createDataFrame([tuple(map(int, d)) for d in draws], "out_shard int, source int, blocks long, lo long, hi long")
-    slots = draws.repartition("out_shard").mapInArrow(_slots(seed), "out_shard int, _s int, slot long, epoch int, _block long")
+    slots = spark.range(0, shards, 1, min(shards, MOST_TASKS)).mapInArrow(_slots(totals, blocks, shards, seed), "out_shard int, _s int, slot long, epoch int, _block long")
     ranges = max(1, math.isqrt(n_rows))
     rows = measured.filter("_size > 0").select("_rid", "_id", "_h", "_size", "_source").join(F.broadcast(sources.select(F.col("_source").alias("_name"), "_s")), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name", "_source")
     rows = rows.withColumn("_range", F.pmod(F.xxhash64("_h", "_id"), F.lit(ranges)).cast("int"))
@@ -130,6 +152,7 @@ def mix(measured: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, sh
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of them; null texts have none."""
     measured = measure(table(spark, sf_dir, "documents"))
     pieces, sources = mix(measured)
     taken = pieces.groupBy("_rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
