@@ -8,6 +8,7 @@ gain or lose a block are written again.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -114,11 +115,12 @@ def reshard(docs: DataFrame, old_col: str = "_old", id_col: str = "doc_id", text
     """One row per row of docs: id, size, text_crc32, old_shard, block, shard, slot.
 
     old_col names the old shard (any type; null is a shard of its own). Old shard k, in order, and new shard k are
-    the same place, so its bytes stay there for nothing; any other arc costs one a byte. capacity gives the new
-    shards' relative sizes (default: equal). size: UTF-8 bytes of the text plus 8; null texts count none and have
-    the checksum of the empty text. slot: from 0 in each shard without gaps, by (sub-range, id). Repeated rows and
-    null ids are rows like any other. An empty table gives an empty result. Old shards and blocks are what the
-    driver holds; their number doesn't grow with the rows.
+    the same place, so its bytes stay there for nothing; any other arc costs one a byte. Old shards beyond the new ones
+    have no place of their own: their bytes cost the same wherever they go, so they count as one, old shard n_shards.
+    capacity gives the new shards' relative sizes (default: equal). size: UTF-8 bytes of the text plus 8; null texts
+    count none and have the checksum of the empty text. slot: from 0 in each shard without gaps, by (sub-range, id).
+    Repeated rows and null ids are rows like any other; rows alike in id and text go to one block. An empty table gives
+    an empty result. The driver holds the first n_shards old shards and the blocks, whatever the number of files.
 
     No window holds a shard: shards are cut into about sqrt(rows) ranges, whose counts are summed first.
     """
@@ -138,19 +140,26 @@ def placing(docs: DataFrame, old_col: str, id_col: str, text_col: str, n_shards:
     """
     spark = docs.sparkSession
     rows = materialise(_measured(docs, old_col, id_col, text_col), "reshard-rows")
-    shards = sorted(rows.groupBy("_old").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["_old"] is None, r["_old"] or ""))
-    total, n_rows = sum(r["s"] for r in shards), sum(r["n"] for r in shards)
-    cuts = [max(1, min(r["n"] * 4, round(blocks * r["s"] / total))) for r in shards]
-    names = spark.createDataFrame([(r["_old"], k, cuts[k]) for k, r in enumerate(shards)], "_name string, _k int, _cuts int")
-    in_block = lambda rows: rows.join(F.broadcast(names), F.col("_old").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod(F.xxhash64("_id", "_crc", "_size"), F.col("_cuts").cast("long")).cast("int")).drop("_name", "_cuts")
+    share = np.asarray(capacity if capacity is not None else [1.0] * n_shards)
+    whole = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    total, n_rows = whole["s"], whole["n"]
+    known = [(r["_old"], r["s"], r["n"]) for r in rows.groupBy("_old").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).orderBy(F.col("_old").asc_nulls_last()).limit(len(share)).collect()]
+    cut = lambda size, n: max(1, min(n * 4, round(blocks * size / max(1, total))))
+    other = len(share), cut(total - sum(s for _, s, _ in known), n_rows - sum(n for _, _, n in known))
+    names = spark.createDataFrame([(name, k, cut(size, n)) for k, (name, size, n) in enumerate(known)], "_name string, _k int, _cuts int")
+
+    def in_block(rows: DataFrame) -> DataFrame:
+        placed = rows.join(F.broadcast(names), F.col("_old").eqNullSafe(F.col("_name")), "left")
+        placed = placed.withColumns({"_k": F.coalesce("_k", F.lit(other[0])), "_cuts": F.coalesce("_cuts", F.lit(other[1]))})
+        return placed.withColumn("_block", F.pmod(F.xxhash64("_id", "_crc", "_size"), F.col("_cuts").cast("long")).cast("int")).drop("_name", "_cuts")
+
     placed = in_block(rows)
     sizes = placed.groupBy("_k", "_block").agg(F.sum("_size").alias("s")).orderBy("_k", "_block").collect()
     old, size = np.array([r["_k"] for r in sizes], np.int64), np.array([r["s"] for r in sizes], np.int64)
-    share = np.asarray(capacity if capacity is not None else [1.0] * n_shards)
     caps = np.floor(total * share / share.sum()).astype(np.int64)
     caps[: total - caps.sum()] += 1
-    supply = np.bincount(old, weights=size, minlength=len(shards)).astype(np.int64)
-    cost = 1 - np.eye(len(shards), len(share), dtype=np.int64)
+    supply = np.bincount(old, weights=size, minlength=len(share) + 1).astype(np.int64)
+    cost = 1 - np.eye(len(share) + 1, len(share), dtype=np.int64)
     new = place_blocks(old, size, min_cost_flow(supply, caps, cost), caps) if len(old) else old
     where = spark.createDataFrame([(int(k), int(r["_block"]), int(j)) for k, r, j in zip(old, sizes, new)], "_k int, _block int, shard int")
     ranges = max(1, math.isqrt(n_rows // len(share)) // 4)
@@ -167,24 +176,26 @@ def placing(docs: DataFrame, old_col: str, id_col: str, text_col: str, n_shards:
     return rows, place
 
 
-def touched_shards(plan: DataFrame) -> tuple[list[int], list[int]]:
-    """The shards that gain or lose rows, and those of them that have none left. The number of shards bounds both."""
+def touched_shards(plan: DataFrame) -> tuple[list[int], set[int]]:
+    """The new shards that gain or lose rows, and those that have rows. The number of shards bounds both."""
     moved = plan.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    touched = sorted(r["s"] for r in moved.collect())
-    full = {r["shard"] for r in plan.select("shard").distinct().collect()}
-    return touched, [s for s in touched if s not in full]
+    return sorted(r["s"] for r in moved.collect()), {r["shard"] for r in plan.select("shard").distinct().collect()}
 
 
-def write_shards(rows: DataFrame, path: str, drained: list[int]) -> None:
-    """Write rows with a column shard as path/shard=N and delete the folders of drained shards.
+def write_shards(rows: DataFrame, path: str, full: set[int]) -> None:
+    """Write rows with a column shard as path/shard=N and delete the folders of shards that have no rows any more.
 
     Writing is by dynamic partition overwrite: a shard's folder is replaced as a whole when the job commits, so a lost
     executor or a second run leaves no half-written shard. Drained shards go after that: until then their rows exist
     twice, and a second run deletes them.
     """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    for s in drained:
-        _delete(rows.sparkSession, f"{path}/shard={s}")
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at):
+        name = f.getPath().getName()
+        if re.fullmatch(r"shard=\d+", name) and int(name[6:]) not in full:
+            _delete(spark, f"{path}/{name}")
 
 
 def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
@@ -197,10 +208,10 @@ def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str =
     n = plan.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d")).first()
     if n["n"] != n["d"]:
         raise ValueError(f"{id_col} is null or repeated in some rows: give each row a key of its own")
-    touched, drained = touched_shards(plan)
+    touched, full = touched_shards(plan)
     todo = plan.filter(F.col("shard").isin(touched)).select(F.col(id_col), "shard", "slot")
     out = docs.join(todo, id_col).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").drop("slot")
-    write_shards(out, path, drained)
+    write_shards(out, path, full)
     return touched
 
 
@@ -213,12 +224,12 @@ def reshard_and_write(docs: DataFrame, path: str, old_col: str = "_old", id_col:
     rows, place = placing(docs, old_col, id_col, text_col, **kw)
     own = [c for c in docs.columns if c != old_col]
     plan = materialise(place(rows).select("_id", "_size", "_crc", F.col("_k").alias("old_shard"), "shard", "slot"), "reshard-plan")
-    touched, drained = touched_shards(plan)
+    touched, full = touched_shards(plan)
     whole = place(_measured(docs, old_col, id_col, text_col, F.struct(*own).alias("_row"))).filter(F.col("shard").isin(touched))
     stays = plan.filter(~F.col("shard").isin(touched)).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")
     if not touched:
         return stays
-    write_shards(whole.select("_row.*", "shard", "slot").sortWithinPartitions("shard", "slot"), path, drained)
+    write_shards(whole.select("_row.*", "shard", "slot").sortWithinPartitions("shard", "slot"), path, full)
     schema = whole.select("_row.*", "slot", "shard").schema
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     written = docs.sparkSession.read.schema(schema).parquet(path).select(id_col, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot")
