@@ -21,7 +21,8 @@ PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 16, 256
 #: Recall on held-out rows of the sample that routing is set to. Neighbours among all rows lie nearer than in a sample.
 TARGET_RECALL = 0.93
 GRAPH, HIDDEN, K, QUERY_MOD = 20, 128, 20, 20
-CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 256
+#: Bytes of a block of candidates or queries, and inner products that a worker holds at a time.
+BLOCK_BYTES, CELLS = 4_000_000, 2_000_000
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -170,8 +171,16 @@ def best_pairs(q_ids, q, c_ids, c, k: int, floor=None):
     """(query number, candidate number, score) of each query's k largest inner products, ties to the smaller id.
 
     A matrix product chooses whom to look at; scores are then summed anew, in the same order for each pair, so equal
-    vectors have equal scores wherever they lie. floor: scores below it can't be among the k.
+    vectors have equal scores wherever they lie. floor: scores below it can't be among the k. Queries are taken in
+    strips, so that no more than CELLS products are held.
     """
+    strip = max(1, CELLS // max(1, len(c)))
+    parts = [(lo, _best_pairs(q_ids[lo : lo + strip], q[lo : lo + strip], c_ids, c, k, None if floor is None else floor[lo : lo + strip])) for lo in range(0, len(q), strip)]
+    none = [(0, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))]
+    return tuple(np.concatenate(x) for x in zip(*((r + lo, i, s) for lo, (r, i, s) in parts or none)))
+
+
+def _best_pairs(q_ids, q, c_ids, c, k: int, floor):
     s = q @ c.T
     s[q_ids[:, None] == c_ids[None, :]] = -np.inf
     least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(q), -np.inf)
@@ -263,7 +272,8 @@ def nearest(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, id_col:
     Fewer than k other rows: all of them. Other columns are ignored; an empty table gives an empty result.
 
     Every row is indexed. A part may hold any share of the rows (copies all fall into one): parts are cut into blocks
-    of candidates and of queries, and each pair of blocks is a task of its own, so no task holds a part. The sample's
+    of candidates and of queries by bytes, and each pair of blocks is a task of its own, so no task holds a part and a
+    vector is sent once for each block that it meets. The sample's
     k best give each query a floor that later candidates must reach, which keeps what the blocks return small.
     """
     spark = vectors.sparkSession
@@ -280,7 +290,8 @@ def nearest(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, id_col:
     # The parts' sizes, a few numbers for each of at most MOST_PARTS parts.
     held = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
     asked = {r["part"]: r["count"] for r in routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
-    cuts = spark.createDataFrame([(p, -(-held[p] // CANDIDATE_BLOCK), -(-asked.get(p, 0) // QUERY_BLOCK)) for p in held] or [(-1, 1, 1)], "part int, cb int, qb int")
+    rows_of_block = max(1, BLOCK_BYTES // (8 * max(1, dim)))
+    cuts = spark.createDataFrame([(p, -(-held[p] // rows_of_block), -(-asked.get(p, 0) // rows_of_block)) for p in held] or [(-1, 1, 1)], "part int, cb int, qb int")
     cuts = F.broadcast(cuts)
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), n.cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -294,4 +305,5 @@ def nearest(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, id_col:
 
 
 def op3_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The nearest neighbours of every twentieth vector among all; vectors that can't be compared take no part."""
     return nearest(table(spark, sf_dir, "embeddings"))
