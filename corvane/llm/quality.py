@@ -19,15 +19,18 @@ from .learning import logistic, sample_labelled, sigmoid
 
 #: Labelled rows that are learned from, for each of the two labels; half of them make the dictionaries, half calibrate.
 PER_CLASS = 3000
-#: Bytes that are compressed at a time, so that a long text's own past doesn't drown the dictionary.
-BLOCK, LEVEL, DICT_BYTES = 2048, 3, 32_768
-#: Blocks taken of a row at most, by their hashes, and bytes of each label's blocks, to make a dictionary of.
-ROW_BLOCKS, SAMPLE_BYTES = 8, 4_000_000
+#: Bytes that are compressed at a time, so that a long text's own past doesn't drown the dictionary; fewer than SHORT
+#: at the end go with the block before.
+BLOCK, SHORT, LEVEL, DICT_BYTES = 2048, 256, 3, 32_768
 THRESHOLD = 0.3
 
 
 def blocks(text: bytes) -> list[bytes]:
-    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+    """The whole text in pieces."""
+    cuts = [*range(0, len(text), BLOCK), len(text)] if text else [0]
+    if len(cuts) > 2 and cuts[-1] - cuts[-2] < SHORT:
+        del cuts[-2]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Model:
@@ -58,7 +61,7 @@ class Model:
             return [0.0, 0.0, 0.0, 1.0, 0.0]
         g, b = [len(good(x)) for x in parts], [len(bad(x)) for x in parts]
         sg, sb = sum(g), sum(b)
-        each = [(y - x) / (x + y) for x, y, p in zip(g, b, parts) if len(p) >= 256] or [(sb - sg) / (sg + sb)]
+        each = [(y - x) / (x + y) for x, y in zip(g, b)]
         return [(sb - sg) / (sg + sb), min(each), max(each), min(sg / len(text), 1.5), np.log1p(len(text))]
 
     def score(self, measured: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ def _pick(batches):
     for b in batches:
         out, y = [], []
         for t, label in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_label").to_pylist()):
-            for x in sorted(blocks(t), key=xxhash.xxh64_intdigest)[:ROW_BLOCKS]:
+            for x in blocks(t):
                 out.append(x)
                 y.append(int(label > 0))
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.binary())], ["y", "block"])
@@ -96,22 +99,14 @@ def _measured(shared):
 def make_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """Of too few samples to train on, their bytes themselves (a dictionary may be plain content)."""
     samples = sorted(samples, key=xxhash.xxh64_intdigest)
-    total, kept = 0, []
-    for s in samples:
-        if total + len(s) > SAMPLE_BYTES:
-            break
-        kept.append(s)
-        total += len(s)
-    if total > 8 * size:
-        try:
-            return zstandard.train_dictionary(size, kept).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(kept)[-size:]
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    """labels: _id, _label (1 good, 0 bad). Learns from at most per_class rows of each label, none held out.
+    """labels: _id, _label (1 good, 0 bad). Learns from about per_class rows of each label, whole, none held out.
 
     Rows whose hash is odd make the dictionaries, the others calibrate, weighted as often as their labels occur.
     Without both labels to calibrate with, the score is the share of good rows.
@@ -149,7 +144,8 @@ def _score(shared):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, score (0 to 1, higher: better; empty and null texts too).
 
-    Map only; two dictionaries of DICT_BYTES are broadcast. Other columns are ignored; repeated rows score alike.
+    Map only; two dictionaries of DICT_BYTES are broadcast. Other columns are ignored; repeated rows score alike. Very
+    long texts are compressed whole, block by block.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -164,5 +160,6 @@ def labels_of(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """All documents' scores, learned from labels that aren't held out; null and empty texts score as empty ones."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, labels_of(spark, sf_dir))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
