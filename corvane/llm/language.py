@@ -7,7 +7,6 @@ over the second is flagged.
 
 from __future__ import annotations
 
-import re
 from itertools import product
 
 import numpy as np
@@ -24,7 +23,11 @@ FEATURES, L2, STEPS = 4096, 1e-5, 120
 #: Below this gap between the best and the second language's probability a text is flagged.
 MARGIN = 0.2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Letters of any script; digits of any kind, fractions and numerals are none."""
+    return any(c.isalpha() for c in text)
 
 
 def counts(text: str) -> np.ndarray:
@@ -64,7 +67,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = []
         for t in texts:
-            if t is None or not self.languages or not _LETTER.search(t):
+            if t is None or not self.languages or not has_letter(t):
                 out.append((UNKNOWN, 0.0, True))
                 continue
             margin = vector(t) @ self.w + self.b
@@ -136,7 +139,8 @@ def _predict(shared):
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", mod: int = 4, rest: int = 2) -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score (the language's probability), ambiguous.
 
-    Texts that are null or have no letter, and all texts if nothing could be learned, are `und` with score 0. Map
+    Texts that are null or have no letter, and all texts if nothing could be learned, are `und` with score 0. Of
+    languages that tie the first by name wins. Very long texts are taken whole; repeated rows are predicted alike. Map
     only; the weights (FEATURES for each bit) are broadcast. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -148,5 +152,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
+    """All documents' languages, learned from those that aren't held out; null and letterless texts are `und`."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

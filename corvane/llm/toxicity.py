@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id, held_out, score (0 to 1; empty and null texts too, theirs is the constant's).
 
     Map only: the model (at most MAX_FEATURES weights) is broadcast. Other columns are ignored; repeated rows score
-    alike.
+    alike; very long texts are read whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -192,6 +192,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """All documents' scores, learned from labels that aren't held out; null and empty texts get the constant's."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_label"))
     return score(docs, train(docs, labels)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
