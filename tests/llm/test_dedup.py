@@ -192,3 +192,17 @@ def test_query_equals_brute_force(spark):
         least[root[p]] = min(least.get(root[p], d), d)
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.op9_simhash(spark, sf).collect()}
     assert got == {(d, f"{p:016x}", least[root[p]]) for d, p in prints.items()}
+
+
+def test_very_long_texts(make):
+    """Texts of a megabyte, alike but for their last bytes or lines."""
+    base = "\n".join(f"line number {i} of a text that is very long indeed" for i in range(20_000))
+    rows = [(1, base), (2, base.upper()), (3, base + "x"), (4, base + "\nand one more line that nobody else has anywhere"), (5, base), (6, "short")]
+    got = {x.doc_id: (x.keep_id, x.group_size) for x in exact_dedup.radix_groups(make(rows)).collect()}
+    assert got == {1: (5, 3), 2: (5, 3), 5: (5, 3), 3: (3, 1), 4: (4, 1), 6: (6, 1)}
+    want = lines_brute(rows)
+    docs = make(rows)
+    for x in line_dedup.apply_bitmaps(docs, line_dedup.line_keep_bitmaps(docs)).collect():
+        assert (x.n_lines, x.n_dropped, line_dedup.kept_text(x.text.encode(), bytes(x.keep_bitmap)).decode()) == want[x._id]
+    prints = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.simhash_components(make(rows)).collect()}
+    assert prints[1] == prints[2] == prints[5] and {prints[i][1] for i in (1, 2, 3, 4, 5)} == {1} and prints[6][1] == 6

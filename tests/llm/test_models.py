@@ -1,6 +1,7 @@
 """Classifiers: held-out accuracy on the smallest tables, effect of the named method, edge cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -110,7 +111,7 @@ def test_codewords(n):
         assert apart >= 2
 
 
-def test_many_languages():
+def test_many_languages(monkeypatch):
     r = random.Random(0)
     words = {f"l{k}": ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(30)] for k in range(8)}
     texts = [(k, " ".join(r.choices(w, k=20))) for k, w in words.items() for _ in range(40)]
@@ -121,4 +122,43 @@ def test_many_languages():
     assert np.mean([p[0] == k for (k, _), p in zip(new, m.predict([t for _, t in new]))]) > 0.95
     mixed = m.predict([" ".join(r.choices(words["l0"], k=20) + r.choices(words["l1"], k=20))])[0]
     clear = m.predict([" ".join(words["l0"])])[0]
-    assert mixed[1] < clear[1]
+    assert mixed[1] < clear[1] and not clear[2]
+    monkeypatch.setattr(language, "MARGIN", clear[1])  # what the best has before the second is less than this
+    assert m.predict([" ".join(words["l0"])])[0][2]
+
+
+@pytest.mark.parametrize(("text", "lang"), [("² ½ Ⅷ ① 3!", "und"), (None, "und"), ("", "und"), ("a", "en"), ("é²", "en"), ("ª", "en")])
+def test_what_counts_as_a_letter(text, lang):
+    m = language.fit(np.stack([language.vector("words here")] * 3), np.zeros(3, np.int64), ["en"])
+    assert m.predict([text])[0][0] == lang
+
+
+def test_query_predicts_what_the_model_says(spark):
+    """op1, op8, op10 over whole tables against scoring row by row, held-out flags by crc32."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").collect()
+    out = lambda i, mod, rest: zlib.crc32(str(i).encode()) % mod == rest
+    d = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    tox = toxicity.train(d, labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_label")))
+    got = {r.doc_id: r for r in toxicity.op1_toxicity(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for x in docs:
+        s = 1 / (1 + np.exp(-np.clip(tox.logit(x.text or ""), -40, 40)))
+        assert got[x.doc_id].score == pytest.approx(s, abs=1e-9) and got[x.doc_id].predicted == int(got[x.doc_id].score >= 0.5) and got[x.doc_id].held_out == out(x.doc_id, 5, 0)
+    q = quality.train(d, quality.labels_of(spark, SF))
+    got = {r.doc_id: r for r in quality.op8_quality(spark, SF).collect()}
+    for x in docs:
+        s = q.score(np.array([q.measure((x.text or "").encode())]))[0]
+        assert got[x.doc_id].score == pytest.approx(s, abs=1e-9) and got[x.doc_id].predicted == int(got[x.doc_id].score >= 0.3) and got[x.doc_id].held_out == out(x.doc_id, 5, 0)
+    m = language.train(d)
+    got = {r.doc_id: r for r in language.op10_language(spark, SF).collect()}
+    said = m.predict([x.text for x in docs])
+    for x, (lang, _, _) in zip(docs, said):
+        assert got[x.doc_id].lang_pred == lang and got[x.doc_id].held_out == out(x.doc_id, 4, 2)
+
+
+def test_blocks_hold_the_whole_text():
+    for n in (0, 1, 255, 2047, 2048, 2049, 2303, 2304, 9000):
+        t = bytes(i % 251 for i in range(n))
+        parts = quality.blocks(t)
+        assert b"".join(parts) == t and all(len(x) >= quality.SHORT for x in parts[1:])

@@ -84,3 +84,17 @@ def test_edges(make, spark):
     assert back == sorted((i or 0, t or "") for i, t in rows)
     assert pieces.encode(make([])).collect() == [] and pieces.decode(pieces.encode(make([]))).collect() == []
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()[0].text == ""
+
+
+def test_very_long_texts_and_a_small_store(make, monkeypatch):
+    """A text of a megabyte, and words that come back after the store has forgotten them."""
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 50)
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdeinrst", k=r.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(r.choices(words, k=180_000))] + [" ".join(r.choices(words, k=30)) for _ in range(40)]
+    enc = pieces.Encoder(MODEL)
+    for _ in range(2):
+        assert all(a.tolist() == LIBRARY.encode(t) for a, t in zip(enc.encode(iter(texts)), texts))
+    assert len(enc.young) <= 50 and len(enc.old) <= 50
+    got = {x.doc_id: x for x in pieces.encode(make(list(enumerate(texts))), check=True).collect()}
+    assert all(got[i].round_trip and list(got[i].ids) == LIBRARY.encode(t) for i, t in enumerate(texts))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from corvane.llm import mixing, pieces, quality, simhash, wide_simhash
@@ -132,3 +133,27 @@ def test_near_dup_keeps_rows_not_ids(spark):
     assert Counter(x["text"] for x in got) == Counter(texts)
     own = {x["text"]: x["doc_id"] for x in got}
     assert own[texts[3]] == 500 and [own[t] for t in texts[:3]] == [None] * 3 and own[texts[25]] == 7
+
+
+def test_stages_without_rows_and_with_more_columns(spark):
+    """Empty tables, and columns that bear the names of inner ones."""
+    docs = table(spark, SF, "documents")
+    more = docs.limit(20).select("*", *[F.lit(1).alias(c) for c in ("_id", "_row", "_rid", "_size", "_source", "node", "fp", "hi", "label", "keep_bitmap")])
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        out = stage(spark, more, SF)
+        assert out.count() > 0 and (name == "encode" or out.columns == P.COLUMNS), name
+
+
+def test_stages_take_long_texts_whole(spark):
+    r = random.Random(9)
+    long = "\n".join(" ".join(r.choices([f"w{i}" for i in range(3000)], k=12)) for _ in range(8000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", len(long) + 4), (3, "other words altogether here", "en", "s", 27)]
+    docs = spark.createDataFrame(rows, table(spark, SF, "documents").schema)
+    assert {x.doc_id: x.text for x in P.line_stage(spark, docs, SF).collect()} == {i: t for i, t, *_ in rows}
+    assert sorted(x.doc_id for x in P.near_dup_stage(spark, docs, SF).collect()) == [1, 3]
+    words = Counter()
+    for x in P.mix_stage(spark, docs, SF).collect():
+        words[x.doc_id] += len(P._WORD.findall(x.text))
+    assert all(n <= 2 * len(P._WORD.findall(t)) for (i, t, *_), n in zip(rows, map(words.get, (1, 2, 3))) if n)
+    assert {x.doc_id: x.round_trip for x in P.encode_stage(spark, docs, SF).collect()} == {1: True, 2: True, 3: True}

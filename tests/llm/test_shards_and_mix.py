@@ -1,5 +1,6 @@
 """Resharding and mixing: flows against brute force, laws, edge cases."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -9,6 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import mixing, resharding
+from corvane.llm.common import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_flow_is_least():
@@ -134,6 +138,64 @@ def test_mix(make):
     assert count(by, pieces) == count(again[0], again[1])
 
 
+def words_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_op5_query_keeps_its_law(spark):
+    """op5 over a whole table: sizes, checksums, gapless slots, shards of nearly equal bytes."""
+    docs = {d.doc_id: d.text for d in table(spark, SF, "documents").collect()}
+    got = resharding.op5_resharding(spark, SF).collect()
+    assert len(got) == len(docs) and {(x.doc_id, x.size, x.text_crc32) for x in got} == {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in docs.items()}
+    load, slots = Counter(dict.fromkeys(range(24), 0)), defaultdict(list)
+    for x in got:
+        assert x.law == "bytes" and x.grown_shard is None and 0 <= x.shard < 24
+        load[x.shard] += x.size
+        slots[x.shard].append(x.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # No shard is further from the mean than the largest document, which can't be split.
+    mean, largest = sum(load.values()) / 24, max(x.size for x in got)
+    assert max(abs(n - mean) for n in load.values()) <= largest
+
+
+def test_op6_query_meets_its_targets(spark):
+    """op6 over a whole table: sizes, targets by plain arithmetic, taken words near them, none above twice a document's."""
+    docs = {d.doc_id: d for d in table(spark, SF, "documents").collect()}
+    got = {x.doc_id: x for x in mixing.op6_mixing(spark, SF).collect()}
+    sizes = Counter()
+    for i, d in docs.items():
+        assert got[i].size == words_of(d.text)
+        sizes[d.source] += got[i].size
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    while open_:
+        unit = left / sum(open_.values())
+        full = [s for s, w in open_.items() if unit * w > 2 * sizes[s]]
+        for s in full or list(open_):
+            target[s] = 2 * sizes[s] if full else unit * open_[s]
+            left -= target[s]
+            del open_[s]
+    taken = Counter()
+    for i, d in docs.items():
+        x = got[i]
+        assert x.source_size == sizes[d.source] and x.target == pytest.approx(target[d.source]) and 0 <= x.taken <= 2 * x.size
+        taken[d.source] += x.taken
+    assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK_WORDS for s in names)
+    assert {i: x.taken for i, x in got.items()} == {x.doc_id: x.taken for x in mixing.op6_mixing(spark, SF).collect()}
+
+
+def test_very_long_texts_and_many_repeated_rows(make):
+    rows = [(1, "w " * 200_000)] + [(2, "same words")] * 300 + [(i, f"t{i}") for i in range(10, 60)]
+    got = resharding.reshard(make(rows), old_col="source", n_shards=3).collect()
+    assert Counter((x.doc_id, x.size) for x in got) == Counter((i, len(t) + 8) for i, t in rows)
+    by, pieces, sources = run_mix(make(rows))
+    assert sorted(x._size for x in by.values()) == sorted(words_of(t) for _, t in rows)
+    taken = Counter()
+    for p in pieces:
+        taken[p._rid] += p.hi - p.lo
+    assert all(n <= 2 * by[r]._size for r, n in taken.items()) and abs(sum(taken.values()) - sum(x.target for x in sources.values())) <= 256
+
+
 def test_mix_empty(make):
     _, pieces, sources = run_mix(make([]))
     assert pieces == [] and sources == {}
