@@ -123,7 +123,7 @@ def test_many_languages(monkeypatch):
     mixed = m.predict([" ".join(r.choices(words["l0"], k=20) + r.choices(words["l1"], k=20))])[0]
     clear = m.predict([" ".join(words["l0"])])[0]
     assert mixed[1] < clear[1] and not clear[2]
-    monkeypatch.setattr(language, "MARGIN", clear[1])  # what the best has before the second is less than this
+    monkeypatch.setattr(language, "MARGIN", 1.1)  # no lead is as large
     assert m.predict([" ".join(words["l0"])])[0][2]
 
 
