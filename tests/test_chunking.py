@@ -104,4 +104,5 @@ def test_chunks_carry_overlap_and_headings(spark):
         (4, "TWO", "text", "n o"),
     ]
     assert C.index_rows(C.chunk_documents(docs, 5, 2)).select("metadata.chunk_id").first()[0] == "2024_03_00000"
-    assert [r.source_path for r in C.no_chunks(docs).collect()] == ["q"]
+    with pytest.raises(Exception, match="no chunks in document q"):
+        C.chunk_documents(docs, 5, 2, required="source_path").collect()
