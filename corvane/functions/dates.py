@@ -11,6 +11,7 @@ MONTH_NAMES = {
     "june": 6, "jun": 6, "july": 7, "jul": 7, "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9,
     "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
 }
+# What counts as a year and as a month in numbers.
 YEAR = r"(?:19|20)\d{2}"
 MONTH = r"1[0-2]|0?[1-9]"
 PAIRS = "array<struct<year:int,month:int>>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation, collapse, has_citation, let, overlap, sentences, terms, tokens
 
+# The answer that says nothing, and the fields of a citation.
 NOT_FOUND = "NOT_FOUND"
 BASE_FIELDS = ["source_path", "year_month", "chunk_id"]
 METADATA_FIELDS = ["source_path", "year_month", "heading", "chunk_id"]

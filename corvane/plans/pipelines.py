@@ -121,6 +121,7 @@ def check_index(spark: SparkSession, index_dir: str) -> DataFrame:
 
 
 def model_config(config: dict, provider) -> str:
+    """Of a run, for its log. The keys, as other programs read them."""
     g = config["generation"]
     said = {
         "pipeline": "metadata_rag" if config["metadata_enabled"] else "baseline_rag", "chunk_size": config["chunk_size"], "chunk_overlap": config["chunk_overlap"],

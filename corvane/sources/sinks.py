@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.vectors import check_dimensions
 
+# Columns of predictions and details, and keys of a manifest, as other programs read them.
 PREDICTION_COLUMNS = ["question_id", "question", "gold_answer", "predicted_answer", "detected_year", "detected_month", "retrieval_method"]
 DETAIL_COLUMNS = [
     "question_id", "hit_rate@5", "correct_docs_found@5", "reciprocal_rank", "relevant_snippets_found@5", "total_relevant_snippets",
