@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import divergence, exact_dedup, filter_audit, language, line_dedup, mixing, neighbours, pieces, quality, resharding, simhash, toxicity
+from . import divergence, exact_dedup, filter_audit, language, licenses, line_dedup, mixing, neighbours, pieces, quality, resharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_language": language.op10_language,
     "op11_divergence": divergence.op11_divergence,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_licenses": licenses.op13_licenses,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op11_divergence": divergence.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_licenses": licenses.ORACLE,
 }
