@@ -3,6 +3,8 @@
 Equal-length words advance together, one end position at a time. At each end the substrings of every length are probed
 by hash in the sorted keys of the pieces, each candidate gets a value, and the maximum's length is the backpointer.
 
+Words beyond LONG characters are cut in stretches that advance together, see PieceModel._long_word().
+
 - Unigram models: the value is the best score up to the candidate's start plus the piece's score, as usual. Words are
   scored one by one, so where two ways to split a word tie exactly, the library may choose the other one.
 - BPE models don't maximise a sum of scores, so that sum gives other pieces than the library does. But each prefix's
@@ -14,7 +16,9 @@ by hash in the sorted keys of the pieces, each candidate gets a value, and the m
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 from itertools import count, islice
 
 import numpy as np
@@ -37,6 +41,8 @@ TOGETHER = 4_000_000
 DECODE_ROWS = 64
 #: Cells (words times places) of the lattice that advance together.
 CELLS = 200_000
+#: Words beyond so many characters are cut in stretches of STRETCH, which begin WARM places (or more, with long pieces) early.
+LONG, STRETCH, WARM = 512, 256, 64
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 #: Text comes in words: spaces but the last of a run, a space with what follows it, a line feed.
 _WORDS = re.compile(r" ?[^ \n]+|\n| +(?= [^ \n])| +")
@@ -82,7 +88,8 @@ class PieceModel:
         self.probable = np.zeros(1 << 20, bool)  # the keys' first 20 bits: most substrings end here
         self.probable[self.keys >> np.uint64(44)] = True
         self.splitter = _WORDS if any(re.search(r"\w[.,]", p) for p in ids) else _FINER_WORDS
-        self._seams = self._joined = None
+        self.single = {p: i for p, i in ids.items() if len(p) == 1}
+        self._seams = self._joined = self._ranks = None
 
     def _merges(self, ids: dict[str, int], scores: list[float]) -> None:
         """Of each piece the two it was merged from, and which two pieces give which: by merging each piece's text.
@@ -91,6 +98,7 @@ class PieceModel:
         """
         order = sorted((i for p, i in ids.items() if len(p) > 1 and set(p) != {SPACE}), key=lambda i: (-scores[i], i))
         rank = {i: r + 1 for r, i in enumerate(order)}
+        self.by_rank = [-1, *order]
         if len({scores[i] for i in order}) != len(order):
             raise ValueError("BPE pieces tie in score")
         self.rank = np.zeros(self.n, np.int64)
@@ -138,7 +146,7 @@ class PieceModel:
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"_seams": None, "_joined": None}
+        return self.__dict__ | {"_seams": None, "_joined": None, "_ranks": None}
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of a and b gives a and b: undo the later of the two last merges at the seam, again
@@ -184,7 +192,10 @@ class PieceModel:
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
         for length, at in by.items():
-            if length:
+            if length > LONG:
+                for i in at:
+                    out[i] = self._long_word(words[i])
+            elif length:
                 step = max(1, CELLS // length)
                 for lo in range(0, len(at), step):
                     some = at[lo : lo + step]
@@ -195,6 +206,36 @@ class PieceModel:
     def _equal_length(self, words: list[str], length: int) -> list[bytes]:
         n = len(words)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
+        back, piece = self._lattice(chars)
+        # Backpointers, all words together; rows in order of word, then of place.
+        pos, rows, who, what, end = np.full(n, length), np.arange(n), [], [], []
+        while len(rows):
+            at = pos[rows]
+            who.append(rows)
+            what.append(piece[at, rows])
+            end.append(at - 1)
+            pos[rows] = at - back[at, rows]
+            rows = rows[pos[rows] > 0]
+        who, what, end = (np.concatenate(x[::-1]) for x in (who, what, end))
+        order = np.argsort(who, kind="stable")
+        what, cuts = what[order], (4 * np.r_[0, np.cumsum(np.bincount(who, minlength=n))]).tolist()
+        flat = what.astype("<i4").tobytes()
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.unique(who[order][what < 0]).tolist():
+            a, b = cuts[i] // 4, cuts[i + 1] // 4
+            out[i] = self._spelt(what[a:b].tolist(), [chr(chars[i, e]) for e in end[order[a:b]].tolist()])
+        return out
+
+    def _spelt(self, pieces: list[int], last: list[str]) -> bytes:
+        """The ids of pieces, as bytes; -1 is a character, the piece's last, that is none."""
+        ids: list[int] = []
+        for k, char in zip(pieces, last):
+            ids.extend([k] if k >= 0 else self._unknown(char, ids))
+        return np.array(ids, "<i4").tobytes()
+
+    def _lattice(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and number of the last piece at each end, for rows of characters that advance together; (length + 1, rows)."""
+        n, length = chars.shape
         # Hash of a substring from the hashes of prefixes: H[j] - H[i] * base**(j - i).
         h, power = np.zeros((length + 1, n), np.uint64), _BASE ** np.arange(length + 1, dtype=np.uint64)
         for j in range(length):
@@ -235,27 +276,111 @@ class PieceModel:
                 more = got > value[missing]
                 value[missing[more]], back[j][missing[more]], piece[j][missing[more]] = got[more], 1, -1
             best[j] = value
-        # Backpointers, all words together; rows in order of word, then of place.
-        pos, rows, who, what, end = np.full(n, length), np.arange(n), [], [], []
-        while len(rows):
-            at = pos[rows]
-            who.append(rows)
-            what.append(piece[at, rows])
-            end.append(at - 1)
-            pos[rows] = at - back[at, rows]
-            rows = rows[pos[rows] > 0]
-        who, what, end = (np.concatenate(x[::-1]) for x in (who, what, end))
-        order = np.argsort(who, kind="stable")
-        what, cuts = what[order], (4 * np.r_[0, np.cumsum(np.bincount(who, minlength=n))]).tolist()
-        flat = what.astype("<i4").tobytes()
-        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        for i in np.unique(who[order][what < 0]).tolist():
-            ids: list[int] = []
-            a, b = cuts[i] // 4, cuts[i + 1] // 4
-            for k, e in zip(what[a:b].tolist(), end[order[a:b]].tolist()):
-                ids.extend([k] if k >= 0 else self._unknown(chr(chars[i, e]), ids))
-            out[i] = np.array(ids, "<i4").tobytes()
-        return out
+        return back, piece
+
+    def _long_word(self, word: str) -> bytes:
+        """A word beyond LONG characters: its stretches advance together as if they were words.
+
+        BPE: what the last piece is at a place depends on the pieces at the max_len places before only. A stretch begins
+        WARM places early, so by its own places it has mostly fallen in with the one before; that is seen from max_len
+        places in a row where the two agree. If they don't (a text with a period, say), the word's pairs are merged from
+        a heap instead, with the same result. Unigram scores are sums from the word's start, so there the candidates of
+        all places are looked up together and only their maxima are taken place by place.
+        """
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = self._in_stretches(chars) if self.bpe else self._maxima(chars)
+        pieces, ends = found if found else self._merged(word)
+        return self._spelt(pieces, [word[e - 1] for e in ends])
+
+    def _in_stretches(self, chars: np.ndarray) -> tuple[list[int], list[int]] | None:
+        n, warm = len(chars), max(WARM, 4 * self.max_len)
+        whole, starts = warm + STRETCH, list(range(0, max(1, n - warm), STRETCH))
+        back, piece = np.ones(n + 1, np.int16), np.full(n + 1, -1, np.int32)
+        full = [s for s in starts if s + whole <= n]
+        groups = [full[i : i + CELLS // whole] for i in range(0, len(full), CELLS // whole)] + [[s] for s in starts if s + whole > n]
+        for group in groups:
+            size = min(whole, n - group[0])
+            own_back, own_piece = self._lattice(np.stack([chars[s : s + size] for s in group]))
+            for i, s in enumerate(group):
+                trust = warm if s else 0
+                seen = slice(s + trust - self.max_len + 1, s + trust + 1)
+                if s and not (np.array_equal(piece[seen], own_piece[trust - self.max_len + 1 : trust + 1, i]) and np.array_equal(back[seen], own_back[trust - self.max_len + 1 : trust + 1, i])):
+                    return None
+                piece[s + trust : s + size + 1], back[s + trust : s + size + 1] = own_piece[trust:, i], own_back[trust:, i]
+        return self._traced(back.tolist(), piece.tolist())
+
+    @staticmethod
+    def _traced(back: list[int], piece: list[int]) -> tuple[list[int], list[int]]:
+        pieces, ends, at = [], [], len(back) - 1
+        while at > 0:
+            pieces.append(piece[at])
+            ends.append(at)
+            at -= back[at]
+        return pieces[::-1], ends[::-1]
+
+    def _maxima(self, chars: np.ndarray) -> tuple[list[int], list[int]]:
+        n = len(chars)
+        back, piece, best = [1] * (n + 1), [-1] * (n + 1), [0.0] * (n + 1)
+        low, single, score = np.float32(self.low), np.float32, self.score.tolist()
+        for lo in range(0, n, CELLS):
+            hi = min(n, lo + CELLS)
+            ends: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
+            at = max(0, lo - self.max_len)
+            h = np.zeros(hi - at + 1, np.uint64)
+            for j, c in enumerate(chars[at:hi].tolist()):
+                h[j + 1] = np.uint64((int(h[j]) * int(_BASE) + c + 1) & (2**64 - 1))
+            for size in range(1, self.max_len + 1):
+                if (size not in self.bounds and size > 1) or size > hi - at:
+                    continue
+                key = h[size:] - h[:-size] * _BASE ** np.uint64(size)
+                where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                for k in np.flatnonzero(self.keys[where] == key).tolist():
+                    end = at + k + size
+                    if end > lo:
+                        ends[end - lo - 1].append((size, int(self.ids[where[k]])))
+            for j in range(lo + 1, hi + 1):
+                top, some = None, ends[j - lo - 1]
+                for size, k in some:  # shortest first: of equal values the longest piece
+                    value = single(best[j - size]) + single(score[k])
+                    if top is None or value >= top:
+                        top, back[j], piece[j] = value, size, k
+                if not some or some[0][0] > 1:
+                    value = single(best[j - 1]) + low
+                    if top is None or value > top:
+                        top, back[j], piece[j] = value, 1, -1
+                best[j] = float(top)
+        return self._traced(back, piece)
+
+    def _merged(self, word: str) -> tuple[list[int], list[int]]:
+        """BPE by its definition: of all adjacent pairs the first in rank and place is merged, again and again."""
+        n = len(word)
+        ids, size = [self.single.get(c, -1) for c in word], [1] * n
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        if self._ranks is None:
+            self._ranks = dict(zip(self.pair_keys.tolist(), self.pair_rank.tolist()))
+        ranks, made = self._ranks, self.by_rank
+
+        def pair(a: int, b: int) -> int:
+            return ranks.get(a << 20 | b, 0) if a >= 0 and b >= 0 else 0
+
+        heap = [(rank << 40) | i for i in range(n - 1) if (rank := pair(ids[i], ids[i + 1]))]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            i = top & ((1 << 40) - 1)
+            j = after[i] if size[i] else n
+            if j >= n or pair(ids[i], ids[j]) != top >> 40:
+                continue
+            ids[i], size[i], size[j] = made[top >> 40], size[i] + size[j], 0
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if rank := pair(ids[i], ids[k]):
+                    heappush(heap, (rank << 40) | i)
+            if (h := before[i]) >= 0 and (rank := pair(ids[h], ids[i])):
+                heappush(heap, (rank << 40) | h)
+        left = [i for i in range(n) if size[i]]
+        return [ids[i] for i in left], [i + size[i] for i in left]
 
     def _unknown(self, char: str, before: list[int]) -> list[int]:
         raw = [int(self.byte_id[b]) for b in char.encode("utf-8", "surrogatepass")]

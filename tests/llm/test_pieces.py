@@ -1,7 +1,9 @@
 """SentencePiece ids against the library's, and exact round trips."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -36,6 +38,41 @@ def test_very_long_word():
     assert pieces.Encoder(MODEL).encode([text])[0].tolist() == LIBRARY.encode(text)
 
 
+@pytest.mark.parametrize("n", [513, 576, 577, 832, 833, 5000, 60_000])
+def test_long_words_in_stretches(n):
+    r = random.Random(n)
+    base64 = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    prose = "".join(r.choices(["the", "ing", "é", "x", "日", "tion", "\U0001f600", "▁", "\x00"], k=n))[:n]
+    for word in (base64, prose):
+        assert pieces.Encoder(MODEL).encode([word])[0].tolist() == LIBRARY.encode(word)
+    assert MODEL._in_stretches(np.frombuffer(base64.encode("utf-32-le"), np.uint32)) is not None
+
+
+@pytest.mark.parametrize("unit", ["a", "abc", "the", "=-", "abcdefg", "日本", "\x00", "lorem-ipsum,dolor.sit"])
+def test_long_words_with_a_period(unit):
+    """Stretches may begin out of step there: pairs are then merged from a heap."""
+    word = (unit * 9000)[:9000]
+    assert pieces.Encoder(MODEL).encode([word])[0].tolist() == LIBRARY.encode(word)
+    found, ends = MODEL._merged(word)
+    assert MODEL._spelt(found, [word[e - 1] for e in ends]) == MODEL._equal_length([word], len(word))[0]
+
+
+def test_a_word_of_a_megabyte_in_seconds():
+    r = random.Random(1)
+    for word in ("".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)), "abc" * 333_333):
+        began = time.process_time()
+        ids = pieces.Encoder(MODEL).encode([word])[0]
+        assert time.process_time() - began < 60
+        assert MODEL.decode(ids) == word
+
+
+def test_long_unigram_words(unigram):
+    model, r = pieces.load_model(unigram), random.Random(2)
+    for n in (513, 3000):
+        word = "".join(r.choices("abcdé", k=n))
+        assert model._long_word(word) == model._equal_length([word], n)[0]
+
+
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """A small unigram model, its pieces and scores chosen by hand."""
