@@ -82,6 +82,21 @@ def min_cost_flow(supply: np.ndarray, capacity: np.ndarray, cost: np.ndarray) ->
     return flow
 
 
+def places(names: list[str | None], share: np.ndarray) -> list[int]:
+    """The new shard that each old one, largest first, becomes, so that the most bytes can stay.
+
+    Old shard a in the place of capacity c keeps min(a, c). The sum is greatest if the largest old shard has the largest
+    capacity, and so on, as pairs that cross never keep more. Places of one capacity go to old shards by name, nulls last.
+    """
+    by_capacity = np.lexsort((np.arange(len(share)), -share))[: len(names)].tolist()
+    out = [0] * len(names)
+    for c in sorted({share[j] for j in by_capacity}):
+        own = [i for i, j in enumerate(by_capacity) if share[j] == c]
+        for i, j in zip(sorted(own, key=lambda i: (names[i] is None, names[i] or "")), sorted(by_capacity[i] for i in own)):
+            out[i] = j
+    return out
+
+
 def place_blocks(old: np.ndarray, size: np.ndarray, flow: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """The new shard of each block: blocks of an old shard, largest first, go where most of its flow is unfilled.
 
@@ -114,13 +129,14 @@ def place_blocks(old: np.ndarray, size: np.ndarray, flow: np.ndarray, capacity:
 def reshard(docs: DataFrame, old_col: str = "_old", id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS, capacity: list[float] | None = None, blocks: int = BLOCKS) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, old_shard, block, shard, slot.
 
-    old_col names the old shard (any type; null is a shard of its own). Old shard k, in order, and new shard k are
-    the same place, so its bytes stay there for nothing; any other arc costs one a byte. Old shards beyond the new ones
-    have no place of their own: their bytes cost the same wherever they go, so they count as one, old shard n_shards.
+    old_col names the old shard (any type; null is a shard of its own). The n_shards largest old shards each become a new
+    one, chosen so that the most bytes can stay (see places()), and are numbered like it: their bytes stay there for
+    nothing, any other arc costs one a byte. The other old shards have no place of their own: their bytes cost the same
+    wherever they go, so they count as one, old shard n_shards.
     capacity gives the new shards' relative sizes (default: equal). size: UTF-8 bytes of the text plus 8; null texts
     count none and have the checksum of the empty text. slot: from 0 in each shard without gaps, by (sub-range, id).
     Repeated rows and null ids are rows like any other; rows alike in id and text go to one block. An empty table gives
-    an empty result. The driver holds the first n_shards old shards and the blocks, whatever the number of files.
+    an empty result. The driver holds the n_shards largest old shards and the blocks, whatever the number of files.
 
     No window holds a shard: shards are cut into about sqrt(rows) ranges, whose counts are summed first.
     """
@@ -143,10 +159,11 @@ def placing(docs: DataFrame, old_col: str, id_col: str, text_col: str, n_shards:
     share = np.asarray(capacity if capacity is not None else [1.0] * n_shards)
     whole = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     total, n_rows = whole["s"], whole["n"]
-    known = [(r["_old"], r["s"], r["n"]) for r in rows.groupBy("_old").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).orderBy(F.col("_old").asc_nulls_last()).limit(len(share)).collect()]
+    largest = rows.groupBy("_old").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("s"), F.col("_old").asc_nulls_last()).limit(len(share)).collect()
+    known = {k: (r["_old"], r["s"], r["n"]) for k, r in zip(places([r["_old"] for r in largest], share), largest)}
     cut = lambda size, n: max(1, min(n * 4, round(blocks * size / max(1, total))))
-    other = len(share), cut(total - sum(s for _, s, _ in known), n_rows - sum(n for _, _, n in known))
-    names = spark.createDataFrame([(name, k, cut(size, n)) for k, (name, size, n) in enumerate(known)], "_name string, _k int, _cuts int")
+    other = len(share), cut(total - sum(s for _, s, _ in known.values()), n_rows - sum(n for _, _, n in known.values()))
+    names = spark.createDataFrame([(name, k, cut(size, n)) for k, (name, size, n) in known.items()], "_name string, _k int, _cuts int")
 
     def in_block(rows: DataFrame) -> DataFrame:
         placed = rows.join(F.broadcast(names), F.col("_old").eqNullSafe(F.col("_name")), "left")
@@ -237,7 +254,7 @@ def reshard_and_write(docs: DataFrame, path: str, old_col: str = "_old", id_col:
 
 
 def op5_resharding(spark, sf_dir: str) -> DataFrame:
-    """Old shards: the files that the table lies in, in the order of their names; affected shards are written anew."""
+    """Old shards: the files that the table lies in; shards that gain or lose a block are written anew."""
     docs = table(spark, sf_dir, "documents").withColumn("_old", F.col("_metadata.file_path"))
     done = reshard_and_write(docs, new_path(spark, "reshard-shards"))
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
