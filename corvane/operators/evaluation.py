@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import all_year_months
-from ..functions.matching import answer_matches, appears
+from ..functions.matching import answer_matches
 from ..functions.text import collapse, is_missing, normalize_answer, numbers
+from ..sources.scratch import stored
 from .containment import holders
 
 TOP = 5
@@ -107,49 +108,59 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def relevant_chunks(gold: DataFrame, prepared: DataFrame) -> DataFrame:
-    """question_id, chunk_id: chunks that count as relevant. A row whose chunk_id is null stands for every chunk.
+    """question_id, chunk_id, year, month: chunks that count as relevant. A row whose chunk_id is null stands for every chunk
+    of its month, or for all chunks if it has none; see every_relevant_chunk().
 
     gold: question_id, gold_answer, pairs. Candidates are the chunks of the pairs, all chunks without any; of those
-    the ones that hold the answer, or all candidates if none does. Questions with pairs are joined by hash on year
-    and month; the answers of the others are looked for in one scan of the chunks, which returns what it finds only.
+    the ones that hold the answer, or all candidates if none does. Questions and chunks meet in an index of the answers
+    only, so what is made is what is found, and a row for each date of a question whose answer is nowhere.
     """
-    g = gold.select("question_id", "pairs", normalize_answer(F.col("gold_answer")).alias("an"), numbers(F.col("gold_answer")).alias("ann"))
-    dated = g.filter(F.size("pairs") > 0).select("question_id", "an", "ann", F.explode(F.array_distinct("pairs")).alias("d")).select("question_id", "an", "ann", F.col("d.year").alias("year"), F.col("d.month").alias("month"))
-    near = dated.join(prepared, ["year", "month"])
-    held = near.select("question_id", "chunk_id", appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers")).alias("matched"))
-    ids = held.groupBy("question_id", "chunk_id").agg(F.max("matched").alias("matched"))
-    # One row for each question says whether anything matched: a question's candidates never come together in one task.
-    some = ids.groupBy("question_id").agg(F.max("matched").alias("_some"))
-    of_pairs = ids.join(some, "question_id").filter(F.col("matched") | ~F.col("_some")).select("question_id", "chunk_id")
-    free = g.filter(F.size("pairs") == 0).select("question_id", "an", "ann")
-    found = holders(free, prepared)
-    every = free.select("question_id").distinct().join(found, "question_id", "left_anti").select("question_id", F.lit(None).cast(dict(prepared.dtypes)["chunk_id"]).alias("chunk_id"))
-    return of_pairs.unionByName(found).unionByName(every)
+    g = gold.select("question_id", F.array_distinct("pairs").alias("pairs"), normalize_answer(F.col("gold_answer")).alias("an"), numbers(F.col("gold_answer")).alias("ann"))
+    dates = g.select("question_id", "an", "ann", F.explode_outer("pairs").alias("_d")).select("question_id", "an", "ann", "_d.year", "_d.month")
+    found = stored(holders(dates, prepared), "relevant")
+    none = dates.join(found.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "year", "month").distinct()
+    date = lambda c: F.lit(None).cast("int").alias(c)
+    chunk = F.lit(None).cast(dict(prepared.dtypes)["chunk_id"]).alias("chunk_id")
+    return found.select("question_id", "chunk_id", date("year"), date("month")).unionByName(none.select("question_id", chunk, "year", "month"))
+
+
+def every_relevant_chunk(relevant: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, chunk_id of relevant_chunks() with each chunk that a row stands for: for reports of some questions."""
+    named = relevant.filter("chunk_id IS NOT NULL").select("question_id", "chunk_id")
+    rest, ids = relevant.filter("chunk_id IS NULL").drop("chunk_id"), chunks.select("chunk_id", "year", "month").distinct()
+    months = rest.filter("year IS NOT NULL").join(ids, ["year", "month"]).select("question_id", "chunk_id")
+    free = rest.filter("year IS NULL").select("question_id", F.lit(1).alias("_all")).join(ids.select("chunk_id", F.lit(1).alias("_all")), "_all").select("question_id", "chunk_id")
+    return named.unionByName(months).unionByName(free).distinct()
 
 
 def retrieval_scores(retrieved: DataFrame, chunks: DataFrame, relevant: DataFrame, gold: DataFrame) -> DataFrame:
     """question_id, hit, correct_docs_found, reciprocal_rank, relevant_found, total_relevant of the top five.
 
     retrieved: question_id, ids. relevant: as relevant_chunks() has it. Hits and ranks look at the first five ids that are chunks and at their documents'
-    dates (their ids, for questions without pairs); recall at the first five ids as they are.
+    dates (their ids, for questions without pairs); recall at the first five ids as they are. A chunk id is of one month.
     """
     each = retrieved.select("question_id", F.posexplode("ids").alias("at", "chunk_id"))
     once = chunks.groupBy("chunk_id").agg(F.max_by(F.struct("year", "month"), "pos").alias("d"))
     known = each.join(once, "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("at"))).filter(F.col("rank") <= TOP)
-    named, every = relevant.filter("chunk_id IS NOT NULL"), relevant.filter("chunk_id IS NULL").select("question_id", F.lit(True).alias("every"))
-    asked = gold.select("question_id", "pairs").join(every, "question_id", "left")
+    named, every = relevant.filter("chunk_id IS NOT NULL"), relevant.filter("chunk_id IS NULL")
+    stands = every.select("question_id").distinct().withColumn("every", F.lit(True))
+    asked = gold.select("question_id", F.array_distinct("pairs").alias("pairs")).join(stands, "question_id", "left")
     judged = known.join(asked, "question_id").join(named.select("question_id", "chunk_id", F.lit(True).alias("rel")), ["question_id", "chunk_id"], "left")
     by_date = F.exists("pairs", lambda p: (p["year"] == F.col("d.year")) & (p["month"] == F.col("d.month")))
     right = F.when(F.size("pairs") > 0, by_date).otherwise(F.coalesce("rel", "every", F.lit(False)))
     what = F.when(F.size("pairs") > 0, F.concat_ws("-", "d.year", "d.month")).otherwise(F.col("chunk_id").cast("string"))
     hits = judged.withColumn("_right", right).groupBy("question_id").agg(F.count_distinct(F.when(F.col("_right"), what)).alias("correct_docs_found"), F.coalesce(F.lit(1.0) / F.min(F.when(F.col("_right"), F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"))
     top = each.filter(F.col("at") < TOP).select("question_id", "chunk_id").distinct()
-    in_every = top.join(every, "question_id", "left_semi").join(once, "chunk_id", "left_semi").select("question_id", "chunk_id")
+    # Ids of questions whose answer is nowhere count if they are chunks of the question's months, or chunks at all.
+    in_every = top.join(asked.filter("every"), "question_id").join(once, "chunk_id").filter((F.size("pairs") == 0) | by_date).select("question_id", "chunk_id")
     found = top.join(named, ["question_id", "chunk_id"], "left_semi").unionByName(in_every).groupBy("question_id").agg(F.count(F.lit(1)).alias("relevant_found"))
     total = named.groupBy("question_id").agg(F.count(F.lit(1)).alias("_named"))
+    months = chunks.groupBy("year", "month").agg(F.count_distinct("chunk_id").alias("_n"))
+    of_months = every.join(months, ["year", "month"]).groupBy("question_id").agg(F.sum("_n").alias("_of_months"))
     all_chunks = chunks.select(F.count_distinct("chunk_id").alias("n")).scalar()
-    out = asked.select("question_id", "every").join(hits, "question_id", "left").join(found, "question_id", "left").join(total, "question_id", "left")
-    out = out.withColumn("total_relevant", F.when(F.col("every"), all_chunks).otherwise(F.col("_named"))).drop("every", "_named")
+    out = asked.join(hits, "question_id", "left").join(found, "question_id", "left").join(total, "question_id", "left").join(of_months, "question_id", "left")
+    total_relevant = F.when(F.col("every") & (F.size("pairs") == 0), all_chunks).when(F.col("every"), F.col("_of_months")).otherwise(F.col("_named"))
+    out = out.withColumn("total_relevant", total_relevant).drop("every", "pairs", "_named", "_of_months")
     out = out.fillna(0, ["correct_docs_found", "relevant_found", "total_relevant"]).fillna(0.0, ["reciprocal_rank"])
     return out.withColumn("hit", F.when(F.col("correct_docs_found") > 0, 1.0).otherwise(0.0))
 

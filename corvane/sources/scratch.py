@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .sinks import remove
 
@@ -34,3 +34,10 @@ def _drop(spark: SparkSession, path: str) -> None:
         remove(spark, path)
     except Exception:  # noqa: BLE001  the JVM has gone; the folder is the cluster's to clear
         pass
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read again: what is built on it starts there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

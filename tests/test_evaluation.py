@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.matching import appears
 from corvane.functions.text import normalize_answer, numbers
-from corvane.operators import containment
+from corvane.operators import containment, grams
 from corvane.operators import evaluation as E
 
 PAIRS = "array<struct<year:int,month:int>>"
@@ -26,8 +27,12 @@ def test_relevance(spark):
     found = {}
     for r in E.relevant_chunks(g, E.prepare_chunks(chunks(spark))).collect():
         found.setdefault(r.question_id, set()).add(r.chunk_id)
-    # A null stands for every chunk.
-    assert found == {"q0": {"c1"}, "q1": {"c1", "c2"}, "q2": {"c1", "c3"}, "q3": {None}}
+    # A null stands for every chunk of its month, or for all.
+    assert found == {"q0": {"c1"}, "q1": {None}, "q2": {"c1", "c3"}, "q3": {None}, "q4": {None}}
+    every = {}
+    for r in E.every_relevant_chunk(E.relevant_chunks(g, E.prepare_chunks(chunks(spark))), chunks(spark)).collect():
+        every.setdefault(r.question_id, set()).add(r.chunk_id)
+    assert every == {"q0": {"c1"}, "q1": {"c1", "c2"}, "q2": {"c1", "c3"}, "q3": {"c1", "c2", "c3"}}
 
 
 def test_scores(spark):
@@ -43,18 +48,41 @@ def test_scores(spark):
     assert show(rows["q3"]) == (1.0, 2, 1.0, 2, 3)
 
 
-@pytest.mark.parametrize("slab", [1000, 1 << 30])
-def test_holders_equal_the_expression(spark, slab):
-    """One scan finds what the pairwise expression finds, whatever part of the answers is looked for at a time."""
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_holders_equal_the_expression(spark, most):
+    """Both ways find what the pairwise expression finds: the index of windows and ranges, and the automaton."""
     r = random.Random(4)
-    words = ["a", "ab", "b c", "12", "-3", "0", "1,000", "1000.9", "0.0005", "50%", "x"]
+    words = ["a", "ab", "b c", "12", "-3", "0", "1,000", "1000.9", "0.0005", "50%", "x", "é日本é日本", "9" * 400, "-0.0009", "a long answer of many words"]
     answers = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 3)))) for i in range(60)], "question_id long, t string")
     a = answers.select("question_id", normalize_answer(F.col("t")).alias("an"), numbers(F.col("t")).alias("ann"))
-    texts = spark.createDataFrame([(f"c{i}", " ".join(r.choices(words, k=r.randint(0, 8))), 1, 1) for i in range(50)], "chunk_id string, text string, year int, month int")
+    texts = spark.createDataFrame([(f"c{i}", " ".join(r.choices(words, k=r.randint(0, 8))), i % 2, 1) for i in range(50)], "chunk_id string, text string, year int, month int")
     p = E.prepare_chunks(texts)
     want = a.crossJoin(p).filter(appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers"))).select("question_id", "chunk_id")
-    got = containment.holders(a, p, slab)
+    got = containment.holders(a, p, most)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    dated = a.withColumns({"year": F.when(F.col("question_id") % 3 > 0, F.col("question_id") % 2), "month": F.when(F.col("question_id") % 3 > 0, 1)}).withColumns({c: F.col(c).cast("int") for c in ("year", "month")})
+    here = want.join(dated, "question_id").join(texts.select("chunk_id", F.col("year").alias("cy")), "chunk_id").filter("year IS NULL OR year = cy").select("question_id", "chunk_id")
+    got = containment.holders(dated, p, most)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, here.collect())) and 50 < here.count() < want.count()
+
+
+def test_windows_of_long_texts(spark):
+    """Windows over the borders of blocks and of texts, and a text longer than a block."""
+    long = "ab" * (grams.BLOCK // 2 + 10) + "needle in it" + "cd" * 9
+    texts = spark.createDataFrame([("a", long), ("b", "ne"), ("c", "edle in it"), ("d", ""), ("e", None), ("f", "xneedle")], "chunk_id string, norm_text string").coalesce(1)
+    texts = texts.withColumns({"year": F.lit(1), "month": F.lit(1), "text_numbers": F.array().cast("array<double>")})
+    answers = spark.createDataFrame([(1, "needle in it", []), (2, "needle", []), (3, "bne", []), (4, "nowhere", []), (5, "b" + "ab" * 20, [])], "question_id long, an string, ann array<double>")
+    assert {tuple(x) for x in containment.holders(answers, texts, 0).collect()} == {(1, "a"), (2, "a"), (2, "f"), (3, "a"), (5, "a")}
+
+
+def test_a_windows_hash_is_its_own():
+    data = np.frombuffer(("the same window the same window " * 3).encode(), np.uint8)
+    for w in grams.WIDTHS:
+        h = grams.hashes(data, w)
+        by = {}
+        for i, x in enumerate(h.tolist()):
+            by.setdefault(x, set()).add(bytes(data[i : i + w]))
+        assert len(h) == len(data) - w + 1 and all(len(v) == 1 for v in by.values()) and len(by) == len({bytes(data[i : i + w]) for i in range(len(h))})
 
 
 def test_no_pairs_of_questions_and_chunks(spark):
