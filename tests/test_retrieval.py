@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import providers
-from corvane.operators import answering, retrieval, vectors
+from corvane.operators import answering, blocks, retrieval, vectors
 
 CHUNKS = [(0, [1.0, 0.0], 2012, 6), (1, [0.6, 0.8], 2022, 6), (2, [0.8, 0.6], 2022, 9)]
 
@@ -135,3 +135,37 @@ def test_generate(spark):
 
     assert [r["raw_answer"] for r in providers.generate(df, call, retries=0).collect()] == ["ok [S1]", None]
     assert providers.generate(df, None).first()["raw_answer"] is None
+
+
+def _in_blocks(spark, tmp_path, v, q, k, **kw):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "pos long, vector array<double>")
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(q)], "query_id long, vector array<double>")
+    blocks.write_blocks(rows, str(tmp_path / "blocks"), **kw)
+    hits, visits = blocks.top_k_in_blocks(asked, str(tmp_path / "blocks"), k)
+    want = vectors.top_k(asked, rows, k)
+    assert sorted(map(tuple, hits.select("query_id", "rank", "pos", "score").collect())) == sorted(map(tuple, want.select("query_id", "rank", "pos", "score").collect()))
+    assert visits.count() == visits.distinct().count()
+    n = spark.read.parquet(str(tmp_path / "blocks" / "bounds")).count() if v else 0
+    return visits.count() / max(1, n * len(q)), n
+
+
+def test_blocks_that_cannot_hold_the_best_are_left_out(spark, tmp_path):
+    r = np.random.default_rng(3)
+    middle = r.normal(size=(40, 16)) * 5
+    v = np.concatenate([m + r.normal(size=(50, 16)) * 0.1 for m in middle])
+    share, n = _in_blocks(spark, tmp_path, v.tolist(), (middle[:25] + r.normal(size=(25, 16)) * 0.1).tolist(), 5, block_rows=50)
+    assert n >= 35 and share < 0.2
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 500])
+def test_blocks_without_structure(spark, tmp_path, k):
+    """Ties, repeated and zero vectors, more asked for than there is: the rows are those of the whole search."""
+    r = np.random.default_rng(k)
+    v = np.round(r.normal(size=(300, 3)), 1)
+    v[:40] = 0.0
+    v[40:80] = v[80]
+    _in_blocks(spark, tmp_path, [*v.tolist(), None], [*v[:30].tolist(), [1e6, 0.0, 1.0]], k, block_rows=20, sample=50)
+
+
+def test_blocks_of_an_empty_table(spark, tmp_path):
+    assert _in_blocks(spark, tmp_path, [], [[1.0, 2.0]], 3) == (0.0, 0)
