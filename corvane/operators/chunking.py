@@ -1,11 +1,15 @@
 """Documents to chunks: token windows, heading- and table-aware blocks, greedy packing with overlap.
 
-Everything happens within a document's row: no shuffle, no window function, no Python. A chunk is an interval of the
-document's tokens, so packing folds over the blocks' token counts only and texts are cut out at the end.
+Everything happens within a document's row: no shuffle, no window function. A chunk is an interval of the document's
+tokens, so packing sees the blocks' token counts only, and texts are cut out at the end by expressions.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +101,38 @@ def blocks(text: Column) -> Column:
 
 
 _OUT = "array<struct<s:int,e:int,b:int,t:boolean>>"
-_STATE = f"struct<a:int,e:int,b:int,t:boolean,out:{_OUT}>"
+
+
+def packed(sizes: list[int], tables: list[bool], size: int, overlap: int) -> list[tuple[int, int, int, bool]]:
+    """pack() of one document: one step for each chunk, which jumps to the first block that doesn't fit any more."""
+    ends, marked, out = list(accumulate(sizes)), list(accumulate(tables, initial=0)), []
+    n, step = len(sizes), size - overlap
+    start = end = at = block = 0
+    table = False
+    while at < n:
+        if start == end:
+            while at < n and not sizes[at]:
+                at += 1
+            if at == n:
+                break
+            block, table = at, False
+        fit = max(at, bisect_right(ends, start + size, at))  # the first block whose end lies beyond the chunk's
+        if fit > at:
+            end, table, at = ends[fit - 1], table or marked[fit] > marked[at], fit
+        if at == n:
+            break
+        if start < end:
+            out.append((start, end, block, table))
+        if sizes[at] > size:
+            for s in range(0, sizes[at] - size + step, step):
+                out.append((ends[at] - sizes[at] + s, ends[at] - sizes[at] + min(s + size, sizes[at]), at, bool(tables[at])))
+            start = end = ends[at]
+        else:
+            start, end, block, table = end - min(overlap, end - start), ends[at], at, table or bool(tables[at])
+        at += 1
+    if start < end:
+        out.append((start, end, block, table))
+    return out
 
 
 def pack(sizes: Column, tables: Column, size: int, overlap: int) -> Column:
@@ -106,29 +141,21 @@ def pack(sizes: Column, tables: Column, size: int, overlap: int) -> Column:
     Blocks are added while they fit; a chunk that is full leaves its last `overlap` tokens to the next, which then may
     exceed the size by as many. A block larger than the size ends the chunk and is cut in windows; nothing carries
     over from it. A chunk is a table if any of its blocks is, or was in the chunk that it carries tokens from.
+
+    Only the blocks' token counts go to Python, as Arrow arrays. Folding over them in an expression would copy what has
+    been packed so far at each block: time and garbage would grow with the square of a document's blocks.
     """
     check_settings(size, overlap)
-    items = F.zip_with(sizes, tables, lambda n, t: F.struct(n.cast("int").alias("n"), t.alias("t")))
-    items = F.transform(items, lambda x, i: F.struct(x["n"].alias("n"), x["t"].alias("t"), i.cast("int").alias("i")))
-    state = lambda a, e, b, t, out: F.struct(a.cast("int").alias("a"), e.cast("int").alias("e"), b.cast("int").alias("b"), t.alias("t"), out.alias("out")).cast(_STATE)
-    one = lambda s, e, b, t: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), b.cast("int").alias("b"), t.alias("t"))
-    empty = F.array().cast(_OUT)
-
-    def closed(acc: Column) -> Column:
-        return F.concat(acc["out"], F.when(acc["a"] < acc["e"], F.array(one(acc["a"], acc["e"], acc["b"], acc["t"]))).otherwise(empty))
-
-    def fold(acc: Column, x: Column) -> Column:
-        end = acc["e"] + x["n"]
-        cut = F.transform(windows(x["n"], size, overlap), lambda w: one(acc["e"] + w["s"], acc["e"] + w["e"], x["i"], x["t"]))
-        large = state(end, end, x["i"], x["t"], F.concat(closed(acc), cut))
-        carried = acc["e"] - F.least(F.lit(overlap), acc["e"] - acc["a"])
-        full = state(carried, end, x["i"], acc["t"] | x["t"], closed(acc))
-        fresh = state(acc["a"], end, x["i"], x["t"], acc["out"])
-        more = state(acc["a"], end, acc["b"], acc["t"] | x["t"], acc["out"])
-        return F.when(x["n"] > size, large).when(acc["a"] == acc["e"], fresh).when(acc["e"] - acc["a"] + x["n"] > size, full).otherwise(more)
-
-    start = state(F.lit(0), F.lit(0), F.lit(0), F.lit(False), empty)
-    return F.aggregate(items, start, fold, closed)
+
+    def run(n: pa.Array, t: pa.Array) -> pa.Array:
+        rows = [None if x is None else packed(x, y, size, overlap) for x, y in zip(n.to_pylist(), t.to_pylist())]
+        flat = [c for r in rows if r for c in r]
+        fields = [pa.array([c[k] for c in flat], kind) for k, kind in enumerate([pa.int32(), pa.int32(), pa.int32(), pa.bool_()])]
+        cuts = pa.array(list(accumulate((len(r or ()) for r in rows), initial=0)), pa.int32())
+        mask = pa.array([r is None for r in rows])
+        return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(fields, ["s", "e", "b", "t"]), mask=mask)
+
+    return F.arrow_udf(run, _OUT)(sizes.cast("array<int>"), tables)
 
 
 def chunk_id(year: Column, month: Column, number: Column) -> Column:

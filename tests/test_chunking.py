@@ -1,6 +1,7 @@
 """Chunking: literal documents, and packing against an independent fold."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,17 @@ def test_chunks_carry_overlap_and_headings(spark):
     assert C.index_rows(C.chunk_documents(docs, 5, 2)).select("metadata.chunk_id").first()[0] == "2024_03_00000"
     with pytest.raises(Exception, match="no chunks in document q"):
         C.chunk_documents(docs, 5, 2, required="source_path").collect()
+
+
+def test_many_blocks_in_one_document(spark):
+    """A hundred thousand blocks in one document are packed in seconds, also by way of Spark."""
+    r = random.Random(3)
+    sizes, tables = [r.choice([0, 1, 5, 40, 90]) for _ in range(100_000)], [r.random() < 0.01 for _ in range(100_000)]
+    began = time.process_time()
+    got = C.packed(sizes, tables, 80, 10)
+    assert time.process_time() - began < 5
+    df = spark.createDataFrame([(sizes, tables), (None, None), ([], [])], "s array<int>, t array<boolean>")
+    began = time.time()
+    rows = df.select(C.pack(F.col("s"), F.col("t"), 80, 10).alias("p")).collect()
+    assert time.time() - began < 20
+    assert [tuple(c) for c in rows[0].p] == got and rows[1].p is None and rows[2].p == []
