@@ -22,8 +22,8 @@ TEXT_KEYS = ["content", "reasoning_content", "reasoning", "text"]
 REPLY_KEYS = ["output_text", "content", "text", "reasoning_content", "reasoning"]
 COUNTS = ["supported_claims", "total_claims", "fabricated_claims"]
 
-#: Layers of wrapping that are taken off a value.
-LAYERS = 8
+#: Fields of a reply that hold what was said, wherever they lie in it.
+SAID_KEYS = ["content", "text", "output_text", "reasoning", "reasoning_content"]
 VERDICT = "struct<" + ",".join(f"{c}:int" for c in [*COUNTS, "correct_answer"]) + ">"
 
 
@@ -46,6 +46,11 @@ def _is(v: Column, kind: str) -> Column:
     return F.schema_of_variant(v).startswith(kind)
 
 
+def _levels(json: Column) -> Column:
+    """As many items as a JSON text opens lists and objects: no value in it lies deeper."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(json, F.lit(r"[\[{]"))))
+
+
 def _bare(v: Column, keys: list[str], only_numbers: bool) -> Column:
     def layer(x: Column) -> Column:
         alone = F.when(F.size(_items(x)) == 1, _items(x)[0])
@@ -53,7 +58,7 @@ def _bare(v: Column, keys: list[str], only_numbers: bool) -> Column:
             alone = F.when(_number(alone).isNotNull(), alone)
         return F.coalesce(*[_at(x, k) for k in keys], alone, x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(LAYERS)), v, lambda x, _: layer(x))
+    return F.aggregate(_levels(F.to_json(v)), v, lambda x, _: layer(x))
 
 
 def count(v: Column) -> Column:
@@ -94,23 +99,42 @@ def verdict(text: Column) -> Column:
 
 
 def _text(v: Column) -> Column:
-    """A text, or the texts of a list's parts one after another."""
+    """A text, the texts of a list's parts one after another, or the text of an object."""
     own = lambda x: F.when(_is(x, "STRING"), F.try_variant_get(x, "$", "string"))
-    part = lambda x: F.coalesce(own(x), own(_at(x, "text")), own(_at(x, "content")), F.lit(""))
-    return F.btrim(F.coalesce(own(v), F.array_join(F.transform(_items(v), part), "")))
+    part = lambda x: F.coalesce(own(x), *[own(_at(x, k)) for k in SAID_KEYS], F.lit(""))
+    listed = F.array_join(F.transform(_items(v), part), "")
+    return F.btrim(F.coalesce(own(v), listed, *[own(_at(v, k)) for k in SAID_KEYS], F.lit("")))
+
+
+def _said(v: Column, json: Column) -> Column:
+    """The texts under SAID_KEYS anywhere in a VARIANT, the ones nearer to its root first, then by the names they lie under.
+
+    Goes down level by level through lists and through objects' other fields; a field of those names is taken as a text
+    and not entered. The state is the values of one level, and there are as many levels as the JSON text has brackets.
+    """
+    fields = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
+    own = lambda x: F.map_values(F.map_filter(fields(x), lambda k, _: k.isin(SAID_KEYS)))
+    inner = lambda x: F.coalesce(F.map_values(F.map_filter(fields(x), lambda k, _: ~k.isin(SAID_KEYS))), _items(x))
+    each = lambda level, part: F.flatten(F.transform(level, lambda x: F.coalesce(part(x), F.array().cast("array<variant>"))))
+    state = lambda level, found: F.struct(level.alias("level"), found.alias("found"))
+    start = state(F.array(v), F.array().cast("array<string>"))
+
+    def down(acc: Column, _: Column) -> Column:
+        return state(each(acc["level"], inner), F.concat(acc["found"], F.transform(each(acc["level"], own), _text)))
+
+    return F.aggregate(_levels(json), start, down, lambda acc: acc["found"])
 
 
 def reply_text(reply: Column) -> Column:
-    """The text of a chat reply given as JSON: of the choices' messages, the reply's own fields and then of all texts in
-    it, the first that holds an object; else the first of the named ones that isn't blank; else the empty text."""
+    """The text of a chat reply given as JSON: of the choices' messages, the reply's own fields and then of all fields named
+    so in it, the first text that holds an object; else the first that isn't blank; else the empty text. Other fields, a
+    request that is given back say, are never read."""
 
     def read(v: Column) -> Column:
         choices = F.coalesce(_items(_at(v, "choices")), F.array(_at(v, "choices")))
         of_choice = lambda c: F.array(*[_text(_at(_at(c, box), k)) for box in MESSAGE_KEYS for k in TEXT_KEYS], _text(_at(c, "text")))
-        named = F.concat(F.flatten(F.transform(choices, of_choice)), F.array(*[_text(_at(v, k)) for k in REPLY_KEYS]))
-        literals = F.regexp_extract_all(reply, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))
-        every = F.transform(literals, lambda s: F.get_json_object(F.concat(F.lit('{"s":'), s, F.lit("}")), "$.s"))
-        holds = F.filter(F.concat(named, every), lambda s: s.rlike(r"(?s)\{.*\}"))
-        return F.coalesce(F.get(holds, F.lit(0)), F.get(F.filter(named, lambda s: s != ""), F.lit(0)), F.lit(""))
+        named = F.concat(F.flatten(F.transform(choices, of_choice)), F.array(*[_text(_at(v, k)) for k in REPLY_KEYS]), _said(v, reply))
+        some = F.filter(named, lambda s: s != "")
+        return F.coalesce(F.get(F.filter(some, lambda s: s.rlike(r"(?s)\{.*\}")), F.lit(0)), F.get(some, F.lit(0)), F.lit(""))
 
     return let(F.try_parse_json(reply), read)

@@ -135,6 +135,23 @@ def test_reply_text(spark):
     assert text_of({"choices": {"text": " é\n{}"}}) == "é\n{}"
     assert text_of({"data": {"output_text": "{}"}}) == "{}"
     assert text_of({"output_text": "none"}) == "none" and text_of([]) == "" and text_of({"x": 1}) == ""
+    # Only fields that are named so count, however deep they lie; what was asked doesn't.
+    asked = {"correct_answer": 1, "prompt": '{"correct_answer": 1}'}
+    assert text_of({"request": asked, "choices": [{"message": {"content": "I cannot say"}}]}) == "I cannot say"
+    assert text_of({"request": asked, "log": [{"body": asked}, ['{"a": 1}']]}) == ""
+    deep = {"content": [{"text": "{"}, {"content": '"a": 1}'}]}
+    for k in range(12):
+        deep = {"request": asked, f"k{k}": [deep, {"x": k}]} if k % 2 else [asked, {"y": deep}]
+    assert text_of(deep) == '{"a": 1}'
+    assert text_of({"a": {"text": {"reasoning": " {} "}}, "b": 1}) == "{}"
+
+
+def test_verdict_in_many_layers(spark):
+    flag, count = 1, 7
+    for _ in range(30):
+        flag, count = [{"value": flag}], {"count": {"total": count}}
+    said = json.dumps({"correct_answer": flag, "total_claims": count})
+    assert tuple(one(spark, said, judging.verdict)) == (0, 7, 0, 1)
 
 
 def test_verdict(spark):
