@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import dates, judging, matching, text
-from ..operators import answering, chunking, containment, evaluation, retrieval, vectors
+from ..operators import answering, blocks, chunking, containment, evaluation, retrieval, vectors
 from ..sources.readers import spread
+from ..sources.scratch import scratch
 from . import pipelines
 from .registry import ORACLES, QUERIES, query  # noqa: F401  this module fills them
 
@@ -340,6 +341,14 @@ def topk_all(spark, sf):
     return retrieval.retrieve(_plans(spark, sf), _chunks(spark, sf), K).select("query_id", "rank", "pos", "score")
 
 
+@query(_topk("TRUE"))
+def topk_blocks(spark, sf):
+    """The same rows by way of an index in blocks, of which those are left out that can't hold any of a query's best."""
+    path = scratch(spark, "blocks")
+    blocks.write_blocks(_chunks(spark, sf).select("pos", "vector"), path, block_rows=256)
+    return blocks.top_k_in_blocks(_plans(spark, sf).select("query_id", "vector"), path, K)[0].select("query_id", "rank", "pos", "score")
+
+
 @query(_topk("q.label = c.label"))
 def topk_filtered(spark, sf):
     return retrieval.retrieve(_plans(spark, sf, year=F.col("label")), _chunks(spark, sf), K).select("query_id", "rank", "pos", "score")
@@ -410,7 +419,39 @@ def _gold(spark, sf):
 c AS (SELECT item_id AS question_id, doc_id AS chunk_id, b.n <> '' AND contains(d.n, b.n) AS hit FROM b JOIN d ON doc_id % 5 = item_id % 5 AND doc_id % 12 = item_id % 12)
 SELECT question_id, chunk_id FROM c QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY question_id)""")
 def relevance_fallback_sets(spark, sf):
-    return evaluation.relevant_chunks(_gold(spark, sf), evaluation.prepare_chunks(_doc_chunks(spark, sf))).select("question_id", "chunk_id")
+    chunks = evaluation.prepare_chunks(_doc_chunks(spark, sf))
+    return evaluation.every_relevant_chunk(evaluation.relevant_chunks(_gold(spark, sf), chunks), chunks)
+
+
+def _near(c: str, t: str) -> str:
+    return f"CASE WHEN {t} = 0 THEN abs({c}) <= 0.001 ELSE abs({c} - {t}) / abs({t}) <= 0.001 END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS k, o_totalprice / 100 AS p, o_orderkey % 7 = 0 AS two, o_orderkey % 5 = 0 AS dated, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders),
+c AS (SELECT c_custkey, c_custkey::DOUBLE AS k, c_acctbal AS b, 1992 + c_custkey % 7 AS y, c_custkey % 12 + 1 AS m FROM customer)
+SELECT o_orderkey, c_custkey FROM o JOIN c ON (NOT dated OR (o.y = c.y AND o.m = c.m)) WHERE ({_near("c.b", "o.p")} OR {_near("c.k", "o.p")}) AND (NOT two OR {_near("c.b", "o.k")} OR {_near("c.k", "o.k")})""")
+def answer_numbers_join(spark, sf):
+    """Answers by their numbers, through the index of rarest ranges: a hundredth of an order's price near a customer's
+    balance; every seventh also names the customer, every fifth is sought in its month only."""
+    dated, two = F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 7 == 0
+    price = F.col("o_totalprice") / 100
+    when = lambda c: F.when(dated, c("o_orderdate"))
+    answers = t(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.lit("").alias("an"), F.when(two, F.array(price, F.col("o_custkey").cast("double"))).otherwise(F.array(price)).alias("ann"), when(F.year).alias("year"), when(F.month).alias("month"))
+    key = F.col("c_custkey")
+    texts = t(spark, sf, "customer").select(key.alias("chunk_id"), (F.lit(1992) + key % 7).cast("int").alias("year"), (key % 12 + 1).cast("int").alias("month"), F.lit("").alias("norm_text"), F.array(F.col("c_acctbal"), key.cast("double")).alias("text_numbers"))
+    return containment.by_index(answers, texts).select(F.col("question_id").alias("o_orderkey"), F.col("chunk_id").alias("c_custkey"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_norm('text')} AS n FROM documents), b AS (SELECT item_id, {_norm('text')} AS n FROM benchmark),
+w AS (SELECT item_id * 4 + unnest([0, 1, 2, 3]) AS answer_id, unnest([n, left(n, 9), right(n, 23), substr(n, 7, 40)]) AS n FROM b)
+SELECT answer_id, doc_id FROM d JOIN w ON w.n <> '' AND contains(d.n, w.n)""")
+def answer_windows_join(spark, sf):
+    """Answers and parts of them, cut without regard to words, through the index of their rarest windows."""
+    an = text.normalize_answer(F.col("text"))
+    parts = t(spark, sf, "benchmark").select("item_id", F.posexplode(F.array(an, F.substring(an, 1, 9), F.right(an, F.lit(23)), F.substring(an, 7, 40))).alias("k", "an"))
+    answers = parts.select((F.col("item_id") * 4 + F.col("k")).alias("question_id"), "an", F.array().cast("array<double>").alias("ann"), *[F.lit(None).cast("int").alias(c) for c in ("year", "month")])
+    held = containment.by_index(answers, evaluation.prepare_chunks(_doc_chunks(spark, sf)))
+    return held.select(F.col("question_id").alias("answer_id"), F.col("chunk_id").alias("doc_id"))
 
 
 # ---------------------------------------------------------------- joins of results
@@ -478,9 +519,10 @@ def claim_ratios(spark, sf):
 
 
 @query("""SELECT doc_id, quality::INT AS supported_claims, (CASE doc_id % 6 WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE quality + toxic END)::INT AS total_claims,
-  (CASE doc_id % 6 WHEN 4 THEN 0 ELSE toxic END)::INT AS fabricated_claims, (CASE doc_id % 6 WHEN 3 THEN 0 ELSE quality END)::INT AS correct_answer FROM labels WHERE doc_id % 6 <> 5""")
+  (CASE doc_id % 6 WHEN 4 THEN 0 ELSE toxic END)::INT AS fabricated_claims, (CASE doc_id % 6 WHEN 3 THEN 0 ELSE quality END)::INT AS correct_answer FROM labels WHERE doc_id % 6 <> 5 AND doc_id % 7 <> 3""")
 def judge_coercion(spark, sf):
-    """Replies of many shapes, read by expressions alone; one in six can't be read and gives nothing."""
+    """Replies of many shapes, read by expressions alone; one in six can't be read and gives nothing. All give back a request
+    that looks like a verdict; one in seven says nothing else, and every third lies deep in lists and objects."""
     q, x, n = F.col("quality").cast("string"), F.col("toxic").cast("string"), (F.col("quality") + F.col("toxic")).cast("string")
     yes = F.when(F.col("quality") == 1, "Yes").otherwise("incorrect")
     shape = lambda s, t, f, c: F.concat(F.lit('{"supported_claims": '), *s, F.lit(', "total_claims": '), *t, F.lit(', "fabricated_claims": '), *f, F.lit(', "correct_answer": '), *c, F.lit("}"))
@@ -496,7 +538,11 @@ def judge_coercion(spark, sf):
     reply = said[5]
     for k in range(5):
         reply = F.when(F.col("doc_id") % 6 == k, said[k]).otherwise(reply)
-    part = F.to_json(F.struct(F.array(F.struct(F.struct(reply.alias("content")).alias("message"))).alias("choices")))
+    reply = F.when(F.col("doc_id") % 7 == 3, "I cannot say").otherwise(reply)
+    request = F.to_json(F.struct(*[F.lit(1).alias(c) for c in ("supported_claims", "total_claims", "fabricated_claims", "correct_answer")]))
+    asked = F.struct(F.struct(F.struct(request.alias("prompt")).alias("body")).alias("request"), F.array(F.struct(F.struct(reply.alias("content")).alias("message"))).alias("choices"))
+    deep = F.struct(F.array(F.struct(request.alias("asked")), F.struct(request.alias("asked"))).alias("log"), F.struct(F.array(F.array(F.struct(F.array(F.struct(reply.alias("text"))).alias("content")))).alias("parts")).alias("result"))
+    part = F.when(F.col("doc_id") % 3 == 1, F.to_json(deep)).otherwise(F.to_json(asked))
     told = t(spark, sf, "labels").select("doc_id", judging.verdict(judging.reply_text(part)).alias("v"))
     return told.filter("v IS NOT NULL").select("doc_id", "v.*")
 

@@ -11,11 +11,11 @@ REQUIRED = ["data_dir", "csv_path", "selected_years", "vector_db_type", "chunk_s
 VECTOR_DB_TYPES = {"faiss", "parquet"}
 EMBEDDING_BACKENDS = {"deepinfra", "remote", "hash", "keyword"}
 GENERATION_BACKENDS = {"deepinfra", "openai", "remote", "extractive"}
-POSITIVE, NONNEGATIVE = ["batch_size", "timeout_seconds", "max_tokens", "max_context_chars", "num_ctx"], ["request_sleep_seconds", "retry_sleep_seconds", "max_retries"]
+POSITIVE, NONNEGATIVE = ["batch_size", "timeout_seconds", "max_tokens", "max_context_chars", "num_ctx", "slice_questions", "requests_in_flight"], ["request_sleep_seconds", "retry_sleep_seconds", "max_retries"]
 GENERATION_DEFAULTS = {
     "backend": "extractive", "max_context_chars": 10_000, "max_tokens": 512, "temperature": 0.0, "timeout_seconds": 90,
     "allow_extractive_fallback": False, "require_citations": True, "fallback_on_ungrounded_answer": True,
-    "request_sleep_seconds": 2.0, "retry_sleep_seconds": 10.0, "max_retries": 3,
+    "request_sleep_seconds": 2.0, "retry_sleep_seconds": 10.0, "max_retries": 3, "slice_questions": 1000, "requests_in_flight": 8,
 }
 EMBEDDING_DEFAULTS = {"backend": "hash", "normalize": True, "batch_size": 32, "timeout_seconds": 300, "request_sleep_seconds": 0.0, "retry_sleep_seconds": 5.0, "max_retries": 3}
 

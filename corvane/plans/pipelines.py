@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions.text import strip
 from ..operators import answering, chunking, evaluation, retrieval
-from ..sources import readers, sinks
+from ..sources import npy, readers, sinks
 from ..sources.scratch import scratch
 from .config import RUN_MODES
 
@@ -65,12 +66,17 @@ def chunk_table(docs: DataFrame, config: dict) -> DataFrame:
 
 def manifest(index: DataFrame, config: dict, provider) -> DataFrame:
     """One row: counts and dimension from the index, settings from the configuration."""
+    counted = index.agg(F.count(F.lit(1)).alias("chunk_count"), F.count_distinct("metadata.source_path").alias("document_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("embedding_dim"))
+    return manifest_row(counted, config, provider)
+
+
+def manifest_row(counted: DataFrame, config: dict, provider) -> DataFrame:
+    """The manifest of a row of chunk_count, document_count, embedding_dim."""
     known = {
         "vector_db_type": config["vector_db_type"], "index_backend": INDEX_BACKEND, "shared_index": True, "metadata_scope": "superset",
         "metadata_filtering": "retrieval_time_only", "embedding_backend": provider.backend, "embedding_model_name": provider.name,
         "normalize_embeddings": bool(config["embedding"]["normalize"]), "chunk_size": config["chunk_size"], "chunk_overlap": config["chunk_overlap"], "top_k": config["top_k"],
     }
-    counted = index.agg(F.count(F.lit(1)).alias("chunk_count"), F.count_distinct("metadata.source_path").alias("document_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("embedding_dim"))
     years = {k: F.array(*[F.lit(y) for y in config[k]]) for k in ("selected_years", "document_years")}
     return counted.withColumns({k: F.lit(v) for k, v in known.items()} | years).select(*sinks.MANIFEST_KEYS, F.lit(settings_hash(config)).alias("settings_hash"))
 
@@ -81,10 +87,17 @@ def build_index(spark: SparkSession, config: dict, provider=None) -> DataFrame:
     docs = readers.documents(spark, config["data_dir"], config["document_years"])
     index = providers.embed(chunk_table(docs, config), provider, normalize=config["embedding"]["normalize"])
     root = config["index_dir"]
+    sinks.remove(spark, f"{root}/documents")  # of a streamed index that this one replaces
     sinks.write_index(index, f"{root}/index")
-    stored = load_index(spark, root)
-    sinks.write_chunks(stored.orderBy("pos"), f"{root}/chunks.jsonl")
-    row = manifest(stored, config, provider)
+    return finish_index(spark, config, provider)
+
+
+def finish_index(spark: SparkSession, config: dict, provider) -> DataFrame:
+    """Writes the chunk file and the manifest of the index that is there; returns the manifest's row."""
+    root = config["index_dir"]
+    there = load_index(spark, root)
+    sinks.write_chunks(there.orderBy("pos"), f"{root}/chunks.jsonl")
+    row = manifest(there, config, provider)
     sinks.write_one(spark, row.first().asDict(recursive=True), f"{root}/manifest.json")
     return row
 
@@ -112,7 +125,8 @@ def check_index(spark: SparkSession, index_dir: str) -> DataFrame:
         raise readers.DataError(f"the index in {index_dir} is of the kind {said.get('index_backend')}, not {INDEX_BACKEND}")
     index, size = load_index(spark, index_dir), F.size("vector")
     n = index.agg(F.count(F.lit(1)).alias("chunk_count"), F.min(size).alias("least"), F.max(size).alias("most")).first()
-    texts = readers.chunks(spark, f"{index_dir}/chunks.jsonl").count()
+    # A streamed index has a register instead, until its chunk file is written.
+    texts = readers.chunks(spark, f"{index_dir}/chunks.jsonl").count() if sinks.exists(spark, f"{index_dir}/chunks.jsonl") else n["chunk_count"]
     if not n["chunk_count"] == texts == said["chunk_count"]:
         raise readers.DataError(f"the index in {index_dir} holds {n['chunk_count']} vectors and {texts} chunks; its manifest says {said['chunk_count']}")
     if {n["least"], n["most"]} != {said["embedding_dim"]}:
@@ -149,7 +163,7 @@ def search(planned: DataFrame, index: DataFrame, config: dict, provider, k: int
     return retrieval.retrieve(asked, chunks, k)
 
 
-def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=None) -> DataFrame:
+def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=None, journal: str | None = None) -> DataFrame:
     """Every question at once: plan, embed, retrieve, cite, answer. Questions without a chunk get NOT_FOUND.
 
     The columns of predictions and, for the log, final_context_ids, final_sources, final_context; question_no tells rows
@@ -168,7 +182,7 @@ def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=
         rows = rows.withColumn("predicted_answer", short)
     else:
         ready = rows.withColumn("messages", F.when(F.col("hits").isNotNull(), answering.messages(F.col("question"), F.col("context"))))
-        rows = providers.generate(ready, call or generator(g), retries=g["max_retries"], pause=g["retry_sleep_seconds"], before=g["request_sleep_seconds"])
+        rows = providers.generate(ready, call or generator(g), retries=g["max_retries"], pause=g["retry_sleep_seconds"], before=g["request_sleep_seconds"], in_flight=g["requests_in_flight"], journal=journal)
         failed = short if g["allow_extractive_fallback"] else F.raise_error(F.lit("the answer provider failed")).cast("string")
         guarded = answering.guard(F.col("raw_answer"), short, g["require_citations"], g["fallback_on_ungrounded_answer"])
         rows = rows.withColumn("predicted_answer", F.when(F.col("hits").isNull(), answering.NOT_FOUND).when(F.col("raw_answer").isNull(), failed).otherwise(guarded))
@@ -187,34 +201,58 @@ def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=
 LOG_COLUMNS = ["question_id", "selected_years", "detected_year", "detected_month", "retrieval_method", "model_config", "final_context_ids", "final_sources", "final_context"]
 
 
-def run_qa(spark: SparkSession, config: dict, provider=None, call=None, resume: bool = False) -> DataFrame:
+def run_qa(spark: SparkSession, config: dict, provider=None, call=None, resume: bool = False, most_slices: int | None = None) -> DataFrame:
     """Answers the selected years' questions into output_dir; builds the index first if there is none of these settings.
 
-    resume: questions that an earlier run with these settings has answered aren't asked again.
+    Questions are answered in slices of generation.slice_questions rows, each written and committed on its own: a run
+    that is killed or fails loses the slice it was at, and what was paid for before stays. resume: questions that earlier
+    runs with these settings have answered aren't asked again, whether those runs ended well or not; without it all are
+    asked. most_slices: stop after so many. Predictions and logs then hold what is answered so far.
+
+    A slice costs a scan of what its questions retrieve from, so slices are a matter of how much may be lost, not of memory.
     """
     provider = provider or embedder(config)
     if not index_matches(spark, config):
         build_index(spark, config, provider)
     questions = readers.questions_of_years(readers.answer_key(spark, config["csv_path"]), config["selected_years"])
     root = config["output_dir"]
-    # Answers are written once and both artifacts come from that table: providers are asked once. Its folder bears the
-    # settings' names, so that answers of other settings are never taken for done.
+    # The folder bears the settings' names, so that answers of other settings are never taken for done.
     path = f"{root}/answers-{run_hash(config)}"
-    if resume and sinks.exists(spark, f"{path}/_SUCCESS"):
-        questions = sinks.without_done(questions, spark.read.parquet(path).select(F.col("question_no").alias("_row")), "_row")
-    else:
+    # Replies are kept one by one where workers can open the folder, until their slice is committed.
+    journal = npy.local(f"{root}/journal-{run_hash(config)}") if "://" not in root or root.startswith("file://") else None
+    if not resume:
         sinks.remove(spark, path)
-    out = answer(questions, check_index(spark, config["index_dir"]), config, provider, call)
-    out.write.mode("append").parquet(path)
-    stored = spark.read.parquet(path)
-    sinks.write_predictions(stored, f"{root}/predictions.csv")
-    sinks.write_json(stored.select(*LOG_COLUMNS), f"{root}/retrieval_logs.jsonl")
-    return stored
+    asked = [F.col("_row").alias("question_no"), "question"]
+    done = sinks.committed(spark, path)
+    left = questions
+    if done:
+        left = sinks.without_done(questions, spark.read.parquet(*done).select(F.col("question_no").alias("_row"), "question"), ["_row", "question"])
+    todo = _written(left.withColumn("_slice", F.floor(F.col("_row") / config["generation"]["slice_questions"])), f"{root}/questions-{run_hash(config)}", "_slice")
+    numbers = sorted(r[0] for r in todo.select("_slice").distinct().collect())
+    index = check_index(spark, config["index_dir"]) if numbers else None
+    for k in numbers[:most_slices]:
+        out = answer(todo.filter(F.col("_slice") == k).drop("_slice"), index, config, provider, call, f"{journal}/after-{len(done)}-slice-{k}" if journal else None)
+        out.write.mode("overwrite").parquet(f"{path}/after-{len(done)}/slice-{k}")
+        if journal:
+            sinks.remove(spark, f"file://{journal}/after-{len(done)}-slice-{k}")
+    stored = sinks.committed(spark, path)
+    # An answer key that has changed since leaves answers that no question asks for.
+    answers = spark.read.parquet(*stored).join(questions.select(*asked), ["question_no", "question"], "left_semi")
+    sinks.write_predictions(answers, f"{root}/predictions.csv")
+    sinks.write_json(answers.select(*LOG_COLUMNS), f"{root}/retrieval_logs.jsonl")
+    return answers
+
+
+def _written(rows: DataFrame, path: str, by: str) -> DataFrame:
+    """rows written by a column's values and read again, also if there are none."""
+    rows.write.mode("overwrite").partitionBy(by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def run_hash(config: dict) -> str:
     """Of all that an answer depends on."""
     used = {k: v for k, v in config.items() if k not in ("output_dir", "index_dir")}
+    used["generation"] = {k: v for k, v in config["generation"].items() if k not in ("slice_questions", "requests_in_flight")}
     return hashlib.sha256(json.dumps(used, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
@@ -240,15 +278,21 @@ def evaluate(predictions: DataFrame, logs: DataFrame | None, chunks: DataFrame,
     texts = each.join(named, "chunk_id").groupBy("question_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), 1, evaluation.TOP).alias("contexts"))
     ready = base.join(texts, "question_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
     prompt = evaluation.judge_prompt(F.col("question"), F.col("prediction"), F.col("contexts"), F.col("gold_answer"))
-    judged = providers.judge(ready.withColumn("prompt", prompt), judge_call, retries=retries, pause=pause, before=before)
+    if isinstance(judge_call, providers.RecordedJudge):
+        judged = providers.recorded_verdicts(ready, judge_call)
+    else:
+        judged = providers.judge(ready.withColumn("prompt", prompt), judge_call, retries=retries, pause=pause, before=before)
     exact = evaluation.exact_match(F.col("prediction"), F.col("gold_answer")).alias("exact_answer_match")
     return judged.join(scores, "question_id").select(F.col("_said_id").alias("question_id"), "hit", "correct_docs_found", "reciprocal_rank", "relevant_found", "total_relevant", exact, "verdict.*")
 
 
 def run_evaluation(spark: SparkSession, config: dict, judge_call=None, predictions_path: str | None = None) -> dict:
-    """Evaluates output_dir's predictions; writes metrics.json, evaluation_details.csv and judge_results.jsonl at the end.
+    """Evaluates output_dir's predictions: metrics.json, evaluation_details.csv and judge_results.jsonl in a folder of this
+    run's own below output_dir/evaluations.
 
-    If the judge fails, judge_error.json says how and nothing else is written; a success removes it.
+    evaluation.json names the folder and is replaced last, in one step: whoever goes by it sees all artifacts of one run,
+    whatever fails in between; see evaluation_folder(). Earlier folders are deleted then. If the judge fails,
+    judge_error.json says how and nothing else changes; a success removes it.
     """
     root, g = config["output_dir"], config["generation"]
     judge_call = judge_call or judge(g)
@@ -256,17 +300,30 @@ def run_evaluation(spark: SparkSession, config: dict, judge_call=None, predictio
     chunks = stored.select(F.col("metadata.chunk_id").alias("chunk_id"), "text", F.col("metadata.year").alias("year"), F.col("metadata.month").alias("month"), "pos")
     logs = readers.retrieval_logs(spark, f"{root}/retrieval_logs.jsonl")
     details = evaluate(readers.predictions(spark, predictions_path or f"{root}/predictions.csv"), logs, chunks, readers.answer_key(spark, config["csv_path"]), judge_call, g["max_retries"], g["retry_sleep_seconds"], g["request_sleep_seconds"])
+    name = f"evaluations/{uuid.uuid4().hex}"
+    here = f"{root}/{name}"
     try:
-        details.write.mode("overwrite").parquet(f"{root}/details")  # the judge is asked once
+        details.write.parquet(f"{here}/details")  # the judge is asked once
     except Exception as e:
         sinks.write_one(spark, {"error": str(e)[:2000]}, f"{root}/judge_error.json")
+        sinks.remove(spark, here)
         raise
-    details = spark.read.parquet(f"{root}/details")
+    details = spark.read.parquet(f"{here}/details")
     found = evaluation.metrics(details).first().asDict()
     named = {"hit": "hit_rate@5", "correct_docs_found": "correct_docs_found@5", "relevant_found": "relevant_snippets_found@5", "total_relevant": "total_relevant_snippets"}
     shown = details.withColumnsRenamed(named).withColumns({"factual_accuracy": F.col("correct_answer"), "judge_correct_answer": F.col("correct_answer")})
-    sinks.write_details(shown, f"{root}/evaluation_details.csv")
-    sinks.write_json(shown.select("question_id", "supported_claims", "total_claims", "fabricated_claims", "judge_correct_answer", "raw_response"), f"{root}/judge_results.jsonl")
-    sinks.write_one(spark, {k: found[k] for k in evaluation.METRICS}, f"{root}/metrics.json")
+    sinks.write_details(shown, f"{here}/evaluation_details.csv")
+    sinks.write_json(shown.select("question_id", "supported_claims", "total_claims", "fabricated_claims", "judge_correct_answer", "raw_response"), f"{here}/judge_results.jsonl")
+    sinks.write_one(spark, {k: found[k] for k in evaluation.METRICS}, f"{here}/metrics.json")
+    sinks.write_one(spark, {"folder": name}, f"{root}/evaluation.json")
     sinks.remove(spark, f"{root}/judge_error.json")
+    sinks.keep_only(spark, f"{root}/evaluations", [name.split("/")[1]])
     return found
+
+
+def evaluation_folder(spark: SparkSession, output_dir: str) -> str:
+    """Where the artifacts of the last whole evaluation are."""
+    path = f"{output_dir}/evaluation.json"
+    if not sinks.exists(spark, path):
+        raise readers.DataError(f"no evaluation in {output_dir}")
+    return f"{output_dir}/{spark.read.option('multiLine', True).json(path).first()['folder']}"

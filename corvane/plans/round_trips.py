@@ -1,14 +1,16 @@
-"""Queries that go through files, settings and providers: what a run writes is read back and held against SQL."""
+"""Queries that go through files and providers: what a run writes is read back and held against SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import dates
 from ..operators import answering, evaluation, retrieval
-from ..sources import readers, sinks
+from ..sources import npy, readers, sinks
 from ..sources.scratch import scratch
+from ..streaming import ingest
 from . import config as settings
 from . import pipelines
 from .catalogue import _PACK, SIZE, _collapse, _norm, _sentences, _terms, t
@@ -25,11 +27,13 @@ g AS (SELECT year, month, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) A
 src AS (SELECT (row_number() OVER (ORDER BY year, month) - 1)::BIGINT AS doc_id, year, month, text FROM g)"""
 
 
-def _write_documents(spark, sf, root: str) -> str:
-    """Text files, one for each of sixty months, in folders that are named after them."""
+def _write_documents(spark, sf, root: str, arrival: tuple[int, bool] | None = None) -> str:
+    """Text files, one for each of sixty months, in folders that are named after them; or those of half a year only."""
     year, month = F.lit(2000) + F.col("doc_id") % 5, F.col("doc_id") % 12 + 1
     rows = t(spark, sf, "documents").select("doc_id", "text", F.format_string("%d_%02d", year, month).alias("name"))
-    rows.repartition("name").sortWithinPartitions("name", "doc_id").select("text", "name").write.partitionBy("name").text(f"{root}/docs")
+    if arrival:
+        rows = rows.filter((year == arrival[0]) & ((month > 6) == arrival[1]))
+    rows.repartition("name").sortWithinPartitions("name", "doc_id").select("text", "name").write.mode("append").partitionBy("name").text(f"{root}/docs")
     return f"{root}/docs"
 
 
@@ -88,6 +92,20 @@ def chunk_file(spark, sf):
     return rows.select(m["chunk_id"].alias("chunk_id"), m["year"].alias("year"), m["month"].alias("month"), m["heading"].alias("heading"), m["content_type"].alias("content_type"), F.md5("text").alias("digest"), F.lit(agree).alias("files_agree"))
 
 
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT pos, chunk_id, heading, md5(text) AS digest, (SELECT count(*) FROM chunk) AS chunk_count, (SELECT count(DISTINCT (year, month)) FROM chunk) AS document_count FROM chunk")
+def streamed_index(spark, sf):
+    """Documents that arrive by half years, streamed into an index: the rows and the manifest of a batch run's."""
+    root = scratch(spark, "streamed")
+    c = _config(root)
+    for year in DOCUMENT_YEARS:
+        for late in (False, True):
+            _write_documents(spark, sf, root, (year, late))
+            ingest.run(spark, c, f"{root}/checkpoint").awaitTermination()
+    said, m = pipelines.read_manifest(spark, c["index_dir"]), F.col("metadata")
+    index = pipelines.check_index(spark, c["index_dir"])
+    return index.select("pos", m["chunk_id"].alias("chunk_id"), m["heading"].alias("heading"), F.md5("text").alias("digest"), *[F.lit(said[k]).cast("long").alias(k) for k in ("chunk_count", "document_count")])
+
+
 @query("""SELECT label AS year, (vec_id % 12 + 1)::INT AS month, count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS first, max(len(embedding))::INT AS dim, TRUE AS refused FROM embeddings GROUP BY ALL""")
 def index_append(spark, sf):
     """An index written in two parts; a third one of shorter vectors is refused and leaves nothing."""
@@ -105,6 +123,19 @@ def index_append(spark, sf):
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("vector")[0].cast("double")), 4).alias("first"), F.max(F.size("vector")).alias("dim")).withColumn("refused", F.lit(refused))
 
 
+@query("""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id, round(embedding[1]::DOUBLE, 5) AS first, len(embedding)::INT AS dim FROM embeddings""")
+def npy_files(spark, sf):
+    """Vectors written as NumPy matrices and read again by ranges of bytes, in the order of files and rows."""
+    path = f"{scratch(spark, 'npy')}/vectors.npy"
+    e = t(spark, sf, "embeddings").repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id")
+    # The number goes along in the vector: halves of it, as single precision holds 24 bits.
+    halves = F.array((F.col("vec_id") % 4096).cast("float"), F.floor(F.col("vec_id") / 4096).cast("float"))
+    npy.write(e.select(F.concat(F.col("embedding").cast("array<float>"), halves).alias("vector")), path)
+    back = readers.vectors(spark, path)
+    number = (F.element_at("vector", -1) * 4096 + F.element_at("vector", -2)).cast("long")
+    return back.select("pos", number.alias("vec_id"), F.round(F.col("vector")[0], 5).alias("first"), (F.size("vector") - 2).alias("dim"))
+
+
 @query("""SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row, conv_id::VARCHAR AS question_id, md5(' ' || text || '"') AS question, CASE WHEN turn % 2 = 0 THEN role END AS gold_answer, md5(text) AS predicted
 FROM conversations""")
 def prediction_file(spark, sf):
@@ -119,9 +150,10 @@ def prediction_file(spark, sf):
 
 @query("""SELECT user_id::VARCHAR AS question_id, max(event_id)::INT AS detected_year, arg_max(event_type, event_id) AS said FROM events WHERE user_id % 3 <> 0 GROUP BY user_id""")
 def log_file(spark, sf):
-    """Of several log lines of a question the last one counts; lines without a question don't; no file, no logs."""
+    """Of several log lines of a question the last one counts, in the order of seven files of other sizes; lines without a
+    question don't; no file, no logs."""
     root = scratch(spark, "logs")
-    e = t(spark, sf, "events").orderBy("event_id").coalesce(1)
+    e = t(spark, sf, "events").repartitionByRange(7, "event_id").sortWithinPartitions("event_id")
     sources = F.array(F.struct(F.col("event_type").alias("chunk_id")))
     sinks.write_json(e.select(F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).alias("question_id"), F.col("event_id").alias("detected_year"), sources.alias("final_sources")), f"{root}/logs.jsonl")
     logs = readers.retrieval_logs(spark, f"{root}/logs.jsonl").unionByName(readers.retrieval_logs(spark, f"{root}/none.jsonl"))
@@ -170,6 +202,27 @@ def run_answers(spark, sf):
     return both.select("question_id", F.array_join("final_context_ids", ",").alias("ids"), F.round(score, 4).alias("score"), F.md5("predicted_answer").alias("answer"), "detected_year", "detected_month", F.lit(again).alias("asked_again"))
 
 
+@query(f"""WITH RECURSIVE {_ANSWERS},
+n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row FROM benchmark), k AS (SELECT row // 7 AS slice, dense_rank() OVER (ORDER BY row // 7) AS nth, item_id FROM n JOIN qv USING (item_id))
+SELECT k.item_id::VARCHAR AS question_id, CASE WHEN nth <= 2 THEN 1 WHEN nth = 3 THEN 2 ELSE 3 END AS in_run, md5({_collapse('a.answer')}) AS answer, count(*) OVER ()::BIGINT AS predictions FROM k JOIN a USING (item_id)""")
+def resumed_answers(spark, sf):
+    """Slices of seven questions: a run of two slices, one that resumes it for one more, one that asks the rest."""
+    root = scratch(spark, "resumed")
+    _write_documents(spark, sf, root)
+    _write_key(spark, sf, root)
+    c = _config(root, generation={"backend": "extractive", "slice_questions": 7})
+    seen, runs = None, []
+    for most in (2, 1, None):
+        now = pipelines.run_qa(spark, c, resume=bool(runs), most_slices=most).select(F.col("question_id"), "question_no", F.md5("predicted_answer").alias("answer"))
+        new = now if seen is None else sinks.without_done(now, seen, "question_no")
+        path = f"{root}/seen-{len(runs)}"
+        new.withColumn("in_run", F.lit(len(runs) + 1)).write.parquet(path)
+        runs.append(path)
+        seen = spark.read.parquet(*runs)
+    said = readers.predictions(spark, f"{c['output_dir']}/predictions.csv").select("question_id").withColumn("predictions", F.count(F.lit(1)).over(Window.partitionBy()))
+    return seen.join(said, "question_id").select("question_id", "in_run", "answer", "predictions")
+
+
 @query(f"""WITH RECURSIVE {_ANSWERS} SELECT item_id, string_agg(chunk_id, ',' ORDER BY rank) AS ids, count(*)::INT AS n FROM h WHERE rank <= 3 GROUP BY item_id""")
 def search_index(spark, sf):
     """Filtered search of an index with a count of its own, then with none: nought means the settings' count."""
@@ -189,19 +242,6 @@ def search_index(spark, sf):
     return held.select(F.col("query_id").alias("item_id"), F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",").alias("ids"), F.size("hits").alias("n"))
 
 
-class _Judge:
-    """Says nothing of use every tenth time, else answers with an object."""
-
-    def __init__(self):
-        self.calls = 0
-
-    def __call__(self, prompt: str) -> object:
-        self.calls += 1
-        if self.calls % 10 == 0:
-            return "No idea."
-        return {"choices": [{"message": {"content": [{"text": 'Well: {"supported_claims": [1, 2], "total_claims": "3", '}, {"text": '"correct_answer": {"value": "yes"}}'}]}}]}
-
-
 @query(f"""WITH d AS (SELECT doc_id::VARCHAR AS id, (2000 + doc_id % 5)::INT AS y, (doc_id % 12 + 1)::INT AS m, {_norm('text')} AS n FROM documents),
 p AS (SELECT item_id, CASE WHEN item_id % 5 <> 0 THEN (item_id // 2)::VARCHAR ELSE '' END AS question_id, {_norm('text')} AS gold, item_id % 4 <> 3 AS dated, (2000 + item_id * 7 % 5)::INT AS y, (item_id * 7 % 12 + 1)::INT AS m FROM benchmark),
 hit AS (SELECT item_id, id FROM p JOIN d ON d.n <> '' AND contains(d.n, gold) AND (NOT dated OR (d.y = p.y AND d.m = p.m))),
@@ -213,110 +253,67 @@ j AS (SELECT known.item_id, rank, CASE WHEN p.dated THEN known.y = p.y AND known
 s AS (SELECT item_id, count(DISTINCT what) FILTER (good) AS docs, min(rank) FILTER (good) AS first FROM j GROUP BY item_id)
 SELECT p.question_id, CASE WHEN coalesce(s.docs, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, coalesce(s.docs, 0)::BIGINT AS correct_docs_found, round(coalesce(1.0 / s.first, 0.0)::DOUBLE, 6) AS reciprocal_rank,
   (SELECT count(*) FROM (SELECT DISTINCT id FROM ids WHERE ids.item_id = p.item_id AND place < 5) top JOIN rel ON rel.item_id = p.item_id AND rel.id = top.id)::BIGINT AS relevant_found,
-  (SELECT count(*) FROM rel WHERE rel.item_id = p.item_id)::BIGINT AS total_relevant, (p.item_id % 2 = 0)::INT AS exact_answer_match, 2 AS supported_claims, 3 AS total_claims, 0 AS fabricated_claims, 1 AS correct_answer
+  (SELECT count(*) FROM rel WHERE rel.item_id = p.item_id)::BIGINT AS total_relevant, (p.item_id % 2 = 0)::INT AS exact_answer_match, (p.item_id % 3)::INT AS supported_claims, 3 AS total_claims, (p.item_id % 2)::INT AS fabricated_claims, (p.item_id % 4 <> 0)::INT AS correct_answer,
+  round((sum(p.item_id % 3) OVER ())::DOUBLE / (3 * count(*) OVER ()), 6) AS groundedness, (count(*) OVER ())::BIGINT AS judged
 FROM p LEFT JOIN s USING (item_id)""")
 def evaluate_details(spark, sf):
-    """Details of predictions that share ids or have none: one row for each. The judge has to be asked again for some."""
-    i = F.col("item_id")
-    b = t(spark, sf, "benchmark").orderBy("item_id").coalesce(1)
+    """A whole evaluation over files: chunks, predictions that share ids or have none, an answer key, recorded verdicts.
+    The details come from the file written, one row for each prediction; so do the metrics and the judge's results."""
+    root, i = scratch(spark, "details"), F.col("item_id")
+    by_range = lambda name: t(spark, sf, name).repartitionByRange(3, t(spark, sf, name).columns[0])
     ids = F.to_json(F.array(*[x.cast("string") for x in (i * 7 + i % 3, i * 7 + 60, F.lit(-1), i * 7 + 1, i * 7 + 120, i * 7 + 2, i * 7 + 180)]))
     dated = i % 4 != 3
-    rows = b.select(
+    rows = by_range("benchmark").select(
         F.when(i % 5 != 0, F.floor(i / 2)).alias("question_id"), F.concat(F.lit("q"), i).alias("question"), F.col("text").alias("gold_answer"),
         F.when(i % 2 == 0, F.concat(F.lit(" "), "text", F.lit("!"))).otherwise("something else").alias("predicted_answer"), F.when(dated, F.lit(2000) + i * 7 % 5).alias("year"), F.when(dated, i * 7 % 12 + 1).alias("month"),
         ids.alias("retrieved_context_ids"),
     )
-    path = f"{scratch(spark, 'details')}/predictions.csv"
-    sinks.write_csv(rows, path)
-    key = t(spark, sf, "benchmark").select(F.col("item_id").alias("_row"), F.col("item_id").cast("string").alias("uid"), F.lit("none of them").alias("question"))
-    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", (F.lit(2000) + F.col("doc_id") % 5).cast("int").alias("year"), (F.col("doc_id") % 12 + 1).cast("int").alias("month"), F.col("doc_id").alias("pos"))
-    details = pipelines.evaluate(readers.predictions(spark, path), None, d, key, _Judge(), pause=0.0)
-    return details.drop("raw_response").withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
-
-
-# ---------------------------------------------------------------- settings and providers
-
-
-def _outcome(make) -> str:
-    try:
-        make()
-    except settings.ConfigError:
-        return "refused"
-    return "taken"
-
-
-_RAW = {
-    "data_dir": "d", "csv_path": "k.csv", "selected_years": ["2020"], "vector_db_type": "faiss", "chunk_size": "20", "chunk_overlap": 2, "top_k": 3, "embedding": {"backend": "HASH"},
-    "runs": {"baseline": {"output_dir": "b", "metadata_enabled": False}, "engineered": {"output_dir": "e"}},
-}
-#: What is changed in the settings, and whether they are then taken.
-CASES = {
-    "as they are": ({}, True), "overlap of the size": ({"chunk_overlap": 20}, False), "no top_k": ({"top_k": 0}, False), "no years": ({"selected_years": []}, False), "years that are none": ({"document_years": 2020}, False),
-    "unknown kind of index": ({"vector_db_type": "x"}, False), "unknown embedding": ({"embedding": {"backend": "x"}}, False), "embedding that is no mapping": ({"embedding": "hash"}, False),
-    "batches of nothing": ({"embedding": {"backend": "hash", "batch_size": 0}}, False), "negative sleep": ({"generation": {"backend": "extractive", "request_sleep_seconds": -1}}, False),
-    "context of nothing": ({"generation": {"num_ctx": 0}}, False), "a run that drifts": ({"runs": {"baseline": {"output_dir": "b", "top_k": 9}}}, False), "no run": ({"runs": {}}, False),
-    "a run without a folder": ({"runs": {"baseline": {}}}, False), "one run for all": ({"runs": None, "output_dir": "o"}, True),
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{'taken' if ok else 'refused'}')" for k, (_, ok) in CASES.items()) + """, ('a setting is missing', 'refused'), ('unknown mode', 'refused'), ('evaluation needs two settings', 'taken'),
-('evaluation lacks one', 'refused'), ('years as numbers', '2020'), ('paths from the base', '/b/d'), ('size as a number', '20'), ('context budget', '10000'), ('metadata by mode', 'true'), ('index beside the output', '/b/o'), ('shared folder', 's3a://x/k')) v("case", outcome)""")
-def settings_cases(spark, sf):
-    got = {k: _outcome(lambda c=change: settings.run(_RAW | c, "baseline", "/b")) for k, (change, _) in CASES.items()}
-    c = settings.run(_RAW, "engineered", "/b")
-    got |= {
-        "a setting is missing": _outcome(lambda: settings.shared({k: v for k, v in _RAW.items() if k != "data_dir"})), "unknown mode": _outcome(lambda: settings.run(_RAW, "other")),
-        "evaluation needs two settings": _outcome(lambda: settings.evaluation({"csv_path": "k", "output_dir": "o"}, "baseline")), "evaluation lacks one": _outcome(lambda: settings.evaluation({"csv_path": "k"}, "baseline")),
-        "years as numbers": str(c["document_years"][0]), "paths from the base": c["data_dir"], "size as a number": str(c["chunk_size"]), "context budget": str(c["generation"]["max_context_chars"]), "metadata by mode": str(c["metadata_enabled"]).lower(),
-        "index beside the output": settings.evaluation({"csv_path": "k", "output_dir": "o"}, "baseline", "/b")["index_dir"], "shared folder": settings.resolve("/b", "s3a://x/k"),
-    }
-    return spark.createDataFrame(list(got.items()), "case string, outcome string")
+    sinks.write_csv(rows, f"{root}/out/predictions.csv")
+    sinks.write_csv(t(spark, sf, "benchmark").select(i.alias("uid"), F.lit("none of them").alias("question"), F.lit("x").alias("answer")), f"{root}/key.csv")
+    d = F.col("doc_id")
+    meta = F.struct((F.lit(2000) + d % 5).cast("int").alias("year"), (d % 12 + 1).cast("int").alias("month"), F.lit("p").alias("source_path"), d.cast("string").alias("chunk_id"), F.lit("h").alias("heading"), F.lit("text").alias("content_type"))
+    sinks.write_chunks(by_range("documents").select("text", meta.alias("metadata")), f"{root}/index/chunks.jsonl")
+    said = F.format_string('Well: {"supported_claims": [%s], "total_claims": "3", "fabricated_claims": {"count": %d}, "correct_answer": {"value": "%s"}}', F.array_join(F.array_repeat(F.lit('"c"'), (i % 3).cast("int")), ","), i % 2, F.when(i % 4 != 0, "yes").otherwise("no"))
+    verdicts = t(spark, sf, "benchmark").select(F.concat(F.lit("q"), i).alias("question"), said.alias("verdict"))
+    c = {"output_dir": f"{root}/out", "index_dir": f"{root}/index", "csv_path": f"{root}/key.csv", "generation": settings.GENERATION_DEFAULTS}
+    found = pipelines.run_evaluation(spark, c, providers.RecordedJudge(verdicts))
+    here = pipelines.evaluation_folder(spark, c["output_dir"])
+    judged = readers.json_lines(spark, f"{here}/judge_results.jsonl", "question_id string, total_claims int").filter("total_claims = 3").count()
+    back = readers.csv(spark, f"{here}/evaluation_details.csv")
+    count = lambda name, to: F.col(f"`{name}`").cast("long" if to.startswith(("correct_docs", "relevant", "total_relevant")) else "int").alias(to)
+    counts = {"correct_docs_found@5": "correct_docs_found", "relevant_snippets_found@5": "relevant_found", "total_relevant_snippets": "total_relevant", "exact_answer_match": "exact_answer_match", "supported_claims": "supported_claims", "total_claims": "total_claims", "fabricated_claims": "fabricated_claims", "judge_correct_answer": "correct_answer"}
+    return back.select(
+        F.coalesce("question_id", F.lit("")).alias("question_id"), F.col("`hit_rate@5`").cast("double").alias("hit"), F.round(F.col("reciprocal_rank").cast("double"), 6).alias("reciprocal_rank"), *[count(k, v) for k, v in counts.items()],
+        F.round(F.lit(found["groundedness"]), 6).alias("groundedness"), F.lit(judged).cast("long").alias("judged"),
+    )
 
 
-class _Post:
-    """An embedding service that refuses its first call and gives its results in any order."""
+# ---------------------------------------------------------------- providers
 
-    def __init__(self):
-        self.calls = 0
 
-    def __call__(self, path: str, body: dict) -> dict:
-        self.calls += 1
-        if self.calls == 1:
-            raise providers.RateLimited("0")
-        return {"data": [{"index": i, "embedding": [float(len(x)), 100.0]} for i, x in reversed(list(enumerate(body["input"])))]}
+def _lengths(path: str, body: dict) -> dict:
+    """Embeddings as a service gives them, in any order: a text's length beside a hundred."""
+    return {"data": [{"index": i, "embedding": [float(len(x)), 100.0]} for i, x in reversed(list(enumerate(body["input"])))]}
 
 
 @query("""WITH l AS (SELECT item_id, length(text)::DOUBLE AS l FROM benchmark) SELECT item_id, round(l / sqrt(l * l + 10000), 5) AS a, round(100 / sqrt(l * l + 10000), 5) AS b FROM l""")
 def remote_embedding(spark, sf):
-    provider = providers.RemoteEmbedder(providers.EmbeddingClient(_Post(), "m"), batch=7, pause=0.0)
+    provider = providers.RemoteEmbedder(providers.EmbeddingClient(_lengths, "m"), batch=7, pause=0.0)
     v = providers.embed(t(spark, sf, "benchmark"), provider)
     return v.select("item_id", *[F.round(F.col("vector")[k].cast("double"), 5).alias(n) for k, n in enumerate("ab")])
 
 
-class _Chat:
-    """A service that fails, refuses for now, says nothing, or answers with or without a citation."""
-
-    def __init__(self):
-        self.calls = 0
-
-    def __call__(self, path: str, body: dict) -> dict:
-        self.calls += 1
-        kind = int(body["messages"][-1]["content"].rsplit(" ", 1)[1]) % 5
-        if kind == 0:
-            raise ConnectionError("down")
-        if kind == 1 and self.calls % 2:
-            raise providers.RateLimited("0")
-        said = {1: "Late. [S1]", 2: " ", 3: "No source.", 4: [{"text": "In  parts "}, {"text": "[S2]"}]}[kind]
-        return {"choices": [{"message": {"content": said}}]}
+def _reply(path: str, body: dict) -> dict:
+    """A chat reply by the number at the prompt's end: blank, without a source, in parts, or with one."""
+    said = {2: " ", 3: "No source.", 4: [{"text": "In  parts "}, {"text": "[S2]"}]}
+    return {"choices": [{"message": {"content": said.get(int(body["messages"][-1]["content"].rsplit(" ", 1)[1]) % 5, "Said. [S1]")}}]}
 
 
-@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'see [S9]' WHEN 1 THEN 'Late. [S1]' WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'see [S9]' ELSE 'In parts [S2]' END AS answer FROM conversations""")
+@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'see [S9]' WHEN 4 THEN 'In parts [S2]' ELSE 'Said. [S1]' END AS answer FROM conversations""")
 def generated_answers(spark, sf):
     asked = t(spark, sf, "conversations").withColumn("messages", answering.messages(F.concat(F.lit("conversation "), F.col("conv_id")), F.col("text")))
-    said = providers.generate(asked, providers.ChatClient(_Chat(), "m"), retries=2, pause=0.0)
-    fallback = F.lit("see [S9]")
-    answer = F.when(F.col("raw_answer").isNull(), fallback).otherwise(answering.guard(F.col("raw_answer"), fallback))
-    return said.select("conv_id", "turn", answer.alias("answer"))
+    said = providers.generate(asked, providers.ChatClient(_reply, "m"), retries=2, pause=0.0)
+    return said.select("conv_id", "turn", answering.guard(F.col("raw_answer"), F.lit("see [S9]")).alias("answer"))
 
 
 @query("""WITH s AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 1) AS x FROM embeddings), r AS (

@@ -3,6 +3,9 @@ ones are deterministic, remote ones speak HTTP to services that understand the u
 
 from __future__ import annotations
 
+import contextlib
+import glob
+import hashlib
 import json
 import os
 import re
@@ -10,11 +13,12 @@ import time
 import urllib.error
 import urllib.request
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,28 +208,74 @@ def embed(df: DataFrame, provider: Embedder, text_col: str = "text", out_col: st
     return df.mapInPandas(run, schema)
 
 
-def generate(df: DataFrame, call: Callable[[list[dict]], str] | None, messages_col: str = "messages", out_col: str = "raw_answer", retries: int = 3, pause: float = 5.0, before: float = 0.0) -> DataFrame:
-    """df with each prompt's answer, or null where there is no prompt or the provider failed, in whatever way. Without a
-    provider all answers are null. `before` seconds pass before each call: the throttle of one Python worker.
+class Journal:
+    """Replies as they come in, one line each, in a folder that all workers see: a task that runs again asks only the rest.
 
-    A retried task calls again; rows are keyed by question, so that does no harm but cost.
+    A task appends to a file of its own and reads those that earlier tries of the same partition have left, so no more
+    than a partition's replies are in hand. A line that was torn off is no reply.
     """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def open(self, partition: int, attempt: int):
+        os.makedirs(self.folder, exist_ok=True)
+        known, own = {}, f"{self.folder}/{partition:06d}-{attempt}.jsonl"
+        for name in sorted(glob.glob(f"{glob.escape(self.folder)}/{partition:06d}-*.jsonl")):
+            with open(name, encoding="utf-8") as f:
+                for line in f:
+                    with contextlib.suppress(ValueError):
+                        known |= dict([json.loads(line)])
+        out = open(own, "a", encoding="utf-8")  # noqa: SIM115  for as long as the task
+
+        def keep(key: str, reply: str) -> None:
+            known[key] = reply
+            out.write("\n" + json.dumps([key, reply], ensure_ascii=False))
+            out.flush()
+            os.fsync(out.fileno())
+
+        return known, keep
+
+
+def generate(
+    df: DataFrame, call: Callable[[list[dict]], str] | None, messages_col: str = "messages", out_col: str = "raw_answer", retries: int = 3, pause: float = 5.0, before: float = 0.0,
+    in_flight: int | None = None, journal: str | None = None,
+) -> DataFrame:
+    """df with each prompt's answer, or null where there is no prompt or the provider failed, in whatever way. Without a
+    provider all answers are null.
+
+    `before` seconds pass before each call, and after them `pause` if the provider refuses. in_flight bounds the calls that
+    are open at a time, of all workers: prompts go to so many partitions, each of which waits so many times as long. So the
+    whole job keeps to one call in `before` seconds, however many workers there are. journal: a folder that all
+    workers see, for the replies (see Journal); with it a prompt is asked once even if its task fails and runs again.
+    """
     if call is None:
         return df.withColumn(out_col, F.lit(None).cast("string"))
+    wait, book = before * (in_flight or 1), Journal(journal) if journal else None
 
-    def one(m) -> str | None:
+    def one(m, known: dict, keep) -> str | None:
         if m is None:
             return None
+        messages = [{"role": x["role"], "content": x["content"]} for x in m]
+        key = hashlib.sha256(json.dumps(messages).encode()).hexdigest()
+        if key in known:
+            return known[key]
         try:
-            return with_retry(lambda: call([{"role": x["role"], "content": x["content"]} for x in m]), retries, pause, before)
+            said = with_retry(lambda: call(messages), retries, pause, wait)
         except Exception:  # noqa: BLE001  a client's own errors are of any kind; the caller decides what a failure means
             return None
+        keep(key, said)
+        return said
 
     @F.pandas_udf("string")
-    def ask(col: pd.Series) -> pd.Series:
-        return col.map(one)
+    def ask(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        task = TaskContext.get()
+        known, keep = book.open(task.partitionId(), task.taskAttemptId()) if book else ({}, lambda key, said: None)
+        for col in columns:
+            yield col.map(lambda m: one(m, known, keep))
 
-    return df.withColumn(out_col, ask.asNondeterministic()(F.col(messages_col)))
+    rows = df.repartition(in_flight, messages_col) if in_flight else df
+    return rows.withColumn(out_col, ask.asNondeterministic()(F.col(messages_col)))
 
 
 def as_json(reply: object) -> str:
@@ -261,10 +311,24 @@ def judge(df: DataFrame, call: Callable[[str], object], prompt_col: str = "promp
 
 
 class RecordedJudge:
-    """Verdicts recorded earlier, by question: offline."""
+    """Verdicts recorded earlier as JSON texts, by question: a table (question, verdict) that prompts are joined with.
+
+    Of several verdicts of a question the first in order counts; without one nothing was said, which is an empty verdict.
+    """
 
-    def __init__(self, by_prompt: dict[str, dict]):
-        self.by_prompt = by_prompt
+    def __init__(self, verdicts: DataFrame):
+        self.verdicts = verdicts
 
-    def __call__(self, prompt: str) -> str:
-        return json.dumps(next((v for k, v in self.by_prompt.items() if k in prompt), {}))
+    def join(self, df: DataFrame, question_col: str) -> DataFrame:
+        """df with _said, the verdict recorded for its question."""
+        one = self.verdicts.groupBy(F.col("question").alias("_asked")).agg(F.min("verdict").alias("_said"))
+        return df.join(one, F.col(question_col) == F.col("_asked"), "left").drop("_asked").withColumn("_said", F.coalesce("_said", F.lit("{}")))
+
+
+def recorded_verdicts(df: DataFrame, judge: RecordedJudge, question_col: str = "question", out_col: str = "verdict") -> DataFrame:
+    """judge() with recorded verdicts: no one is asked. One that can't be read is an error."""
+    said = judge.join(df, question_col)
+    found = verdict(F.col("_said"))
+    unread = F.raise_error(F.concat(F.lit("the judge's reply can't be read: "), F.substring("_said", 1, 300)))
+    names = [x.split(":")[0] for x in VERDICT[len("struct<") : -1].split(",")]
+    return said.withColumn("_found", found).withColumn(out_col, F.when(F.col("_found").isNotNull(), F.struct(*[F.col("_found")[n].alias(n) for n in names], F.col("_said").alias("raw_response"))).otherwise(unread)).drop("_said", "_found")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import all_year_months, first_year_month, row_year_month, source_date_pairs
 from ..functions.text import is_missing, strip
+from . import npy
 
 # Names under which answer keys keep their columns, in order of priority.
 QUESTION_COLUMNS = ["question", "query", "prompt"]
@@ -24,6 +25,8 @@ SOURCE_COLUMNS = [
 
 #: Rows of a sorted column that are looked at to cut it into ranges, and rows that a range has about.
 RANGE_SAMPLE, RANGE_ROWS = 4096, 100_000
+#: Splits of files whose counts are broadcast (some 200 bytes each), and characters of a line that an error shows.
+MOST_SPLITS, SHOWN = 50_000, 500
 
 METADATA = "struct<year:int,month:int,source_path:string,chunk_id:string,heading:string,content_type:string>"
 CHUNK_SCHEMA = f"text string, metadata {METADATA}"
@@ -79,6 +82,12 @@ def sorted_numbers(df: DataFrame, col: str, out: str) -> DataFrame:
     return ranged.withColumn("_place", place).join(before, "_range").select(col, (F.col("_before") + F.col("_place")).cast("long").alias(out))
 
 
+def path_year_month(root: str, path: Column) -> Column:
+    """struct(year, month) of a file's path below root, so that a dated folder above it doesn't count."""
+    base = unquote(root.rstrip("/")).removeprefix("file://")
+    return first_year_month(F.regexp_replace(decode_path(path), "^.*?" + "\\Q" + base + "\\E", ""))
+
+
 def documents(spark: SparkSession, root: str, years: list[int]) -> DataFrame:
     """source_path, doc_pos, year, month, text of the *.txt files below root whose paths are dated in one of the years.
 
@@ -86,11 +95,9 @@ def documents(spark: SparkSession, root: str, years: list[int]) -> DataFrame:
     read: the filter on the path column is applied to the listing of files. An undated path is an error even if it
     wouldn't be chosen; so are a blank text and an empty choice. doc_pos: place among the chosen paths in order.
     """
-    base = unquote(root.rstrip("/")).removeprefix("file://")
-    under = lambda c: F.regexp_replace(decode_path(c), "^.*?" + "\\Q" + base + "\\E", "")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
-    ym = first_year_month(under(path))
+    ym = path_year_month(root, path)
     if files.limit(1).isEmpty():
         raise DataError(f"no *.txt files below {root}")
     if undated := files.filter(ym["year"].isNull()).select(path.alias("p")).take(1):
@@ -141,15 +148,51 @@ def questions_of_years(key: DataFrame, years: list[int]) -> DataFrame:
     return require_rows(questions(key).filter(F.col("row_year").isin([int(y) for y in years])), f"the answer key, for the years {sorted(years)},")
 
 
+def _splits_bounded(spark: SparkSession, path: str) -> bool:
+    """Whether the files below path are cut into at most MOST_SPLITS splits, from their number and length alone."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):  # a pattern
+        return False
+    there = fs.getContentSummary(at)
+    least = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    return there.getFileCount() + there.getLength() // max(1, least) <= MOST_SPLITS
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of JSON lines in the order of the files' names and of the lines in them.
+
+    Columns: schema's; _pos, the line's place among all lines from 0; _file and _line (from 1). A line that isn't a JSON
+    object is an error that names the file and the line when its columns are used; blank lines count but give no row.
+
+    Spark packs splits of files into tasks by size, so a row's own number follows no order of files. Within a split rows do
+    come in order: splits are counted, and a line's place is the count of those before its split and its own in it.
+    What is put in order is one row a split, not the lines. Those rows are broadcast if the files' length bounds them.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", decode_path(meta["file_path"]).alias("_file"), meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    in_file, over_all = Window.partitionBy("_file").orderBy("_block"), Window.orderBy("_file", "_block")
+    before = splits.select("_file", "_block", "_first", (F.sum("_n").over(in_file) - F.col("_n")).alias("_of_file"), (F.sum("_n").over(over_all) - F.col("_n")).alias("_of_all"))
+    placed = lines.join(F.broadcast(before) if _splits_bounded(spark, path) else before, ["_file", "_block"]).filter(strip(F.col("value")) != "")
+    own = F.col("_at") - F.col("_first")
+    said = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    found = placed.select(said.alias("_o"), "value", "_file", (F.col("_of_file") + own + 1).alias("_line"), (F.col("_of_all") + own).alias("_pos"))
+    bad = F.col("_o").isNull() | F.col("_o._bad").isNotNull()
+    error = F.raise_error(F.concat(F.col("_file"), F.lit(", line "), F.col("_line"), F.lit(": not JSON as expected: "), F.substring("value", 1, SHOWN)))
+    names = [f.name for f in found.schema["_o"].dataType.fields if f.name != "_bad"]
+    return found.withColumn("_o", F.when(bad, error.cast(found.schema["_o"].dataType)).otherwise(F.col("_o"))).select(*[F.col("_o")[n].alias(n) for n in names], "_pos", "_file", "_line")
+
+
 def chunks(spark: SparkSession, path: str, required: list[str] = ("chunk_id", "source_path", "year", "month")) -> DataFrame:
-    """text, metadata, pos of chunk JSON lines; a line that isn't JSON or lacks a required field is an error."""
-    raw = spark.read.schema(CHUNK_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """text, metadata, pos (the line's place) of chunk JSON lines; a line that isn't JSON or lacks a required field is an
+    error that names file and line."""
+    raw = json_lines(spark, path, CHUNK_SCHEMA)
     lacks = F.col("text").isNull() | F.col("metadata").isNull()
     for f in required:
         lacks |= F.col(f"metadata.{f}").isNull()
-    error = lambda t: F.raise_error(F.concat(F.lit(t), F.coalesce(F.col("_bad"), F.to_json(F.struct("text", "metadata"))))).cast("string")
-    text = F.when(F.col("_bad").isNotNull(), error("not JSON: ")).when(lacks, error("incomplete chunk: ")).otherwise(F.col("text"))
-    return require_rows(raw.select(text.alias("text"), "metadata", F.monotonically_increasing_id().alias("pos")), path)
+    error = F.raise_error(F.concat(F.col("_file"), F.lit(", line "), F.col("_line"), F.lit(": incomplete chunk: "), F.substring(F.to_json(F.struct("text", "metadata")), 1, SHOWN))).cast("string")
+    return require_rows(raw.select(F.when(lacks, error).otherwise(F.col("text")).alias("text"), "metadata", F.col("_pos").alias("pos")), path)
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -157,27 +200,18 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def retrieval_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Logs by question_id, the last of equal ones; an empty frame if there is no file."""
+    """Logs by question_id, of equal ones the last in the order of files and lines; an empty frame if there is no file."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], LOG_SCHEMA)
-    raw = spark.read.schema(LOG_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    error = F.raise_error(F.concat(F.lit("not JSON: "), F.col("_bad"))).cast("string")
-    rows = raw.withColumn("question_id", F.when(F.col("_bad").isNotNull(), error).otherwise(F.col("question_id"))).drop("_bad").filter("question_id IS NOT NULL")
-    last = Window.partitionBy("question_id").orderBy(F.desc("_at"))
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_at", "_n")
+    rows = json_lines(spark, path, LOG_SCHEMA).filter("question_id IS NOT NULL")
+    others = [c for c in rows.columns if c not in ("question_id", "_pos", "_file", "_line")]
+    return rows.groupBy("question_id").agg(F.max_by(F.struct(*others), "_pos").alias("_last")).select("question_id", "_last.*")
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors in Parquet; a NumPy .npy matrix is read on the driver, row number as pos."""
-    if not path.endswith(".npy"):
-        return spark.read.parquet(path)
-    import numpy as np
-
-    m = np.load(path)
-    if m.ndim != 2:
-        raise DataError(f"{path} holds no matrix")
-    return spark.createDataFrame([(i, v) for i, v in enumerate(m.astype(float).tolist())], "pos long, vector array<double>")
+    """Vectors in Parquet, or in NumPy's .npy and .npz files (see npy.read), row number as pos."""
+    return npy.read(spark, path) if path.rstrip("/").endswith((".npy", ".npz")) else spark.read.parquet(path)
 
 
 def env_file(path: str, env: dict[str, str]) -> dict[str, str]:

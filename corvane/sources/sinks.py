@@ -27,17 +27,20 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.select("text", "metadata").write.mode("overwrite").json(path)
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Chunks with their vectors, by year and month: filters on either prune folders.
+def write_index(chunks: DataFrame, path: str, mode: str = "overwrite", more: tuple = ()) -> None:
+    """Chunks with their vectors, by year and month (and more columns): filters on either prune folders.
 
-    Mode append adds to an index, whose vectors' length the new ones must have; a row that hasn't fails the write, which
+    Mode merge replaces the partitions that chunks has rows of, as a whole, and leaves all others alone. Mode append adds to an index, whose vectors' length the new ones must have; a row that hasn't fails the write, which
     then adds nothing.
     """
     out = chunks.withColumns({"year": F.col("metadata.year"), "month": F.col("metadata.month")})
     if mode == "append":
         there = chunks.sparkSession.read.parquet(path).agg(F.max(F.size("vector")).alias("d")).first()["d"]
         out = check_dimensions(out, "vector", there) if there else out
-    out.write.mode(mode).partitionBy("year", "month").parquet(path)
+    if mode == "merge":
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", *more).parquet(path)
+    else:
+        out.write.mode(mode).partitionBy("year", "month", *more).parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -49,9 +52,17 @@ def write_predictions(rows: DataFrame, path: str, mode: str = "overwrite") -> No
     write_csv(rows.select(*PREDICTION_COLUMNS), path, mode)
 
 
-def without_done(questions: DataFrame, done: DataFrame, key: str = "question_id") -> DataFrame:
+def without_done(questions: DataFrame, done: DataFrame, key: str | list[str] = "question_id") -> DataFrame:
     """Questions that no earlier run has answered: how an interrupted run is taken up again."""
-    return questions.join(done.select(key), key, "left_anti")
+    names = [key] if isinstance(key, str) else key
+    return questions.join(done.select(*names), names, "left_anti")
+
+
+def committed(spark, path: str) -> list[str]:
+    """The folders two levels below path whose write has come to its end, in order; nothing if path isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(str(x.getPath().getParent()) for x in found or ())
 
 
 def exists(spark, path: str) -> bool:
@@ -73,7 +84,7 @@ def write_details(details: DataFrame, path: str) -> None:
 
 
 def write_one(spark, value: dict, path: str) -> None:
-    """One JSON object, keys in order, as one small file; an older one is replaced when the new one is complete."""
+    """One JSON object, keys in order, as one small file; an older one is replaced in one step by the complete new one."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     new = jvm.org.apache.hadoop.fs.Path(path + ".new")
@@ -83,5 +94,17 @@ def write_one(spark, value: dict, path: str) -> None:
         out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False).encode()))
     finally:
         out.close()
-    fs.delete(at, False)
-    fs.rename(new, at)
+    replace = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = replace
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(at), options)
+
+
+def keep_only(spark, path: str, names: list[str]) -> None:
+    """Delete all that lies in a folder but what bears one of the names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at):
+        if f.getPath().getName() not in names:
+            fs.delete(f.getPath(), True)

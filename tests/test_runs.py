@@ -2,15 +2,18 @@
 
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane import providers
 from corvane.plans import config as settings
 from corvane.plans import pipelines
-from corvane.sources import readers, sinks
+from corvane.sources import npy, readers, sinks
 from corvane.streaming import ingest
 
 
@@ -80,6 +83,31 @@ def test_logs(spark, tmp_path):
     assert [(r.question_id, r.detected_year) for r in readers.retrieval_logs(spark, str(tmp_path / "l.jsonl")).collect()] == [("a", 2)]
 
 
+def test_lines_in_the_order_of_files(spark, tmp_path):
+    """Spark reads larger files first; a name and a line decide all the same, in files of one split and of many."""
+    d = tmp_path / "logs.jsonl"
+    d.mkdir()
+    rows = lambda lo, hi, pad: "".join(json.dumps({"question_id": f"q{i % 5}", "detected_year": i, "model_config": "x" * pad}) + "\n" * (1 + i % 2) for i in range(lo, hi))
+    (d / "part-0.json").write_text(rows(0, 20, 1))
+    (d / "part-1.json").write_text(rows(20, 400, 300))
+    (d / "part-2.json").write_text(rows(400, 460, 1) + " \n")
+    (d / "part-3.json").write_text("")
+    for size in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert {(x.question_id, x.detected_year) for x in readers.retrieval_logs(spark, str(d)).collect()} == {(f"q{i}", 455 + i) for i in range(5)}
+            got = readers.json_lines(spark, str(d), readers.LOG_SCHEMA).orderBy("_pos").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [x.detected_year for x in got] == list(range(460))
+        at = {x.detected_year: (x._file[-6:], x._line) for x in got}
+        assert at[0] == ("0.json", 1) and at[1] == ("0.json", 2) and at[2] == ("0.json", 4) and at[20] == ("1.json", 1) and at[401] == ("2.json", 2)
+        assert [x._pos for x in got][:4] == [0, 1, 3, 4]
+    (d / "part-1.json").write_text(rows(20, 23, 3) + "{nonsense\n" + rows(23, 30, 3))
+    with pytest.raises(Exception, match=r"part-1\.json, line 5: not JSON as expected: \{nonsense"):
+        readers.retrieval_logs(spark, str(d)).collect()
+
+
 def test_vectors_and_env(spark, tmp_path):
     np.save(tmp_path / "v.npy", np.eye(2))
     assert [list(r.vector) for r in readers.vectors(spark, str(tmp_path / "v.npy")).orderBy("pos").collect()] == [[1.0, 0.0], [0.0, 1.0]]
@@ -88,6 +116,41 @@ def test_vectors_and_env(spark, tmp_path):
     assert readers.env_file(str(tmp_path / "no"), {"B": "1"}) == {"B": "1"}
 
 
+def test_matrices_by_ranges_of_bytes(spark, tmp_path, monkeypatch):
+    m = np.arange(600, dtype=">i2").reshape(120, 5)
+    monkeypatch.setattr(npy, "RANGE_BYTES", 100)
+    monkeypatch.setattr(npy, "BATCH_BYTES", 25)
+    np.save(tmp_path / "v.npy", m)
+    np.savez(tmp_path / "stored.npz", format=npy.INDEX_TAG, vectors=m.astype("<f8"))
+    np.savez_compressed(tmp_path / "packed.npz", format=npy.INDEX_TAG, vectors=m.astype("<f4"))
+    for name, parts in (("v.npy", 12), ("stored.npz", 60), ("packed.npz", 1)):
+        reader = npy.NpyReader(str(tmp_path / name))
+        ranges = reader.partitions()
+        assert len(ranges) == parts
+        got = [x for p in ranges for b in reader.read(p) for x in zip(b.column("pos").to_pylist(), b.column("vector").to_pylist())]
+        assert got == list(enumerate(m.astype(float).tolist()))
+        assert [list(r.vector) for r in readers.vectors(spark, f"file://{tmp_path / name}").orderBy("pos").collect()] == m.tolist()
+    np.savez(tmp_path / "other.npz", format="something else", vectors=m)
+    np.savez(tmp_path / "none.npz", vectors=m)
+    np.save(tmp_path / "flat.npy", np.arange(3))
+    np.save(tmp_path / "columns.npy", np.asfortranarray(np.eye(3)))
+    np.save(tmp_path / "empty.npy", np.zeros((0, 4)))
+    (tmp_path / "no.npy").write_text("no")
+    (tmp_path / "torn.npy").write_bytes((tmp_path / "v.npy").read_bytes()[:-1])
+    for bad in ("other.npz", "none.npz", "flat.npy", "columns.npy", "no.npy", "torn.npy"):
+        with pytest.raises(Exception, match="something else|lacks|no matrix|magic|ends before"):
+            readers.vectors(spark, str(tmp_path / bad)).collect()
+    with pytest.raises(Exception, match="share"):
+        readers.vectors(spark, "s3a://bucket/v.npy").collect()
+    assert readers.vectors(spark, str(tmp_path / "empty.npy")).collect() == []
+    df = spark.createDataFrame([(i, [float(i), -i / 2]) for i in range(50)], "i long, vector array<double>").repartitionByRange(3, "i").sortWithinPartitions("i")
+    npy.write(df, str(tmp_path / "out.npy"))
+    assert [tuple(r.vector) for r in readers.vectors(spark, str(tmp_path / "out.npy")).orderBy("pos").collect()] == [(float(i), -i / 2) for i in range(50)]
+    assert np.load(sorted((tmp_path / "out.npy").glob("*.npy"))[0]).dtype == np.float32
+    with pytest.raises(Exception, match="several lengths"):
+        npy.write(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "vector array<double>").coalesce(1), str(tmp_path / "bad.npy"))
+
+
 def test_settings(project):
     _, raw = project
     c = settings.run(raw, "baseline")
@@ -114,10 +177,12 @@ def test_runs(spark, project, mode):
     if mode == "engineered":
         assert answers["U1"].final_context_ids == ["2022_06_00000"] and answers["U2"].predicted_answer.startswith("June Report Debt outstanding was 500 million. [S1]")
         assert len(answers["U3"].final_context_ids) == 2
-    said = {q: {"supported_claims": 1, "total_claims": 2, "fabricated_claims": 1, "correct_answer": "yes"} for q in ("receipts", "Debt", "Receipts")}
-    got = pipelines.run_evaluation(spark, c, providers.RecordedJudge(said))
+    said = [(r.question, json.dumps({"supported_claims": 1, "total_claims": 2, "fabricated_claims": 1, "correct_answer": "yes"})) for r in answers.values()]
+    judge = providers.RecordedJudge(spark.createDataFrame(said, "question string, verdict string"))
+    got = pipelines.run_evaluation(spark, c, judge)
+    here = Path(pipelines.evaluation_folder(spark, c["output_dir"]).removeprefix("file://"))
     assert got["groundedness"] == 0.5 and got["factual_accuracy"] == 1.0 and got["hallucination_rate"] == 0.5
-    assert json.loads((tmp / mode / "metrics.json").read_text()) == got
+    assert json.loads((here / "metrics.json").read_text()) == got and readers.csv(spark, str(here / "evaluation_details.csv")).count() == 3
     if mode == "engineered":
         assert got["hit_rate@5"] == 1.0 and got["mrr"] == 1.0
     done = readers.predictions(spark, str(tmp / mode / "predictions.csv"))
@@ -200,13 +265,84 @@ def test_resume_asks_only_what_is_left(spark, project):
     asked = lambda: len(log.read_text()) if log.exists() else 0
     assert pipelines.run_qa(spark, c, call=call).count() == 3 and asked() == 3
     assert pipelines.run_qa(spark, c, call=call, resume=True).count() == 3 and asked() == 3
-    path = f"{c['output_dir']}/answers-{pipelines.run_hash(c)}"
-    left = spark.read.parquet(path).filter("question_no <> 1").collect()  # as if one had been lost
-    spark.createDataFrame(left, spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+    # As if one had never been asked: its question has changed since.
+    key = tmp / "key.csv"
+    key.write_text(key.read_text().replace("Debt in 06/2012?", "What was the debt in 06/2012?"))
     again = pipelines.run_qa(spark, c, call=call, resume=True)
     assert again.count() == 3 and asked() == 4 and {r.question_no for r in again.collect()} == {0, 1, 2}
 
 
+def test_a_run_that_fails_keeps_its_slices(spark, project):
+    tmp, raw = project
+    g = {"backend": "remote", "request_sleep_seconds": 0, "retry_sleep_seconds": 0, "max_retries": 1, "slice_questions": 1}
+    c = settings.run(raw | {"generation": g}, "engineered")
+    log, down = tmp / "asked", tmp / "down"
+    down.write_text("")
+
+    def call(messages):
+        if "Debt" in messages[-1]["content"].split("Question", 1)[-1] and down.exists():
+            raise ConnectionError("down")
+        with open(log, "a") as f:
+            f.write("x")
+        return "Yes [S1]"
+
+    with pytest.raises(Exception, match="the answer provider failed"):
+        pipelines.run_qa(spark, c, call=call)
+    assert len(log.read_text()) == 1
+    path = f"{c['output_dir']}/answers-{pipelines.run_hash(c)}"
+    assert len(sinks.committed(spark, path)) == 1
+    # A slice that was being written when the run was killed isn't taken for done.
+    torn = tmp / "engineered" / Path(path).name / "after-0" / "slice-9"
+    torn.mkdir(parents=True)
+    (torn / "part-00000.parquet").write_bytes(b"PAR1")
+    down.unlink()
+    rest = pipelines.run_qa(spark, c, call=call, resume=True)
+    assert {r.question_no for r in rest.collect()} == {0, 1, 2} and len(log.read_text()) == 3
+    assert readers.predictions(spark, f"{c['output_dir']}/predictions.csv").count() == 3
+
+
+def test_a_task_that_fails_repeats_no_request(spark, tmp_path):
+    """Replies are kept one by one; what was torn off while it was written is asked again."""
+    log, down, journal = tmp_path / "asked", tmp_path / "down", str(tmp_path / "journal")
+    down.write_text("")
+
+    def call(messages):
+        if messages[0]["content"] == "prompt 7" and down.exists():
+            raise SystemExit  # the worker is gone
+        with open(log, "a") as f:
+            f.write(messages[0]["content"] + "\n")
+        return messages[0]["content"].upper()
+
+    rows = spark.createDataFrame([(i, [("user", f"prompt {i % 15}")]) for i in range(30)], "i long, messages array<struct<role:string,content:string>>")
+    ask = lambda: providers.generate(rows, call, in_flight=3, journal=journal)
+    with pytest.raises(Exception):  # noqa: B017
+        ask().collect()
+    files = sorted(Path(journal).iterdir())
+    assert files
+    with open(files[0], "a") as f:
+        f.write('\n["abc", "to')
+    down.unlink()
+    got = {r.i: r.raw_answer for r in ask().collect()}
+    assert got == {i: f"PROMPT {i % 15}" for i in range(30)}
+    assert sorted(log.read_text().split("\n")[:-1]) == sorted(f"prompt {i}" for i in range(15))
+
+
+def test_calls_in_flight_and_their_rate(spark, tmp_path):
+    log = tmp_path / "times"
+
+    def call(messages):
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        return "x"
+
+    rows = spark.range(12).select(F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"))
+    asked = providers.generate(rows, call, before=0.2, in_flight=2)
+    assert asked.rdd.getNumPartitions() == 2 and asked.count() == 12
+    asked.collect()
+    times = sorted(map(float, log.read_text().split()))
+    assert len(times) == 12 and times[-1] - times[0] >= 0.2 * 12 / 2
+
+
 def test_index_that_does_not_agree(spark, project):
     tmp, raw = project
     c = settings.run(raw, "baseline")
@@ -247,13 +383,38 @@ def test_a_judge_that_fails_is_told_of(spark, project):
     error = tmp / "baseline" / "judge_error.json"
     with pytest.raises(Exception, match="can't be read: nothing"):
         pipelines.run_evaluation(spark, c, lambda prompt: "nothing")
-    assert "nothing" in json.loads(error.read_text())["error"] and not (tmp / "baseline" / "metrics.json").exists()
+    assert "nothing" in json.loads(error.read_text())["error"]
+    with pytest.raises(readers.DataError, match="no evaluation"):
+        pipelines.evaluation_folder(spark, c["output_dir"])
     pipelines.run_evaluation(spark, c, lambda prompt: {"output_text": "{}"})
-    assert not error.exists() and (tmp / "baseline" / "metrics.json").exists()
+    assert not error.exists()
     with pytest.raises(ValueError, match="recorded verdicts"):
         pipelines.run_evaluation(spark, c)
 
 
+def test_an_evaluation_that_fails_leaves_the_earlier_one_whole(spark, project, monkeypatch):
+    tmp, raw = project
+    c = settings.run(raw, "baseline")
+    pipelines.run_qa(spark, c)
+    judge = lambda n: lambda prompt: {"output_text": json.dumps({"total_claims": n})}
+    first = pipelines.run_evaluation(spark, c, judge(1))
+    before = pipelines.evaluation_folder(spark, c["output_dir"])
+
+    def fail(*a, **k):
+        raise OSError("disk full")
+
+    for step in ("write_one", "keep_only"):
+        with monkeypatch.context() as m:
+            m.setattr(sinks, step, fail)
+            with pytest.raises(OSError, match="disk full"):
+                pipelines.run_evaluation(spark, c, judge(2))
+        here = Path(pipelines.evaluation_folder(spark, c["output_dir"]).removeprefix("file://"))
+        assert (str(here) == before) == (step == "write_one") and json.loads((here / "metrics.json").read_text()) == first
+        assert {r.total_claims for r in readers.csv(spark, str(here / "evaluation_details.csv")).collect()} == ({"1"} if step == "write_one" else {"2"})
+    sinks.keep_only(spark, str(here.parent), [here.name])
+    assert [x.name for x in (tmp / "baseline" / "evaluations").iterdir()] == [here.name]
+
+
 def test_rows_are_numbered_in_order(spark, tmp_path, monkeypatch):
     """Over ranges of a sorted column, and over the files of a table of rows."""
     monkeypatch.setattr(readers, "RANGE_ROWS", 7)
@@ -276,11 +437,46 @@ def test_other_years_are_not_read(spark, project):
 
 
 def test_stream(spark, project):
+    """An index that grows by what arrives: places in order of arrival, changed files replaced, a batch run twice the same."""
     tmp, raw = project
-    e = providers.KeywordEmbedder(["receipts"])
-    run = lambda: ingest.append_to_index(ingest.chunk_stream(spark, raw["data_dir"], 20, 2), e, str(tmp / "s"), str(tmp / "c")).awaitTermination()
-    run()
-    assert spark.read.parquet(str(tmp / "s")).count() == 3
-    (tmp / "2001_01 data" / "2023_01.txt").write_text("RECEIPTS\nmore")
-    run()
-    assert spark.read.parquet(str(tmp / "s")).count() == 4
+    data, c = tmp / "2001_01 data", settings.run(raw | {"index_dir": str(tmp / "streamed"), "document_years": [2012, 2022, 2023]}, "engineered")
+
+    def run():
+        ingest.run(spark, c, str(tmp / "checkpoint")).awaitTermination()
+        rows = pipelines.check_index(spark, c["index_dir"]).select("pos", "text", "metadata.source_path").collect()
+        said = pipelines.read_manifest(spark, c["index_dir"])
+        assert said["chunk_count"] == len(rows) and said["document_count"] == len({r.source_path for r in rows})
+        return {(r.pos, r.source_path.rsplit("/", 1)[1], r.text.split()[-1]) for r in rows}
+
+    first = {(0, "2022_06.txt", "million."), (10_000_000, "bulletin_2012_06.txt", "million."), (20_000_000, "2022_09.txt", "\ufffd.")}
+    assert {(p, n) for p, n, _ in run()} == {(p, n) for p, n, _ in first}
+    (data / "2023_01.txt").write_text("RECEIPTS\nmore")
+    (data / "2021_01.txt").write_text("of another year")
+    (data / "2022_07.txt").write_text(" \n")
+    assert (30_000_000, "2023_01.txt", "more") in run()
+    # Files whose names have been seen aren't read again; one is new.
+    (data / "2022_06.txt").write_text("# Summer\nReceipts were 120 million.\n\nOutlays were 90 million.")
+    (data / "2023_01.txt").write_text("RECEIPTS\nless")
+    (data / "2022_12.txt").write_text("Debt was 7")
+    got = run()
+    assert {x for x in got if x[0] >= 30_000_000} == {(30_000_000, "2023_01.txt", "more"), (40_000_000, "2022_12.txt", "7")} and len(got) == 5
+    assert pipelines.index_matches(spark, c)
+    # Documents that come again: one as it was, one changed, one new. A batch that is tried again leaves the same rows.
+    docs = spark.createDataFrame([(str(data / "2023_01.txt"), 2023, 1, "RECEIPTS even less"), (str(data / "2023_02.txt"), 2023, 2, "June 5"), (str(data / "2022_12.txt"), 2022, 12, "Debt was 7")], "source_path string, year int, month int, text string")
+    for _ in range(2):
+        ingest.merge_batch(docs, 900, c, pipelines.embedder(c))
+    got = run()
+    assert {x for x in got if x[0] >= 30_000_000} == {(30_000_000, "2023_01.txt", "less"), (40_000_000, "2022_12.txt", "7"), (50_000_000, "2023_02.txt", "5")} and len(got) == 6
+    answers = pipelines.run_qa(spark, c)
+    assert answers.count() == 3 and "120" in answers.filter("question_no = 0").first().predicted_answer
+    pipelines.finish_index(spark, c, pipelines.embedder(c))
+    assert readers.chunks(spark, f"{c['index_dir']}/chunks.jsonl").count() == 6
+
+
+def test_a_stream_needs_an_index_of_its_own(spark, project):
+    _, raw = project
+    c = settings.run(raw, "engineered")
+    pipelines.build_index(spark, c)
+    docs = spark.createDataFrame([("x", 2023, 1, "a b")], "source_path string, year int, month int, text string")
+    with pytest.raises(readers.DataError, match="index of|one of their own"):
+        ingest.merge_batch(docs, 0, c, pipelines.embedder(c))
