@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialise, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -73,10 +73,21 @@ def _strings(values) -> str:
     return f"array({', '.join(map(_quoted, values))})"
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lowered(text: Column, tokens: list[str]) -> Column:
+    """A-Z lower-cased, as far as tokens of ASCII can tell: lower() is many times as fast as a translation by character.
+
+    It changes letters beyond ASCII too, which then still are no part of such a token; the Kelvin sign alone would become
+    one of A-Z, and is made another letter first. Tokens with other characters need the translation.
+    """
+    if not all(t.isascii() for t in tokens):
+        return ascii_lower(text)
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, tokens: list[str]) -> DataFrame:
     """_row tells rows apart that repeat an id with another text; rows alike in both are one document given twice."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(_lowered(text, tokens), F.lit(WORD), F.lit(0))
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_row"), words.alias("_words"))
 
 
@@ -105,23 +116,27 @@ def _blocks(words: Column, width: int, prefix: Column, known: Column) -> Column:
     return F.transform(probed, lambda b: F.struct(F.lit(width).alias("width"), b["start"].alias("start"), F.array_intersect(known, b["block"]).alias("shared")))
 
 
-def matching_blocks(rows: DataFrame, templates: list[dict]) -> DataFrame:
-    """_id, _row, width, start, no, label, containment, matched: every block that holds enough of a template, exactly.
-
-    The index is as small as the templates, which are a parameter, and is broadcast; documents go through one map side
-    without a shuffle. A document without any prefix token is left after one probe of its words.
-    """
-    order = rarest_first(rows, sorted({x for t in templates for x in t["tokens"]}))
-    index = _prefix_index(rows.sparkSession, templates, order)
-    rank, words, blocks, prefixes = {t: k for k, t in enumerate(order)}, F.col("_words"), [], set()
+def candidate_blocks(words: Column, templates: list[dict], order: list[str]) -> Column:
+    """An array of the blocks, of all widths, that share a token with the prefix of a template of their width."""
+    rank, blocks, prefixes = {t: k for k, t in enumerate(order)}, [], set()
     for width in sorted({t["width"] for t in templates}):
         own = [t for t in templates if t["width"] == width]
         prefix = sorted({x for t in own for x in sorted(t["tokens"], key=rank.get)[: len(t["tokens"]) - t["need"] + 1]})
         prefixes |= set(prefix)
         blocks.append(_blocks(words, width, F.expr(_strings(prefix)), F.expr(_strings(sorted({x for t in own for x in t["tokens"]}, key=rank.get)))))
-    cut = rows.filter(F.arrays_overlap(words, F.expr(_strings(sorted(prefixes))))).select("_id", "_row", F.inline(F.concat(*blocks)))
-    tokens = cut.select("*", F.posexplode("shared").alias("j", "token"))
-    met = tokens.join(F.broadcast(index), ["token", "width"])
+    none = F.array().cast("array<struct<width:int,start:int,shared:array<string>>>")
+    # A document without any prefix token is left after one probe of its words.
+    return F.when(F.arrays_overlap(words, F.expr(_strings(sorted(prefixes)))), F.concat(*blocks)).otherwise(none)
+
+
+def matching_blocks(rows: DataFrame, templates: list[dict], order: list[str]) -> DataFrame:
+    """_id, _row, width, start, no, label, containment, matched: every block that holds enough of a template, exactly.
+
+    rows: _id, _row, _cut (candidate blocks). The index is as small as the templates, which are a parameter, and is
+    broadcast. A block and a template are compared where the first token that they share stands in both prefixes.
+    """
+    tokens = rows.select("_id", "_row", F.inline("_cut")).select("*", F.posexplode("shared").alias("j", "token"))
+    met = tokens.join(F.broadcast(_prefix_index(rows.sparkSession, templates, order)), ["token", "width"])
     long_enough = F.size("shared") >= F.col("need")
     in_place = F.least(F.size("tokens") - F.col("i"), F.size("shared") - F.col("j")) >= F.col("need")
     first = ~F.arrays_overlap(F.slice("shared", F.lit(1), F.col("j")), F.slice("tokens", F.lit(1), F.col("i")))
@@ -177,10 +192,16 @@ def license_scan(
     Starts are numbers of words, from 0; a block is two widths of words from its start. Null texts count as empty and
     have neither; null and repeated ids give a row each, rows alike in id and text the same. Very long texts are taken
     whole, other columns are ignored, an empty table gives no rows.
+
+    Texts are read twice, for the tokens' frequencies and for what is kept of each: counts, places and candidate blocks.
     """
-    rows = _rows(docs, id_col, text_col)
-    blocks = _told_apart(matching_blocks(rows, prepared(templates, containment, widths))).withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
-    own = rows.select("_id", "_row", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words"), phrases).alias("places"))
+    known = prepared(templates, containment, widths)
+    tokens = sorted({x for t in known for x in t["tokens"]})
+    rows, words = _rows(docs, id_col, text_col, [*tokens, *(w for _, p in phrases for w in words_of(p))]), F.col("_words")
+    order = rarest_first(rows, tokens)
+    own = rows.select("_id", "_row", F.size(words).cast("long").alias("n_words"), phrase_places(words, phrases).alias("places"), candidate_blocks(words, known, order).alias("_cut"))
+    own = materialise(own, "license-rows")
+    blocks = _told_apart(matching_blocks(own, known, order)).withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
     both = own.join(blocks, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
     none = F.array().cast("array<struct<label:string,start:bigint,width:int,containment:double>>")
     return both.select(F.col("_id").alias(id_col), "n_words", "places", F.coalesce("blocks", none).alias("blocks"))
