@@ -133,8 +133,11 @@ def reply_text(reply: Column) -> Column:
     def read(v: Column) -> Column:
         choices = F.coalesce(_items(_at(v, "choices")), F.array(_at(v, "choices")))
         of_choice = lambda c: F.array(*[_text(_at(_at(c, box), k)) for box in MESSAGE_KEYS for k in TEXT_KEYS], _text(_at(c, "text")))
-        named = F.concat(F.flatten(F.transform(choices, of_choice)), F.array(*[_text(_at(v, k)) for k in REPLY_KEYS]), _said(v, reply))
-        some = F.filter(named, lambda s: s != "")
-        return F.coalesce(F.get(F.filter(some, lambda s: s.rlike(r"(?s)\{.*\}")), F.lit(0)), F.get(some, F.lit(0)), F.lit(""))
+        usual = F.concat(F.flatten(F.transform(choices, of_choice)), F.array(*[_text(_at(v, k)) for k in REPLY_KEYS]))
+        some = lambda texts: F.filter(texts, lambda s: s != "")
+        holding = lambda texts: F.get(F.filter(texts, lambda s: s.rlike(r"(?s)\{.*\}")), F.lit(0))
+        # The rest of the reply is gone through only if the usual fields hold no object.
+        rest = lambda a: let(some(_said(v, reply)), lambda b: F.coalesce(holding(b), F.get(a, F.lit(0)), F.get(b, F.lit(0))))
+        return let(some(usual), lambda a: F.coalesce(holding(a), rest(a), F.lit("")))
 
     return let(F.try_parse_json(reply), read)
