@@ -1,9 +1,10 @@
 """Resharding and mixing: flows against brute force, laws, edge cases."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import permutations, product
 
 import numpy as np
 import pytest
@@ -55,6 +56,37 @@ def test_reshard_moves_little_when_balanced(make):
     assert all(x.old_shard == x.shard for x in got)
 
 
+def test_places_keep_the_most_bytes():
+    """Against all ways to let old shards become new ones, with more of the one or of the other."""
+    r = random.Random(8)
+    for _ in range(150):
+        sizes, n = [r.choice([0, 5, 30, 30, 70, 200]) for _ in range(r.randint(1, 6))], r.randint(1, 4)
+        share = np.array([r.choice([1.0, 1.0, 2.0, 5.0]) for _ in range(n)])
+        caps = share * sum(sizes) / share.sum()
+        named = sorted(((s, f"f{i}" if i else None) for i, s in enumerate(sizes)), key=lambda x: (-x[0], x[1] is None, x[1] or ""))[:n]
+        at = resharding.places([name for _, name in named], share)
+        assert len(set(at)) == len(at) and set(at) <= set(range(n))
+        kept = sum(min(s, caps[j]) for (s, _), j in zip(named, at))
+        padded = sizes + [0] * n
+        most = max(sum(min(padded[i], caps[j]) for j, i in enumerate(p)) for p in set(permutations(range(len(padded)), n)))
+        assert abs(kept - most) < 1e-6
+
+
+@pytest.mark.parametrize("files", [3, 25, 40])
+def test_moved_bytes_are_the_least(make, files):
+    r = random.Random(files)
+    rows, sizes = [], Counter()
+    for f in range(files):
+        for _ in range(r.choice([1, 4, 30])):
+            n = r.randint(1, 60)
+            rows.append((len(rows), "x" * n, f"f{f:02d}"))
+            sizes[f] += n + 8
+    got = resharding.reshard(make(rows), old_col="source", n_shards=8).collect()
+    moved, whole = sum(x.size for x in got if x.old_shard != x.shard), sum(sizes.values())
+    least = whole - sum(min(s, whole / 8) for s in sorted(sizes.values(), reverse=True)[:8])
+    assert least - 8 <= moved <= least + 8 * 68  # blocks are whole documents
+
+
 def test_reshard_empty_and_capacity(make):
     assert resharding.reshard(make([]), old_col="source").collect() == []
     got = resharding.reshard(make([(i, "x" * 92) for i in range(200)]), old_col="source", n_shards=2, capacity=[3, 1]).collect()
