@@ -6,13 +6,21 @@ pair starts at V times the value of two zero counts; postings of terms then emit
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_table, materialise, table
+from .common import drop_table, materialise, small_batches, table, text_slices
 
 MIN_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: In UTF-8, where characters beyond ASCII are bytes from 0x80 on; bytes.lower() knows A-Z only.
+_TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: Terms that a task counts before it sends them on; bytes of a text beyond which its terms aren't listed at once, and how many are.
+HELD, LONG, AT_ONCE = 500_000, 1_000_000, 100_000
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -29,18 +37,46 @@ def _f(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
+def _count(batches):
+    """Counts of a task's rows by language, source and term, sent on whenever HELD of them have come together."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def sent():
+        for (lang, source), (n, docs) in held.items():
+            if n:
+                columns = [pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(source), len(n)), pa.array(n.keys(), pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, n), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        held.clear()
+
+    for b in text_slices(batches):
+        for text, lang, source in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("lang").to_pylist(), b.column("source").to_pylist()):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            if len(text) <= LONG:
+                n.update(found := _TERM.findall(text.lower()))
+                docs.update(set(found))
+                continue
+            found, seen = _TERM.finditer(text.lower()), set()
+            while some := [m.group() for m in islice(found, AT_ONCE)]:
+                n.update(some)
+                seen.update(some)
+            docs.update(seen)
+        if sum(len(n) for n, _ in held.values()) >= HELD:
+            yield from sent()
+    yield from sent()
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold it). Null columns count as empty; every row counts as a document.
 
-    Counts are combined on the map side: a group with a third of all rows, or a term in all of them, sends one row per
-    task and term.
+    Rows are counted in their task first: a group with a third of all rows, or a term in all of them, sends one row per
+    task and term (or a few, as a task holds HELD terms at most).
     """
+    small_batches(docs.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), F.regexp_extract_all(ascii_lower(empty(text_col)), F.lit(TERM), F.lit(0)).alias("_terms"))
-    row = lambda n, d, terms: F.struct(F.lit(n).alias("n"), F.lit(d).alias("d"), terms.alias("t"))
-    once = F.array(row(1, 0, F.col("_terms")), row(0, 1, F.array_distinct("_terms")))
-    each = rows.select("lang", "source", F.inline(once)).select("lang", "source", "n", "d", F.explode("t").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+    rows = docs.select(empty(text_col).alias("text"), empty(lang_col).alias("lang"), empty(source_col).alias("source"))
+    each = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    # Counted already, rows hardly shrink before the shuffle; dealt by language and term they needn't move again for a term's sources.
+    return each.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def source_divergence(

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,9 @@ from corvane.llm import divergence, filter_audit, licenses
 SCHEMA = "doc_id long, text string, lang string, source string, term string, part string, _words string, mask int"
 
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def docs(spark, rows, parts=3):
     """(doc_id, text, lang, source) with further columns whose names clash with inner ones."""
     return spark.createDataFrame([(*r, "x", "y", "z", 9) for r in rows], SCHEMA).repartition(parts)
@@ -24,7 +28,7 @@ def low(t):
 
 
 def divergence_brute(rows, min_docs=3, top=200):
-    split = [(lang or "", source or "", re.findall(divergence.TERM, low(t))) for _, t, lang, source in rows]
+    split = [(lang or "", source or "", re.findall(TERM, low(t))) for _, t, lang, source in rows]
     out = set()
     for lang in {x[0] for x in split}:
         own = [x for x in split if x[0] == lang]
@@ -64,6 +68,20 @@ def test_divergence_is_brute_force(spark, seed):
     assert got == divergence_brute(rows, top=3)
 
 
+def test_counts_that_are_sent_on(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 2)
+    monkeypatch.setattr(divergence, "AT_ONCE", 3)
+    monkeypatch.setattr(divergence, "LONG", 4)
+    b = pa.RecordBatch.from_pydict({"text": ["a b a c a", "É a", "a", ""], "lang": ["x"] * 4, "source": ["s", "s", "t", "t"]})
+    n, d = Counter(), Counter()
+    for out in divergence._count([b.slice(0, 2), b.slice(2, 2)]):
+        for x in out.to_pylist():
+            n[x["source"], x["term"]] += x["n"]
+            d[x["source"], x["term"]] += x["docs"]
+    assert n == {("s", "a"): 4, ("s", "b"): 1, ("s", "c"): 1, ("s", "É"): 1, ("t", "a"): 1}
+    assert d == {("s", "a"): 2, ("s", "b"): 1, ("s", "c"): 1, ("s", "É"): 1, ("t", "a"): 1}
+
+
 def test_divergence_edges(spark):
     assert divergence.source_divergence(docs(spark, [])).collect() == []
     # No kept term: pairs of value 0, ties in UTF-8 order; a language's only source has no pairs; repeated rows count each.
@@ -155,6 +173,8 @@ def test_license_scan_is_brute_force(spark, data):
     words = ["a", "b", "c", "d", "e", "É", "7"]
     texts = data.draw(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(words), max_size=40).map(" ".join)), min_size=1, max_size=12))
     templates = [("one", "a b"), ("two", "a b c"), ("three", "d e É 7 a b"), ("two", "c c d")]
+    if data.draw(st.booleans()):
+        templates[2] = ("three", "d e 7 a b")
     phrases, widths = [("p", "a a"), ("q", "b C")], (3, 8)
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(None, "a b c d", "en", "s")] * 2
     got = licenses.license_scan(docs(spark, rows), phrases=phrases, templates=templates, containment=60, widths=widths).collect()
@@ -181,6 +201,8 @@ def test_licenses_in_prose(spark):
     got = {x.doc_id: x for x in licenses.license_scan(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
     labels = {i: ({b.label for b in x.places}, {b.label for b in x.blocks}) for i, x in got.items()}
     assert labels == {1: (set(), {"gpl-3"}), 2: (set(), {"cc-by"}), 3: ({"cc-by-nc"}, {"cc-by-nc"}), 4: (set(), {"gpl-2"}), 5: (set(), set()), 6: ({"mit", "apache-2"}, {"mit", "apache-2"}), 7: (set(), set()), 8: (set(), set()), 9: ({"cc-by-nc"}, set())}
+    kelvin = licenses.license_scan(docs(spark, [(1, "\u212a K", "en", "s"), (2, "licen\u212ae CC BY\u0130 NC", "en", "s")]), phrases=[("k", "k k"), ("n", "nc")], templates=[("t", "k")]).orderBy("doc_id").collect()
+    assert [(x.n_words, [p.start for p in x.places], len(x.blocks)) for x in kelvin] == [(2, [], 1), (4, [3], 0)]
     assert got[9].places[0].start == 300_000 and got[8].n_words == 1 and got[7].n_words == 0
 
 
