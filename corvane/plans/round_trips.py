@@ -61,6 +61,26 @@ def answer_key_scan(spark, sf):
     return q.select("question_id", F.md5("question").alias("question"), F.md5("gold_answer").alias("gold"), "row_year", "row_month", F.size("source_date_pairs").alias("n_pairs"), F.col("_row").alias("row"))
 
 
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey::VARCHAR AS question_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN 1990 WHEN o_orderkey % 3 = 1 THEN 1971 ELSE year(o_orderdate) END::INT AS row_year, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_orderkey % 12 + 1 WHEN o_orderkey % 3 = 2 THEN month(o_orderdate) END::INT AS row_month,
+  CASE WHEN o_orderkey % 3 = 2 OR (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) THEN 1 ELSE 0 END AS n_pairs FROM orders""")
+def key_dates(spark, sf):
+    """Years and months of an answer key: columns of its own go first, a month without a year is left out, then the sources'
+    dates count, then a bare year in the question."""
+    path, o = f"{scratch(spark, 'dates')}/key.csv", F.col("o_orderkey")
+    rows = t(spark, sf, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    own, named = o % 3 == 0, o % 3 == 2
+    sinks.write_csv(
+        rows.select(
+            o.alias("ID"), F.when(o % 3 == 1, "What was it in 1971?").otherwise("What was it?").alias("question"), F.lit("x").alias("answer"), F.when(own, 1990).alias(" Year "),
+            F.when(own & (o % 2 == 0) | (o % 3 == 1), o % 12 + 1).alias("month"), F.when(named, F.date_format("o_orderdate", "yyyy_MM")).alias("source_file"),
+        ),
+        path,
+    )
+    q = readers.questions(readers.answer_key(spark, path))
+    return q.select(F.col("_row").alias("row"), "question_id", "row_year", "row_month", F.size("source_date_pairs").alias("n_pairs"))
+
+
 _CHUNKS = f"""{_FILES}, {_PACK.replace("FROM documents", "FROM src")},
 allw AS (SELECT doc_id, flatten(list(words ORDER BY i)) AS w, list(heading ORDER BY i) AS hs FROM blocks GROUP BY doc_id),
 chunk AS (
@@ -183,7 +203,7 @@ a AS (SELECT item_id, string_agg(s || ' [S' || rank || ']', ' ' ORDER BY p) AS a
 
 @query(f"""WITH RECURSIVE {_ANSWERS}
 SELECT h.item_id::VARCHAR AS question_id, string_agg(h.chunk_id, ',' ORDER BY h.rank) AS ids, round(sum(h.score), 4) AS score, md5({_collapse('any_value(a.answer)')}) AS answer, any_value(qv.year) AS detected_year,
-  any_value(qv.month) AS detected_month, 0 AS asked_again FROM h JOIN a USING (item_id) JOIN qv USING (item_id) GROUP BY h.item_id""")
+  any_value(qv.month) AS detected_month, 0 AS asked_again, md5(string_agg(h.chunk_id || chr(9) || h.text, chr(10) ORDER BY h.rank)) AS context, 'metadata_rag/exact_vector_top_k/5/extractive' AS run FROM h JOIN a USING (item_id) JOIN qv USING (item_id) GROUP BY h.item_id""")
 def run_answers(spark, sf):
     """The whole way offline: files to chunks, vectors, an index; questions to filters, retrieved chunks, answers, logs.
 
@@ -199,7 +219,11 @@ def run_answers(spark, sf):
     said = readers.predictions(spark, f"{c['output_dir']}/predictions.csv")
     score = F.aggregate("final_sources", F.lit(0.0), lambda s, x: s + x["vector_score"])
     both = said.select("question_id", "predicted_answer").join(logs, "question_id")
-    return both.select("question_id", F.array_join("final_context_ids", ",").alias("ids"), F.round(score, 4).alias("score"), F.md5("predicted_answer").alias("answer"), "detected_year", "detected_month", F.lit(again).alias("asked_again"))
+    return both.select(
+        "question_id", F.array_join("final_context_ids", ",").alias("ids"), F.round(score, 4).alias("score"), F.md5("predicted_answer").alias("answer"), "detected_year", "detected_month", F.lit(again).alias("asked_again"),
+        F.md5(F.array_join(F.transform("final_context", lambda c: F.concat(c["chunk_id"], F.lit("\t"), c["text"])), "\n")).alias("context"),
+        F.concat_ws("/", *[F.get_json_object("model_config", f"$.{k}") for k in ("pipeline", "retrieval", "top_k", "generation_model")]).alias("run"),
+    )
 
 
 @query(f"""WITH RECURSIVE {_ANSWERS},
