@@ -92,9 +92,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, tokens: list[str]) -> Dat
 
 
 def rarest_first(rows: DataFrame, tokens: list[str]) -> list[str]:
-    """The templates' tokens by their number of occurrences in all rows. What comes to the driver is one count a token."""
-    each = rows.select(F.explode("_words").alias("token")).filter(F.col("token").isin(tokens))
-    count = dict(each.groupBy("token").agg(F.count(F.lit(1))).collect())
+    """The templates' tokens by the number of rows that hold them, of all rows. What comes to the driver is one count a token."""
+    held = rows.select(F.explode(F.array_intersect(F.expr(_strings(tokens)), "_words")).alias("token"))
+    count = dict(held.groupBy("token").agg(F.count(F.lit(1))).collect())
     return sorted(tokens, key=lambda t: (count.get(t, 0), t))
 
 
