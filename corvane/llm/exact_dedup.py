@@ -21,7 +21,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal: the same bytes after lower-casing A-Z; a null text counts as empty. Null ids rank below all others; a
     group whose ids are all null has keep_id null and keeps each of its rows. Rows that repeat an id within a group
-    count each, and all rows with the kept id are marked kept. Other columns of docs are ignored; an empty table
+    count each, and all rows with the kept id are marked kept. Texts are compared whole, however long. Other columns of docs are ignored; an empty table
     gives an empty result. text_sha256 is reported only, nothing is compared by it.
 
     A split counts groups first (combined on the map side, so a group with a third of all rows sends one row per

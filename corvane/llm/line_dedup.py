@@ -184,6 +184,8 @@ def _digest(batches):
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents' lines through changed_bitmaps(): a row is a document, so rows that repeat an id count each; the row
+    with the largest id keeps its lines, and so do all rows of that id. Null texts are one empty line."""
     docs = table(spark, sf_dir, "documents")
     both = _join(_rows(docs, "doc_id", "text"), changed_bitmaps(docs))
     return both.select("_id", "text", "n_dropped", "keep_bitmap").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

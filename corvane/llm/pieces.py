@@ -572,7 +572,8 @@ def _decode(shared):
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
-    """One row per row: id, text. Null ids decode to the empty text."""
+    """One row per row: id, text. Null ids decode to the empty text. Repeated rows and null ids of rows stay as they are; lists
+    of ids are decoded whole, DECODE_ROWS of them together."""
     spark = rows.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(load_model(model_file))

@@ -254,6 +254,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint zero and are linked like any other. Null ids are in no way special but
     that a component of null ids alone has component_id null. Repeated rows stay repeated. Other columns are ignored.
+    Very long texts are fingerprinted whole.
 
     Fingerprints, not documents, are linked: equal ones are grouped first (combined on the map side). The last join
     is of plain shuffles with nothing above, which AQE splits where one fingerprint has very many documents.
