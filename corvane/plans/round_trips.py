@@ -327,17 +327,31 @@ def remote_embedding(spark, sf):
     return v.select("item_id", *[F.round(F.col("vector")[k].cast("double"), 5).alias(n) for k, n in enumerate("ab")])
 
 
-def _reply(path: str, body: dict) -> dict:
-    """A chat reply by the number at the prompt's end: blank, without a source, in parts, or with one."""
-    said = {2: " ", 3: "No source.", 4: [{"text": "In  parts "}, {"text": "[S2]"}]}
-    return {"choices": [{"message": {"content": said.get(int(body["messages"][-1]["content"].rsplit(" ", 1)[1]) % 5, "Said. [S1]")}}]}
+class _Chat:
+    """A service that fails, refuses for now, says nothing, or answers with or without a citation."""
 
+    def __init__(self):
+        self.calls = 0
 
-@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'see [S9]' WHEN 4 THEN 'In parts [S2]' ELSE 'Said. [S1]' END AS answer FROM conversations""")
+    def __call__(self, path: str, body: dict) -> dict:
+        self.calls += 1
+        kind = int(body["messages"][-1]["content"].rsplit(" ", 1)[1]) % 5
+        if kind == 0:
+            raise ConnectionError("down")
+        if kind == 1 and self.calls % 2:
+            raise providers.RateLimited("0")
+        said = {1: "Late. [S1]", 2: " ", 3: "No source.", 4: [{"text": "In  parts "}, {"text": "[S2]"}]}[kind]
+        return {"choices": [{"message": {"content": said}}]}
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'see [S9]' WHEN 1 THEN 'Late. [S1]' WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'see [S9]' ELSE 'In parts [S2]' END AS answer FROM conversations""")
 def generated_answers(spark, sf):
+    """Answers of a service that fails for some prompts, which then get the short answer, and refuses others at first."""
     asked = t(spark, sf, "conversations").withColumn("messages", answering.messages(F.concat(F.lit("conversation "), F.col("conv_id")), F.col("text")))
-    said = providers.generate(asked, providers.ChatClient(_reply, "m"), retries=2, pause=0.0)
-    return said.select("conv_id", "turn", answering.guard(F.col("raw_answer"), F.lit("see [S9]")).alias("answer"))
+    said = providers.generate(asked, providers.ChatClient(_Chat(), "m"), retries=2, pause=0.0)
+    fallback = F.lit("see [S9]")
+    answer = F.when(F.col("raw_answer").isNull(), fallback).otherwise(answering.guard(F.col("raw_answer"), fallback))
+    return said.select("conv_id", "turn", answer.alias("answer"))
 
 
 @query("""WITH s AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 1) AS x FROM embeddings), r AS (

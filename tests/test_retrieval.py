@@ -169,3 +169,13 @@ def test_blocks_without_structure(spark, tmp_path, k):
 
 def test_blocks_of_an_empty_table(spark, tmp_path):
     assert _in_blocks(spark, tmp_path, [], [[1.0, 2.0]], 3) == (0.0, 0)
+
+
+def test_generated_answers_meet_failures_and_refusals(spark):
+    """The query's service fails for some prompts and refuses others at first: both are part of its job."""
+    from corvane.plans import round_trips
+
+    said = {}
+    for r in round_trips.generated_answers(spark, "/root/testdata/sf0.001").collect():
+        said.setdefault(r.conv_id % 5, set()).add(r.answer)
+    assert said[0] == {"see [S9]"} and said[1] == {"Late. [S1]"}
