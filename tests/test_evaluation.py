@@ -149,3 +149,21 @@ def test_published_metrics_follow_from_their_sums(spark, hits, ranks, found, cla
 def test_judge_prompt_clips(spark):
     p = spark.range(1).select(E.judge_prompt(F.lit("q"), F.lit("a"), F.array(F.lit("x " * 5000)), F.lit("g")).alias("p")).first()["p"]
     assert "(1) x x" in p and len(p) < 5000
+
+
+def test_pairs_by_numbers_come_once_and_unshuffled(spark):
+    """Pairs by numbers equal the expression's, also for texts of many numbers; nothing gathers them unless ids repeat."""
+    r = random.Random(7)
+    some = lambda most: [r.choice([-1, 1]) * r.choice([0.0, 0.0005, 1.0, 1.0008, 1.0016, 900.0, 900.5, 901.3]) for _ in range(r.randint(0, most))]
+    dated = "question_id long, an string, ann array<double>, year int, month int"
+    answers = spark.createDataFrame([(i, "", some(3), 2000 if i % 3 else None, 1 if i % 3 else None) for i in range(40)], dated)
+    texts = spark.createDataFrame([(i, 2000 + i % 2, 1, "", some(4) + [5.0 + k for k in range(40 * (i % 2))]) for i in range(40)], "chunk_id long, year int, month int, norm_text string, text_numbers array<double>")
+    t = texts.withColumnsRenamed({"year": "y", "month": "m"})
+    want = sorted(map(tuple, answers.join(t, (F.col("year").isNull() | (F.col("year") == F.col("y"))) & appears(F.col("an"), F.col("ann"), F.col("norm_text"), F.col("text_numbers"))).select("question_id", "chunk_id").collect()))
+    top = lambda df: df._jdf.queryExecution().optimizedPlan().nodeName()
+    once = containment.by_index(answers, texts)
+    assert sorted(map(tuple, once.collect())) == want and len(want) > 100 and top(once) == "Union"
+    twice = containment.by_index(answers, texts.unionByName(texts))
+    assert sorted(map(tuple, twice.collect())) == want and top(twice) == "Aggregate"
+    again = answers.unionByName(answers.withColumns({c: F.lit(None).cast("int") for c in ("year", "month")}))
+    assert set(want) < {tuple(x) for x in containment.by_index(again, texts).collect()}
