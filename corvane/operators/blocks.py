@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .vectors import DIGITS, _matrix, best_within, doubles, rank_hits
+from .vectors import BLOCK_BYTES, CELLS, DIGITS, HITS, _matrix, best, doubles, rank_hits
 
 #: Rows that centres are fitted on, centres at most (both are on the driver), rounds of fitting, rows of a block about.
 SAMPLE, MOST_CENTRES, ROUNDS, BLOCK_ROWS = 16_384, 1024, 6, 1024
@@ -71,49 +71,130 @@ def write_blocks(chunks: DataFrame, path: str, sample: int = SAMPLE, block_rows:
     rows.select("pos", "vector", "block", "centre").repartition("centre", "block").write.mode("overwrite").partitionBy("centre").parquet(f"{path}/rows")
 
 
-def _visits(queries: DataFrame, bounds: DataFrame, k: int, floor: bool, digits: int) -> DataFrame:
-    """query_id, vector, block: the blocks with the highest bounds that hold k rows; or, given a floor, all others that reach it.
+def _bounds(v: np.ndarray, c: np.ndarray, radius: np.ndarray, digits: int) -> np.ndarray:
+    """What no score of a query in a block exceeds: the product with its centre plus the query's length times the radius,
+    and what rounding may add."""
+    length = np.sqrt((v * v).sum(1))[:, None]
+    return v @ c.T + length * radius * (1 + 1e-9) + 1e-9 * (1 + length * np.sqrt((c * c).sum(1))) + 10.0**-digits
+
+
+def _groups(n: np.ndarray, dim: int) -> np.ndarray:
+    """The number of each block's group: neighbours of about BLOCK_BYTES together."""
+    ends = np.cumsum(n * dim * 8)
+    return ((ends - n * dim * 8) // BLOCK_BYTES).astype(np.int64)
+
+
+def _wanted(v: np.ndarray, floor: np.ndarray | None, held, k: int, digits: int) -> np.ndarray:
+    """Which blocks each query visits: those with the highest bounds that hold k rows; or, given floors, all that reach them."""
+    _, c, radius, n, _ = held
+    most = _bounds(v, c, radius, digits)
+    if floor is not None:
+        return most >= floor[:, None]
+    order = np.argsort(-most, axis=1, kind="stable")
+    before = np.cumsum(n[order], axis=1) - n[order]
+    first = np.zeros(most.shape, bool)
+    np.put_along_axis(first, order, before < k, 1)
+    return first
+
+
+def _strips(batches, blocks: int):
+    """Batches cut so that a matrix of queries by blocks has at most CELLS cells."""
+    step = max(1, CELLS // max(1, blocks))
+    for b in batches:
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
 
-    A block's bound is the product with its centre plus the query's length times the radius, and what rounding may add.
-    """
-    b = bounds.select("block", "centre", "radius", "n").orderBy("block").toArrow()
-    held = queries.sparkSession.sparkContext.broadcast((b.column("block").to_numpy(), _matrix(b.column("centre")), b.column("radius").to_numpy(), b.column("n").to_numpy()))
+
+def _visits(queries: DataFrame, shared, k: int, digits: int) -> DataFrame:
+    """query_id, block: what each query visits, by its floor if it has that column."""
+    floored = "floor" in queries.columns
 
     def run(batches):
-        block, c, radius, n = held.value
-        for q in batches:
-            if not q.num_rows or not len(block):
-                continue
-            v = _matrix(q.column("vector"))
-            length = np.sqrt((v * v).sum(1))[:, None]
-            most = v @ c.T + length * radius * (1 + 1e-9) + 1e-9 * (1 + length * np.sqrt((c * c).sum(1))) + 10.0**-digits
-            order = np.argsort(-most, axis=1, kind="stable")
-            before = np.cumsum(n[order], axis=1) - n[order]
-            first = np.zeros(most.shape, bool)
-            np.put_along_axis(first, order, before < k, 1)
-            wanted = ~first & (most >= q.column("floor").to_numpy()[:, None]) if floor else first
-            r, at = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([q.column("query_id").take(pa.array(r)), q.column("vector").take(pa.array(r)), pa.array(block[at])], ["query_id", "vector", "block"])
-
-    return queries.mapInArrow(run, "query_id long, vector array<double>, block long")
+        held = shared.value
+        for q in _strips(batches, len(held[0])):
+            if len(held[0]):
+                r, at = np.nonzero(_wanted(_matrix(q.column("vector")), q.column("floor").to_numpy() if floored else None, held, k, digits))
+                yield pa.RecordBatch.from_arrays([q.column("query_id").take(pa.array(r)), pa.array(held[0][at])], ["query_id", "block"])
+
+    return queries.mapInArrow(run, "query_id long, block long")
+
+
+def _hits_in_blocks(queries: DataFrame, rows: DataFrame, shared, groups: int, k: int, digits: int) -> DataFrame:
+    """query_id, pos, score: the k best of each query in each group of blocks, of the blocks that it visits.
+
+    A query is sent once to a group that holds any of its blocks, not once to each block; in the task it meets only the
+    blocks that it visits. Queries of a group are cut by bytes as in vectors.top_k(), a group's rows are sent to each cut.
+    """
+    floored = "floor" in queries.columns
+
+    def send(batches):
+        held = shared.value
+        group = held[4]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+        for q in _strips(batches, len(group)):
+            if len(group):
+                v = _matrix(q.column("vector"))
+                wanted = _wanted(v, q.column("floor").to_numpy() if floored else None, held, k, digits)
+                r, g = np.nonzero(np.logical_or.reduceat(wanted, starts, axis=1))
+                own = [q.column(c).take(pa.array(r)) for c in q.schema.names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(group[starts][g])], [*q.schema.names, "group"])
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if x.num_rows and y.num_rows:
+            held = shared.value
+            name, v, pos = y.column("block").to_numpy(), _matrix(y.column("vector")), y.column("pos").to_numpy()
+            order = np.argsort(name, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1], True])
+            of = np.searchsorted(held[0], name[order][cuts[:-1]])
+            only = (held[0][of], held[1][of], held[2][of], held[3][of], None)
+            for q in _strips(x.combine_chunks().to_batches(), max(len(held[0]) if not floored else len(of), len(of) * k)):
+                m, asked = _matrix(q.column("vector")), q.column("query_id").to_numpy()
+                wanted = _wanted(m, q.column("floor").to_numpy(), only, k, digits) if floored else _wanted(m, None, held, k, digits)[:, of]
+                found = []
+                for b in range(len(of)):
+                    who, here = np.flatnonzero(wanted[:, b]), order[cuts[b] : cuts[b + 1]]
+                    r, c, s = best(m[who], pos[here], v[here], k, digits)
+                    found.append((who[r], pos[here][c], s))
+                r, c, s = (np.concatenate([f[j] for f in found]) for j in range(3))
+                o = np.lexsort((c, -s, r))
+                r, c, s = r[o], c[o], s[o]
+                few = np.arange(len(r)) - np.searchsorted(r, r) < k
+                ids.append(asked[r[few]])
+                cols.append(c[few])
+                scores.append(s[few])
+        return pa.table([pa.array(np.concatenate(a)) for a in (ids, cols, scores)], ["query_id", "pos", "score"])
+
+    fields = "query_id long, vector array<double>" + (", floor double" if floored else "")
+    # Few groups are met in more pieces, so that every core has some.
+    least = -(-2 * rows.sparkSession.sparkContext.defaultParallelism // max(1, groups))
+    sent = queries.mapInArrow(send, f"{fields}, group long")
+    pieces = sent.groupBy("group").agg(F.greatest(F.ceil(F.sum(F.size("vector") * 8) / F.lit(BLOCK_BYTES)), F.lit(least)).cast("int").alias("_n"))
+    left = sent.join(F.broadcast(pieces), "group").withColumn("piece", F.pmod(F.xxhash64("query_id"), F.greatest("_n", F.lit(1))).cast("int")).drop("_n")
+    right = rows.join(F.broadcast(pieces), "group").withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest("_n", F.lit(1)) - 1))).select("pos", "vector", "block", "group", "piece")
+    return left.groupBy("group", "piece").cogroup(right.groupBy("group", "piece")).applyInArrow(meet, HITS)
 
 
 def top_k_in_blocks(queries: DataFrame, path: str, k: int, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, pos, score as vectors.top_k() gives them; the visits: query_id, block), over what write_blocks() wrote.
 
     The bounds are on the driver and in each task: some hundred bytes a block, a thousandth of the rows. Vectors of
-    queries and blocks meet in shuffled tasks that are cut by their bytes.
+    queries and of groups of blocks meet in shuffled tasks that are cut by their bytes.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     spark = queries.sparkSession
-    bounds = spark.read.schema("block long, centre array<double>, radius double, n long").parquet(f"{path}/bounds")
-    rows = spark.read.schema("pos long, vector array<double>, block long, centre int").parquet(f"{path}/rows")
+    b = spark.read.schema("block long, centre array<double>, radius double, n long").parquet(f"{path}/bounds").orderBy("block").toArrow()
+    at = _matrix(b.column("centre"))
+    block, radius, n = (b.column(c).to_numpy() for c in ("block", "radius", "n"))
+    group = _groups(n, at.shape[1])
+    groups = len(np.unique(group))
+    shared = spark.sparkContext.broadcast((block, at, radius, n, group))
+    of = spark.createDataFrame(pa.table([pa.array(block), pa.array(group)], ["block", "group"]), "block long, group long")
+    rows = spark.read.schema("pos long, vector array<double>, block long, centre int").parquet(f"{path}/rows").drop("centre").join(F.broadcast(of), "block")
     q = queries.select(F.col("query_id").cast("long"), doubles(F.col("vector")).alias("vector")).dropna()
-    first = stored(_visits(q, bounds, k, False, digits), "visits")
-    found = stored(best_within(first, rows, ["block"], k, digits), "first-hits")
+    found = stored(_hits_in_blocks(q, rows, shared, groups, k, digits), "first-hits")
     floors = rank_hits(found, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    floored = q.join(floors, "query_id", "left").select("query_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    more = stored(_visits(floored, bounds, k, True, digits), "visits")
-    hits = found.unionByName(best_within(more, rows, ["block"], k, digits))
-    return rank_hits(hits, k), first.unionByName(more).select("query_id", "block")
+    floored = stored(q.join(floors, "query_id", "left").select("query_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), "floors")
+    # The blocks of the first visits reach the floor too.
+    return rank_hits(_hits_in_blocks(floored, rows, shared, groups, k, digits), k), _visits(q, shared, k, digits).unionByName(_visits(floored, shared, k, digits)).distinct()

@@ -179,3 +179,14 @@ def test_generated_answers_meet_failures_and_refusals(spark):
     for r in round_trips.generated_answers(spark, "/root/testdata/sf0.001").collect():
         said.setdefault(r.conv_id % 5, set()).add(r.answer)
     assert said[0] == {"see [S9]"} and said[1] == {"Late. [S1]"}
+
+
+def test_queries_of_many_blocks_are_cut_and_sent_once_a_group():
+    """However many blocks a batch of queries visits, a matrix of both is bounded and blocks share what is sent."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["query_id"])
+    parts = list(blocks._strips([batch], 4_000))
+    assert sum(p.num_rows for p in parts) == 10_000 and max(p.num_rows for p in parts) * 4_000 <= blocks.CELLS
+    group = blocks._groups(np.full(4_000, 256), 64)
+    assert len(np.unique(group)) == 17 and (np.diff(group) >= 0).all() and np.bincount(group).max() * 256 * 64 * 8 <= 1.01 * blocks.BLOCK_BYTES
