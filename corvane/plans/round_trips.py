@@ -161,7 +161,7 @@ FROM conversations""")
 def prediction_file(spark, sf):
     path = f"{scratch(spark, 'predictions')}/predictions.csv"
     null = F.lit(None).cast("string")
-    c = t(spark, sf, "conversations").orderBy("conv_id", "turn").coalesce(1)
+    c = t(spark, sf, "conversations").orderBy("conv_id", "turn")  # in as many files as their size asks for
     rows = c.select(F.col("conv_id").alias("question_id"), F.concat(F.lit(" "), "text", F.lit('"')).alias("question"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("gold_answer"), F.col("text").alias("predicted_answer"), null.alias("detected_year"), null.alias("detected_month"), F.lit("x").alias("retrieval_method"))
     sinks.write_predictions(rows, path)
     back = readers.predictions(spark, path)
