@@ -163,15 +163,21 @@ def search(planned: DataFrame, index: DataFrame, config: dict, provider, k: int
     return retrieval.retrieve(asked, chunks, k)
 
 
-def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=None, journal: str | None = None) -> DataFrame:
+def retrieved(questions: DataFrame, index: DataFrame, config: dict, provider) -> DataFrame:
+    """The chunks of each question, with their texts and metadata: one search and one look-up in the index for all questions."""
+    planned = retrieval.plan(questions.withColumn("query_id", F.col("_row")), RUN_MODES[config["mode"]], config["selected_years"])
+    return search(planned, index, config, provider).join(index.select("pos", "text", "metadata.*"), "pos")
+
+
+def answer(questions: DataFrame, index: DataFrame, config: dict, provider, call=None, journal: str | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Every question at once: plan, embed, retrieve, cite, answer. Questions without a chunk get NOT_FOUND.
 
-    The columns of predictions and, for the log, final_context_ids, final_sources, final_context; question_no tells rows
+    hits: what retrieved() has found for these questions before, if it has. The columns of predictions and, for the log, final_context_ids, final_sources, final_context; question_no tells rows
     apart.
     """
     g = config["generation"]
     planned = retrieval.plan(questions.withColumn("query_id", F.col("_row")), RUN_MODES[config["mode"]], config["selected_years"])
-    hits = search(planned, index, config, provider).join(index.select("pos", "text", "metadata.*"), "pos")
+    hits = hits if hits is not None else retrieved(questions, index, config, provider)
     fields = answering.METADATA_FIELDS if config["metadata_enabled"] else answering.BASE_FIELDS
     hits = hits.withColumnRenamed("query_id", "question_no")
     context = answering.context_blocks(answering.snippets(hits, g["max_context_chars"], fields, "question_no"), "question_no")
@@ -209,7 +215,8 @@ def run_qa(spark: SparkSession, config: dict, provider=None, call=None, resume:
     runs with these settings have answered aren't asked again, whether those runs ended well or not; without it all are
     asked. most_slices: stop after so many. Predictions and logs then hold what is answered so far.
 
-    A slice costs a scan of what its questions retrieve from, so slices are a matter of how much may be lost, not of memory.
+    What the questions retrieve is looked for once, before the first slice, so the index is scanned once, however many slices
+    there are: they are a matter of how much may be lost.
     """
     provider = provider or embedder(config)
     if not index_matches(spark, config):
@@ -230,8 +237,14 @@ def run_qa(spark: SparkSession, config: dict, provider=None, call=None, resume:
     todo = _written(left.withColumn("_slice", F.floor(F.col("_row") / config["generation"]["slice_questions"])), f"{root}/questions-{run_hash(config)}", "_slice")
     numbers = sorted(r[0] for r in todo.select("_slice").distinct().collect())
     index = check_index(spark, config["index_dir"]) if numbers else None
+    if numbers[:most_slices]:
+        # The index is searched once for all slices of this run; a slice reads its own hits.
+        now = todo.filter(F.col("_slice") <= numbers[:most_slices][-1])
+        slices = now.select(F.col("_row").alias("query_id"), "_slice")
+        hits = _written(retrieved(now.drop("_slice"), index, config, provider).join(slices, "query_id"), scratch(spark, "hits"), "_slice")
     for k in numbers[:most_slices]:
-        out = answer(todo.filter(F.col("_slice") == k).drop("_slice"), index, config, provider, call, f"{journal}/after-{len(done)}-slice-{k}" if journal else None)
+        own = F.col("_slice") == k
+        out = answer(todo.filter(own).drop("_slice"), index, config, provider, call, f"{journal}/after-{len(done)}-slice-{k}" if journal else None, hits.filter(own).drop("_slice"))
         out.write.mode("overwrite").parquet(f"{path}/after-{len(done)}/slice-{k}")
         if journal:
             sinks.remove(spark, f"file://{journal}/after-{len(done)}-slice-{k}")

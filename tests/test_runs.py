@@ -480,3 +480,49 @@ def test_a_stream_needs_an_index_of_its_own(spark, project):
     docs = spark.createDataFrame([("x", 2023, 1, "a b")], "source_path string, year int, month int, text string")
     with pytest.raises(readers.DataError, match="index of|one of their own"):
         ingest.merge_batch(docs, 0, c, pipelines.embedder(c))
+
+
+def test_files_are_as_many_as_their_size_asks_for(spark, monkeypatch):
+    """What the queries on predictions and evaluations write isn't bound to one or three tasks."""
+    from corvane.plans import round_trips
+    from corvane.sources import sinks as written
+
+    class Seen(Exception):
+        pass
+
+    def chunks(rows, path):
+        raise Seen(rows.rdd.getNumPartitions())
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len(round_trips.prediction_file(spark, "/root/testdata/sf0.01").inputFiles()) > 1
+        monkeypatch.setattr(written, "write_chunks", chunks)
+        with pytest.raises(Seen, match=spark.conf.get("spark.sql.shuffle.partitions")):
+            round_trips.evaluate_details(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_embedders_get_bounded_calls(spark):
+    from corvane import providers as p
+
+    class Few(p.HashEmbedder):
+        def encode(self, texts):
+            assert len(texts) <= 1024
+            return super().encode(texts)
+
+    rows = p.embed(spark.range(5000).coalesce(1).selectExpr("id", "cast(id as string) AS text"), Few(8))
+    assert rows.count() == 5000 and rows.filter("size(vector) = 8").count() == 5000
+
+
+def test_the_index_is_searched_once_for_all_slices(spark, monkeypatch):
+    from corvane.plans import pipelines as runs
+    from corvane.plans import round_trips
+    from corvane.sources.scratch import scratch
+
+    root, sf, calls, search = scratch(spark, "once"), "/root/testdata/sf0.001", [], runs.search
+    round_trips._write_documents(spark, sf, root)
+    round_trips._write_key(spark, sf, root)
+    monkeypatch.setattr(runs, "search", lambda *a: calls.append(1) or search(*a))
+    answers = runs.run_qa(spark, round_trips._config(root, generation={"backend": "extractive", "slice_questions": 7}))
+    assert answers.count() > 7 and len(calls) == 1
