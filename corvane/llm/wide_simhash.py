@@ -4,6 +4,9 @@
 similarity J differ in acos(2J / (1 + J)) / pi of a fingerprint's bits on average, 15 % at 0.8, so they need a wider
 fingerprint to tell, and lists of fewer positions to meet in. A list is a choice of byte positions; texts that agree in
 those bytes meet there, are compared on all 256 bits, and count if the Jaccard similarity of their sets is as high.
+
+The first lists bring most groups together at little cost. What they leave is found by an exact join: sets that are as
+similar share one of the first shingles of both, in whatever order all sets are sorted by (prefix filtering).
 """
 
 from __future__ import annotations
@@ -18,18 +21,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialise, small_batches, text_slices
-from .simhash import components, find_links, fingerprint
+from .simhash import _labels, components, find_links, fingerprint
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 WORDS, BITS = 4, 256
 #: Lists are as many as find a pair of exactly the similarity with the probability RECALL; it may be SPREAD standard
 #: deviations above the mean distance.
 RECALL, SPREAD = 0.95, 3
-#: Lists that are gone through before the first verification, and lists that one shuffle holds at most: what the index
+#: Of these lists the first are gone through before the exact join. Lists that one shuffle holds at most: what the index
 #: takes on disk. Rows of an Arrow batch of the index.
 FIRST, AT_ONCE, INDEX_ROWS = 24, 48, 8192
 #: Rows of a list up to which each looks for its nearest; in longer ones a search in width gives each a near one.
 LIST_ROWS, STRIP = 2048, 64
+#: Texts whose shingles are counted, so that frequent ones come last in the sets' order (any order is exact), times that
+#: make one frequent, and frequent ones at most.
+ORDER_ROWS, FREQUENT, MOST_FREQUENT = 16_384, 3, 1 << 18
+#: Rows of a shingle's list up to which its pairs are rows. Longer lists make groups, of which blocks of so many sets, of
+#: so many bytes, are compared by matrix products over so many shingles at a time.
+PAIR_ROWS, GROUP_ROWS, GROUP_BYTES, COLUMNS_AT_ONCE = 8, 512, 16_000_000, 2048
+#: Parts of the first shingles that are shuffled one after another: what they take on disk.
+TURNS = 6
+#: Words of a set's sketch, a bit for each value of a hash's first nine bits: what two sketches differ in, the sets differ in.
+SKETCH = [f"s{k}" for k in range(8)]
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 COLUMNS = [f"w{k}" for k in range(WORDS)]
 
@@ -103,14 +116,54 @@ def print_of(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(batches):
+def prefix(h: np.ndarray, similarity: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first shingles of a set: two sets of that similarity share one of them. common: frequent shingles in order,
+    and their counts; they come after all others, in order of counts."""
+    n = len(h)
+    if n and common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        h = h[np.argsort(np.where(common[0][at] == h, common[1][at], 0), kind="stable")]
+    return h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else h
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * len(SKETCH), np.uint8)
+    bits[(h >> np.uint64(55)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _prints(similarity, common):
+    def run(batches):
+        for b in text_slices(batches):
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            narrow = np.fromiter([fingerprint(t) for t in texts], np.uint64, len(texts))
+            sets = [shingle_set(t) for t in texts]
+            node = np.fromiter([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64, len(sets))
+            w = np.array([print_of(h) for h in sets], np.uint64).reshape(-1, WORDS)
+            firsts = pa.array([prefix(h, similarity, common.value).tobytes() for h in sets], pa.binary())
+            n = pa.array([len(h) for h in sets], pa.int32())
+            bits = np.array([sketch(h) for h in sets], np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
+            more = [*(pa.array(w[:, k].copy().view(np.int64)) for k in range(WORDS)), *(pa.array(bits[:, k].copy()) for k in range(len(SKETCH)))]
+            yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("_id"), pa.array(narrow.view(np.int64)), pa.array(node.view(np.int64)), *more, n, firsts], ["_rid", "_id", "fp", "node", *COLUMNS, *SKETCH, "n", "prefix"])
+
+    return run
+
+
+def _shingles(batches):
     for b in text_slices(batches):
-        texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-        narrow = np.fromiter([fingerprint(t) for t in texts], np.uint64, len(texts))
-        sets = [shingle_set(t) for t in texts]
-        node = np.fromiter([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64, len(sets))
-        w = np.array([print_of(h) for h in sets], np.uint64).reshape(-1, WORDS)
-        yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("_id"), pa.array(narrow.view(np.int64)), pa.array(node.view(np.int64)), *(pa.array(w[:, k].copy().view(np.int64)) for k in range(WORDS))], ["_rid", "_id", "fp", "node", *COLUMNS])
+        sets = [shingle_set(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of some ORDER_ROWS texts, in order, and how many of the texts have them."""
+    some = math.ceil(rows.count() / ORDER_ROWS)
+    texts = rows.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, some))) == 0).select("text").distinct()
+    counted = texts.mapInArrow(_shingles, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT)
+    got = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
+    token, n = got.column("token").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
 def _sets(batches):
@@ -234,6 +287,12 @@ def _links(most: int):
     return run
 
 
+def _free_shuffles(spark) -> None:
+    """Shuffle files go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _pairs(nodes: DataFrame, at: list[tuple[int, ...]], most: int) -> DataFrame:
     """Different pairs a < b of nodes (node, label, words) that are nearest in a list, with their bits.
 
@@ -245,8 +304,7 @@ def _pairs(nodes: DataFrame, at: list[tuple[int, ...]], most: int) -> DataFrame:
         dealt = index.repartition("which", "key").sortWithinPartitions("which", "key", "node")
         turns.append(materialise(dealt.mapInArrow(_links(most), "a long, b long, bits int").distinct(), "wide-turn"))
         del index, dealt
-        gc.collect()
-        nodes.sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects its garbage
+        _free_shuffles(nodes.sparkSession)
     pairs = turns[0]
     for t in turns[1:]:
         pairs = pairs.unionByName(t)
@@ -256,6 +314,160 @@ def _pairs(nodes: DataFrame, at: list[tuple[int, ...]], most: int) -> DataFrame:
     return out
 
 
+def _places(turn: int):
+    """A row for each of the first shingles of a set, with its place among them; those of a turn."""
+
+    def run(batches):
+        for b in batches:
+            firsts = b.column("prefix").to_pylist()
+            each = np.fromiter((len(x) // 8 for x in firsts), np.int64, len(firsts))
+            ends, token = np.cumsum(each), np.frombuffer(b"".join(firsts), np.uint64)
+            at = (np.arange(each.sum()) - np.repeat(ends - each, each)).astype(np.int32)
+            own = token % np.uint64(TURNS) == turn
+            rest = [pa.array(np.repeat(b.column(c).to_numpy(), each)[own]) for c in ("node", "label", "n", *SKETCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), *rest, pa.array(at[own])], ["token", "node", "label", "n", *SKETCH, "at"])
+
+    return run
+
+
+def may_be_similar(x: tuple, y: tuple, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether rows (label, size, place of the shingle that they share, sketch) of other labels can have the similarity.
+
+    The sets share no more before the shingle than there is, nor after it, and nothing of what only one sketch has.
+    """
+    (l1, n1, i, s1), (l2, n2, j, s2) = x, y
+    both = np.minimum(i, j) + np.minimum(n1 - i, n2 - j)
+    ok = (l1 != l2) & (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9) & (both >= similarity * (n1 + n2 - both) - 1e-9)
+    at = np.flatnonzero(ok)
+    one, n1, n2 = s1[at], n1[at], np.broadcast_to(n2, ok.shape)[at]
+    two = s2[at] if s2.ndim > 1 else s2
+    both = np.minimum(n1 - np.bitwise_count(one & ~two).sum(1, dtype=np.int64), n2 - np.bitwise_count(two & ~one).sum(1, dtype=np.int64))
+    ok[at] = both >= similarity * (n1 + n2 - both) - 1e-9
+    return ok
+
+
+def _list_tree(rows: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row that it is reached from) over rows of a list that may be similar."""
+    todo, by = np.arange(len(rows[0])), np.arange(len(rows[0]))
+    if (rows[0] == rows[0][0]).all():
+        return todo[:0], by[:0]
+    while len(todo):
+        frontier, todo = [todo[0]], todo[1:]
+        while frontier and len(todo):
+            at = frontier.pop()
+            near = may_be_similar(tuple(c[todo] for c in rows), tuple(c[at] for c in rows), similarity)
+            by[todo[near]] = at
+            frontier.extend(todo[near].tolist())
+            todo = todo[~near]
+    other = np.flatnonzero(by != np.arange(len(by)))
+    return other, by[other]
+
+
+def _met(similarity: float):
+    """Of rows sorted by shingle: the pairs of short lists that may be similar, and for long lists links between rows that
+    reach each other over such pairs (long: true)."""
+
+    def of(token, node, *rows):
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[starts, len(token)])
+        place, a, b = np.repeat(size, size), [], []
+        for step in range(1, PAIR_ROWS):
+            i = np.flatnonzero((token[step:] == token[:-step]) & (place[step:] <= PAIR_ROWS)) if len(token) > step else np.zeros(0, int)
+            i = i[may_be_similar(tuple(c[i] for c in rows), tuple(c[i + step] for c in rows), similarity)]
+            a.append(node[i])
+            b.append(node[i + step])
+        short = sum(map(len, a))
+        for s, n in zip(starts[size > PAIR_ROWS].tolist(), size[size > PAIR_ROWS].tolist()):
+            x, y = _list_tree(tuple(c[s : s + n] for c in rows), similarity)
+            a.append(node[s + x])
+            b.append(node[s + y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        long = np.arange(len(a)) >= short
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), long], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(bool))], ["a", "b", "long"])
+
+    def run(batches):
+        held = None
+        for b in _joined(batches):
+            part = [b.column(c).to_numpy() for c in ("token", "node", "label", "n", "at")] + [np.stack([b.column(c).to_numpy().view(np.uint64) for c in SKETCH], 1)]
+            if held:
+                part = [np.concatenate(x) for x in zip(held, part)]
+            last = part[0] == part[0][-1]
+            held = [x[last] for x in part]
+            if not last.all():
+                yield of(*(x[~last] for x in part))
+        if held:
+            yield of(*held)
+
+    return run
+
+
+def similar_stars(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, one: int, two: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (first row, other row) of the components of pairs of that similarity between rows of two blocks (or of one)
+    that have other labels: every pair is compared."""
+    x, y = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    n = np.array([len(s) for s in sets])
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    often = np.bincount(at, minlength=len(token)) > 1
+    new = np.cumsum(often) - 1
+    row, at = row[often[at]], new[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(often.sum()), COLUMNS_AT_ONCE):
+        s, e = np.searchsorted(at, (lo, lo + COLUMNS_AT_ONCE))
+        m = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+        m[row[s:e], at[s:e] - lo] = 1
+        both += m[x] @ m[y].T
+    alike = (both >= similarity * (n[x][:, None] + n[y][None] - both.astype(np.float64)) - 1e-9) & (label[x][:, None] != label[y][None])
+    i, j = np.nonzero(alike)
+    root = _labels(len(sets), x[i], y[j])
+    other = np.flatnonzero(root != np.arange(len(sets)))
+    return root[other], other
+
+
+def _in_blocks(similarity: float):
+    """Links of the blocks of sets; rows sorted by root, one, two come as they are, a pair of blocks is held at a time."""
+
+    def of(rows: list):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        node = t.column("node").to_numpy()
+        a, b = similar_stars(sets, t.column("label").to_numpy(), t.column("block").to_numpy(), t.column("one")[0].as_py(), t.column("two")[0].as_py(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("root", "one", "two")], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and key != tuple(k[lo]):
+                    yield of(held)
+                    held = []
+                key = tuple(k[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield of(held)
+
+    return run
+
+
+def _group_links(roots: DataFrame, own: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links within groups (node, root): a group's sets lie in blocks, and each two blocks meet in a task, all pairs compared."""
+    rows = roots.join(own.select("node", "label", "n"), "node")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)), F.ceil(F.sum(F.col("n").cast("long") * 8) / F.lit(GROUP_BYTES)))
+    sized = rows.groupBy("root").agg(size.cast("int").alias("blocks"), F.count_distinct("label").alias("labels")).filter("labels > 1")
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = rows.join(sized, "root").withColumn("block", block).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "_x").alias("one"), F.greatest("block", "_x").alias("two"), "block", "node", "label")
+    full = dealt.join(sets, "node").select("root", "one", "two", "block", "node", "label", "shingles")
+    return full.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two").mapInArrow(_in_blocks(similarity), "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets have that Jaccard similarity."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
@@ -278,39 +490,68 @@ def _narrow_links(prints: DataFrame) -> DataFrame:
     return materialise(own.join(least.hint("shuffle_hash"), "root").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "wide-first")
 
 
+def _sets_of(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, shingles of the pairs' ends."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", "_rid")
+    return materialise(rows.select("_rid", "text").join(wanted.hint("shuffle_hash"), "_rid").select("node", "text").mapInArrow(_sets, "node long, shingles binary"), "wide-sets")
+
+
 def grouped(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """_rid, _id, node, root for a table of _rid (different for each row), _id and text: root is the same in a group.
 
     A node is a set of shingles, so rows of one node are alike. Groups are the components of the links of the 64-bit
-    fingerprints together with the pairs that are found in lists and have the similarity. In a list each row is paired
-    with its nearest one that isn't of its component yet. Components are formed anew after the first lists, so that in
-    a large group few rows still look for a partner in the rest; a list's other pairs are left to the lists in which
-    they are nearest.
+    fingerprints together with all pairs of the similarity. The first lists link each row to its nearest one of
+    another component, which brings large groups together. Then all sets that share one of their first shingles meet,
+    unless they are of one component already: pairs of short lists are verified one by one, long lists make groups in
+    which all pairs are compared, block by block. No pair of the similarity is left out.
     """
     small_batches(rows.sparkSession)
     kind = dict(rows.dtypes)["_id"]
-    words = ", ".join(f"{c} long" for c in COLUMNS)
-    prints = materialise(rows.select("_rid", "_id", "text").mapInArrow(_prints, f"_rid long, _id {kind}, fp long, node long, {words}"), "wide-prints")
-    nodes = materialise(prints.groupBy("node").agg(F.min("_rid").alias("_rid"), *[F.min(c).alias(c) for c in COLUMNS]), "wide-nodes")
-    at, most = lists(nodes.count(), similarity), farthest(similarity)
+    words, bits = (", ".join(f"{c} long" for c in cs) for cs in (COLUMNS, SKETCH))
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows))
+    prints = materialise(rows.select("_rid", "_id", "text").mapInArrow(_prints(similarity, common), f"_rid long, _id {kind}, fp long, node long, {words}, {bits}, n int, prefix binary"), "wide-prints")
+    nodes = materialise(prints.groupBy("node").agg(F.min("_rid").alias("_rid"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in COLUMNS]), "wide-nodes")
+    most = farthest(similarity)
     links = _narrow_links(prints)
-    label, seen = components(links), None
-    for some_lists in (at[:FIRST], at[FIRST:]):
-        own = materialise(nodes.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *COLUMNS), "wide-labelled")
-        pairs = _pairs(own, some_lists, most)
-        drop_table(own)
-        new = pairs.join(seen, ["a", "b"], "left_anti") if seen else pairs
-        ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.join(ends, "node").select("node", "_rid")
-        sets = materialise(rows.select("_rid", "text").join(wanted.hint("shuffle_hash"), "_rid").select("node", "text").mapInArrow(_sets, "node long, shingles binary"), "wide-sets")
-        # One pair of each node, its nearest, then the others that still join two components.
-        first = materialise(new.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "wide-some")
-        links = links.unionByName(_verified(first, sets, similarity))
-        label = components(links)
-        rest = _across(new.join(first, ["a", "b"], "left_anti").select("a", "b"), label)
-        links = links.unionByName(_verified(rest, sets, similarity))
-        label, seen = components(links), pairs
-        drop_table(sets)
+    labelled = lambda label, *more: materialise(nodes.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "n", *more), "wide-labelled")
+    own = labelled(components(links), *COLUMNS)
+    pairs = _pairs(own, lists(nodes.count(), similarity)[:FIRST], most)
+    drop_table(own)
+    sets = _sets_of(rows, nodes, pairs)
+    _free_shuffles(rows.sparkSession)
+    # One pair of each node, its nearest, then the others that still join two components.
+    first = materialise(pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "wide-some")
+    links = links.unionByName(_verified(first, sets, similarity))
+    rest = _across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), components(links))
+    links = links.unionByName(_verified(rest, sets, similarity))
+    drop_table(sets)
+
+    own = labelled(components(links), "_rid")
+    places = prints.select("_rid", "prefix", *SKETCH).join(own.hint("shuffle_hash"), "_rid").select("node", "label", "n", *SKETCH, "prefix")
+    places, turns = materialise(places, "wide-places"), []
+    for k in range(TURNS):
+        _free_shuffles(rows.sparkSession)
+        dealt = places.mapInArrow(_places(k), f"token long, node long, label long, n int, {bits}, at int").repartition("token").sortWithinPartitions("token", "node")
+        turns.append(materialise(dealt.mapInArrow(_met(similarity), "a long, b long, long boolean").distinct(), "wide-turn"))
+        del dealt
+    drop_table(places)
+    met = turns[0]
+    for t in turns[1:]:
+        met = met.unionByName(t)
+    met = materialise(met.distinct(), "wide-met")
+    for t in turns:
+        drop_table(t)
+    _free_shuffles(rows.sparkSession)
+    sets = _sets_of(rows, nodes, met)
+    _free_shuffles(rows.sparkSession)
+    reached = components(met.filter("long").select("a", "b"))
+    links = links.unionByName(materialise(_group_links(reached, own, sets, similarity), "wide-group-links"))
+    _free_shuffles(rows.sparkSession)
+    rest = met.filter("NOT long").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(rest, sets, similarity))
+    drop_table(sets)
+    label = components(links)
     roots = materialise(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "wide-roots")
     return prints.select("_rid", "_id", "node").join(roots.hint("shuffle_hash"), "node").select("_rid", "_id", "node", "root")
 
@@ -332,9 +573,7 @@ def near_duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows are one group that 64-bit fingerprints link (operator 9's contract) or whose sets of five-word shingles have
     the Jaccard similarity; see grouped(). Null and empty texts are alike. Null ids rank above others, as no minimum.
-    Repeated rows stay repeated. Pairs are exact where found: one at exactly the similarity, with no third text, is
-    found with the probability RECALL, one above it more surely. In a group a pair may also be missed because each of
-    the two has a nearer partner, of another component, wherever they meet.
+    Repeated rows stay repeated. All pairs of the similarity are found.
     """
     groups = materialise(grouped(numbered(docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")), "_own"), similarity), "wide-groups")
     least = groups.groupBy("root").agg(F.min("_id").alias("keep_id"))

@@ -185,3 +185,51 @@ def test_what_a_tree_leaves_out(make, monkeypatch):
     got = {x.doc_id: x.keep_id for x in W.near_duplicate_ids(make(rows)).collect()}
     assert sum(got[i] != want[i] for i in want) <= 3
     assert 6 < len(set(want.values())) < 150
+
+
+def near_misses(r, groups, members, n=150):
+    """Groups of texts around the similarity: many pairs just below it, some just above, most with nearer partners."""
+    rows = []
+    for g in range(groups):
+        base = text(r, n)
+        rows += [(1000 * g + k, " ".join(edited(r, base, 2 + k % 4))) for k in range(members)]
+    return rows
+
+
+def test_no_pair_is_left_out(make, monkeypatch):
+    """Groups equal brute force exactly: rows with nearer partners, pairs with no third text, groups of several blocks."""
+    r = random.Random(8)
+    rows = near_misses(r, 8, 40)
+    for k in range(120):
+        a, b = pair_at(r, 0.8, 0.83)
+        rows += [(100_000 + 2 * k, a), (100_001 + 2 * k, b)]
+    want = components_brute(rows)
+    assert {x.doc_id: x.keep_id for x in W.near_duplicate_ids(make(rows)).collect()} == want
+    monkeypatch.setattr(W, "GROUP_ROWS", 8)
+    monkeypatch.setattr(W, "COLUMNS_AT_ONCE", 64)
+    assert {x.doc_id: x.keep_id for x in W.near_duplicate_ids(make(rows)).collect()} == want
+
+
+def test_first_shingles_are_shared():
+    """Whatever comes last in the order, sets of the similarity share one of their first shingles."""
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(r.integers(1, 60))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[r.random(len(a)) < 0.95], r.integers(0, 2**63, int(r.integers(0, 4))).astype(np.uint64)])
+        some = np.sort(r.choice(a, len(a) // 2, False))
+        common = (some, r.integers(3, 9, len(some)))
+        if W.similar(a, b) and len(b):
+            assert len(np.intersect1d(W.prefix(a, 0.8, common), W.prefix(b, 0.8, common)))
+
+
+def test_sketches_leave_no_similar_pair_out():
+    r = np.random.default_rng(10)
+    for n in (3, 40, 300, 3000):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[r.random(len(a)) < 0.92], r.integers(0, 2**64, n // 30, dtype=np.uint64)])
+            places = [np.flatnonzero(np.isin(x, np.intersect1d(a, b)))[:1] for x in (a, b)]
+            if W.similar(a, b) and len(places[0]):
+                x, y = ((np.array([k]), np.array([len(s)]), at, W.sketch(s)[None]) for k, (s, at) in enumerate(zip((a, b), places)))
+                assert W.may_be_similar(x, y).all()
