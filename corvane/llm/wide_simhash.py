@@ -36,12 +36,16 @@ LIST_ROWS, STRIP = 2048, 64
 #: Texts whose shingles are counted, so that frequent ones come last in the sets' order (any order is exact), times that
 #: make one frequent, and frequent ones at most.
 ORDER_ROWS, FREQUENT, MOST_FREQUENT = 16_384, 3, 1 << 18
-#: Rows of a shingle's list up to which its pairs are rows. Longer lists make groups, of which blocks of so many sets, of
-#: so many bytes, are compared by matrix products over so many shingles at a time.
-PAIR_ROWS, GROUP_ROWS, GROUP_BYTES, COLUMNS_AT_ONCE = 8, 512, 16_000_000, 2048
+#: Rows of a shingle's list up to which its pairs are rows; so are those of longer lists, if they are PAIRS_A_ROW for each
+#: row at most. Others make groups, of which blocks of so many sets (SIGNED_ROWS signatures), of so many bytes, are
+#: compared by matrix products over so many shingles at a time.
+PAIR_ROWS, PAIRS_A_ROW, GROUP_ROWS, SIGNED_ROWS, GROUP_BYTES, COLUMNS_AT_ONCE = 8, 8, 512, 2048, 16_000_000, 2048
+#: Cells of a comparison of signatures in hand. Rows whose numbers may be broadcast, to fetch their texts without a shuffle of all.
+SIGNED_CELLS, FEW_ROWS = 2_000_000, 100_000
 #: Parts of the first shingles that are shuffled one after another: what they take on disk.
 TURNS = 6
-#: Words of a set's sketch, a bit for each value of a hash's first nine bits: what two sketches differ in, the sets differ in.
+#: Words of a set's sketch, a bit for each value of a hash's first nine bits, set if an odd number of shingles has it: two
+#: sets differ in as many shingles at least as their sketches in bits.
 SKETCH = [f"s{k}" for k in range(8)]
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 COLUMNS = [f"w{k}" for k in range(WORDS)]
@@ -127,9 +131,29 @@ def prefix(h: np.ndarray, similarity: float = SIMILARITY, common: tuple[np.ndarr
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * len(SKETCH), np.uint8)
-    bits[(h >> np.uint64(55)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """A sketch of two to four bits for each shingle, 64 at least, by the hashes' last bits: unlike sets hardly ever pass it."""
+    bits = 64 << max(0, (len(h) * 2 - 1) // 64).bit_length()
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(s: np.ndarray, words: int) -> np.ndarray:
+    """A signature (or rows of them) as one of fewer words."""
+    while s.shape[-1] > words:
+        half = s.shape[-1] // 2
+        s = s[..., :half] ^ s[..., half:]
+    return s
+
+
+def may_differ_in(apart: np.ndarray, n1: np.ndarray, n2: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether sets of those sizes that differ in `apart` shingles at least can have the similarity."""
+    both = np.minimum((n1 + n2 - apart) / 2, np.minimum(n1, n2))
+    return both >= similarity * (n1 + n2 - both) - 1e-9
 
 
 def _prints(similarity, common):
@@ -143,8 +167,9 @@ def _prints(similarity, common):
             firsts = pa.array([prefix(h, similarity, common.value).tobytes() for h in sets], pa.binary())
             n = pa.array([len(h) for h in sets], pa.int32())
             bits = np.array([sketch(h) for h in sets], np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
+            signed = pa.array([signature(h).tobytes() for h in sets], pa.binary())
             more = [*(pa.array(w[:, k].copy().view(np.int64)) for k in range(WORDS)), *(pa.array(bits[:, k].copy()) for k in range(len(SKETCH)))]
-            yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("_id"), pa.array(narrow.view(np.int64)), pa.array(node.view(np.int64)), *more, n, firsts], ["_rid", "_id", "fp", "node", *COLUMNS, *SKETCH, "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("_id"), pa.array(narrow.view(np.int64)), pa.array(node.view(np.int64)), *more, n, firsts, signed], ["_rid", "_id", "fp", "node", *COLUMNS, *SKETCH, "n", "prefix", "signature"])
 
     return run
 
@@ -169,7 +194,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _sets(batches):
     for b in text_slices(batches):
         sets = [shingle_set(t or b"").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "held"])
 
 
 def _alike(similarity):
@@ -182,6 +207,17 @@ def _alike(similarity):
     return run
 
 
+def _signed_alike(similarity):
+    def run(batches):
+        for b in batches:
+            signed = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("a_signature", "b_signature")]
+            n = [b.column(c).to_numpy().astype(np.int64) for c in ("a_n", "b_n")]
+            apart = [int(np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum()) for x, y in zip(*signed)]
+            yield b.select(["a", "b"]).filter(pa.array(may_differ_in(np.array(apart, np.int64), *n, similarity), pa.bool_()))
+
+    return run
+
+
 def _joined(batches, rows: int = INDEX_ROWS):
     held = []
     for b in batches:
@@ -333,7 +369,7 @@ def _places(turn: int):
 def may_be_similar(x: tuple, y: tuple, similarity: float = SIMILARITY) -> np.ndarray:
     """Whether rows (label, size, place of the shingle that they share, sketch) of other labels can have the similarity.
 
-    The sets share no more before the shingle than there is, nor after it, and nothing of what only one sketch has.
+    The sets share no more before the shingle than there is, nor after it, and differ in what their sketches differ in.
     """
     (l1, n1, i, s1), (l2, n2, j, s2) = x, y
     both = np.minimum(i, j) + np.minimum(n1 - i, n2 - j)
@@ -341,11 +377,23 @@ def may_be_similar(x: tuple, y: tuple, similarity: float = SIMILARITY) -> np.nda
     at = np.flatnonzero(ok)
     one, n1, n2 = s1[at], n1[at], np.broadcast_to(n2, ok.shape)[at]
     two = s2[at] if s2.ndim > 1 else s2
-    both = np.minimum(n1 - np.bitwise_count(one & ~two).sum(1, dtype=np.int64), n2 - np.bitwise_count(two & ~one).sum(1, dtype=np.int64))
-    ok[at] = both >= similarity * (n1 + n2 - both) - 1e-9
+    ok[at] = may_differ_in(np.bitwise_count(one ^ two).sum(1, dtype=np.int64), n1, n2, similarity)
     return ok
 
 
+def _list_pairs(rows: tuple, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs of a list that may be similar; None if they are more than most."""
+    n, a, b, left = len(rows[0]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], most
+    for step in range(1, n if (rows[0] != rows[0][0]).any() else 1):
+        i = np.flatnonzero(may_be_similar(tuple(c[: n - step] for c in rows), tuple(c[step:] for c in rows), similarity))
+        left -= len(i)
+        if left < 0:
+            return None
+        a.append(i)
+        b.append(i + step)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _list_tree(rows: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, row that it is reached from) over rows of a list that may be similar."""
     todo, by = np.arange(len(rows[0])), np.arange(len(rows[0]))
@@ -364,8 +412,8 @@ def _list_tree(rows: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(similarity: float):
-    """Of rows sorted by shingle: the pairs of short lists that may be similar, and for long lists links between rows that
-    reach each other over such pairs (long: true)."""
+    """Of rows sorted by shingle: the pairs of a list that may be similar, or, where a long list has very many, links between
+    rows that reach each other over such pairs (long: true)."""
 
     def of(token, node, *rows):
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -376,13 +424,16 @@ def _met(similarity: float):
             i = i[may_be_similar(tuple(c[i] for c in rows), tuple(c[i + step] for c in rows), similarity)]
             a.append(node[i])
             b.append(node[i + step])
-        short = sum(map(len, a))
+        long = [False] * len(a)
         for s, n in zip(starts[size > PAIR_ROWS].tolist(), size[size > PAIR_ROWS].tolist()):
-            x, y = _list_tree(tuple(c[s : s + n] for c in rows), similarity)
+            own = tuple(c[s : s + n] for c in rows)
+            pairs = _list_pairs(own, similarity, PAIRS_A_ROW * n)
+            long.append(pairs is None)
+            x, y = _list_tree(own, similarity) if pairs is None else pairs
             a.append(node[s + x])
             b.append(node[s + y])
+        long = np.repeat(long, [len(x) for x in a])
         a, b = np.concatenate(a), np.concatenate(b)
-        long = np.arange(len(a)) >= short
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), long], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(bool))], ["a", "b", "long"])
 
@@ -402,11 +453,35 @@ def _met(similarity: float):
     return run
 
 
-def similar_stars(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, one: int, two: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+def signed_stars(signed: list[np.ndarray], n: np.ndarray, label: np.ndarray, block: np.ndarray, one: int, two: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the components of pairs between rows of two blocks (or of one) that have other labels and signatures of sets
+    that may have that similarity. Of each width's rows, in order of size, strips meet those of sizes that can match."""
+    width, a, b = np.array([len(s) for s in signed]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    by = {(k, w): at[np.argsort(n[at], kind="stable")] for k in {one, two} for w in np.unique(width) if len(at := np.flatnonzero((block == k) & (width == w)))}
+    for (k, w), x in by.items():
+        for (m, v), y in by.items():
+            if (k, m) != (one, two):
+                continue
+            words = min(w, v)
+            left, right = (folded(np.stack([signed[i] for i in at]), words) for at in (x, y))
+            step = max(1, min(STRIP, SIGNED_CELLS // (len(y) * words)))
+            for lo in range(0, len(x), step):
+                i = x[lo : lo + step]
+                s, e = np.searchsorted(n[y], (similarity * n[i[0]] - 1e-6, n[i[-1]] / similarity + 1e-6))
+                j = y[s:e]
+                apart = np.bitwise_count(left[lo : lo + step, None] ^ right[None, s:e]).sum(2, dtype=np.int64)
+                r, c = np.nonzero(may_differ_in(apart, n[i][:, None], n[j][None], similarity) & (label[i][:, None] != label[j][None]))
+                a.append(i[r])
+                b.append(j[c])
+    root = _labels(len(signed), np.concatenate(a), np.concatenate(b))
+    other = np.flatnonzero(root != np.arange(len(signed)))
+    return root[other], other
+
+
+def similar_stars(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, block: np.ndarray, one: int, two: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Stars (first row, other row) of the components of pairs of that similarity between rows of two blocks (or of one)
     that have other labels: every pair is compared."""
     x, y = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    n = np.array([len(s) for s in sets])
     token, at = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), n)
     often = np.bincount(at, minlength=len(token)) > 1
@@ -427,14 +502,15 @@ def similar_stars(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray,
     return root[other], other
 
 
-def _in_blocks(similarity: float):
-    """Links of the blocks of sets; rows sorted by root, one, two come as they are, a pair of blocks is held at a time."""
+def _in_blocks(similarity: float, stars):
+    """Links of the blocks of sets or signatures; rows sorted by root, one, two come as they are, a pair of blocks is held
+    at a time."""
 
     def of(rows: list):
         t = pa.Table.from_batches(rows).combine_chunks()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        node = t.column("node").to_numpy()
-        a, b = similar_stars(sets, t.column("label").to_numpy(), t.column("block").to_numpy(), t.column("one")[0].as_py(), t.column("two")[0].as_py(), similarity)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("held").to_pylist()]
+        node, n, label, block = (t.column(c).to_numpy() for c in ("node", "n", "label", "block"))
+        a, b = stars(sets, n.astype(np.int64), label, block, t.column("one")[0].as_py(), t.column("two")[0].as_py(), similarity)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
     def run(batches):
@@ -456,22 +532,32 @@ def _in_blocks(similarity: float):
     return run
 
 
-def _group_links(roots: DataFrame, own: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links within groups (node, root): a group's sets lie in blocks, and each two blocks meet in a task, all pairs compared."""
+def _group_links(roots: DataFrame, own: DataFrame, held: DataFrame, similarity: float, stars=similar_stars) -> DataFrame:
+    """Links within groups (node, root): a group's sets, or signatures (node, held), lie in blocks, and each two blocks meet in
+    a task, all pairs compared."""
     rows = roots.join(own.select("node", "label", "n"), "node")
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)), F.ceil(F.sum(F.col("n").cast("long") * 8) / F.lit(GROUP_BYTES)))
+    most, each = (GROUP_ROWS, 8.0) if stars is similar_stars else (SIGNED_ROWS, 0.5)
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum(F.col("n") * each) / F.lit(GROUP_BYTES)))
     sized = rows.groupBy("root").agg(size.cast("int").alias("blocks"), F.count_distinct("label").alias("labels")).filter("labels > 1")
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     dealt = rows.join(sized, "root").withColumn("block", block).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("block", "_x").alias("one"), F.greatest("block", "_x").alias("two"), "block", "node", "label")
-    full = dealt.join(sets, "node").select("root", "one", "two", "block", "node", "label", "shingles")
-    return full.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two").mapInArrow(_in_blocks(similarity), "a long, b long").distinct()
+    dealt = dealt.select("root", F.least("block", "_x").alias("one"), F.greatest("block", "_x").alias("two"), "block", "node", "label", "n")
+    full = dealt.join(held, "node").select("root", "one", "two", "block", "node", "label", "n", "held")
+    return full.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two").mapInArrow(_in_blocks(similarity, stars), "a long, b long").distinct()
+
+
+def _signed(pairs: DataFrame, own: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose signatures leave the similarity open: few but those that have it."""
+    held = signatures.join(own.select("node", "n"), "node")
+    of = lambda c: held.select(F.col("node").alias(c), F.col("held").alias(f"{c}_signature"), F.col("n").alias(f"{c}_n"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_signature", "b_signature", "a_n", "b_n")
+    return materialise(both.mapInArrow(_signed_alike(similarity), "a long, b long"), "wide-signed")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets have that Jaccard similarity."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("a_set")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("held").alias("b_set")), "b")
     return materialise(two.select("a", "b", "a_set", "b_set").mapInArrow(_alike(similarity), "a long, b long"), "wide-links")
 
 
@@ -490,11 +576,18 @@ def _narrow_links(prints: DataFrame) -> DataFrame:
     return materialise(own.join(least.hint("shuffle_hash"), "root").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "wide-first")
 
 
-def _sets_of(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, shingles of the pairs' ends."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", "_rid")
-    return materialise(rows.select("_rid", "text").join(wanted.hint("shuffle_hash"), "_rid").select("node", "text").mapInArrow(_sets, "node long, shingles binary"), "wide-sets")
+def _ends(nodes: DataFrame, *pairs: DataFrame) -> DataFrame:
+    """node, _rid of the pairs' ends."""
+    ends = pairs[0].select("a", "b")
+    for p in pairs[1:]:
+        ends = ends.unionByName(p.select("a", "b"))
+    return materialise(nodes.join(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "_rid"), "wide-ends")
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, held: the shingles of some nodes. Where they are few, texts aren't shuffled."""
+    wanted = wanted.hint("broadcast" if wanted.count() <= FEW_ROWS else "shuffle_hash")
+    return materialise(rows.select("_rid", "text").join(wanted, "_rid").select("node", "text").mapInArrow(_sets, "node long, held binary"), "wide-sets")
 
 
 def grouped(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -503,14 +596,15 @@ def grouped(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     A node is a set of shingles, so rows of one node are alike. Groups are the components of the links of the 64-bit
     fingerprints together with all pairs of the similarity. The first lists link each row to its nearest one of
     another component, which brings large groups together. Then all sets that share one of their first shingles meet,
-    unless they are of one component already: pairs of short lists are verified one by one, long lists make groups in
-    which all pairs are compared, block by block. No pair of the similarity is left out.
+    unless they are of one component already: pairs whose signatures don't tell them apart are verified one by one. Long
+    lists of very many pairs make groups, which signatures take apart first: in what stays together all pairs are
+    compared, block by block. No pair of the similarity is left out.
     """
     small_batches(rows.sparkSession)
     kind = dict(rows.dtypes)["_id"]
     words, bits = (", ".join(f"{c} long" for c in cs) for cs in (COLUMNS, SKETCH))
     common = rows.sparkSession.sparkContext.broadcast(_common(rows))
-    prints = materialise(rows.select("_rid", "_id", "text").mapInArrow(_prints(similarity, common), f"_rid long, _id {kind}, fp long, node long, {words}, {bits}, n int, prefix binary"), "wide-prints")
+    prints = materialise(rows.select("_rid", "_id", "text").mapInArrow(_prints(similarity, common), f"_rid long, _id {kind}, fp long, node long, {words}, {bits}, n int, prefix binary, signature binary"), "wide-prints")
     nodes = materialise(prints.groupBy("node").agg(F.min("_rid").alias("_rid"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in COLUMNS]), "wide-nodes")
     most = farthest(similarity)
     links = _narrow_links(prints)
@@ -518,7 +612,7 @@ def grouped(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = labelled(components(links), *COLUMNS)
     pairs = _pairs(own, lists(nodes.count(), similarity)[:FIRST], most)
     drop_table(own)
-    sets = _sets_of(rows, nodes, pairs)
+    sets = _sets_of(rows, _ends(nodes, pairs))
     _free_shuffles(rows.sparkSession)
     # One pair of each node, its nearest, then the others that still join two components.
     first = materialise(pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "wide-some")
@@ -543,12 +637,16 @@ def grouped(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     for t in turns:
         drop_table(t)
     _free_shuffles(rows.sparkSession)
-    sets = _sets_of(rows, nodes, met)
-    _free_shuffles(rows.sparkSession)
+    held = prints.select("_rid", F.col("signature").alias("held")).join(_ends(nodes, met).hint("shuffle_hash"), "_rid")
+    held = materialise(held.select("node", "held"), "wide-signatures")
+    rest = _signed(met.filter("NOT long").select("a", "b").join(pairs, ["a", "b"], "left_anti"), own, held, similarity)
     reached = components(met.filter("long").select("a", "b"))
-    links = links.unionByName(materialise(_group_links(reached, own, sets, similarity), "wide-group-links"))
+    close = materialise(_group_links(reached, own, held, similarity, signed_stars), "wide-close")
+    drop_table(held)
+    _free_shuffles(rows.sparkSession)
+    sets = _sets_of(rows, _ends(nodes, rest, close))
+    links = links.unionByName(materialise(_group_links(components(close), own, sets, similarity), "wide-group-links"))
     _free_shuffles(rows.sparkSession)
-    rest = met.filter("NOT long").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, sets, similarity))
     drop_table(sets)
     label = components(links)

@@ -233,3 +233,45 @@ def test_sketches_leave_no_similar_pair_out():
             if W.similar(a, b) and len(places[0]):
                 x, y = ((np.array([k]), np.array([len(s)]), at, W.sketch(s)[None]) for k, (s, at) in enumerate(zip((a, b), places)))
                 assert W.may_be_similar(x, y).all()
+
+
+def test_signatures_leave_no_similar_pair_out():
+    """Blocks of sets of all sizes: pairs of the similarity pass, in either form, and unlike sets don't."""
+    r = np.random.default_rng(11)
+    sets = []
+    for n in (1, 3, 30, 40, 63, 66, 300, 3000):
+        for _ in range(12):
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            sets += [a, np.unique(np.r_[a[r.random(len(a)) < 0.92], r.integers(0, 2**64, n // 30, dtype=np.uint64)])]
+    n, label, block = np.array([len(s) for s in sets]), np.arange(len(sets)), np.arange(len(sets)) // 2 % 2
+    signed = [W.signature(s) for s in sets]
+    assert all(2 * len(s) <= 64 * len(x) and (len(x) == 1 or 64 * len(x) < 4 * len(s)) for s, x in zip(sets, signed))
+    for one, two in ((0, 0), (0, 1), (1, 1)):
+        root, other = W.signed_stars(signed, n, label, block, one, two)
+        up = np.arange(len(sets))
+        up[other] = root
+        same = [(i, j) for i in range(len(sets)) for j in range(i) if sorted((block[i], block[j])) == [one, two] and W.similar(sets[i], sets[j])]
+        assert all(up[i] == up[j] for i, j in same) and (one != two) == (not same)
+        assert all(len(sets[i]) < 4 or i // 2 == j // 2 for i, j in zip(root, other))
+
+
+def test_long_unlike_texts_are_no_group(make, monkeypatch):
+    """Texts of thousands of shingles that share a passage: a sketch of 512 bits doesn't tell them apart, signatures do."""
+    compared = []
+    links = W._group_links
+    monkeypatch.setattr(W, "FREQUENT", 1000)
+
+    def counted(roots, own, held, similarity, *stars):
+        if not stars:
+            compared.append(roots.count())
+        return links(roots, own, held, similarity, *stars)
+
+    monkeypatch.setattr(W, "_group_links", counted)
+    r = random.Random(12)
+    shared = text(r, 300)
+    rows = [(i, " ".join(text(r, 1200) + shared + text(r, 1200))) for i in range(30)]
+    alike = rows[3][1].split()
+    rows.append((50, " ".join(edited(r, alike, 40))))
+    got = {x.doc_id: x.keep_id for x in W.near_duplicate_ids(make(rows)).collect()}
+    assert got == components_brute(rows) and got[50] == 3 and got[4] == 4
+    assert len(compared) == 1 and compared[0] <= 2  # 31 before: their whole sets were sent to blocks
