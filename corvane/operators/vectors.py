@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that may be broadcast; more queries are searched in blocks that are shuffled.
-BROADCAST_BYTES = 64_000_000
-#: Bytes of vectors in a block of queries or chunks, and inner products that a worker holds at a time.
-BLOCK_BYTES, CELLS = 32_000_000, 2_000_000
+BROADCAST_BYTES = 16_000_000
+#: Bytes of doubles in a block of queries or chunks that meet in a task, and in a group of operators/blocks; inner products
+#: that a worker holds at a time.
+MEET_BYTES, BLOCK_BYTES, CELLS = 16_000_000, 32_000_000, 2_000_000
 DIGITS = 6
 HITS = "query_id long, pos long, score double"
 
@@ -45,7 +46,14 @@ def rank_hits(hits: DataFrame, k: int, query_col: str = "query_id", pos_col: str
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     """Halves go away from zero; no zero is negative."""
-    return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits + 0.0
+    y = np.abs(x)
+    y *= 10.0**digits
+    y += 0.5
+    np.floor(y, out=y)
+    y /= 10.0**digits
+    np.copysign(y, x, out=y)
+    y += 0.0
+    return y
 
 
 def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DIGITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +65,9 @@ def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DI
     strip = max(1, CELLS // max(1, len(v)))
     for lo in range(0, len(q) if k and len(v) else 0, strip):
         s = q[lo : lo + strip] @ v.T
-        s = np.where(np.isfinite(s), rounded(s, digits), -np.inf)
+        finite = np.isfinite(s)
+        s = rounded(s, digits)
+        s[~finite] = -np.inf
         least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
         r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
         order = np.lexsort((pos[c], -s[r, c], r))
@@ -74,7 +84,7 @@ def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DI
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _hits(q_ids: np.ndarray, q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int) -> list[pa.Array]:
@@ -100,7 +110,7 @@ def _blocked(q: DataFrame, c: DataFrame, keys: list[str], k: int, digits: int) -
     A key is cut into blocks by the bytes of its queries and chunks, so a key that most of them share is many tasks.
     A block is sent once for each block that it meets; the larger blocks are, the less is sent.
     """
-    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.sum(F.size("vector") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias(name))
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.sum(F.size("vector") * 8) / F.lit(MEET_BYTES)).cast("int").alias(name))
     blocks = count(q, "_qn").join(count(c, "_cn"), keys)
     put = lambda col, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
@@ -111,9 +121,11 @@ def _blocked(q: DataFrame, c: DataFrame, keys: list[str], k: int, digits: int) -
 
 
 def _columns(queries: DataFrame, chunks: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Both sides with vectors of doubles; rows without a vector or a key take no part."""
-    q = queries.select(F.col("query_id").cast("long"), doubles(F.col("vector")).alias("vector"), *keys).dropna()
-    return q, chunks.select(F.col("pos").cast("long"), doubles(F.col("vector")).alias("vector"), *keys).dropna()
+    """Both sides with vectors of doubles, or of floats where they are stored so: these become doubles where they meet, and
+    take half the bytes until then. Rows without a vector or a key take no part."""
+    of = lambda df: F.col("vector") if dict(df.dtypes)["vector"] == "array<float>" else doubles(F.col("vector"))
+    q = queries.select(F.col("query_id").cast("long"), of(queries).alias("vector"), *keys).dropna()
+    return q, chunks.select(F.col("pos").cast("long"), of(chunks).alias("vector"), *keys).dropna()
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = DIGITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

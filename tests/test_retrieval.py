@@ -190,3 +190,23 @@ def test_queries_of_many_blocks_are_cut_and_sent_once_a_group():
     assert sum(p.num_rows for p in parts) == 10_000 and max(p.num_rows for p in parts) * 4_000 <= blocks.CELLS
     group = blocks._groups(np.full(4_000, 256), 64)
     assert len(np.unique(group)) == 17 and (np.diff(group) >= 0).all() and np.bincount(group).max() * 256 * 64 * 8 <= 1.01 * blocks.BLOCK_BYTES
+
+
+def test_floats_stay_floats_until_they_meet(spark):
+    """Half the bytes of a shuffle, the same rows: sent to all, in blocks, and as doubles."""
+    r = np.random.default_rng(13)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(40)]
+    few = spark.createDataFrame(rows, "pos long, vector array<float>")
+    asked = few.withColumnRenamed("pos", "query_id")
+    assert [dict(x.dtypes)["vector"] for x in vectors._columns(asked, few)] == ["array<float>"] * 2  # doubles before
+    wide = few.withColumn("vector", vectors.doubles(few.vector))
+    got = [sorted(map(tuple, vectors.top_k(asked, c, 3, broadcast_bytes=b).select("query_id", "rank", "pos", "score").collect())) for c in (few, wide) for b in (0, 10**6)]
+    assert len(got[0]) == 120 and all(g == got[0] for g in got)
+
+
+def test_rounding_in_place_is_as_before():
+    x = np.r_[0.0, -0.0, 0.5, -0.5, 2.5e-6, -4e-7, np.inf, -np.inf, np.nan, np.random.default_rng(14).normal(size=2000)]
+    with np.errstate(invalid="ignore"):
+        want = np.sign(x) * np.floor(np.abs(x) * 10.0**6 + 0.5) / 10.0**6 + 0.0
+    y = vectors.rounded(x.copy(), 6)
+    assert np.array_equal(y, want, equal_nan=True) and not np.signbit(y[y == 0]).any()
