@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The 29 characters that count as white space.
 WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+#: White space but the space: a single space, which most runs are, is left where it is when runs are replaced.
+_NOT_SPACE = WS.replace(r"\x1c-\x20", r"\x1c-\x1f")
 #: Where a text has line boundaries other than the line feed too.
 LINE_ENDS = r"[\n\x0b\x0c\x1c-\x1e\x85  ]"
 #: The 32 ASCII punctuation marks.
@@ -30,7 +32,7 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs become one space, ends are trimmed."""
-    return F.btrim(F.regexp_replace(c, f"{WS}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(c, f" {WS}+|{_NOT_SPACE}{WS}*", " "), F.lit(" "))
 
 
 def tokens(c: Column) -> Column:

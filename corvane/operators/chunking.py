@@ -78,6 +78,23 @@ def content_type(block: Column) -> Column:
     return F.when(several & let(F.filter(F.split(block, LINE_ENDS), lambda x: strip(x) != ""), table), "table").otherwise("text")
 
 
+def _marked(text: Column) -> Column:
+    """A text's lines, stripped; a blank one is a mark, and a heading follows its mark."""
+
+    def mark(line: Column) -> Column:
+        marks = lambda bare: F.when(bare == "", F.lit(_BLANK)).otherwise(F.coalesce(F.concat(F.lit(_HEAD), heading(bare)), bare))
+        return let(F.btrim(line, F.lit(_BLANKS[1:])), marks)
+
+    # Looking for the marks costs little, translating looks at each character.
+    unmarked = lambda t: F.when(F.contains(t, F.lit(_HEAD)) | F.contains(t, F.lit(_BLANK)), F.translate(t, _HEAD + _BLANK, "")).otherwise(t)
+    clean = let(newlines(text), unmarked)
+    return F.array_join(F.transform(F.split(clean, "\n"), mark), "\n")
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.filter(F.transform(F.split(section, _BLANK), lambda b: F.btrim(b, F.lit("\n"))), lambda b: b != "")
+
+
 def blocks(text: Column) -> Column:
     """array of struct(heading, content_type, text): paragraphs, each under the heading last seen.
 
@@ -85,21 +102,43 @@ def blocks(text: Column) -> Column:
     the text is split at headings and each section at blank lines: no running state is needed.
     """
 
-    def mark(line: Column) -> Column:
-        marks = lambda bare: F.when(bare == "", F.lit(_BLANK)).otherwise(F.coalesce(F.concat(F.lit(_HEAD), heading(bare)), bare))
-        return let(strip(line), marks)
-
-    clean = F.translate(newlines(text), _HEAD + _BLANK, "")
-    sections = F.split(F.array_join(F.transform(F.split(clean, "\n"), mark), "\n"), _HEAD)
+    sections = F.split(_marked(text), _HEAD)
 
     def section(s: Column, i: Column) -> Column:
         head = F.when(i == 0, F.lit(FIRST_HEADING)).otherwise(F.regexp_extract(s, r"(?d)^[^\n]*", 0))
-        own = F.filter(F.transform(F.split(s, _BLANK), lambda b: F.btrim(b, F.lit("\n"))), lambda b: b != "")
-        return F.transform(own, lambda b: F.struct(head.alias("heading"), content_type(b).alias("content_type"), b.alias("text")))
+        return F.transform(_paragraphs(s), lambda b: F.struct(head.alias("heading"), content_type(b).alias("content_type"), b.alias("text")))
 
     return F.flatten(F.transform(sections, section))
 
 
+def piece(text: Column) -> Column:
+    """A run of a document's lines as struct(open, ended, headings, tables, sizes, words).
+
+    Of each of its blocks: the heading, null for the one that was last seen before the piece; how many table lines and how
+    many tokens it has. words: all tokens, with a space between them. open: the first block goes on with the one before the
+    piece, unless that has ended; ended: the piece's last line is blank.
+    """
+    lines = lambda b: F.when(b.rlike(WS + "{2}"), F.size(F.filter(F.split(b, LINE_ENDS), is_table_line))).otherwise(0)
+
+    def section(s: Column, i: Column) -> Column:
+        head = F.when(i > 0, F.regexp_extract(s, r"(?d)^[^\n]*", 0))
+        return F.transform(_paragraphs(s), lambda b: F.struct(head.alias("heading"), lines(b).alias("tables"), collapse(b).alias("words")))
+
+    def parted(m: Column) -> Column:
+        found = F.filter(F.flatten(F.transform(F.split(m, _HEAD), section)), lambda b: b["words"] != "")
+        spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+
+        def fields(bs: Column) -> Column:
+            return F.struct(
+                (~m.startswith(_HEAD) & ~m.startswith(_BLANK)).alias("open"), m.endswith(_BLANK).alias("ended"), F.transform(bs, lambda b: b["heading"]).alias("headings"),
+                F.transform(bs, lambda b: b["tables"]).alias("tables"), F.transform(bs, lambda b: spaces(b["words"]) + 1).alias("sizes"), F.array_join(F.transform(bs, lambda b: b["words"]), " ").alias("words"),
+            )
+
+        return let(found, fields)
+
+    return let(_marked(text), parted)
+
+
 _OUT = "array<struct<s:int,e:int,b:int,t:boolean>>"
 
 

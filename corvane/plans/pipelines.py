@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions.text import strip
-from ..operators import answering, chunking, evaluation, retrieval
+from ..operators import answering, chunking, evaluation, long_documents, retrieval
 from ..sources import npy, readers, sinks
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from .config import RUN_MODES
 
 
@@ -59,7 +59,17 @@ def settings_hash(config: dict) -> str:
 
 def chunk_table(docs: DataFrame, config: dict) -> DataFrame:
     """Chunks in corpus order: pos is made of the document's place and the chunk's."""
-    rows = chunking.chunk_documents(docs, config["chunk_size"], config["chunk_overlap"], required="source_path")
+    return _positioned(chunking.chunk_documents(docs, config["chunk_size"], config["chunk_overlap"], required="source_path"))
+
+
+def piece_table(pieces: DataFrame, docs: DataFrame, config: dict) -> DataFrame:
+    """chunk_table() of documents whose texts are stored in pieces. docs: long_documents.documents() with doc_pos."""
+    marked = stored(long_documents.marked(readers.spread(pieces), docs), "marked")
+    rows = long_documents.chunk_pieces(marked, config["chunk_size"], config["chunk_overlap"])
+    return _positioned(rows.join(docs.select("source_path", "year", "month", "doc_pos"), "source_path"))
+
+
+def _positioned(rows: DataFrame) -> DataFrame:
     meta = F.struct("year", "month", "source_path", chunking.chunk_id(F.col("year"), F.col("month"), F.col("chunk_no")).alias("chunk_id"), "heading", "content_type")
     return rows.select("text", meta.alias("metadata"), (F.col("doc_pos") * 10_000_000 + F.col("chunk_no")).alias("pos"))
 

@@ -27,14 +27,14 @@ g AS (SELECT year, month, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) A
 src AS (SELECT (row_number() OVER (ORDER BY year, month) - 1)::BIGINT AS doc_id, year, month, text FROM g)"""
 
 
-def _write_documents(spark, sf, root: str, arrival: tuple[int, bool] | None = None) -> str:
-    """Text files, one for each of sixty months, in folders that are named after them; or those of half a year only."""
+def _write_documents(spark, sf, root: str, years: list[int] | None = None, folder: str = "docs") -> str:
+    """Text files, one for each of sixty months or of the years' months, in folders that are named after them."""
     year, month = F.lit(2000) + F.col("doc_id") % 5, F.col("doc_id") % 12 + 1
     rows = t(spark, sf, "documents").select("doc_id", "text", F.format_string("%d_%02d", year, month).alias("name"))
-    if arrival:
-        rows = rows.filter((year == arrival[0]) & ((month > 6) == arrival[1]))
-    rows.repartition("name").sortWithinPartitions("name", "doc_id").select("text", "name").write.mode("append").partitionBy("name").text(f"{root}/docs")
-    return f"{root}/docs"
+    if years:
+        rows = rows.filter(year.isin(years))
+    rows.repartition("name").sortWithinPartitions("name", "doc_id").select("text", "name").write.mode("append").partitionBy("name").text(f"{root}/{folder}")
+    return f"{root}/{folder}"
 
 
 @query(f"WITH {_FILES} SELECT doc_id AS doc_pos, year, month, md5(text) AS digest FROM src WHERE TRUE")
@@ -117,9 +117,11 @@ def streamed_index(spark, sf):
     """Documents that arrive by half years, streamed into an index: the rows and the manifest of a batch run's."""
     root = scratch(spark, "streamed")
     c = _config(root)
+    ready = _write_documents(spark, sf, root, DOCUMENT_YEARS, "ready")  # the table is read once, not for each half year
     for year in DOCUMENT_YEARS:
         for late in (False, True):
-            _write_documents(spark, sf, root, (year, late))
+            for month in range(7, 13) if late else range(1, 7):
+                sinks.move(spark, f"{ready}/name={year}_{month:02d}", c["data_dir"])
             ingest.run(spark, c, f"{root}/checkpoint").awaitTermination()
     said, m = pipelines.read_manifest(spark, c["index_dir"]), F.col("metadata")
     index = pipelines.check_index(spark, c["index_dir"])

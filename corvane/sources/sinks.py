@@ -75,6 +75,17 @@ def remove(spark, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move(spark, path: str, folder: str) -> None:
+    """What lies at path into a folder, which is made if there is none; nothing if path isn't there."""
+    at, to = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, folder))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return
+    fs.mkdirs(to)
+    if not fs.rename(at, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to, at.getName())):
+        raise OSError(f"{path} can't be moved to {folder}")
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -526,3 +526,44 @@ def test_the_index_is_searched_once_for_all_slices(spark, monkeypatch):
     monkeypatch.setattr(runs, "search", lambda *a: calls.append(1) or search(*a))
     answers = runs.run_qa(spark, round_trips._config(root, generation={"backend": "extractive", "slice_questions": 7}))
     assert answers.count() > 7 and len(calls) == 1
+
+
+def test_a_streamed_file_is_chunked_in_pieces(spark, project, monkeypatch):
+    """Files cut in splits of some bytes: the same chunks as of the whole texts, whatever lies at the cuts."""
+    import random
+
+    from corvane.operators import long_documents
+
+    tmp, raw = project
+    r, data = random.Random(5), tmp / "odd"
+    kinds = ["# Head {0}", "TOTAL RECEIPTS", "", " \t", "words of line {0} and more", "a  1  2  {0}", "b  4  5  6", "end\r", "x\r\r", "one\rtwo", "\x0bq  1  2  3\x0cr  1  2  3", "café   {0}", "\uffffmark\ufffe", "Table {0}"]
+    data.mkdir()
+    for month in range(1, 7):
+        text = "\n".join(r.choice(kinds).format(i) for i in range(r.choice([1, 40, 90]))) + r.choice(["", "\n", "\r\n"]) + ("\nlast" if month % 2 else " last\n\n")
+        (data / f"2022_0{month}.txt").write_bytes((b"\xef\xbb\xbf" if month % 2 else b"") + text.encode() + (b"\xe2\x82 bad" if month == 2 else b""))
+    (data / "2022_07.txt").write_bytes(b" \r\n\n")
+    more = raw | {"data_dir": str(data), "document_years": [2022], "chunk_size": 9, "chunk_overlap": 2}
+    c, whole = (settings.run(more | {"index_dir": str(tmp / name)}, "engineered") for name in ("in-pieces", "whole"))
+    seen, chunk = [], long_documents.chunk_pieces
+    monkeypatch.setattr(long_documents, "chunk_pieces", lambda marked, *a: seen.append(marked.count()) or chunk(marked, *a))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        ingest.run(spark, c, str(tmp / "odd-checkpoint")).awaitTermination()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    (data / "2022_07.txt").unlink()
+    pipelines.build_index(spark, whole)
+    rows = [sorted(tuple(x) for x in pipelines.check_index(spark, x["index_dir"]).select("pos", "text", "metadata", "vector").collect()) for x in (c, whole)]
+    assert rows[0] == rows[1] and len(rows[0]) > 50 and seen[0] > 12
+    # Digests don't depend on the cuts: the same documents as whole texts change nothing.
+    was = sorted(ingest.register(spark, c["index_dir"]).select("source_path", "batch").collect())
+    # But for bytes that aren't UTF-8, which whole texts lose when they are split, and byte-order marks.
+    docs = spark.read.text(str(data), wholetext=True).filter(~F.col("value").startswith("\ufeff") & ~F.col("value").endswith("bad"))
+    known = ingest.register(spark, c["index_dir"]).select("source_path", "year", "month")
+    again = docs.select(readers.decode_path(F.col("_metadata.file_path")).alias("source_path"), F.col("value").alias("text")).join(known, "source_path")
+    assert again.count() == 2
+    ingest.merge_batch(again, 7, c, pipelines.embedder(c))
+    assert sorted(ingest.register(spark, c["index_dir"]).select("source_path", "batch").collect()) == was
