@@ -17,12 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, let
+from ..sources.scratch import stored_at
 from . import chunking
 
-#: Bytes that a piece has about; a longer line is a piece of its own.
-PIECE_BYTES = 1 << 20
+#: Bytes that a piece has about, too few to take whole regions of a small heap; a longer line is a piece of its own.
+PIECE_BYTES = 1 << 17
+#: Bytes of pieces that go out of Python at a time.
+OUT_BYTES = 1 << 20
+#: Bytes of a row group of stored pieces, about.
+GROUP_BYTES = 16 << 20
 #: Rows and pieces that go out of Python at a time.
 OUT_ROWS = 512
+#: Rows of pieces' facts that are Python's at a time: a row has some values for each block of a piece.
+FACT_ROWS = 16
 #: A digest is a polynomial of its lines' hashes at BASE modulo a prime: it doesn't depend on where pieces are cut.
 PRIME, BASE = (1 << 127) - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835
 BOM = "\ufeff"
@@ -68,7 +75,7 @@ def _joined(batches):
                 if last is not None and (key != here or last["bytes"] >= PIECE_BYTES):
                     out.append(last)
                     waiting, at, last = waiting + last["bytes"], at + 1, None
-                    if waiting >= PIECE_BYTES or len(out) >= OUT_ROWS:
+                    if waiting >= OUT_BYTES or len(out) >= OUT_ROWS:
                         yield batch(kinds)
                         out, waiting = [], 0
                 if last is None:
@@ -98,6 +105,16 @@ def pieces(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"_one": F.xxhash64("line"), "_two": F.xxhash64(F.lit("2"), "line"), "_some": some}).mapInArrow(_joined, out)
 
 
+def store_pieces(rows: DataFrame, path: str) -> DataFrame:
+    """rows that hold a piece's text each, stored at path in row groups of GROUP_BYTES and in pages of a few rows.
+
+    Parquet looks at sizes after a hundred rows first, which here are many megabytes: a page, which its codecs hold twice
+    outside the heap, and a row group, which readers may hold as a whole.
+    """
+    checks = {f"parquet.{of}.size.row.check.{k}": n for of in ("block", "page") for k, n in (("min", 2), ("max", 8))}
+    return stored_at(rows, path, **checks, **{"parquet.block.size": GROUP_BYTES})
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """A document's rows one after another in one partition."""
     return rows.repartition("source_path").sortWithinPartitions(*KEYS)
@@ -105,7 +122,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 def _documents_of(batches):
     """One document after another: its rows, in order."""
-    rows = (r for b in batches for r in b.to_pylist())
+    rows = (r for b in batches for lo in range(0, b.num_rows, FACT_ROWS) for r in b.slice(lo, FACT_ROWS).to_pylist())
     return groupby(rows, lambda r: r["source_path"])
 
 

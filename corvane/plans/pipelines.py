@@ -13,7 +13,7 @@ from .. import providers
 from ..functions.text import strip
 from ..operators import answering, chunking, evaluation, long_documents, retrieval
 from ..sources import npy, readers, sinks
-from ..sources.scratch import scratch, stored
+from ..sources.scratch import scratch
 from .config import RUN_MODES
 
 
@@ -62,9 +62,10 @@ def chunk_table(docs: DataFrame, config: dict) -> DataFrame:
     return _positioned(chunking.chunk_documents(docs, config["chunk_size"], config["chunk_overlap"], required="source_path"))
 
 
-def piece_table(pieces: DataFrame, docs: DataFrame, config: dict) -> DataFrame:
-    """chunk_table() of documents whose texts are stored in pieces. docs: long_documents.documents() with doc_pos."""
-    marked = stored(long_documents.marked(readers.spread(pieces), docs), "marked")
+def piece_table(pieces: DataFrame, docs: DataFrame, config: dict, path: str) -> DataFrame:
+    """chunk_table() of documents whose texts are stored in pieces. docs: long_documents.documents() with doc_pos. The pieces are
+    read before this returns, and stored at path as they are taken apart, where the chunks come from."""
+    marked = long_documents.store_pieces(long_documents.marked(readers.spread(pieces), docs), path)
     rows = long_documents.chunk_pieces(marked, config["chunk_size"], config["chunk_overlap"])
     return _positioned(rows.join(docs.select("source_path", "year", "month", "doc_pos"), "source_path"))
 
@@ -92,13 +93,19 @@ def manifest_row(counted: DataFrame, config: dict, provider) -> DataFrame:
 
 
 def build_index(spark: SparkSession, config: dict, provider=None) -> DataFrame:
-    """Documents to chunks to vectors, written under index_dir; returns the manifest's row."""
+    """Documents to chunks to vectors, written under index_dir; returns the manifest's row.
+
+    Files are read by their splits and chunked in pieces, as streams do it: no task holds one, however long it is.
+    """
     provider = provider or embedder(config)
-    docs = readers.documents(spark, config["data_dir"], config["document_years"])
-    index = providers.embed(chunk_table(docs, config), provider, normalize=config["embedding"]["normalize"])
+    apart, marked = scratch(spark, "pieces"), scratch(spark, "marked")
+    pieces, docs = readers.document_pieces(spark, config["data_dir"], config["document_years"], apart)
+    index = providers.embed(piece_table(pieces, docs, config, marked), provider, normalize=config["embedding"]["normalize"])
+    sinks.remove(spark, apart)
     root = config["index_dir"]
     sinks.remove(spark, f"{root}/documents")  # of a streamed index that this one replaces
     sinks.write_index(index, f"{root}/index")
+    sinks.remove(spark, marked)
     return finish_index(spark, config, provider)
 
 

@@ -38,6 +38,10 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to a scratch folder and read again: what is built on it starts there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    return stored_at(df, scratch(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str, **options) -> DataFrame:
+    """df written to path, with the writer's options, and read again."""
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

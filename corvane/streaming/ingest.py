@@ -6,9 +6,6 @@ A batch is merged whole: its rows replace what an earlier try of it has left, so
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +13,17 @@ from .. import providers
 from ..operators import long_documents
 from ..plans import pipelines
 from ..sources import readers, sinks
-from ..sources.scratch import stored
+from ..sources.scratch import scratch, stored
 
 REGISTER = "source_path string, doc_pos long, year int, month int, digest string, chunks long, dim int"
 
 
 def line_stream(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
     """source_path (still a URI), file_bytes, block, line of *.txt files that arrive below root: a file is read by as many
-    tasks as it has splits. Files whose path has none of the years in it aren't read; dated_pieces() looks closer."""
+    tasks as it has splits. Files whose path has none of the years in it aren't read; readers.dated_pieces() looks closer."""
     files = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
     meta = F.col("_metadata")
-    if years is not None:
-        files = files.filter(reduce(or_, [F.contains(meta["file_path"], F.lit(str(int(y)))) for y in years], F.lit(False)))
-    return files.select(meta["file_path"].alias("source_path"), meta["file_size"].alias("file_bytes"), meta["file_block_start"].alias("block"), F.col("value").alias("line"))
-
-
-def dated_pieces(lines: DataFrame, root: str, years: list[int] | None = None) -> DataFrame:
-    """The pieces of line_stream()'s lines, dated by the path below root as readers.documents() does; undated files and those of
-    other years are left out. Paths are looked at once for each piece, not for each line."""
-    parts = long_documents.pieces(lines)
-    ym = readers.path_year_month(root, F.col("source_path"))
-    dated = parts.withColumns({"year": ym["year"], "month": ym["month"], "source_path": readers.decode_path(F.col("source_path"))})
-    return dated.filter(F.col("year").isNotNull() if years is None else F.col("year").isin([int(y) for y in years]))
+    return readers.of_years(files, years).select(meta["file_path"].alias("source_path"), meta["file_size"].alias("file_bytes"), meta["file_block_start"].alias("block"), F.col("value").alias("line"))
 
 
 def register(spark: SparkSession, index_dir: str, before: int | None = None) -> DataFrame:
@@ -66,7 +52,7 @@ def merge_pieces(pieces: DataFrame, batch: int, config: dict, provider, blank: b
     if sinks.exists(spark, f"{root}/index") and "batch" not in spark.read.parquet(f"{root}/index").columns:
         raise readers.DataError(f"the index in {root} was built as a whole: streams need one of their own")
     known = stored(register(spark, root, batch), "register")
-    parts = stored(pieces, "pieces")
+    parts = long_documents.store_pieces(pieces, scratch(spark, "pieces"))
     arrived = long_documents.documents(parts)
     arrived = arrived if blank else arrived.filter("filled")
     old = known.select("source_path", F.col("doc_pos").alias("_place"), F.col("digest").alias("_digest"), F.col("batch").alias("_batch"))
@@ -76,7 +62,7 @@ def merge_pieces(pieces: DataFrame, batch: int, config: dict, provider, blank: b
     start = known.agg(F.coalesce(F.max("doc_pos") + 1, F.lit(0))).first()[0]
     numbers = readers.sorted_numbers(fresh, "source_path", "_new") if not fresh.isEmpty() else spark.createDataFrame([], "source_path string, _new long")
     placed = changed.join(numbers, "source_path", "left").withColumn("doc_pos", F.coalesce("_place", F.col("_new") + start))
-    chunked = providers.embed(pipelines.piece_table(parts, placed, config), provider, normalize=config["embedding"]["normalize"])
+    chunked = providers.embed(pipelines.piece_table(parts, placed, config, scratch(spark, "marked")), provider, normalize=config["embedding"]["normalize"])
     new = stored(chunked.withColumn("batch", F.lit(batch).cast("long")), "ingested")
     # Partitions that hold chunks of changed documents, without those chunks.
     again = changed.filter("_place IS NOT NULL").select("source_path", "_batch")
@@ -118,5 +104,5 @@ def run(spark: SparkSession, config: dict, checkpoint: str, provider=None):
     """
     provider = provider or pipelines.embedder(config)
     root, years = config["data_dir"], config["document_years"]
-    merge = lambda lines, batch: merge_pieces(dated_pieces(lines, root, years), batch, config, provider, blank=False)
+    merge = lambda lines, batch: merge_pieces(readers.dated_pieces(lines, root, years), batch, config, provider, blank=False)
     return line_stream(spark, root, years).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -567,3 +567,39 @@ def test_a_streamed_file_is_chunked_in_pieces(spark, project, monkeypatch):
     assert again.count() == 2
     ingest.merge_batch(again, 7, c, pipelines.embedder(c))
     assert sorted(ingest.register(spark, c["index_dir"]).select("source_path", "batch").collect()) == was
+
+
+def test_index_runs_chunk_files_in_pieces(spark, project, monkeypatch):
+    """An index run reads a file by its splits, and its chunks are those of whole texts, also of files that have no line."""
+    tmp, raw = project
+    data = tmp / "long"
+    data.mkdir()
+    lines = ["# Head {0}", "TOTAL RECEIPTS", "", "words of line {0} and more", "a  1  2  {0}", "b  4  5  6", "end\r"]
+    for month in (1, 2):
+        (data / f"2022_0{month}.txt").write_bytes("\n".join(lines[(i * month) % 7].format(i) for i in range(80)).encode())
+    (data / "2022_03.txt").write_bytes(b"\xef\xbb\xbf")
+    (data / "2022_04.txt").write_bytes(b"x\n")
+    c = settings.run(raw | {"data_dir": str(data), "document_years": [2022], "chunk_size": 9, "chunk_overlap": 2, "index_dir": str(tmp / "long-index")}, "baseline")
+    held, join = [], pipelines.piece_table
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def back(pieces, docs, config, path):
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        held.append(pieces.groupBy("source_path").count().agg(F.max("count")).first()[0])
+        return join(pieces, docs, config, path)
+
+    monkeypatch.setattr(pipelines, "piece_table", back)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pipelines.build_index(spark, c)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    whole = pipelines.chunk_table(readers.documents(spark, str(data), [2022]), c)
+    rows = [sorted(tuple(x) for x in df.select("pos", "text", "metadata").collect()) for df in (pipelines.check_index(spark, c["index_dir"]), whole)]
+    assert rows[0] == rows[1] and len(rows[0]) > 30 and held[0] > 5
+    (data / "2022_05.txt").write_bytes(b" \n\n")
+    with pytest.raises(Exception, match="blank text file.*2022_05"):
+        pipelines.build_index(spark, c)
