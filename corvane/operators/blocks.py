@@ -6,14 +6,19 @@ Then it visits the other blocks whose bound reaches the floor, and no more: noth
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from ..sources.scratch import stored
-from .vectors import BLOCK_BYTES, CELLS, DIGITS, HITS, _matrix, best, doubles, rank_hits
+from .vectors import BLOCK_BYTES, CELLS, DIGITS, HITS, _matrix, _raw, as_stored, best, rank_hits
 
+#: Share of a group's blocks that queries want from which they meet all of its rows at once.
+MOST_WANTED = 0.25
 #: Rows that centres are fitted on, centres at most (both are on the driver), rounds of fitting, rows of a block about.
 SAMPLE, MOST_CENTRES, ROUNDS, BLOCK_ROWS = 16_384, 1024, 6, 1024
 
@@ -41,14 +46,15 @@ def nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def write_blocks(chunks: DataFrame, path: str, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> None:
-    """chunks (pos, vector; all of one length, finite) as path/rows, in a folder for each centre, and path/bounds.
+    """chunks (pos, vector; all of one length, finite) as path/rows, in a folder for each group of blocks, and path/bounds.
 
     Centres are fitted on at most `sample` rows, those whose positions hash lowest; every row goes to its nearest. A
-    centre with many rows has several blocks. bounds: block, centre, radius, n: one row a block. Rows without a vector
+    centre with many rows has several blocks. bounds: block, centre, radius, n, group: one row a block. Rows without a vector
     are left out; an empty table gives an empty index.
     """
     spark = chunks.sparkSession
-    c = chunks.select(F.col("pos").cast("long"), doubles(F.col("vector")).alias("vector")).dropna()
+    c = chunks.select(F.col("pos").cast("long"), as_stored(chunks).alias("vector")).dropna()
+    kind = dict(c.dtypes)["vector"]
     few = c.orderBy(F.xxhash64("pos"), "pos").limit(sample).toArrow()
     n = c.count()
     at = centres(_matrix(few.column("vector")), min(MOST_CENTRES, len(few), max(1, -(-n // block_rows)))) if n else np.zeros((1, 1))
@@ -62,13 +68,17 @@ def write_blocks(chunks: DataFrame, path: str, sample: int = SAMPLE, block_rows:
                 apart = np.sqrt(((v - shared.value[own]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([b.column("pos"), b.column("vector"), pa.array(own.astype(np.int32)), pa.array(apart)], ["pos", "vector", "centre", "apart"])
 
-    placed = stored(c.mapInArrow(place, "pos long, vector array<double>, centre int, apart double"), "placed")
+    placed = stored(c.mapInArrow(place, f"pos long, vector {kind}, centre int, apart double"), "placed")
     sizes = placed.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("parts"))
     rows = placed.join(F.broadcast(sizes), "centre").withColumn("block", F.col("centre").cast("long") * 2**31 + F.pmod(F.xxhash64("pos"), F.col("parts"))).drop("parts")
     bounds = rows.groupBy("block", "centre").agg(F.max("apart").alias("radius"), F.count(F.lit(1)).alias("n"))
     known = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(at)], "centre int, at array<double>")
-    bounds.join(F.broadcast(known), "centre").select("block", F.col("at").alias("centre"), "radius", "n").write.mode("overwrite").parquet(f"{path}/bounds")
-    rows.select("pos", "vector", "block", "centre").repartition("centre", "block").write.mode("overwrite").partitionBy("centre").parquet(f"{path}/rows")
+    sized = bounds.orderBy("block").toArrow()
+    group = _groups(sized.column("n").to_numpy(), max(1, at.shape[1] // (2 if kind == "array<float>" else 1)))
+    of = F.broadcast(spark.createDataFrame(pa.table([sized.column("block"), pa.array(group)], ["block", "group"]), "block long, group long"))
+    told = spark.createDataFrame(sized, "block long, centre int, radius double, n long")
+    told.join(of, "block").join(F.broadcast(known), "centre").select("block", F.col("at").alias("centre"), "radius", "n", "group").write.mode("overwrite").parquet(f"{path}/bounds")
+    rows.join(of, "block").select("pos", "vector", "block", "group").write.mode("overwrite").partitionBy("group").parquet(f"{path}/rows")
 
 
 def _bounds(v: np.ndarray, c: np.ndarray, radius: np.ndarray, digits: int) -> np.ndarray:
@@ -90,10 +100,18 @@ def _wanted(v: np.ndarray, floor: np.ndarray | None, held, k: int, digits: int)
     most = _bounds(v, c, radius, digits)
     if floor is not None:
         return most >= floor[:, None]
-    order = np.argsort(-most, axis=1, kind="stable")
-    before = np.cumsum(n[order], axis=1) - n[order]
     first = np.zeros(most.shape, bool)
-    np.put_along_axis(first, order, before < k, 1)
+    if not most.size or k < 1:
+        return first
+    top = most.argmax(1)
+    first[np.arange(len(most)), top] = True
+    # The highest block alone holds k rows nearly always.
+    short = np.flatnonzero(n[top] < k)
+    order = np.argsort(-most[short], axis=1, kind="stable")
+    before = np.cumsum(n[order], axis=1) - n[order]
+    more = np.zeros((len(short), most.shape[1]), bool)
+    np.put_along_axis(more, order, before < k, 1)
+    first[short] = more
     return first
 
 
@@ -119,82 +137,73 @@ def _visits(queries: DataFrame, shared, k: int, digits: int) -> DataFrame:
     return queries.mapInArrow(run, "query_id long, block long")
 
 
-def _hits_in_blocks(queries: DataFrame, rows: DataFrame, shared, groups: int, k: int, digits: int) -> DataFrame:
-    """query_id, pos, score: the k best of each query in each group of blocks, of the blocks that it visits.
+def _hits_of_group(queries: DataFrame, group: DataFrame, shared, k: int, digits: int) -> DataFrame:
+    """query_id, pos, score, stored: the k best of each query in a group of blocks, of the blocks that it visits at least.
 
-    A query is sent once to a group that holds any of its blocks, not once to each block; in the task it meets only the
-    blocks that it visits. Queries of a group are cut by bytes as in vectors.top_k(), a group's rows are sent to each cut.
+    The group, of BLOCK_BYTES about, is sent to all tasks; queries are read where they are, so no vector is shuffled. Where
+    queries want many of the blocks they meet all of the group's rows in one product, else each block the queries that want it.
     """
-    floored = "floor" in queries.columns
+    floored, spark = "floor" in queries.columns, queries.sparkSession
+    got = group.select("pos", "vector", "block").toArrow()
+    order = np.argsort(got.column("block").to_numpy(), kind="stable")
+    name = got.column("block").to_numpy()[order]
+    cuts = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True]) if len(name) else np.zeros(1, np.int64)
+    sent = spark.sparkContext.broadcast((got.column("pos").to_numpy()[order], _raw(got.column("vector"))[order], name[cuts[:-1]], cuts))
+    del got
 
-    def send(batches):
-        held = shared.value
-        group = held[4]
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-        for q in _strips(batches, len(group)):
-            if len(group):
-                v = _matrix(q.column("vector"))
-                wanted = _wanted(v, q.column("floor").to_numpy() if floored else None, held, k, digits)
-                r, g = np.nonzero(np.logical_or.reduceat(wanted, starts, axis=1))
-                own = [q.column(c).take(pa.array(r)) for c in q.schema.names]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(group[starts][g])], [*q.schema.names, "group"])
-
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        ids, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if x.num_rows and y.num_rows:
-            held = shared.value
-            name, v, pos = y.column("block").to_numpy(), _matrix(y.column("vector")), y.column("pos").to_numpy()
-            order = np.argsort(name, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1], True])
-            of = np.searchsorted(held[0], name[order][cuts[:-1]])
-            only = (held[0][of], held[1][of], held[2][of], held[3][of], None)
-            for q in _strips(x.combine_chunks().to_batches(), max(len(held[0]) if not floored else len(of), len(of) * k)):
-                m, asked = _matrix(q.column("vector")), q.column("query_id").to_numpy()
-                wanted = _wanted(m, q.column("floor").to_numpy(), only, k, digits) if floored else _wanted(m, None, held, k, digits)[:, of]
-                found = []
-                for b in range(len(of)):
-                    who, here = np.flatnonzero(wanted[:, b]), order[cuts[b] : cuts[b + 1]]
-                    r, c, s = best(m[who], pos[here], v[here], k, digits)
+    def run(batches):
+        held, (pos, v, names, cuts) = shared.value, sent.value
+        of = np.searchsorted(held[0], names)
+        only = (held[0][of], held[1][of], held[2][of], held[3][of], None)
+        for q in _strips(batches, max(len(held[0]) if not floored else len(of), len(of) * k)):
+            raw, asked = _raw(q.column("vector")), q.column("query_id").to_numpy()
+            m = raw.astype(float, copy=False)
+            floor = q.column("floor").to_numpy() if floored else None
+            wanted = _wanted(m, floor, only, k, digits) if floored else _wanted(m, None, held, k, digits)[:, of]
+            some = np.flatnonzero(wanted.any(1))
+            if wanted[some].mean(dtype=float) >= MOST_WANTED if len(some) else False:
+                r, c, s = best(raw[some], pos, v, k, digits, None if floor is None else floor[some])
+                r, c = some[r], pos[c]
+            else:
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                for b in np.flatnonzero(wanted.any(0)):
+                    who, here = np.flatnonzero(wanted[:, b]), slice(cuts[b], cuts[b + 1])
+                    r, c, s = best(raw[who], pos[here], v[here], k, digits)
                     found.append((who[r], pos[here][c], s))
                 r, c, s = (np.concatenate([f[j] for f in found]) for j in range(3))
                 o = np.lexsort((c, -s, r))
                 r, c, s = r[o], c[o], s[o]
                 few = np.arange(len(r)) - np.searchsorted(r, r) < k
-                ids.append(asked[r[few]])
-                cols.append(c[few])
-                scores.append(s[few])
-        return pa.table([pa.array(np.concatenate(a)) for a in (ids, cols, scores)], ["query_id", "pos", "score"])
+                r, c, s = r[few], c[few], s[few]
+            yield pa.RecordBatch.from_arrays([pa.array(asked[r]), pa.array(c), pa.array(s)], ["query_id", "pos", "score"])
+
+    hits = stored(queries.mapInArrow(run, HITS), "group-hits")
+    sent.destroy()
+    return hits
 
-    fields = "query_id long, vector array<double>" + (", floor double" if floored else "")
-    # Few groups are met in more pieces, so that every core has some.
-    least = -(-2 * rows.sparkSession.sparkContext.defaultParallelism // max(1, groups))
-    sent = queries.mapInArrow(send, f"{fields}, group long")
-    pieces = sent.groupBy("group").agg(F.greatest(F.ceil(F.sum(F.size("vector") * 8) / F.lit(BLOCK_BYTES)), F.lit(least)).cast("int").alias("_n"))
-    left = sent.join(F.broadcast(pieces), "group").withColumn("piece", F.pmod(F.xxhash64("query_id"), F.greatest("_n", F.lit(1))).cast("int")).drop("_n")
-    right = rows.join(F.broadcast(pieces), "group").withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest("_n", F.lit(1)) - 1))).select("pos", "vector", "block", "group", "piece")
-    return left.groupBy("group", "piece").cogroup(right.groupBy("group", "piece")).applyInArrow(meet, HITS)
+
+def _hits_in_blocks(queries: DataFrame, rows: DataFrame, shared, k: int, digits: int) -> DataFrame:
+    """query_id, pos, score: the k best of each query in each group, one group after another: one is in memory at a time."""
+    spark = queries.sparkSession
+    hits = [_hits_of_group(queries, rows.filter(F.col("group") == int(g)), shared, k, digits) for g in np.unique(shared.value[4])]
+    return reduce(DataFrame.unionByName, hits) if hits else spark.createDataFrame([], HITS)
 
 
 def top_k_in_blocks(queries: DataFrame, path: str, k: int, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, pos, score as vectors.top_k() gives them; the visits: query_id, block), over what write_blocks() wrote.
 
-    The bounds are on the driver and in each task: some hundred bytes a block, a thousandth of the rows. Vectors of
-    queries and of groups of blocks meet in shuffled tasks that are cut by their bytes.
+    The bounds are on the driver and in each task: some hundred bytes a block, a thousandth of the rows. A group of blocks is
+    on the driver and in each task too, one at a time.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     spark = queries.sparkSession
-    b = spark.read.schema("block long, centre array<double>, radius double, n long").parquet(f"{path}/bounds").orderBy("block").toArrow()
-    at = _matrix(b.column("centre"))
-    block, radius, n = (b.column(c).to_numpy() for c in ("block", "radius", "n"))
-    group = _groups(n, at.shape[1])
-    groups = len(np.unique(group))
-    shared = spark.sparkContext.broadcast((block, at, radius, n, group))
-    of = spark.createDataFrame(pa.table([pa.array(block), pa.array(group)], ["block", "group"]), "block long, group long")
-    rows = spark.read.schema("pos long, vector array<double>, block long, centre int").parquet(f"{path}/rows").drop("centre").join(F.broadcast(of), "block")
-    q = queries.select(F.col("query_id").cast("long"), doubles(F.col("vector")).alias("vector")).dropna()
-    found = stored(_hits_in_blocks(q, rows, shared, groups, k, digits), "first-hits")
+    b = spark.read.schema("block long, centre array<double>, radius double, n long, group long").parquet(f"{path}/bounds").orderBy("block").toArrow()
+    shared = spark.sparkContext.broadcast((b.column("block").to_numpy(), _matrix(b.column("centre")), *(b.column(c).to_numpy() for c in ("radius", "n", "group"))))
+    rows = spark.read.parquet(f"{path}/rows") if b.num_rows else None
+    q = stored(spread(queries.select(F.col("query_id").cast("long"), as_stored(queries).alias("vector")).dropna()), "asked")
+    found = _hits_in_blocks(q, rows, shared, k, digits)
     floors = rank_hits(found, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     floored = stored(q.join(floors, "query_id", "left").select("query_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), "floors")
     # The blocks of the first visits reach the floor too.
-    return rank_hits(_hits_in_blocks(floored, rows, shared, groups, k, digits), k), _visits(q, shared, k, digits).unionByName(_visits(floored, shared, k, digits)).distinct()
+    return rank_hits(_hits_in_blocks(floored, rows, shared, k, digits), k), _visits(q, shared, k, digits).unionByName(_visits(floored, shared, k, digits)).distinct()

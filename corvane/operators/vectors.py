@@ -56,12 +56,67 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return y
 
 
-def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DIGITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Candidates that are looked at by their highest score first, and how many make that worth while.
+RUN, MANY = 64, 4096
+
+
+def _single(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Both in single precision, and what an inner product of them may be off by for a query of length one; None where single
+    precision doesn't reach."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = q.astype(np.float32, copy=False), v.astype(np.float32, copy=False)
+        longest = [np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64).max(initial=0.0)) for x in (a, b)]
+    if not longest[0] * longest[1] < 1e30 or not max(longest) < 1e30:
+        return None
+    return a, b, 1.01 * (q.shape[1] + 2) * 2.0**-24 * longest[1]
+
+
+def _likely(q: np.ndarray, v: np.ndarray, k: int, digits: int, floor: np.ndarray | None):
+    """(query's row, candidate's row) of all that may be among each query's k best, few more than those: by products in single
+    precision, as far as these may be off. The k-th highest of the runs' highest scores is a floor of the k-th best."""
+    a, b, off = _single(q, v)
+    n, step = len(v), max(1, 2 * CELLS // max(1, len(v)))
+    runs = -(-n // RUN)
+    b = np.concatenate([b, np.zeros((runs * RUN - n, b.shape[1]), np.float32)])
+    slack = 2 * off * np.sqrt(np.einsum("ij,ij->i", a, a, dtype=np.float64)) + 1.001 * 10.0**-digits
+    for lo in range(0, len(q), step):
+        s = a[lo : lo + step] @ b.T
+        s[:, n:] = -np.inf
+        high = s.reshape(len(s), runs, RUN).max(2)
+        least = np.partition(high, runs - k, axis=1)[:, runs - k].astype(float) if runs >= k else np.full(len(s), -np.inf)
+        if floor is not None:
+            least = np.maximum(least, floor[lo : lo + step])
+        least = (least - slack[lo : lo + step])[:, None]
+        r, at = np.nonzero(high >= least)
+        few, c = np.nonzero(s.reshape(len(s), runs, RUN)[r, at] >= least[r])
+        r, c = r[few], at[few] * RUN + c
+        yield r[c < n] + lo, c[c < n]
+
+
+def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DIGITS, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's row, candidate's row, score) of each query's k best candidates by rounded score, ties to the smaller pos.
 
-    Never more than k for a query, however many tie. Scores that aren't finite are left out.
+    Never more than k for a query, however many tie. Scores that aren't finite are left out, and those below a query's floor may
+    be. Of many candidates single precision finds those that may be the best; scores are sums of doubles either way.
     """
     rows, cols, scores = [], [], []
+    none = np.zeros(0, np.int64)
+
+    def keep(r: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
+        order = np.lexsort((pos[c], -s, r))
+        r, c, s = r[order], c[order], s[order]
+        few = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append(r[few])
+        cols.append(c[few])
+        scores.append(s[few])
+
+    if k and len(q) and len(v) >= MANY and _single(q, v) is not None:
+        for r, c in _likely(q, v, k, digits, floor):
+            step = max(1, CELLS // max(1, q.shape[1]))
+            parts = [np.einsum("ij,ij->i", q[r[lo : lo + step]], v[c[lo : lo + step]], dtype=np.float64) for lo in range(0, len(r), step)]
+            keep(r, c, rounded(np.concatenate([np.zeros(0), *parts]), digits))
+        return np.concatenate([none, *rows]), np.concatenate([none, *cols]), np.concatenate([np.zeros(0), *scores])
+    q, v = q.astype(float, copy=False), v.astype(float, copy=False)
     strip = max(1, CELLS // max(1, len(v)))
     for lo in range(0, len(q) if k and len(v) else 0, strip):
         s = q[lo : lo + strip] @ v.T
@@ -70,21 +125,24 @@ def best(q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int = DI
         s[~finite] = -np.inf
         least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
         r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-        order = np.lexsort((pos[c], -s[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c = r[place < k], c[place < k]
-        rows.append(r + lo)
-        cols.append(c)
-        scores.append(s[r, c])
-    none = np.zeros(0, np.int64)
+        keep(r + lo, c, s[r, c])
     return np.concatenate([none, *rows]), np.concatenate([none, *cols]), np.concatenate([np.zeros(0), *scores])
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def as_stored(df: DataFrame) -> Column:
+    """df's vectors as floats where they are stored so, else as doubles."""
+    return F.col("vector") if dict(df.dtypes)["vector"] == "array<float>" else doubles(F.col("vector"))
+
+
+def _raw(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as a matrix of the numbers that they are stored as."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _raw(column).astype(float, copy=False)
 
 
 def _hits(q_ids: np.ndarray, q: np.ndarray, pos: np.ndarray, v: np.ndarray, k: int, digits: int) -> list[pa.Array]:
@@ -123,9 +181,8 @@ def _blocked(q: DataFrame, c: DataFrame, keys: list[str], k: int, digits: int) -
 def _columns(queries: DataFrame, chunks: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Both sides with vectors of doubles, or of floats where they are stored so: these become doubles where they meet, and
     take half the bytes until then. Rows without a vector or a key take no part."""
-    of = lambda df: F.col("vector") if dict(df.dtypes)["vector"] == "array<float>" else doubles(F.col("vector"))
-    q = queries.select(F.col("query_id").cast("long"), of(queries).alias("vector"), *keys).dropna()
-    return q, chunks.select(F.col("pos").cast("long"), of(chunks).alias("vector"), *keys).dropna()
+    q = queries.select(F.col("query_id").cast("long"), as_stored(queries).alias("vector"), *keys).dropna()
+    return q, chunks.select(F.col("pos").cast("long"), as_stored(chunks).alias("vector"), *keys).dropna()
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = DIGITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

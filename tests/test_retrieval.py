@@ -210,3 +210,45 @@ def test_rounding_in_place_is_as_before():
         want = np.sign(x) * np.floor(np.abs(x) * 10.0**6 + 0.5) / 10.0**6 + 0.0
     y = vectors.rounded(x.copy(), 6)
     assert np.array_equal(y, want, equal_nan=True) and not np.signbit(y[y == 0]).any()
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "floats", "large", "broken"])
+def test_best_of_many_is_best_of_all(kind):
+    """Single precision only proposes: rows, ties and scores are those of doubles, also where it doesn't reach."""
+    r = np.random.default_rng(4)
+    v, q = r.normal(size=(vectors.MANY + 37, 9)), r.normal(size=(50, 9))
+    if kind == "ties":
+        v, q = np.round(v[:, :2]), np.round(q[:, :2])
+    if kind == "floats":
+        v, q = v.astype(np.float32), q.astype(np.float32)
+    if kind == "large":
+        v, q = v * 1e25, q * 1e25
+    if kind == "broken":
+        v[5], v[9, 3], q[7] = np.nan, np.inf, 1e-42
+    pos = r.permutation(len(v)).astype(np.int64)
+    with np.errstate(all="ignore"):
+        s = vectors.rounded(np.einsum("ij,kj->ik", q.astype(float), v.astype(float)), 6)
+    for k in (1, 5, 70):
+        rows, cols, scores = vectors.best(q, pos, v, k)
+        want = [(i, c) for i in range(len(q)) for c in [c for c in np.lexsort((pos, -s[i])) if np.isfinite(s[i, c])][:k]]
+        if kind in ("plain", "ties", "floats"):
+            assert list(zip(rows.tolist(), cols.tolist())) == want and np.array_equal(scores, s[rows, cols])
+            floor = np.array([s[i, c] for i, c in want[k - 1 :: k]])
+            assert all(np.array_equal(a, b) for a, b in zip((rows, cols, scores), vectors.best(q, pos, v, k, floor=floor)))
+        else:
+            assert len(rows) == len(want) and np.allclose(scores, [s[w] for w in want], rtol=1e-9)
+
+
+def test_groups_are_sent_and_queries_stay(spark, tmp_path, monkeypatch):
+    """Several groups, queries that want all blocks or few: no vector is shuffled where they meet, whatever the number of groups."""
+    r = np.random.default_rng(8)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 16 * 8 * 300)
+    v = np.concatenate([r.normal(size=(900, 16)), r.normal(size=(16,)) * 9 + r.normal(size=(300, 16)) * 0.01])
+    _in_blocks(spark, tmp_path, v.tolist(), [*v[:20].tolist(), *v[-20:].tolist()], 5, block_rows=40)
+    assert len(list((tmp_path / "blocks" / "rows").glob("group=*"))) >= 4
+    rows = spark.read.parquet(str(tmp_path / "blocks" / "rows"))
+    asked, plans, meet = rows.select(F.col("pos").alias("query_id"), "vector"), [], blocks.stored
+    monkeypatch.setattr(blocks, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or meet(df, name))
+    blocks.top_k_in_blocks(asked, str(tmp_path / "blocks"), 3)[0].count()
+    met = [p for name, p in plans if name == "group-hits"]
+    assert len(met) >= 8 and not any("Exchange" in p for p in met)
