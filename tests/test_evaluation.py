@@ -167,3 +167,16 @@ def test_pairs_by_numbers_come_once_and_unshuffled(spark):
     assert sorted(map(tuple, twice.collect())) == want and top(twice) == "Aggregate"
     again = answers.unionByName(answers.withColumns({c: F.lit(None).cast("int") for c in ("year", "month")}))
     assert set(want) < {tuple(x) for x in containment.by_index(again, texts).collect()}
+
+
+def test_answers_that_differ_are_not_shuffled_to_see_it(spark):
+    """Questions of one row each go to the join as they are: nothing is grouped, and no branch is left for what isn't there."""
+    answers = spark.createDataFrame([(i, "", [float(i)] if i % 3 else [float(i), 7.0], None, None) for i in range(1, 60)], "question_id long, an string, ann array<double>, year int, month int")
+    texts = spark.createDataFrame([(i, 2020, 1, "", [float(i), 7.0]) for i in range(1, 60)], "chunk_id long, year int, month int, norm_text string, text_numbers array<double>")
+    pairs = containment.by_index(answers, texts)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 6
+    want = sorted((a, b) for a in range(1, 60) for b in range(1, 60) if a in (b, 7))
+    assert sorted(map(tuple, pairs.collect())) == want
+    # Rows of a question that repeat are still counted once.
+    assert sorted(map(tuple, containment.by_index(answers.unionByName(answers), texts).collect())) == want
